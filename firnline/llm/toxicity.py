@@ -19,6 +19,7 @@ are scored each; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -82,7 +83,8 @@ _WORD = re.compile(r"[^\W\d_]{4,}")
 
 def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> list[str]:
     """Word starts (4 to 8 letters) and words of labelled toxic training texts
-    that are rare in the clean ones: the shortest precise start of each."""
+    that are rare in the clean ones, and so beyond chance among all tried:
+    of starts in the same texts, the longest."""
     spark = docs.sparkSession
     rows = labels.where((fold() != OUT) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     n = rows.count()
@@ -116,11 +118,13 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most:
     ratio = (F.col("toxic") + 0.5) / (total.toxic + 1) / ((F.col("clean") + 0.5) / (total.clean + 1))
     good = (
         counts.where(F.col("term") != "")
-        .where((F.col("toxic") >= max(3, total.toxic // 200)) & (F.col("toxic") > 9 * F.col("clean")) & (ratio > 8))
-        .orderBy(F.col("toxic").desc(), F.length("term"), "term")
+        .where((F.col("toxic") >= max(3, total.toxic // 50)) & (F.col("toxic") > 9 * F.col("clean")) & (ratio > 8))
+        .orderBy(F.col("toxic").desc(), F.length("term").desc(), "term")
         .limit(20 * most)
         .collect()
     )
+    share, tried = total.toxic / (total.toxic + total.clean), counts.count()
+    good = [r for r in good if by_chance(r.toxic, r.toxic + r.clean, share) * tried < 0.05]
     out: list[str] = []
     for r in good:
         if not any(r.term.startswith(t) or t.startswith(r.term) for t in out):
@@ -128,36 +132,43 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most:
     return out[:most]
 
 
+def by_chance(hits: int, n: int, share: float) -> float:
+    """P(at least `hits` of n texts are toxic) if a term tells nothing."""
+    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(hits, n + 1)) if n < 400 else 0.0
+
+
 def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, rounds: int = 50):
-    """EM on a 0/1 matrix (texts x voters). trusted: voters whose firing starts
-    a text off as likely toxic. Returns posteriors, rates (voters x 2) and the
-    voters' weights after sharing among correlated ones."""
-    n, k = votes.shape
-    post = np.where(votes[:, trusted].any(axis=1), 0.95, 0.02) if trusted.any() else np.full(n, prior)
-    weight = np.ones(k)
-    rates = np.zeros((k, 2))
+    """EM on a 0/1 matrix (texts x voters). A voter that doesn't fire abstains;
+    that no trusted voter fires is a vote of its own. trusted: voters whose
+    firing starts a text off as likely toxic. Returns posteriors, rates (voters
+    x 2) and the voters' correlations beyond their rates (voters x voters)."""
+    silent = ~votes[:, trusted].any(axis=1) if trusted.any() else np.zeros(len(votes), dtype=bool)
+    x = np.hstack([votes, silent[:, None]])
+    n, k = x.shape
+    post = np.where(silent, 0.02, 0.95) if trusted.any() else np.full(n, prior)
+    together, rates = np.zeros((k, k)), np.zeros((k, 2))
     for step in range(rounds):
-        rates[:, 1] = (votes.T @ post + 0.2) / (post.sum() + 2)
-        rates[:, 0] = (votes.T @ (1 - post) + 0.02) / ((1 - post).sum() + 2)
-        share = np.clip(post.mean(), 0.005, 0.5)
-        if step == 5:
-            # Correlation within a class: what firing together is left over.
+        rates[:, 1] = (x.T @ post + 0.1) / (post.sum() + 1)
+        rates[:, 0] = (x.T @ (1 - post) + 0.1) / ((1 - post).sum() + 1)
+        share = np.clip(post.mean() if n else prior, 0.005, 0.5)
+        if step == 3:
+            # Correlation within a class: firing together that rates leave over.
             rest = np.zeros((k, k))
             for y, p in ((1, post), (0, 1 - post)):
-                x = (votes - rates[:, y]) * np.sqrt(p)[:, None]
-                cov = x.T @ x / max(p.sum(), 1)
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                rest = np.maximum(rest, np.abs(cov / np.outer(sd, sd)) - 3 / np.sqrt(max(p.sum(), 1)))
+                z = (x - rates[:, y]) * np.sqrt(p)[:, None]
+                sd = np.sqrt(np.maximum((z * z).sum(axis=0), 1e-9))
+                rest = np.maximum(rest, z.T @ z / np.outer(sd, sd) - 3 / np.sqrt(max(p.sum(), 1)))
             np.fill_diagonal(rest, 0)
-            weight = 1 / (1 + np.clip(rest, 0, 1).sum(axis=1))
-        on = np.log(rates[:, 1] / rates[:, 0])
-        off = np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = np.log(share / (1 - share)) + votes @ (weight * (on - off)) + (weight * off).sum()
+            rest[:, -1] = rest[-1] = 0
+            together = np.clip(rest, 0, 1)
+        # Voters that fire together on a text share their evidence there.
+        shared = x / (1 + x @ together)
+        logit = np.log(share / (1 - share)) + shared @ np.log(rates[:, 1] / rates[:, 0])
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if step > 6 and np.abs(new - post).max() < 1e-4:
+        if step > 4 and n and np.abs(new - post).max() < 1e-4:
             break
         post = new
-    return post, rates, weight
+    return post, rates[:-1], together[:-1, :-1]
 
 
 def features(counts: dict[int, int], n: int, strong: np.ndarray) -> np.ndarray:
@@ -169,20 +180,31 @@ def features(counts: dict[int, int], n: int, strong: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Logistic regression on soft labels by Newton steps; the last weight is
-    the intercept."""
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
+    """Logistic regression on soft labels by damped Newton steps; the last
+    weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
+    ridge = np.full(x.shape[1], penalty * max(len(x), 1))
+    ridge[-1] *= 0.01
+    mean = np.clip(y.mean() if len(y) else 0.1, 0.001, 0.999)
     w = np.zeros(x.shape[1])
-    w[-1] = -2
-    ridge = np.full(len(w), penalty * max(len(x), 1))
-    ridge[-1] = 1e-6
+    w[-1] = np.log(mean / (1 - mean))
+
+    def loss(w):
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ (w * w)
+
+    now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        last, now = now, loss(w)
+        if last - now < 1e-7 * abs(last) + 1e-9:
             break
     return w
 
@@ -190,7 +212,7 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
 class Classifier:
     def __init__(self, voters: Voters, weights: np.ndarray, strong: np.ndarray):
         self.voters, self.weights, self.strong = voters, weights, strong
-        self.empty = float(1 / (1 + np.exp(-weights[-1])))
+        self.empty = float(1 / (1 + np.exp(-np.clip(weights[-1], -30, 30))))
 
     def score(self, text: str | None) -> float:
         counts = self.voters.count(text) if text else {}
