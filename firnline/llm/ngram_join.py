@@ -2,13 +2,14 @@
 
 Documents are sets of five-word shingles. Equal texts form a class at once and
 only its least doc_id (the representative) goes on. MinHash bands put
-representatives into buckets; each bucket's members are compared with its
-least member, not with one another, and members unlike it form a new bucket
-with the next least one, until none is left: that gives groups which hold
-every similar pair. Inside a group all pairs are compared in tiles: MinHash
-values are read a chunk at a time, a pair is dropped when the posterior
-probability that its similarity reaches the threshold falls below the
-tolerance, and what survives is verified on the shingle sets themselves.
+representatives into buckets. Each bucket's members are compared with its
+least member first, so that a bucket of copies costs as many comparisons as it
+has members; those unlike it are compared with one another, in tiles. What is
+alike makes groups that hold every similar pair. Inside a group all pairs are
+compared in tiles. A comparison reads MinHash values a chunk at a time, and a
+pair is dropped when the posterior probability that its similarity reaches the
+threshold falls below the tolerance; within groups, what survives is verified
+on the shingle sets themselves.
 A tile reports, per document, how many documents it is linked to, and a
 spanning forest of the links, so no group emits all its pairs.
 
@@ -24,12 +25,11 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import hashed, materialize, parts_of, text_bytes, words
+from firnline.llm.common import hashed, materialize, partitions, parts_of, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -207,6 +207,97 @@ def _alike(edges: DataFrame, reps: DataFrame) -> DataFrame:
     return edges.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def _alike_within(buckets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) that join, within each bucket, all members that signatures
+    leave a chance to be similar: all pairs compared, a forest of them given."""
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    x = buckets.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE))
+    x = x.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).join(reps.select("rep", "sig"), "rep")
+    x = x.withColumn("p", F.explode(_pairs_of_tiles())).select(F.col("bucket").alias("key"), "p.i", "p.j", "tile", "rep", "sig")
+
+    def run(batches):
+        for columns, starts in _whole_groups(batches):
+            _, ti, tj, tile, rep, sig = columns
+            sig = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, HASHES)
+            i, j = _pairs(np.array(tile), np.array(ti), np.array(tj), starts)
+            alive = surviving(sig, sig, i, j, threshold)
+            a, b = _forest(np.array(rep), i[alive], j[alive])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return _by_group(x).mapInArrow(run, "a long, b long")
+
+
+def _pairs_of_tiles():
+    """The pairs (i, j) of tiles that a member's own tile is in."""
+    return F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1),
+        lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")),
+    )
+
+
+def _by_group(x: DataFrame) -> DataFrame:
+    return x.repartition(partitions(x.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _whole_groups(batches, rows: int = 1024):
+    """Columns of some rows of a sorted stream, and where their groups (by the
+    first three columns) start; a group, at most two tiles, is never cut."""
+    held: list[list] | None = None
+
+    def cuts(columns):
+        key = np.array(columns[:3], dtype=np.int64)
+        return np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+
+    for b in batches:
+        new = [c.to_pylist() for c in b.columns]
+        held = new if held is None else [x + y for x, y in zip(held, new, strict=True)]
+        if len(held[0]) >= rows:
+            starts = cuts(held)
+            if len(starts) > 1:
+                last = int(starts[-1])
+                yield [c[:last] for c in held], starts
+                held = [c[last:] for c in held]
+    if held and held[0]:
+        yield held, np.append(cuts(held), len(held[0]))
+
+
+def _pairs(tile: np.ndarray, ti: np.ndarray, tj: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within each group: inside its one tile, or across its two."""
+    out_i, out_j = [], []
+    for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if z - a == 2 and ti[a] == tj[a]:
+            out_i.append(np.array([a]))
+            out_j.append(np.array([a + 1]))
+        elif z - a > 1:
+            i, j = np.triu_indices(z - a, 1)
+            if ti[a] != tj[a]:
+                across = tile[a + i] != tile[a + j]
+                i, j = i[across], j[across]
+            out_i.append(a + i)
+            out_j.append(a + j)
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+
+
+def _forest(rep: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For linked rows i, j: (rep, least rep of its tree), without the roots."""
+    _, at = np.unique(rep, return_inverse=True)
+    ids = np.unique(rep)
+    i, j = at[i], at[j]
+    root = np.arange(len(ids))
+    while len(i):
+        a, b = root[i], root[j]
+        differ = a != b
+        if not differ.any():
+            break
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """node, root (the least node it is connected with) of an edge list (a, b).
     Each round hangs every node's neighbours under the least of them, which
@@ -269,43 +360,39 @@ def _tiles(docs: DataFrame, members: DataFrame) -> DataFrame:
                 )
 
     rows = found.mapInArrow(run, "rep long, comp long, tile long, tiles long, docs long, sig binary, shingles binary")
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
-    return rows.withColumn("p", F.explode(each)).select("comp", "p.i", "p.j", "tile", "rep", "docs", "sig", "shingles")
-
-
-def _compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """All links within one tile or between two."""
-    pdf = pdf.drop_duplicates("rep")
-    rep, docs, tile = pdf.rep.to_numpy(), pdf.docs.to_numpy(), pdf.tile.to_numpy()
-    sig = np.frombuffer(b"".join(pdf.sig), dtype=np.uint32).reshape(-1, HASHES)
-    i, j = np.triu_indices(len(rep), 1)
-    if pdf.i.iloc[0] != pdf.j.iloc[0]:
-        across = tile[i] != tile[j]
-        i, j = i[across], j[across]
-    alive = surviving(sig, sig, i, j, threshold)
-    i, j = i[alive], j[alive]
-    sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf.shingles]
-    link = jaccard_pairs(sets, i, j) >= threshold
-    i, j = i[link], j[link]
-    n = np.bincount(i, docs[j], len(rep)) + np.bincount(j, docs[i], len(rep))
-    other = np.bincount(i, minlength=len(rep)) + np.bincount(j, minlength=len(rep))
-    # A spanning forest: each node under its least root.
-    root = np.arange(len(rep))
-
-    def top(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    keep = np.flatnonzero(other > 0)
-    return pd.DataFrame(
-        {"rep": rep[keep], "to": [rep[top(x)] for x in keep.tolist()], "links": n[keep].astype(np.int64), "texts": other[keep].astype(np.int64)}
-    )
+    return rows.withColumn("p", F.explode(_pairs_of_tiles())).select(F.col("comp").alias("key"), "p.i", "p.j", "tile", "rep", "docs", "sig", "shingles")
+
+
+def _compare(batches, threshold: float):
+    """All links within a tile or between two: per document, how many documents
+    and texts it is linked to, and per tree of links, its members."""
+    for columns, starts in _whole_groups(batches):
+        _, ti, tj, tile, rep, docs, sig, shingles = columns
+        rep, docs, sets = np.array(rep), np.array(docs), [np.frombuffer(x, dtype=np.uint64) for x in shingles]
+        sig = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, HASHES)
+        i, j = _pairs(np.array(tile), np.array(ti), np.array(tj), starts)
+        alive = surviving(sig, sig, i, j, threshold)
+        i, j = i[alive], j[alive]
+        link = np.zeros(len(i), dtype=bool)
+        cuts = np.searchsorted(i, starts)  # i ascends by group
+        for g in np.flatnonzero(np.diff(cuts)):
+            part, lo = slice(cuts[g], cuts[g + 1]), starts[g]
+            link[part] = jaccard_pairs(sets[lo : starts[g + 1]], i[part] - lo, j[part] - lo) >= threshold
+        i, j = i[link], j[link]
+        n = np.bincount(i, docs[j], len(rep)) + np.bincount(j, docs[i], len(rep))
+        other = np.bincount(i, minlength=len(rep)) + np.bincount(j, minlength=len(rep))
+        keep = np.flatnonzero(other > 0)
+        a, b = _forest(rep, i, j)
+        nothing = pa.nulls(len(keep), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.append(rep[keep], a)),
+                pa.concat_arrays([nothing, pa.array(b, pa.int64())]),
+                pa.array(np.append(n[keep].astype(np.int64), np.zeros(len(a), np.int64))),
+                pa.array(np.append(other[keep].astype(np.int64), np.zeros(len(a), np.int64))),
+            ],
+            names=["rep", "to", "links", "texts"],
+        )
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -326,17 +413,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # Groups that hold every similar pair.
     shared = _bands(reps).groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     left = materialize(_bands(reps).join(shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
-    near = None
-    while True:
-        edges = left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        judged = materialize(_alike(edges, reps), "judged")
-        good = judged.where("ok").select("a", "b")
-        near = good if near is None else near.unionByName(good)
-        apart = left.join(judged.where("not ok").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
-        hubs = apart.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        left = materialize(apart.join(hubs.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
-        if not left.limit(1).count():
-            break
+    judged = materialize(_alike(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps), "judged")
+    apart = left.join(judged.where("not ok").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
+    near = judged.where("ok").select("a", "b").unionByName(_alike_within(apart, reps, threshold))
     groups = components(near, "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -347,13 +426,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .join(reps.select("rep", "docs"), "rep")
     )
     placed = materialize(placed, "placed")
-    links = (
-        _tiles(docs, placed)
-        .groupBy("comp", "i", "j")
-        .applyInPandas(lambda pdf: _compare(pdf, threshold), "rep long, to long, links long, texts long")
-    )
+    links = _by_group(_tiles(docs, placed)).mapInArrow(lambda b: _compare(b, threshold), "rep long, to long, links long, texts long")
     links = materialize(links, "links")
-    roots = components(links.select(F.col("rep").alias("a"), F.col("to").alias("b")), "linked")
+    roots = components(links.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), "linked")
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     of_rep = counted.join(roots, counted.rep == roots.node, "left").select("rep", "links", "texts", F.coalesce("root", "rep").alias("class_id"))
     out = members.join(of_rep, "rep", "left")
