@@ -59,6 +59,13 @@ def dense(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return spark.range(spec.width * spec.height).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("c"))
 
 
+def filled(cells: DataFrame, spec: GridSpec) -> DataFrame:
+    """cells with rows for the missing ones, all bands NULL; itself if none is."""
+    if cells.count() == spec.width * spec.height:
+        return cells
+    return dense(cells.sparkSession, spec).join(cells, ["r", "c"], "left")
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the cluster's shared folder and read it back, between the
     rounds of an iterative operator."""

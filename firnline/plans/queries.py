@@ -1,6 +1,636 @@
-"""Registered terrain queries over the driver tables."""
+"""Registered terrain queries over the driver tables, and the same in SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from firnline.functions import fuzzy
+from firnline.functions import palette as P
+from firnline.functions import votes as V
+from firnline.grid import GridSpec, dense
+from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
+from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, bands, grid, spec
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+AREA = CELL * CELL
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def keyed(x: DataFrame, *columns, places: int = 5) -> DataFrame:
+    """r, c and the columns; doubles rounded for comparison."""
+    kinds = dict(x.dtypes)
+    return x.select("r", "c", *[(F.round(F.col(b), places) + 0.0).alias(b) if kinds[b] == "double" else F.col(b) for b in columns])
+
+
+def _rounded(sql: str, places: int = 5) -> str:
+    return f"round({sql}, {places}) + 0e0"
+
+
+# Focal.
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded('slope')} AS slope FROM sl")
+def slope_horn(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.slope(x, spec(x)), "slope")
+
+
+@query(
+    f"""WITH {GRID}, {AROUND}, fill AS (SELECT r, c, z, {", ".join(f"coalesce({a}, 2e0 * z - {b}, z) AS {a}" for a, b in (("n", "s"), ("s", "n"), ("w", "e"), ("e", "w"), ("nw", "se"), ("se", "nw"), ("ne", "sw"), ("sw", "ne")))} FROM n8)
+    SELECT r, c, {_rounded("degrees(atan(sqrt(pow(((ne + 2e0 * e + se) - (nw + 2e0 * w + sw)) / (8e0 * 21.34e0), 2) + pow(((sw + 2e0 * s + se) - (nw + 2e0 * n + ne)) / (8e0 * 21.34e0), 2))))")} AS slope FROM fill"""
+)
+def slope_with_edges(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.slope(x, spec(x), edges=True), "slope")
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, CAST(trunc(slope) AS SMALLINT) AS slope, slope IS NOT NULL AS valid FROM sl")
+def slope_whole_degrees(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.whole_slope(x, spec(x)), "slope", "valid")
+
+
+_ASPECT = "CASE WHEN gx <> 0 OR gy <> 0 THEN (degrees(atan2(-gx, gy)) + 360e0) % 360e0 END"
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded(_ASPECT)} AS aspect FROM sl")
+def aspect(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.aspect(x, spec(x)), "aspect")
+
+
+def _step_sql(table: str, band: str, axis: str, out: str) -> str:
+    o = "c" if axis == "r" else "r"
+    return (
+        f"SELECT t.*, coalesce((b.{band} - a.{band}) / 2e0, b.{band} - t.{band}, t.{band} - a.{band}) AS {out} FROM {table} t "
+        f"LEFT JOIN {table} a ON a.{o} = t.{o} AND a.{axis} = t.{axis} - 1 LEFT JOIN {table} b ON b.{o} = t.{o} AND b.{axis} = t.{axis} + 1"
+    )
+
+
+@query(
+    f"""WITH {GRID}, a1 AS ({_step_sql("g", "z", "r", "dy")}), a2 AS ({_step_sql("a1", "z", "c", "dx")}), a3 AS ({_step_sql("a2", "dx", "c", "dxx")}),
+    a4 AS ({_step_sql("a3", "dy", "r", "dyy")}), a5 AS ({_step_sql("a4", "dx", "r", "dxy")})
+    SELECT r, c, {_rounded("(degrees(atan2(-dy, dx)) + 360e0) % 360e0", 4)} AS math_aspect,
+    {_rounded("greatest(-5e0, least(5e0, -(dxx * dy * dy - 2e0 * dxy * dx * dy + dyy * dx * dx) / pow(dx * dx + dy * dy + 1e-8, 1.5e0)))", 4)} AS curvature FROM a5"""
+)
+def curvature(spark, sf):
+    return keyed(focal.curvature(grid(spark, sf)), "math_aspect", "curvature", places=4)
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, u AS (SELECT r, c, sin(radians(slope)) * sin(radians(coalesce({_ASPECT}, 0e0))) AS x, sin(radians(slope)) * cos(radians(coalesce({_ASPECT}, 0e0))) AS y, cos(radians(slope)) AS w FROM sl),
+    m AS (SELECT t.r, t.c, sum(n.x) AS x, sum(n.y) AS y, sum(n.w) AS w, count(n.x) AS k FROM u t JOIN u n ON n.r BETWEEN t.r - 1 AND t.r + 1 AND n.c BETWEEN t.c - 1 AND t.c + 1 GROUP BY t.r, t.c)
+    SELECT r, c, {_rounded("CASE WHEN k = 9 THEN 1e0 - sqrt(x * x + y * y + w * w) / 9e0 ELSE 0e0 END")} AS ruggedness FROM m"""
+)
+def ruggedness_3x3(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    return keyed(focal.ruggedness(focal.aspect(focal.slope(x, s), s)), "ruggedness")
+
+
+_OFFSETS = ", ".join(f"({dr}, {dc}, {d!r}e0)" for dr, dc, d in focal.sector_offsets(3))
+
+
+@query(
+    f"""WITH {GRID}, o(dr, dc, d) AS (VALUES {_OFFSETS}), lim AS (SELECT max(r) AS h, max(c) AS w FROM g),
+    q AS (SELECT g.r, g.c, quantile_cont(atan((n.z - g.z) / (o.d * 21.34e0)), 0.5) AS v FROM g, o, g n WHERE n.r = g.r + o.dr AND n.c = g.c + o.dc AND n.z <> 0 GROUP BY g.r, g.c)
+    SELECT g.r, g.c, CASE WHEN g.r BETWEEN 3 AND h - 3 AND g.c BETWEEN 3 AND w - 3 THEN {_rounded("coalesce(v, 0e0)")} END AS windshelter FROM g CROSS JOIN lim LEFT JOIN q ON q.r = g.r AND q.c = g.c"""
+)
+def windshelter_p50(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.wind_shelter(x, spec(x)), "windshelter")
+
+
+def _box_sql(band: str, width: int, edge: str) -> str:
+    k = width // 2
+    def at(v, n):
+        if edge == "reflect":
+            return f"CASE WHEN {v} < 0 THEN -1 - ({v}) WHEN {v} >= {n} THEN 2 * {n} - 1 - ({v}) ELSE {v} END"
+        return f"greatest(0, least({n} - 1, {v}))"
+    return (
+        f"WITH {GRID}, lim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g), d AS (SELECT a.i AS dr, b.i AS dc FROM range(-{k}, {k + 1}) a(i), range(-{k}, {k + 1}) b(i)), "
+        f"p AS (SELECT g.r, g.c, {at('g.r + dr', 'h')} AS pr, {at('g.c + dc', 'w')} AS pc FROM g, d, lim) "
+        f"SELECT p.r, p.c, round(sum(coalesce(n.{band}, 0e0)) / {width * width}e0, 4) + 0e0 AS {band}_mean FROM p LEFT JOIN g n ON n.r = pr AND n.c = pc GROUP BY p.r, p.c"
+    )
+
+
+@query(_box_sql("canopy", 15, "reflect"))
+def box_mean_reflect(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.box_mean(x, spec(x), "canopy", focal.box_width(300, CELL)), "canopy_mean", places=4)
+
+
+@query(_box_sql("z", 5, "nearest"))
+def box_mean_nearest(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.box_mean(x, spec(x), "z", 5, "nearest"), "z_mean", places=4)
+
+
+@query(
+    f"""WITH {GRID}, v AS (SELECT r, c, CASE WHEN noise THEN z END AS z FROM g)
+    SELECT t.r, t.c, CASE WHEN t.z IS NOT NULL THEN {_rounded("(t.z + coalesce(a.z, 0) + coalesce(b.z, 0) + coalesce(d.z, 0)) / (1 + (a.z IS NOT NULL)::INT + (b.z IS NOT NULL)::INT + (d.z IS NOT NULL)::INT)")} END AS smooth
+    FROM v t LEFT JOIN v a ON a.r = t.r AND a.c = t.c + 1 LEFT JOIN v b ON b.r = t.r + 1 AND b.c = t.c LEFT JOIN v d ON d.r = t.r + 1 AND d.c = t.c + 1"""
+)
+def smooth_2x2(spark, sf):
+    x = grid(spark, sf).withColumn("z", F.when(F.col("noise"), F.col("z")))
+    return keyed(focal.smooth_2x2(x, "z", "smooth"), "smooth")
+
+
+def _cross(table: str, f: str) -> str:
+    sides = ", ".join(f"coalesce({n}.m, 0)" for n in "news")
+    joins = " ".join(f"LEFT JOIN {table} {n} ON {n}.r = t.r + {dr} AND {n}.c = t.c + {dc}" for n, dr, dc in (("n", -1, 0), ("e", 0, 1), ("w", 0, -1), ("s", 1, 0)))
+    return f"SELECT t.r, t.c, {f}(t.m, {sides}) AS m FROM {table} t {joins}"
+
+
+@query(
+    f"""WITH {GRID}, m0 AS (SELECT r, c, noise::INT AS m FROM g), m1 AS ({_cross("m0", "least")}), m2 AS ({_cross("m1", "greatest")}),
+    m3 AS ({_cross("m2", "greatest")}), m4 AS ({_cross("m3", "least")}) SELECT r, c, m AS mask FROM m4"""
+)
+def morph_open_close(spark, sf):
+    x = grid(spark, sf).withColumn("mask", F.col("noise").cast("int"))
+    return keyed(focal.closing(focal.opening(x, "mask"), "mask"), "mask")
+
+
+@query(
+    f"""WITH {GRID}, m AS (SELECT t.r, t.c, t.z, max(n.z) AS top FROM g t JOIN g n ON n.r BETWEEN t.r - 2 AND t.r + 2 AND n.c BETWEEN t.c - 2 AND t.c + 2 GROUP BY t.r, t.c, t.z)
+    SELECT r, c, z = top AND z > 0 AS is_peak FROM m"""
+)
+def local_maxima(spark, sf):
+    return keyed(focal.local_maxima(grid(spark, sf), "z", 2), "is_peak")
+
+
+# Local.
+
+_SLOPE_M = "1e0 / (1e0 + pow((slope - 42.5e0) / 12e0, 8e0))"
+_FOREST_M = "1e0 / (1e0 + pow((canopy - 0e0) / 50e0, 6e0))"
+_MIN = f"least(coalesce({_SLOPE_M}, 0e0), 0.5e0, {_FOREST_M})"
+_PRA = f"((1e0 - {_MIN}) * {_MIN} + {_MIN} * ((coalesce({_SLOPE_M}, 0e0) + 0.5e0 + {_FOREST_M}) / 3e0))"
+
+
+@query(f"WITH {GRID} SELECT r, c, {_rounded('1e0 / (1e0 + pow((canopy - 20e0) / 30e0, 3e0))')} AS m FROM g WHERE canopy >= 20")
+def membership_cauchy(spark, sf):
+    return keyed(grid(spark, sf).where("canopy >= 20").withColumn("m", fuzzy.cauchy("canopy", 30, 1.5, 20)), "m")
+
+
+@query(f"WITH {GRID} SELECT r, c, {_rounded('CASE WHEN canopy < 50 THEN 1e0 / (1e0 + pow((canopy - 50e0) / 10e0, 4e0)) ELSE 1e0 / (1e0 + pow((canopy - 50e0) / 25e0, 2e0)) END')} AS m FROM g")
+def membership_asymmetric(spark, sf):
+    return keyed(grid(spark, sf).withColumn("m", fuzzy.cauchy_two_sided("canopy", 50, 10, 2, 25, 1)), "m")
+
+
+def _released(spark, sf, scenario: str = "frequent"):
+    x = grid(spark, sf)
+    x = focal.slope(x, spec(x))
+    abc = (12.0, 4.0, 42.5) if scenario == "frequent" else (14.0, 4.0, 40.0)
+    return x.withColumn("pra", fuzzy.release_area("slope", F.lit(0.0), "canopy", abc, (50.0, 3.0, 0.0)))
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded(_PRA)} AS pra FROM sl")
+def fuzzy_and(spark, sf):
+    return keyed(_released(spark, sf), "pra")
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, p AS (SELECT zone, z, {_PRA} AS pra FROM sl)
+    SELECT zone, count(*) AS cells, CAST(sum((pra >= 0.25)::INT) AS BIGINT) AS release_cells, {_rounded("avg(pra)", 6)} AS pra_mean, {_rounded("avg(z)", 4)} AS z_mean FROM p GROUP BY zone"""
+)
+def pra_binary_by_zone(spark, sf):
+    x = _released(spark, sf)
+    return x.groupBy("zone").agg(
+        F.count(F.lit(1)).alias("cells"), F.sum((F.col("pra") >= 0.25).cast("long")).alias("release_cells"),
+        F.round(F.avg("pra"), 6).alias("pra_mean"), F.round(F.avg("z"), 4).alias("z_mean"),
+    )
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded('CASE WHEN slope < 30 OR slope > 50 THEN 0e0 ELSE coalesce(' + _SLOPE_M + ', 0e0) END')} AS m FROM sl")
+def slope_window(spark, sf):
+    x = grid(spark, sf)
+    return keyed(focal.slope(x, spec(x)).withColumn("m", fuzzy.slope_membership("slope", 12, 4, 42.5, clip_lo=30, clip_hi=50)), "m")
+
+
+@query(f"WITH {GRID} SELECT r, c, {_rounded('greatest(0e0, least(1e0, canopy / 100e0))')} AS f FROM g")
+def forest_scale(spark, sf):
+    return keyed(grid(spark, sf).withColumn("f", fuzzy.scale_forest("canopy")), "f")
+
+
+_F = V.area_factor(CELL)
+
+
+@query(
+    f"""WITH {BANDS} SELECT r, c, CASE WHEN F_pra > 0.1613 THEN 3 WHEN E_pra > 0.0087 THEN 2 WHEN E_pra > 0 THEN 1 ELSE 0 END AS pra,
+    CASE WHEN F_pra_size > 0.3086 THEN 3 WHEN E_pra_size > 0.0136 THEN 2 WHEN E_pra_size > 0 THEN 1 ELSE 0 END AS size,
+    CASE WHEN F_travel_angle > 34.27 THEN 3 WHEN E_travel_angle > 24.005 THEN 2 WHEN E_travel_angle > 0 THEN 1 ELSE 0 END AS alpha,
+    CASE WHEN F_rout_flux_area > 375.18 THEN 3 WHEN E_rout_flux_area > 10.299 THEN 2 WHEN E_rout_flux_area > 0 THEN 1 ELSE 0 END AS flux FROM b"""
+)
+def split_votes(spark, sf):
+    x = bands(spark, sf)
+    made = {n: V.split_vote(F.col(f"E_{b}"), F.col(f"F_{b}"), *V.SPLIT_CUTS[n]) for n, b in (("pra", "pra"), ("size", "pra_size"), ("alpha", "travel_angle"), ("flux", "rout_flux_area"))}
+    return x.select("r", "c", *[v.alias(k) for k, v in made.items()])
+
+
+@query(
+    f"""WITH {BANDS} SELECT r, c, CAST(trunc((greatest(0e0, least(100e0, E_zdelta / 270e0 * 100e0)) + greatest(0e0, least(100e0, E_travel_angle / 90e0 * 100e0))) / 2e0) AS SMALLINT) AS score FROM b"""
+)
+def alpha_zdelta(spark, sf):
+    return bands(spark, sf).select("r", "c", V.angle_score(F.col("E_zdelta"), F.col("E_travel_angle")).alias("score"))
+
+
+@query(f"WITH {BANDS} SELECT r, c, {_rounded('CASE WHEN F_travel_angle < 25 THEN 0e0 ELSE F_rout_flux_area * ' + repr(AREA) + 'e0 END', 3)} AS area FROM b")
+def flux_area(spark, sf):
+    return keyed(bands(spark, sf).withColumn("area", V.flux_area(F.col("F_rout_flux_area"), AREA, F.col("F_travel_angle"))), "area", places=3)
+
+
+@query(
+    f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.r, b.c, coalesce(trunc(slope), 0) AS s, b.canopy AS k, E_runout_prox AS p, E_pra_proximity AS q FROM b JOIN sl ON sl.id = b.id)
+    SELECT r, c, {_rounded("(greatest(0e0, least(1e0, (14e0 - s) / 14e0)) + greatest(0e0, least(1e0, (20e0 - s) / 20e0)) + greatest(0e0, least(1e0, k / 60e0)) + greatest(0e0, least(1e0, (CASE WHEN p < 0 THEN 10000e0 ELSE p END) / 200e0)) + greatest(0e0, least(1e0, (CASE WHEN q < 0 THEN 10000e0 ELSE q END) / 500e0))) / 5e0", 4)} AS score FROM t"""
+)
+def class0_score(spark, sf):
+    x = bands(spark, sf)
+    x = focal.whole_slope(x, spec(x))
+    s = F.coalesce(F.col("slope").cast("double"), F.lit(0.0))
+    return keyed(x.withColumn("score", V.zero_score(s, s, F.col("canopy"), F.col("E_runout_prox"), F.col("E_pra_proximity"))), "score", places=4)
+
+
+_LUT = "(VALUES " + ", ".join(f"({extra + code + k}, {v})" for extra, t in ((0, V.OPEN_TABLE), (100, V.RELEASE_TABLE)) for code, row in t.items() for k, v in enumerate(row)) + ") l(k, v)"
+
+
+@query(
+    f"""WITH {BANDS}, t AS (SELECT r, c, CASE WHEN canopy <= 20 THEN 10 WHEN canopy <= 60 THEN 20 WHEN canopy <= 85 THEN 30 ELSE 40 END AS f, CAST(least(4, floor(E_zdelta / 60e0)) AS INT) AS m, CASE WHEN F_pra > 0.2 THEN 100 ELSE 0 END AS p FROM b)
+    SELECT r, c, v AS class FROM t LEFT JOIN {_LUT} ON k = f + m + p"""
+)
+def lut_reclass(spark, sf):
+    x = bands(spark, sf)
+    m = F.least(F.lit(4), F.floor(F.col("E_zdelta") / 60).cast("int"))
+    return x.select("r", "c", V.forest_lookup(m, V.forest_code(F.col("canopy")), F.when(F.col("F_pra") > 0.2, 100).otherwise(0)).alias("class"))
+
+
+# Zonal.
+
+
+def _zoned(spark, sf):
+    x = _released(spark, sf)
+    s = spec(x)
+    return focal.aspect(x, s), s
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, t AS (SELECT zone, z, slope, {_PRA} AS pra, {_ASPECT} AS a FROM sl),
+    m AS (SELECT zone, count(*) * {AREA!r}e0 AS n, avg(CASE WHEN pra > 0 THEN pra END) AS pm, max(pra) AS px, min(z) AS zl, max(z) AS zh, avg(z) AS zm, avg(slope) AS sm, max(slope) AS sx,
+      (degrees(atan2(avg(sin(radians(a))), avg(cos(radians(a))))) + 360e0) % 360e0 AS ad FROM t GROUP BY zone)
+    SELECT zone, round(n, 1) AS area_m2, round(round(n, 1) / 10000e0, 3) AS area_ha, round(coalesce(pm, 0e0), 4) AS pra_mean, round(coalesce(px, 0e0), 4) AS pra_max,
+      round(zl, 1) AS elev_min, round(zh, 1) AS elev_max, round(zm, 1) AS elev_mean, round(zh - zl, 1) AS relief_m, round(sm, 1) AS slope_mean, round(sx, 1) AS slope_max, round(ad, 1) AS aspect_deg,
+      (['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'])[CAST(floor(((ad + 22.5e0) % 360e0) / 45e0) AS INT) + 1] AS aspect_class,
+      round(round(coalesce(pm, 0e0), 4) * round(round(n, 1) / 10000e0, 3), 3) AS release_potential FROM m"""
+)
+def zonal_metrics(spark, sf):
+    x, s = _zoned(spark, sf)
+    return zonal.zonal_metrics(x, s, "zone")
+
+
+@query(f"WITH {GRID}, t AS (SELECT zone, quantile_cont(z, 0.95) AS q, count(z) AS n FROM g WHERE canopy >= 30 GROUP BY zone) SELECT zone, CASE WHEN n >= 100 THEN {_rounded('q', 4)} END AS treeline, n AS n_forest FROM t")
+def treeline_p95(spark, sf):
+    x = zonal.treeline_percentile(grid(spark, sf), "zone", least=100)
+    return x.withColumn("treeline", F.round("treeline", 4))
+
+
+@query(
+    f"""WITH {GRID}, e AS (SELECT min(z) AS lo, max(z) AS hi FROM g), b AS (SELECT least(floor((z - lo) / 50e0), greatest(floor((hi - lo) / 50e0) - 1, 0)) AS k, lo, canopy FROM g, e),
+    t AS (SELECT k, lo, count(*) AS n, sum((canopy >= 30)::INT) AS f FROM b GROUP BY k, lo) SELECT round(max(lo + (k + 0.5e0) * 50e0), 4) AS treeline FROM t WHERE n > 50 AND f / n >= 0.3"""
+)
+def treeline_fraction_limit(spark, sf):
+    return zonal.treeline_fraction(grid(spark, sf)).select(F.round("treeline", 4).alias("treeline"))
+
+
+@query(
+    """WITH s AS (SELECT n_name AS name, r_name AS range, CASE WHEN n_regionkey < 2 THEN 'A' ELSE 'B' END AS grp, n_nationkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+    t AS (SELECT name, range, grp, avg(c_acctbal) AS tl, CAST(count(*) AS DOUBLE) AS n FROM s JOIN customer ON c_nationkey = k GROUP BY ALL),
+    lim AS (SELECT median(n) AS m FROM t), a AS (SELECT range, median(tl) AS v FROM t, lim WHERE n >= m GROUP BY range), b AS (SELECT grp, median(tl) AS v FROM t, lim WHERE n >= m GROUP BY grp)
+    SELECT t.name, t.range, t.grp AS "group", round(coalesce(CASE WHEN n >= m THEN tl END, a.v, b.v), 4) AS treeline FROM t CROSS JOIN lim LEFT JOIN a ON a.range = t.range LEFT JOIN b ON b.grp = t.grp"""
+)
+def treeline_fallback(spark, sf):
+    t = {n: spark.read.parquet(f"{sf}/{n}.parquet") for n in ("nation", "region", "customer")}
+    x = t["customer"].join(F.broadcast(t["nation"]), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t["region"]), F.col("n_regionkey") == F.col("r_regionkey"))
+    g = x.groupBy(F.col("n_name").alias("name"), F.col("r_name").alias("range"), F.when(F.col("n_regionkey") < 2, "A").otherwise("B").alias("group")).agg(
+        F.avg("c_acctbal").alias("treeline"), F.count(F.lit(1)).cast("double").alias("n_forest_kpx")
+    )
+    least = g.agg(F.median("n_forest_kpx")).first()[0]
+    return zonal.treeline_fallback(g, least).withColumn("treeline", F.round("treeline", 4))
+
+
+@query(f"WITH {GRID}, e AS (SELECT min(z) AS lo, max(z) AS hi FROM g) SELECT r, c, {_rounded('(z - lo) / (hi - lo + 1e-8)')} AS z_norm FROM g, e")
+def normalised_band(spark, sf):
+    return keyed(zonal.normalised(grid(spark, sf), ["z"]), "z_norm")
+
+
+@query(f"WITH {GRID}, {SLOPE}, b AS (SELECT zone, CAST(floor(z / 30e0) AS BIGINT) AS bin, slope FROM sl) SELECT zone, bin, {_rounded('avg(slope)', 4)} AS m FROM b GROUP BY zone, bin")
+def elevation_profile(spark, sf):
+    x = grid(spark, sf)
+    x = focal.slope(x, spec(x))
+    return x.groupBy("zone", F.floor(F.col("z") / 30.0).alias("bin")).agg(F.round(F.avg("slope"), 4).alias("m"))
+
+
+@query()
+def bench_elevations(spark, sf):
+    x = grid(spark, sf)
+    return zonal.bench_profile(focal.slope(x, spec(x)), "zone", prominence=0.2)
+
+
+# Regions and distances.
+
+
+def _labels_sql(mask: str, shifts: str, rest: str) -> str:
+    return (
+        f"WITH RECURSIVE {GRID}, m AS (SELECT id, r, c FROM g WHERE {mask}), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {shifts}), "
+        "cc(id, label) USING KEY (id) AS (SELECT id, id FROM m UNION (SELECT e.a, min(x.label) FROM cc x JOIN e ON e.b = x.id JOIN recurring.cc y ON y.id = e.a WHERE x.label < y.label GROUP BY e.a)) "
+        f"{rest}"
+    )
+
+
+_EIGHT = "abs(a.r - b.r) <= 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND b.r BETWEEN a.r - 1 AND a.r + 1 AND a.id <> b.id"
+_FOUR = "((b.r = a.r AND abs(b.c - a.c) = 1) OR (b.c = a.c AND abs(b.r - a.r) = 1)) AND b.id BETWEEN a.id - 120 AND a.id + 120"
+
+
+@query(_labels_sql("canopy <= 30", _EIGHT, "SELECT g.r, g.c, label FROM cc JOIN g ON g.id = cc.id"))
+def components_8(spark, sf):
+    x = grid(spark, sf)
+    return regions.connected(x.where("canopy <= 30"), spec(x), None, 8, 32).select("r", "c", "label")
+
+
+@query(_labels_sql("noise", _FOUR, "SELECT g.r, g.c, label FROM cc JOIN g ON g.id = cc.id"))
+def components_4(spark, sf):
+    x = grid(spark, sf)
+    return regions.connected(x.where("noise"), spec(x), None, 4, 32).select("r", "c", "label")
+
+
+@query(
+    _labels_sql(
+        "noise", _FOUR,
+        f", s AS (SELECT label, count(*) AS n FROM cc GROUP BY label), k AS (SELECT id FROM cc JOIN s ON s.label = cc.label WHERE n >= {max(1, round(5000 / AREA))}) SELECT g.r, g.c, CASE WHEN noise THEN (k.id IS NOT NULL)::INT ELSE 0 END AS sieved FROM g LEFT JOIN k ON k.id = g.id",
+    )
+)
+def sieve(spark, sf):
+    x = grid(spark, sf).withColumn("mask", F.col("noise").cast("int"))
+    return regions.sieve(x, spec(x), "mask", 5000.0).select("r", "c", "sieved")
+
+
+@query(
+    _labels_sql(
+        "canopy <= 30", _EIGHT,
+        f", s AS (SELECT label, count(*) AS n FROM cc GROUP BY label) SELECT g.r, g.c, CASE WHEN n IS NULL THEN 0e0 ELSE round(least(100e0, n * {AREA!r}e0 / 10000e0), 4) END AS gap_area_ha FROM g LEFT JOIN cc ON cc.id = g.id LEFT JOIN s ON s.label = cc.label",
+    )
+)
+def gap_area(spark, sf):
+    x = grid(spark, sf).withColumnRenamed("canopy", "canopy_pct").withColumn("valid", F.lit(True))
+    return keyed(regions.gap_metrics(x, spec(x), with_width=False), "gap_area_ha", places=4)
+
+
+_NEAREST = "t AS (SELECT r, c FROM g WHERE canopy <= 10), d AS (SELECT g.r, g.c, min((g.r - t.r) * (g.r - t.r) + (g.c - t.c) * (g.c - t.c)) AS d2 FROM g, t GROUP BY g.r, g.c)"
+
+
+@query(f"WITH {GRID}, {_NEAREST} SELECT r, c, {_rounded('sqrt(d2)')} AS distance FROM d")
+def edt(spark, sf):
+    x = grid(spark, sf)
+    return keyed(distance.distance_to(x, spec(x), F.col("canopy") <= 10), "distance")
+
+
+@query(f"WITH {GRID}, {_NEAREST} SELECT r, c, CAST(round(sqrt(d2) * 21.34e0) AS SMALLINT) AS proximity FROM d")
+def proximity(spark, sf):
+    x = grid(spark, sf)
+    return distance.proximity(x, spec(x), F.col("canopy") <= 10, whole=True).select("r", "c", "proximity")
+
+
+@query(
+    f"""WITH {GRID}, t AS (SELECT r, c, id FROM g WHERE canopy <= 10),
+    d AS (SELECT g.r, g.c, arg_min(t.id, ((g.r - t.r) * (g.r - t.r) + (g.c - t.c) * (g.c - t.c)) * 1000000000 + t.r * 1000 + t.c) AS nearest FROM g, t GROUP BY g.r, g.c) SELECT * FROM d"""
+)
+def nearest_survivor(spark, sf):
+    x = grid(spark, sf)
+    return distance.nearest_feature(x, spec(x), F.col("canopy") <= 10, "id", "nearest").select("r", "c", "nearest")
+
+
+_ZONES = "z AS (SELECT r, c, (r // 10) * 12 + (c // 10) AS label FROM g)"
+
+
+@query(
+    f"""WITH {GRID}, {_ZONES}, p AS (SELECT a.label AS x, b.label AS y, (a.r = b.r OR a.c = b.c)::INT AS side FROM z a JOIN z b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 WHERE a.label < b.label)
+    SELECT x AS a, y AS b, CAST(sum(side) AS BIGINT) AS sides FROM p GROUP BY x, y"""
+)
+def region_adjacency(spark, sf):
+    x = grid(spark, sf).withColumn("label", F.floor(F.col("r") / 10) * 12 + F.floor(F.col("c") / 10))
+    return regions.adjacency(x.select("r", "c", "label"))
+
+
+@query()
+def merge_small_regions(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    labels = regions.connected(x.withColumn("k", F.floor(F.col("canopy") / 25)), s, "k", 4).select("r", "c", "label")
+    return regions.merge_small(labels, s, 20000.0)
+
+
+@query()
+def mmu_clean(spark, sf):
+    x = grid(spark, sf).withColumn("k", F.floor(F.col("z") / 60).cast("int") % 5)
+    return regions.mmu_clean(x, spec(x), "k", classify.MINIMUM_M2).select("r", "c", F.col("cleaned").alias("class"))
+
+
+@query(
+    _labels_sql(
+        "noise", _FOUR,
+        f" SELECT label, count(*) AS cells, round(count(*) * {AREA!r}e0, 2) AS area_m2, min(g.r) AS r_min, max(g.r) AS r_max, min(g.c) AS c_min, max(g.c) AS c_max FROM cc JOIN g ON g.id = cc.id GROUP BY label",
+    )
+)
+def polygonize(spark, sf):
+    x = grid(spark, sf)
+    got, _ = regions.polygonize(x.withColumn("v", F.when(F.col("noise"), 1)), spec(x), "v")
+    return got.drop("value").withColumn("area_m2", F.round("area_m2", 2))
+
+
+@query()
+def region_outlines(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    _, members = regions.polygonize(x.withColumn("v", F.when(F.col("canopy") <= 30, 1)), s, "v")
+    return regions.outlines(members, s)
+
+
+@query(f"WITH {GRID} SELECT r, c, CASE WHEN (c + 0.5e0) * 21.34e0 > 400 AND (c + 0.5e0) * 21.34e0 < 1500 AND (r + 0.5e0) * 21.34e0 > 100 AND (r + 0.5e0) * 21.34e0 < 900 THEN 2 WHEN (c + 0.5e0) * 21.34e0 < 700 AND (r + 0.5e0) * 21.34e0 < 400 THEN 1 END AS burned FROM g")
+def rasterize(spark, sf):
+    x = grid(spark, sf)
+    shapes = [([(-1, 1), (700, 1), (700, -400), (-1, -400)], 1), ([(400, -100), (1500, -100), (1500, -900), (400, -900)], 2)]
+    return regions.rasterize(x, spec(x), shapes, kind="int").select("r", "c", "burned")
+
+
+@query(f"WITH {GRID} SELECT id, r, c FROM g WHERE EXISTS (SELECT 1 FROM g m WHERE m.r = g.r AND m.c = g.c AND m.zone < 5)")
+def aoi_clip_semi(spark, sf):
+    x = grid(spark, sf)
+    return regions.clip_to(x, x.where("zone < 5")).select("id", "r", "c")
+
+
+@query(f"WITH {GRID} SELECT r, c FROM g WHERE canopy <= 30 AND NOT EXISTS (SELECT 1 FROM g m WHERE m.id = g.id AND m.noise)")
+def uncovered_anti(spark, sf):
+    x = grid(spark, sf)
+    return x.where("canopy <= 30").join(x.where("noise").select("id"), "id", "left_anti").select("r", "c")
+
+
+# Alignment.
+
+
+@query(
+    f"""WITH {GRID}, lim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g), t AS (SELECT a.i AS r, b.i AS c FROM lim, range(0, 200) a(i), range(0, 60) b(i) WHERE a.i < (h + 1) // 2 AND b.i < (w + 1) // 2),
+    k AS (SELECT t.r, t.c, g.z, (1e0 - abs(g.r - (t.r * 2e0 + 0.5e0))) * (1e0 - abs(g.c - (t.c * 2e0 + 0.5e0))) AS wt FROM t JOIN g ON g.r BETWEEN t.r * 2 AND t.r * 2 + 1 AND g.c BETWEEN t.c * 2 AND t.c * 2 + 1)
+    SELECT r, c, round(sum(z * wt) / sum(wt), 4) AS z FROM k GROUP BY r, c"""
+)
+def align_bilinear(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    return keyed(align.align(x, s, s.coarser(2), "z").where("z is not null"), "z", places=4)
+
+
+@query(f"WITH {GRID}, t AS (SELECT g.*, f.i AS factor FROM g, (VALUES (2), (4), (8), (16)) f(i)) SELECT CAST(r // factor AS BIGINT) AS r, CAST(c // factor AS BIGINT) AS c, factor, round(avg(canopy), 4) AS canopy FROM t GROUP BY r // factor, c // factor, factor")
+def overview_pyramid(spark, sf):
+    x = align.pyramid(grid(spark, sf), "canopy")
+    return x.select("r", "c", "factor", F.round("canopy", 4).alias("canopy"))
+
+
+@query(f"WITH {GRID} SELECT CAST(r // 4 AS BIGINT) AS r, CAST(c // 4 AS BIGINT) AS c, zone FROM g WHERE r % 4 = 2 AND c % 4 = 2")
+def overview_nearest(spark, sf):
+    return align.overview(grid(spark, sf), 4, "zone", "nearest")
+
+
+@query(f"WITH {GRID}, lim AS (SELECT max(r) AS h, max(c) AS w FROM g) SELECT a.i AS r, b.i AS c, coalesce(CASE WHEN g.noise THEN g.z END, -1e0) AS z FROM lim, range(0, 2000) a(i), range(0, 120) b(i) LEFT JOIN g ON g.r = a.i AND g.c = b.i WHERE a.i <= h AND b.i <= w")
+def align_fill(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    got = dense(spark, s).join(x.where("noise").select("r", "c", "z"), ["r", "c"], "left")
+    return got.select("r", "c", F.coalesce("z", F.lit(-1.0)).alias("z"))
+
+
+# Classifiers.
+
+
+def _vote_cells(spark, sf):
+    x = bands(spark, sf).withColumnRenamed("canopy", "canopy_pct")
+    s = spec(x)
+    return focal.whole_slope(x, s), s
+
+
+@query()
+def classify_votes(spark, sf):
+    x, s = _vote_cells(spark, sf)
+    return classify.classify_votes(x, s).select("r", "c", F.col("ates").alias("class"))
+
+
+_VOTE_SQL = f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope), 0) AS s, slope IS NOT NULL AS ok, (b.id % 400) / 10e0 AS coarse, (b.id % 130)::DOUBLE AS gap, (b.id % 70)::DOUBLE AS wood FROM b JOIN sl ON sl.id = b.id),
+    v AS (SELECT *, CASE WHEN F_pra > 0.1613 THEN 3 WHEN E_pra > 0.0087 THEN 2 WHEN E_pra > 0 THEN 1 ELSE 0 END AS v1, (E_pra > 0 OR F_pra > 0)::INT AS w1,
+      CASE WHEN F_pra_size > 0.3086 THEN 3 WHEN E_pra_size > 0.0136 THEN 2 WHEN E_pra_size > 0 THEN 1 ELSE 0 END AS v2, (E_pra_size > 0 OR F_pra_size > 0)::INT AS w2,
+      CASE WHEN F_travel_angle > 34.27 THEN 3 WHEN E_travel_angle > 24.005 THEN 2 WHEN E_travel_angle > 0 THEN 1 ELSE 0 END AS v3, (E_travel_angle > 0 OR F_travel_angle > 0)::INT AS w3,
+      CASE WHEN F_rout_flux_area > 375.18 THEN 3 WHEN E_rout_flux_area > 10.299 THEN 2 WHEN E_rout_flux_area > 0 THEN 1 ELSE 0 END AS v4, (E_rout_flux_area > 0 OR F_rout_flux_area > 0)::INT AS w4,
+      (coarse > 8.029)::INT + (coarse > 17.933)::INT + (coarse > 31.419)::INT AS v5, (gap > 0)::INT + (gap > 54.9)::INT + (gap > 100)::INT AS v6, 2 * (wood >= 30)::INT AS w6 FROM t),
+    k AS (SELECT *, greatest(0, least(4, round_even((v1 * w1 + v2 * w2 + v3 * w3 + v4 * w4 + v5 + v6 * w6) / (w1 + w2 + w3 + w4 + 1 + w6)::DOUBLE, 0))) AS base,
+      (greatest(0e0, least(1e0, (14e0 - coarse) / 14e0)) + greatest(0e0, least(1e0, (20e0 - s) / 20e0)) + greatest(0e0, least(1e0, canopy / 60e0)) + greatest(0e0, least(1e0, E_runout_prox / 200e0)) + greatest(0e0, least(1e0, (CASE WHEN E_pra_proximity < 0 THEN 10000e0 ELSE E_pra_proximity END) / 500e0))) / 5e0 AS score FROM v)
+    SELECT r, c, CASE WHEN NOT ok THEN NULL WHEN score >= 0.6 THEN 0 ELSE greatest(base, (E_zdelta > 0)::INT, 2 * (F_zdelta > 0)::INT, 3 * (F_rout_flux_area >= 500)::INT, CASE WHEN s > 45 AND canopy <= 20 THEN 4 ELSE 0 END, CASE WHEN coarse >= 45 THEN 4 WHEN coarse >= 40 THEN 3 ELSE 0 END) END::TINYINT AS class FROM k"""
+
+
+@query(_VOTE_SQL)
+def classify_votes_prepared(spark, sf):
+    """Votes, floors and ceiling over given context bands."""
+    x, s = _vote_cells(spark, sf)
+    x = x.withColumns(
+        {
+            "coarse_slope": (F.col("id") % 400) / 10.0, "gap_area_ha": (F.col("id") % 130).cast("double"), "coarse_canopy": (F.col("id") % 70).cast("double"),
+            "slope": F.coalesce(F.col("slope").cast("double"), F.lit(0.0)),
+        }
+    )
+    return classify.classify_votes(x, s, prepared=True).select("r", "c", F.col("ates").alias("class"))
+
+
+def _legacy(spark, sf):
+    x, s = _vote_cells(spark, sf)
+    x = focal.box_mean(x.withColumn("_s", F.coalesce(F.col("slope").cast("double"), F.lit(0.0))), s, "_s", 5, "nearest", "slope_smooth")
+    x = x.withColumns(
+        {
+            "E_alpha_zdelta": V.angle_score(F.col("E_zdelta"), F.col("E_travel_angle")), "F_alpha_zdelta": V.angle_score(F.col("F_zdelta"), F.col("F_travel_angle")),
+            "E_flux_area": V.flux_area(F.col("E_rout_flux_area"), AREA, F.col("E_travel_angle")), "F_flux_area": V.flux_area(F.col("F_rout_flux_area"), AREA, F.col("F_travel_angle")),
+            "E_release": (F.col("E_pra") >= 0.3).cast("int"),
+        }
+    )
+    return classify.exposure(x)
+
+
+_LEGACY = f"""WITH {BANDS}, {SLOPE}, lim AS (SELECT max(r) AS h, max(c) AS w FROM g), st AS (SELECT r, c, coalesce(trunc(slope), 0e0) AS s, slope IS NOT NULL AS ok FROM sl),
+    dd AS (SELECT a.i AS dr, b.i AS dc FROM range(-2, 3) a(i), range(-2, 3) b(i)), pp AS (SELECT st.r, st.c, greatest(0, least(h, st.r + dr)) AS pr, greatest(0, least(w, st.c + dc)) AS pc FROM st, dd, lim),
+    sm AS (SELECT pp.r, pp.c, sum(coalesce(n.s, 0e0)) / 25e0 AS smooth FROM pp LEFT JOIN st n ON n.r = pr AND n.c = pc GROUP BY pp.r, pp.c),
+    q AS (SELECT b.*, st.s, st.ok, smooth, trunc((greatest(0e0, least(100e0, E_zdelta / 270e0 * 100e0)) + greatest(0e0, least(100e0, E_travel_angle / 90e0 * 100e0))) / 2e0) AS ea,
+      trunc((greatest(0e0, least(100e0, F_zdelta / 270e0 * 100e0)) + greatest(0e0, least(100e0, F_travel_angle / 90e0 * 100e0))) / 2e0) AS fa,
+      CASE WHEN E_travel_angle < 25 THEN 0 ELSE E_rout_flux_area * {AREA!r}e0 END AS ef, CASE WHEN F_travel_angle < 25 THEN 0 ELSE F_rout_flux_area * {AREA!r}e0 END AS ff
+      FROM b JOIN st ON st.r = b.r AND st.c = b.c JOIN sm ON sm.r = b.r AND sm.c = b.c),
+    x AS (SELECT *, CASE WHEN fa >= 75 THEN 3 WHEN fa >= 30 THEN 2 WHEN ea >= 1 THEN 1 ELSE 0 END AS az, CASE WHEN ff > 3000 THEN 3 WHEN ff > 500 THEN 2 WHEN ef > 0 THEN 1 ELSE 0 END AS rf, (E_runout_prox < 25)::INT AS prox FROM q)"""
+
+
+@query(
+    f"""{_LEGACY}, k AS (SELECT *, greatest(CASE WHEN smooth > 45 THEN 4 WHEN s > 32 THEN 3 WHEN s > 25 THEN 2 WHEN s > 15 THEN 1 ELSE 0 END, az, rf, prox) + CASE WHEN canopy <= 20 THEN 10 WHEN canopy <= 60 THEN 20 WHEN canopy <= 85 THEN 30 ELSE 40 END + CASE WHEN E_pra >= 0.3 THEN 100 ELSE 0 END AS key FROM x)
+    SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 60 THEN 4 WHEN canopy > 85 AND v = 4 THEN 3 ELSE v END END::TINYINT AS class FROM k LEFT JOIN {_LUT} ON l.k = key"""
+)
+def classify_legacy_slope(spark, sf):
+    return classify.classify_slope(_legacy(spark, sf)).select("r", "c", F.col("ates").alias("class"))
+
+
+@query(
+    f"""{_LEGACY} SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 60 THEN 4 WHEN smooth > 45 THEN CASE WHEN canopy > 20 THEN 3 ELSE 4 END
+    ELSE greatest(CASE WHEN F_pra >= 0.6 THEN 3 WHEN F_pra >= 0.25 THEN 2 ELSE 0 END, (E_pra >= 0.05)::INT, az, rf, prox) END END::TINYINT AS class FROM x"""
+)
+def classify_legacy_pra(spark, sf):
+    return classify.classify_release(_legacy(spark, sf)).select("r", "c", F.col("ates").alias("class"))
+
+
+# Presentation.
+
+
+def _palette_sql(p: P.Palette, x: str, i: int) -> str:
+    cases = f"WHEN {x} <= {p.stops[0][0]!r} THEN {p.stops[0][i + 1]}"
+    for lo, hi, a, b in p.segments():
+        cases += f" WHEN {x} <= {hi!r} THEN floor({a[i]} + ({x} - {lo!r}) / {hi - lo!r} * {b[i] - a[i]} + 0.5)"
+    return f"CAST(CASE WHEN {x} IS NULL THEN {p.nothing[i]} {cases} ELSE {p.stops[-1][i + 1]} END AS INTEGER)"
+
+
+@query(f"WITH {GRID} SELECT r, c, {', '.join(_palette_sql(P.CANOPY, 'round(canopy, 3)', i) + ' AS ' + n for i, n in enumerate(('red', 'green', 'blue', 'alpha')))} FROM g")
+def palette_continuous(spark, sf):
+    x = grid(spark, sf).withColumn("p", P.colour(F.round("canopy", 3), P.CANOPY))
+    return x.select("r", "c", "p.*")
+
+
+@query(
+    f"WITH {GRID}, p(v, red, green, blue, alpha) AS (VALUES {', '.join(f'({int(s[0])}, {s[1]}, {s[2]}, {s[3]}, {s[4]})' for s in P.CLASSES.stops)}) SELECT r, c, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 0) AS alpha FROM g LEFT JOIN p ON v = zone % 6"
+)
+def palette_categorical(spark, sf):
+    x = grid(spark, sf).withColumn("p", P.colour(F.col("zone") % 6, P.CLASSES, categorical=True))
+    return x.select("r", "c", "p.*")
+
+
+# Kernels without SQL.
+
+
+@query()
+def start_zones(spark, sf):
+    x = _released(spark, sf).withColumn("mask", (F.col("pra") >= 0.25).cast("int"))
+    return segment.segment(x, spec(x))
+
+
+@query()
+def runout(spark, sf):
+    x = _released(spark, sf)
+    x = x.withColumn("go", ((F.col("pra") >= 0.25) & (F.col("id") % 7 == 0)).cast("int"))
+    return flow.runout(x, GridSpec.of(x, CELL), "go", flow.FlowParams(alpha=30.0))
