@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     distributed: blocks are joined on (source, block), never on source alone."""
     spark = docs.sparkSession
     rows = ordered(
-        sized(docs).withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))),
+        materialize(sized(docs), "sized").withColumn("_h", F.xxhash64(F.lit(seed), F.col("doc_id"))),
         [F.col("source").asc_nulls_last(), F.col("_h"), F.col("doc_id"), F.col("size")],
         ("size",),
         "mix",

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import ordered
+from firnline.llm.common import materialize, ordered
 from firnline.llm.tokens import Encoder
 
 
@@ -104,6 +104,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` of 1..capacity."""
     spark = cut.sparkSession
+    cut = materialize(cut, "cut")  # the range sort reads its input twice
     ranked = ordered(
         cut.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")), [F.col("length").desc(), "_h", "doc_id", "piece"], (), "pieces"
     )

@@ -10,23 +10,38 @@ per-worker memory of chunks replaces most calls of the library.
 from __future__ import annotations
 
 import re
+import struct
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from firnline.llm.common import parts_of
+
+MEMORY = 200_000  # chunks kept by a worker, in each of two generations
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
 
-MEMORY = 500_000  # chunks kept by a worker, in each of two generations
 _INNER_BLANK = re.compile(r" (?=\s|$)")
 _CHUNK_START = re.compile(r" (?=\S)")
 
 
-def _units(chunk: str) -> int:
-    """How many words the lower-casing BPE makes of a chunk, if that is plain: 1
-    for letters, 2 for letters and a mark; else 0."""
-    low = chunk.lower()
-    if len(low) != len(chunk):
+def _plain(chunk: str) -> int:
+    """1 for a chunk of Latin letters, 2 for one with a mark at its end, else 0:
+    what the pre-tokenizers take as one word, or a word and a mark."""
+    if chunk.isalpha():
+        n = 1
+    elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
+        n = 2
+    else:
         return 0
-    if low.isalpha():
-        return 1
-    return 2 if low[:-1].isalpha() and low[-1] in ",.;:!?" else 0
+    return n if chunk.isascii() or (max(chunk) < "\u0180" and len(chunk.lower()) == len(chunk)) else 0
+
+
+MARKS = frozenset(",.;:!?")
 
 
 class Encoder:
@@ -47,16 +62,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         # Byte-level files keep the blank, as a letter, in front of a word.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.blanks = not any(t.endswith("</w>") for t in vocabulary)
-        self.starts = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
-        if self.blanks:
-            for t, i in vocabulary.items():
-                self.starts[i] = t.startswith("Ġ")
-        self.ends = np.array([False] * len(self.starts))
-        for t, i in vocabulary.items():
-            self.ends[i] = t.endswith("</w>")
+        # Byte-level files write each byte as a letter: itself where it can be seen.
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in set(seen)]
+        self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.marks = {m: np.array(self._raw([m])[0], dtype="<u4").tobytes() for m in MARKS}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -64,72 +77,86 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks, many to a call: their ids are cut apart at the tokens
-        that begin with a blank or end a word; where the number of cuts is
-        off, one by one."""
-        for lo in range(0, len(chunks), 256):
-            some = chunks[lo : lo + 256]
-            good, cuts, ends = False, None, None
-            if self.blanks:
-                ids = np.array(self._raw([" " + " ".join(some)])[0], dtype="<u4")
-                cuts = np.flatnonzero(self.starts[ids])
-                good = len(cuts) == len(some) and cuts[0] == 0
-                ends = np.append(cuts[1:], len(ids))
-            else:
-                units = [_units(c) for c in some]
-                easy = [c for c, n in zip(some, units, strict=True) if n]
-                hard = [c for c, n in zip(some, units, strict=True) if not n]
-                for c, x in zip(hard, self._raw(hard), strict=True):
-                    self.young[c] = np.array(x, dtype="<u4").tobytes()
-                some = easy
-                last = np.cumsum([n for n in units if n], dtype=np.int64)
-                ids = np.array(self._raw([" ".join(easy)])[0], dtype="<u4")
-                words = np.flatnonzero(self.ends[ids]) + 1
-                good = bool(easy) and len(words) == last[-1]
-                if good:
-                    ends = words[last - 1]
-                    cuts = np.append(0, ends[:-1])
-            if good:
-                data = ids.tobytes()
-                for c, a, b in zip(some, (4 * cuts).tolist(), (4 * ends).tolist(), strict=True):
-                    self.young[c] = data[a:b]
-            else:
-                for c, x in zip(some, self._raw([" " * self.blanks + c for c in some]), strict=True):
-                    self.young[c] = np.array(x, dtype="<u4").tobytes()
-
-    def _chunks(self, text: str) -> list[str]:
+        """Encode distinct chunks: plain words straight by the library's model,
+        others by its whole pipeline."""
+        tokenize, letters, young, rest = self.tokenizer.model.tokenize, self.letters, self.young, []
+        for c in chunks:
+            n = _plain(c)
+            if not n:
+                rest.append(c)
+                continue
+            word = c if n == 1 else c[:-1]
+            if not self.blanks:
+                word = word.lower()
+            if not word.isascii():
+                word = "".join([letters[b] for b in word.encode()])
+            ids = pack_ids([t.id for t in tokenize("Ġ" + word if self.blanks else word)])
+            young[c] = ids if n == 1 else ids + self.marks[c[-1]]
+        for lo in range(0, len(rest), 4096):
+            some = rest[lo : lo + 4096]
+            for c, x in zip(some, self._raw([" " + c for c in some] if self.blanks else some), strict=True):
+                young[c] = pack_ids(x)
+
+    def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All texts' chunks in a row, and each text's end among them."""
         if not self.blanks:
-            return text.replace("\n", " ").split(" ")
-        return _CHUNK_START.split(text) if _INNER_BLANK.search(text) else text.split(" ")
+            parts = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+            return parts.values, parts.offsets.to_numpy()[1:]
+        odd = [i for i, t in enumerate(texts) if _INNER_BLANK.search(t)]
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        if odd:  # a blank before a blank starts no chunk
+            cut = parts.to_pylist() if len(odd) * 3 > len(texts) else None
+            where, pieces, lo = dict.fromkeys(odd), [], 0
+            if cut is None:
+                for i in odd:
+                    pieces += [parts.slice(lo, i - lo), pa.array([_CHUNK_START.split(texts[i])], parts.type)]
+                    lo = i + 1
+                parts = pa.concat_arrays([*pieces, parts.slice(lo)])
+            else:
+                parts = pa.array([_CHUNK_START.split(t) if i in where else c for i, (t, c) in enumerate(zip(texts, cut, strict=True))], parts.type)
+        return parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy())
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        flat, ends, heads = [], [], []
-        for t in texts:
-            p = self._chunks(t or "")
-            if self.blanks:  # the first chunk has no blank before it
-                heads.append(p[0])
-                del p[0]
-            flat += p
-            ends.append(len(flat))
-        first = [np.array(x, dtype="<u4").tobytes() for x in self._raw(heads)] if heads else [b""] * len(texts)
-        got = list(map(self.young.get, flat))
+    def _known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, from memory or learned now."""
+        got = list(map(self.young.get, chunks))
         holes = [i for i, v in enumerate(got) if v is None]
         if holes:
-            new, old = set(), self.old
-            for c in {flat[i] for i in holes}:
+            new, old, young = [], self.old, self.young
+            for i in holes:
+                c = chunks[i]
                 if c in old:
-                    self.young[c] = old[c]
+                    young[c] = old[c]
                 else:
-                    new.add(c)
-            self._learn(sorted(new))
-            young = self.young
+                    new.append(c)
+            self._learn(new)
             for i in holes:
-                got[i] = young[flat[i]]
+                got[i] = young[chunks[i]]
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
-        lo, out = 0, []
-        for h, hi in zip(first, ends, strict=True):
-            out.append(h + b"".join(got[lo:hi]))
-            lo = hi
+        return got
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        out: list[bytes] = []
+        for part in parts_of([len(t or "") for t in texts], 4 << 20):
+            out += self._encode([t or "" for t in texts[part]])
         return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        flat, ends = self._split(texts)
+        coded = flat.dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._known(coded.dictionary.to_pylist())
+        if self.blanks:  # a text's first chunk has no blank before it
+            first = np.append(0, ends[:-1])
+            heads = flat.take(pa.array(first)).to_pylist()
+            at[first] = len(ids) + np.arange(len(texts))
+            ids = ids + [np.array(x, dtype="<u4").tobytes() for x in self._raw(heads)]
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        start = np.cumsum(size) - size
+        n = size[at]
+        stop = np.cumsum(n)
+        data = pool[np.repeat(start[at] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()
+        cuts = [0, *(4 * np.where(ends > 0, stop[ends - 1], 0)).tolist()]
+        return [data[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]

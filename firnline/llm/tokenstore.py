@@ -35,9 +35,9 @@ from firnline.llm.common import partitions, scratch_path
 from firnline.llm.tokens import Encoder
 
 SHARD_IDS = 1 << 20
-ROUNDS = 4
-PAIRS_PER_ROUND = 1024
-_SLOTS = 1 << 20
+ROUNDS = 3
+PAIRS_PER_ROUND = 2048
+_SLOTS = 1 << 18
 _MIX = np.uint32(0x9E3779B1)
 
 
@@ -60,16 +60,16 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int =
         if len(seq) < 2:
             break
         slot = _slot(seq[:-1], seq[1:])
-        inside = ~first[1 : len(seq)]
-        counts = np.bincount(slot[inside], minlength=_SLOTS)
+        slot[np.flatnonzero(first[1 : len(seq)])] = _SLOTS  # across two documents
+        counts = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
         top = np.argpartition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND:]
         top = top[counts[top] >= least]
         if not len(top):
             break
         # The pair of a slot is the one at its first place; others there stay.
-        chosen = np.zeros(_SLOTS, dtype=np.int32)
+        chosen = np.zeros(_SLOTS + 1, dtype=np.int32)
         chosen[top] = np.arange(1, len(top) + 1)
-        hit = np.flatnonzero((chosen[slot] > 0) & inside)
+        hit = np.flatnonzero(chosen[slot])
         nth = chosen[slot[hit]] - 1
         at = np.full(len(top), -1)
         at[nth[::-1]] = hit[::-1]
@@ -215,42 +215,34 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     return path
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian uint32) of every document."""
+def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian uint32) of every document;
+    with checksum, ids_crc32 in place of ids."""
     files = spark.read.schema("part int, shard long, before long, n_ids long, data binary").parquet(path)
     at, rows = 0, []
     for part, n in sorted(files.groupBy("part").agg(F.sum("n_ids")).collect()):  # one row per partition
         rows.append((part, at))
         at += n
     first = spark.createDataFrame(rows, "part int, _first long")
+    last = "ids_crc32 long" if checksum else "ids binary"
 
     def decode(batches):
         for b in batches:
             for base, before, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 s = Shard(data)
                 starts = s.first_id.astype(np.int64)
-                every = s.expand(s.sequence).astype("<u4").tobytes()
+                every = memoryview(s.expand(s.sequence).astype("<u4").tobytes())
+                each = (every[4 * a : 4 * z] for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True))
+                got = pa.array([zlib.crc32(x) for x in each], pa.int64()) if checksum else pa.array([bytes(x) for x in each], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(s.doc_ids, pa.int64()),
-                        pa.array(starts[:-1] + base + before),
-                        pa.array(np.diff(starts)),
-                        pa.array([every[4 * a : 4 * z] for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array(s.doc_ids, pa.int64()), pa.array(starts[:-1] + base + before), pa.array(np.diff(starts)), got],
+                    names=["doc_id", "start", "n_tokens", last.split()[0]],
                 )
 
-    return files.join(F.broadcast(first), "part").select("_first", "before", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    return files.join(F.broadcast(first), "part").select("_first", "before", "data").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
 
 
 def stored(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """Write the token files, read them back, and report each document's place
     and checksum."""
-    read = read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end_id))
-
-    def check(batches):
-        for b in batches:
-            crc = [zlib.crc32(x) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read.mapInArrow(check, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer, end_id), checksum=True)
