@@ -87,7 +87,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int =
         keep[hit + 1] = False
         rules += pair.tolist()
         seq, first = seq[keep], first[np.append(keep, True)]
-    return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq, np.flatnonzero(first)
+    every = np.append(starts, len(ids))
+    return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq, np.flatnonzero(first)[np.searchsorted(np.unique(every), every)]
 
 
 def rule_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
