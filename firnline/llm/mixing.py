@@ -85,7 +85,11 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     )
 
     # The slots: low-discrepancy points through the cumulative weights.
-    need = np.array([-(-int(goal[s] + 0.5) // block_words) for s, _, _ in named], dtype=np.int64)
+    def slots_for(words: int, size: int) -> int:
+        """Whole passes over a source, then blocks of the next."""
+        return words // size * -(-size // block_words) + -(-(words % size) // block_words) if size else 0
+
+    need = np.array([slots_for(int(goal[s] + 0.5), n) for s, n, _ in named], dtype=np.int64)
     total = int(need.sum())
     edges = np.cumsum(need) / max(total, 1)
 
