@@ -153,7 +153,8 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, affecte
     path = path or scratch_path(spark, "shards")
     if affected is not None:
         placed = placed.where(F.col("shard").isin(affected))
-    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), "size", "old_shard", "shard", "slot")
+    mine = ("size", "old_shard", "shard", "slot")
+    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), *[F.col(c).alias(f"_{c}_of") for c in mine])
     # Rows that are equal in doc_id and text take the slots of their kind in turn.
     left = docs.withColumn("_crc_in", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     twice = right.groupBy("_id", "_crc").count().where("count > 1").limit(1).count()
@@ -162,12 +163,11 @@ def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, affecte
         from pyspark.sql import Window
 
         left = left.withColumn("_nth_in", F.row_number().over(Window.partitionBy("doc_id", "_crc_in").orderBy(F.lit(0))))
-        right = right.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("shard", "slot")))
+        right = right.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_shard_of", "_slot_of")))
         on = on & (F.col("_nth_in") == F.col("_nth"))
-    extra = [c for c in docs.columns if c not in ("size", "old_shard", "shard", "slot")]
     (
         left.join(right, on)
-        .select(*extra, "size", "old_shard", "shard", "slot")
+        .select(*[c for c in docs.columns if c not in mine], *[F.col(f"_{c}_of").alias(c) for c in mine])
         .sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard")
         .parquet(path)
