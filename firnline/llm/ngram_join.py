@@ -236,27 +236,34 @@ def _pairs_of_tiles():
 
 
 def _by_group(x: DataFrame) -> DataFrame:
-    return x.repartition(partitions(x.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return x.repartition(partitions(x.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
 
 def _whole_groups(batches, rows: int = 1024):
     """Columns of some rows of a sorted stream, and where their groups (by the
-    first three columns) start; a group, at most two tiles, is never cut."""
+    first three columns; the fifth is the document) start; a group, at most two
+    tiles, is never cut."""
     held: list[list] | None = None
 
     def cuts(columns):
         key = np.array(columns[:3], dtype=np.int64)
         return np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
 
+    last = None
     for b in batches:
         new = [c.to_pylist() for c in b.columns]
+        seen = list(zip(new[0], new[1], new[2], new[4], strict=True))
+        again = [x == y for x, y in zip([last, *seen], seen, strict=False)]  # rows of one doc_id
+        last = seen[-1] if seen else last
+        if any(again):
+            new = [[v for v, z in zip(c, again, strict=True) if not z] for c in new]
         held = new if held is None else [x + y for x, y in zip(held, new, strict=True)]
         if len(held[0]) >= rows:
             starts = cuts(held)
             if len(starts) > 1:
-                last = int(starts[-1])
-                yield [c[:last] for c in held], starts
-                held = [c[last:] for c in held]
+                end = int(starts[-1])
+                yield [c[:end] for c in held], starts
+                held = [c[end:] for c in held]
     if held and held[0]:
         yield held, np.append(cuts(held), len(held[0]))
 
@@ -305,16 +312,14 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs, last = materialize(pairs, name), None
     while True:
-        # Larger neighbours, and the node itself, under the least neighbour.
+        # Each node's larger neighbours go under the least of it and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        # Smaller neighbours, and the node itself, under the least neighbour.
+        # Then its smaller neighbours, and itself, under the least of those.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        again = large.join(small, "a")
-        again = again.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        now = materialize(again.where("a <> b").distinct(), name)
+        again = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        now = materialize(again.select("e.*").where("a <> b").distinct(), name)
         # Done when a round leaves the edges as they were.
         mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
         changed, last, pairs = mark != last, mark, now
@@ -411,8 +416,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     reps = materialize(reps, "reps")
     # Groups that hold every similar pair.
-    shared = _bands(reps).groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = materialize(_bands(reps).join(shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
+    bands = materialize(_bands(reps), "bands")
+    shared = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    left = materialize(bands.join(shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
     judged = materialize(_alike(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps), "judged")
     apart = left.join(judged.where("not ok").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
     near = judged.where("ok").select("a", "b").unionByName(_alike_within(apart, reps, threshold))
