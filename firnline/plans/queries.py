@@ -57,10 +57,10 @@ def slope_with_edges(spark, sf):
     return keyed(focal.slope(x, spec(x), edges=True), "slope")
 
 
-@query(f"WITH {GRID}, {SLOPE} SELECT r, c, CAST(trunc(slope) AS SMALLINT) AS slope, slope IS NOT NULL AS valid FROM sl")
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, CAST(coalesce(trunc(slope), -9999) AS SMALLINT) AS slope, slope IS NOT NULL AS valid FROM sl")
 def slope_whole_degrees(spark, sf):
     x = grid(spark, sf)
-    return keyed(focal.whole_slope(x, spec(x)), "slope", "valid")
+    return keyed(focal.whole_slope(x, spec(x)).withColumn("slope", F.coalesce("slope", F.lit(-9999).cast("smallint"))), "slope", "valid")
 
 
 _ASPECT = "CASE WHEN gx <> 0 OR gy <> 0 THEN (degrees(atan2(-gx, gy)) + 360e0) % 360e0 END"
@@ -466,11 +466,11 @@ def region_outlines(spark, sf):
     return regions.outlines(members, s)
 
 
-@query(f"WITH {GRID} SELECT r, c, CASE WHEN (c + 0.5e0) * 21.34e0 > 400 AND (c + 0.5e0) * 21.34e0 < 1500 AND (r + 0.5e0) * 21.34e0 > 100 AND (r + 0.5e0) * 21.34e0 < 900 THEN 2 WHEN (c + 0.5e0) * 21.34e0 < 700 AND (r + 0.5e0) * 21.34e0 < 400 THEN 1 END AS burned FROM g")
+@query(f"WITH {GRID} SELECT r, c, CASE WHEN (c + 0.5e0) * 21.34e0 > 400 AND (c + 0.5e0) * 21.34e0 < 1500 AND (r + 0.5e0) * 21.34e0 > 100 AND (r + 0.5e0) * 21.34e0 < 900 THEN 2 WHEN (c + 0.5e0) * 21.34e0 < 700 AND (r + 0.5e0) * 21.34e0 < 400 THEN 1 ELSE 0 END AS burned FROM g")
 def rasterize(spark, sf):
     x = grid(spark, sf)
     shapes = [([(-1, 1), (700, 1), (700, -400), (-1, -400)], 1), ([(400, -100), (1500, -100), (1500, -900), (400, -900)], 2)]
-    return regions.rasterize(x, spec(x), shapes, kind="int").select("r", "c", "burned")
+    return regions.rasterize(x, spec(x), shapes, kind="int").select("r", "c", F.coalesce("burned", F.lit(0)).alias("burned"))
 
 
 @query(f"WITH {GRID} SELECT id, r, c FROM g WHERE EXISTS (SELECT 1 FROM g m WHERE m.r = g.r AND m.c = g.c AND m.zone < 5)")
@@ -530,7 +530,7 @@ def _vote_cells(spark, sf):
 @query()
 def classify_votes(spark, sf):
     x, s = _vote_cells(spark, sf)
-    return classify.classify_votes(x, s).select("r", "c", F.col("ates").alias("class"))
+    return classify.classify_votes(x, s).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
 
 
 _VOTE_SQL = f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope), 0) AS s, slope IS NOT NULL AS ok, (b.id % 400) / 10e0 AS coarse, (b.id % 130)::DOUBLE AS gap, (b.id % 70)::DOUBLE AS wood FROM b JOIN sl ON sl.id = b.id),
@@ -541,7 +541,7 @@ _VOTE_SQL = f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope),
       (coarse > 8.029)::INT + (coarse > 17.933)::INT + (coarse > 31.419)::INT AS v5, (gap > 0)::INT + (gap > 54.9)::INT + (gap > 100)::INT AS v6, 2 * (wood >= 30)::INT AS w6 FROM t),
     k AS (SELECT *, greatest(0, least(4, round_even((v1 * w1 + v2 * w2 + v3 * w3 + v4 * w4 + v5 + v6 * w6) / (w1 + w2 + w3 + w4 + 1 + w6)::DOUBLE, 0))) AS base,
       (greatest(0e0, least(1e0, (14e0 - coarse) / 14e0)) + greatest(0e0, least(1e0, (20e0 - s) / 20e0)) + greatest(0e0, least(1e0, canopy / 60e0)) + greatest(0e0, least(1e0, E_runout_prox / 200e0)) + greatest(0e0, least(1e0, (CASE WHEN E_pra_proximity < 0 THEN 10000e0 ELSE E_pra_proximity END) / 500e0))) / 5e0 AS score FROM v)
-    SELECT r, c, CASE WHEN NOT ok THEN NULL WHEN score >= 0.6 THEN 0 ELSE greatest(base, (E_zdelta > 0)::INT, 2 * (F_zdelta > 0)::INT, 3 * (F_rout_flux_area >= 500)::INT, CASE WHEN s > 45 AND canopy <= 20 THEN 4 ELSE 0 END, CASE WHEN coarse >= 45 THEN 4 WHEN coarse >= 40 THEN 3 ELSE 0 END) END::TINYINT AS class FROM k"""
+    SELECT r, c, CASE WHEN NOT ok THEN -1 WHEN score >= 0.6 THEN 0 ELSE greatest(base, (E_zdelta > 0)::INT, 2 * (F_zdelta > 0)::INT, 3 * (F_rout_flux_area >= 500)::INT, CASE WHEN s > 45 AND canopy <= 20 THEN 4 ELSE 0 END, CASE WHEN coarse >= 45 THEN 4 WHEN coarse >= 40 THEN 3 ELSE 0 END) END::TINYINT AS class FROM k"""
 
 
 @query(_VOTE_SQL)
@@ -554,7 +554,7 @@ def classify_votes_prepared(spark, sf):
             "slope": F.coalesce(F.col("slope").cast("double"), F.lit(0.0)),
         }
     )
-    return classify.classify_votes(x, s, prepared=True).select("r", "c", F.col("ates").alias("class"))
+    return classify.classify_votes(x, s, prepared=True).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
 
 
 def _legacy(spark, sf):
@@ -582,18 +582,18 @@ _LEGACY = f"""WITH {BANDS}, {SLOPE}, lim AS (SELECT max(r) AS h, max(c) AS w FRO
 
 @query(
     f"""{_LEGACY}, k AS (SELECT *, greatest(CASE WHEN smooth > 45 THEN 4 WHEN s > 32 THEN 3 WHEN s > 25 THEN 2 WHEN s > 15 THEN 1 ELSE 0 END, az, rf, prox) + CASE WHEN canopy <= 20 THEN 10 WHEN canopy <= 60 THEN 20 WHEN canopy <= 85 THEN 30 ELSE 40 END + CASE WHEN E_pra >= 0.3 THEN 100 ELSE 0 END AS key FROM x)
-    SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 60 THEN 4 WHEN canopy > 85 AND v = 4 THEN 3 ELSE v END END::TINYINT AS class FROM k LEFT JOIN {_LUT} ON l.k = key"""
+    SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 60 THEN 4 WHEN canopy > 85 AND v = 4 THEN 3 ELSE v END ELSE -1 END::TINYINT AS class FROM k LEFT JOIN {_LUT} ON l.k = key"""
 )
 def classify_legacy_slope(spark, sf):
-    return classify.classify_slope(_legacy(spark, sf)).select("r", "c", F.col("ates").alias("class"))
+    return classify.classify_slope(_legacy(spark, sf)).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
 
 
 @query(
     f"""{_LEGACY} SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 60 THEN 4 WHEN smooth > 45 THEN CASE WHEN canopy > 20 THEN 3 ELSE 4 END
-    ELSE greatest(CASE WHEN F_pra >= 0.6 THEN 3 WHEN F_pra >= 0.25 THEN 2 ELSE 0 END, (E_pra >= 0.05)::INT, az, rf, prox) END END::TINYINT AS class FROM x"""
+    ELSE greatest(CASE WHEN F_pra >= 0.6 THEN 3 WHEN F_pra >= 0.25 THEN 2 ELSE 0 END, (E_pra >= 0.05)::INT, az, rf, prox) END ELSE -1 END::TINYINT AS class FROM x"""
 )
 def classify_legacy_pra(spark, sf):
-    return classify.classify_release(_legacy(spark, sf)).select("r", "c", F.col("ates").alias("class"))
+    return classify.classify_release(_legacy(spark, sf)).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
 
 
 # Presentation.
