@@ -1,7 +1,7 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
 
 Leaves are clauses (at most CLAUSE words, ending at a sentence end or line
-end); a paragraph hashes its clauses, a section its paragraphs (a section ends
+end; in a text's first HEAD bytes, single words); a paragraph hashes its clauses, a section its paragraphs (a section ends
 after a paragraph whose hash says so, so that edits move no other border), the
 root the sections. Equal roots mean equal texts; where roots differ, only
 branches with other hashes are followed down, which locates the edits.
@@ -26,7 +26,9 @@ from firnline.llm.common import partitions
 CLAUSE = 6
 _SENTENCE = re.compile(rb"[^.!?\n]*(?:[.!?]+[ \t]*|\n|$)")
 _WORDS = re.compile(rb"\s*\S+(?:\s+\S+){0,%d}\s*|\s+" % (CLAUSE - 1))
+_ONE_WORD = re.compile(rb"\s*\S+|\s+")
 SIZE = 6
+HEAD = 64
 
 
 def _hash(data: bytes) -> bytes:
@@ -45,12 +47,20 @@ class Tree:
     def __init__(self, text: bytes):
         self.leaves: list[tuple[bytes, int]] = []
         self.paragraphs: list[tuple[bytes, int, int]] = []  # hash, first and end leaf
-        for line in text.splitlines(keepends=True) if b"\n" in text else [text] if text else []:
+        # The first words are leaves of their own, so that short texts have several.
+        cut = text.find(b" ", HEAD)
+        head, tail = (text[:cut], text[cut:]) if cut >= 0 else (text, b"")
+        for line in [head, *tail.split(b"\n")]:
             first = len(self.leaves)
-            for s in _SENTENCE.findall(line):
-                if s:
-                    for c in [s] if len(s) <= 40 else _WORDS.findall(s):
-                        self.leaves.append((_hash(c), len(c)))
+            if line is head:
+                self.leaves += [(_hash(w), len(w)) for w in _ONE_WORD.findall(line)]
+            else:
+                for s in _SENTENCE.findall(line):
+                    if s:
+                        for c in [s] if len(s) <= 40 else _WORDS.findall(s):
+                            self.leaves.append((_hash(c), len(c)))
+            if len(self.leaves) == first:
+                continue
             self.paragraphs.append((_wide(b"".join(h for h, _ in self.leaves[first:])), first, len(self.leaves)))
         self.sections: list[tuple[bytes, int, int]] = []
         lo = 0

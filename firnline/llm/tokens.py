@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from firnline.llm.common import parts_of
 
-MEMORY = 200_000  # chunks kept by a worker, in each of two generations
+MEMORY = 320_000  # chunks kept by a worker, in each of two generations
 
 
 def pack_ids(ids: list[int]) -> bytes:

@@ -117,10 +117,14 @@ def test_fingerprints(docs, none):
 
 
 def test_merkle_edits_are_located():
-    a = fingerprints.Tree(b"First line stays here.\nSecond one is changed now.\nThird line stays too.\n")
-    b = fingerprints.Tree(b"First line stays here.\nSecond one was changed now.\nThird line stays too.\n")
+    head = b"A first line that is longer than the head of a text, whose words are leaves.\n"
+    a = fingerprints.Tree(head + b"Second one is changed now.\nThird line stays too.\n")
+    b = fingerprints.Tree(head + b"Second one was changed now.\nThird line stays too.\n")
     places = fingerprints.edits(a, b)
-    assert places and all(a.paragraphs[1][1] <= lo and hi <= a.paragraphs[1][2] for lo, hi in places)
+    own = next(p for p in a.paragraphs if a.leaves[p[1]][0] == fingerprints.Tree(b"x" * 70 + b" \nSecond one is changed now.").leaves[-1][0])
+    assert places == [(own[1], own[2])]
+    short = fingerprints.Tree(b"one two three four")
+    assert 0.6 < fingerprints.likeness(short, fingerprints.Tree(b"one two three five")) < 1
     assert fingerprints.edits(a, a) == [] and fingerprints.likeness(a, a) == 1.0
     root, seen, total = fingerprints.parse_fingerprint(a.fingerprint())
     assert root == a.root.hex() and total == sum(n for _, n in a.leaves)
