@@ -153,3 +153,16 @@ def parts_of(sizes: list[int], most: int) -> list[slice]:
     if len(sizes) > lo:
         out.append(slice(lo, len(sizes)))
     return out
+
+
+def regrouped(batches, column: int, most: int = 12 << 20):
+    """Neighbouring batches joined until their texts reach `most` bytes."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += pc.sum(pc.binary_length(b.column(column))).as_py() or 0
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)

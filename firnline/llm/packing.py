@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialize, ordered
+from firnline.llm.common import materialize, ordered, regrouped
 from firnline.llm.tokens import Encoder
 
 
@@ -82,7 +82,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     def cut(batches):
         enc = Encoder.get(path)
-        for b in batches:
+        for b in regrouped(batches, 1):
             out = [[], [], [], [], []]
             end = np.uint32(end_id).tobytes()
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):

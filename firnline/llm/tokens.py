@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from firnline.llm.common import parts_of
 
-MEMORY = 320_000  # chunks kept by a worker, in each of two generations
+MEMORY = 1_500_000  # chunks kept by a worker, at some 40 bytes each
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -29,19 +29,17 @@ _INNER_BLANK = re.compile(r" (?=\s|$)")
 _CHUNK_START = re.compile(r" (?=\S)")
 
 
-def _plain(chunk: str) -> int:
-    """1 for a chunk of Latin letters, 2 for one with a mark at its end, else 0:
-    what the pre-tokenizers take as one word, or a word and a mark."""
-    if chunk.isalpha():
-        n = 1
-    elif chunk[-1:] in MARKS and chunk[:-1].isalpha():
-        n = 2
-    else:
-        return 0
-    return n if chunk.isascii() or (max(chunk) < "\u0180" and len(chunk.lower()) == len(chunk)) else 0
+#: ASCII marks that, after a word, make one pre-token of their own.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-MARKS = frozenset(",.;:!?")
+def _plain(chunk: str) -> str:
+    """The word of a chunk that is Latin letters, perhaps with marks after
+    them: what the pre-tokenizers take as a word, and the marks. Else empty."""
+    word = chunk.rstrip(MARKS)
+    if not word.isalpha() or not (word.isascii() or (max(word) < "\u0180" and len(word.lower()) == len(word))):
+        return ""
+    return word
 
 
 class Encoder:
@@ -69,33 +67,43 @@ class Encoder:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(seen)]
         self.letters = {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.marks = {m: np.array(self._raw([m])[0], dtype="<u4").tobytes() for m in MARKS}
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.vocabulary = pa.array([], pa.large_string())
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(0, dtype="<u4")
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode distinct chunks: plain words straight by the library's model,
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks: plain words straight by the library's model,
         others by its whole pipeline."""
-        tokenize, letters, young, rest = self.tokenizer.model.tokenize, self.letters, self.young, []
+        tokenize, letters, marks, out, rest = self.tokenizer.model.tokenize, self.letters, self.marks, [], []
+        if len(marks) > 10_000:
+            marks.clear()
+            marks[""] = b""
         for c in chunks:
-            n = _plain(c)
-            if not n:
-                rest.append(c)
+            word = _plain(c)
+            if not word:
+                rest.append(len(out))
+                out.append(b"")
                 continue
-            word = c if n == 1 else c[:-1]
+            tail = c[len(word) :]
+            if tail not in marks:
+                marks[tail] = pack_ids(self._raw([tail])[0])
             if not self.blanks:
                 word = word.lower()
             if not word.isascii():
                 word = "".join([letters[b] for b in word.encode()])
-            ids = pack_ids([t.id for t in tokenize("Ġ" + word if self.blanks else word)])
-            young[c] = ids if n == 1 else ids + self.marks[c[-1]]
+            out.append(pack_ids([t.id for t in tokenize("Ġ" + word if self.blanks else word)]) + marks[tail])
         for lo in range(0, len(rest), 4096):
             some = rest[lo : lo + 4096]
-            for c, x in zip(some, self._raw([" " + c for c in some] if self.blanks else some), strict=True):
-                young[c] = pack_ids(x)
+            for i, x in zip(some, self._raw([" " + chunks[i] if self.blanks else chunks[i] for i in some]), strict=True):
+                out[i] = pack_ids(x)
+        return out
 
     def _split(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All texts' chunks in a row, and each text's end among them."""
@@ -116,29 +124,28 @@ class Encoder:
                 parts = pa.array([_CHUNK_START.split(t) if i in where else c for i, (t, c) in enumerate(zip(texts, cut, strict=True))], parts.type)
         return parts.flatten(), np.cumsum(pc.list_value_length(parts).to_numpy())
 
-    def _known(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks, from memory or learned now."""
-        got = list(map(self.young.get, chunks))
-        holes = [i for i, v in enumerate(got) if v is None]
-        if holes:
-            new, old, young = [], self.old, self.young
-            for i in holes:
-                c = chunks[i]
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
-            self._learn(new)
-            for i in holes:
-                got[i] = young[chunks[i]]
-        if len(self.young) > MEMORY:
-            self.old, self.young = self.young, {}
-        return got
+    def _known(self, chunks: pa.Array) -> np.ndarray:
+        """Places of distinct chunks in the memory, learned now if need be."""
+        at = pc.index_in(chunks, value_set=self.vocabulary)
+        new = chunks.filter(pc.is_null(at))
+        if len(self.vocabulary) and len(self.vocabulary) + len(new) > MEMORY:
+            self._forget()
+            return self._known(chunks)
+        out = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            ids = self._learn(new.to_pylist())
+            size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+            out[out < 0] = len(self.vocabulary) + np.arange(len(new))
+            self.start = np.append(self.start, len(self.pool) + np.cumsum(size) - size)
+            self.size = np.append(self.size, size)
+            self.pool = np.append(self.pool, np.frombuffer(b"".join(ids), dtype="<u4"))
+            self.vocabulary = pa.concat_arrays([self.vocabulary, new])
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for part in parts_of([len(t or "") for t in texts], 4 << 20):
+        for part in parts_of([len(t or "") for t in texts], 12 << 20):
             out += self._encode([t or "" for t in texts[part]])
         return out
 
@@ -146,15 +153,15 @@ class Encoder:
         flat, ends = self._split(texts)
         coded = flat.dictionary_encode()
         at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        ids = self._known(coded.dictionary.to_pylist())
+        at = self._known(coded.dictionary)[at]
+        pool, start, size = self.pool, self.start, self.size
         if self.blanks:  # a text's first chunk has no blank before it
             first = np.append(0, ends[:-1])
-            heads = flat.take(pa.array(first)).to_pylist()
-            at[first] = len(ids) + np.arange(len(texts))
-            ids = ids + [np.array(x, dtype="<u4").tobytes() for x in self._raw(heads)]
-        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        pool = np.frombuffer(b"".join(ids), dtype="<u4")
-        start = np.cumsum(size) - size
+            heads = self._raw(flat.take(pa.array(first)).to_pylist())
+            many = np.fromiter(map(len, heads), dtype=np.int64, count=len(heads))
+            at[first] = len(start) + np.arange(len(texts))
+            start = np.append(start, len(pool) + np.cumsum(many) - many)
+            pool, size = np.append(pool, np.array([i for h in heads for i in h], dtype="<u4")), np.append(size, many)
         n = size[at]
         stop = np.cumsum(n)
         data = pool[np.repeat(start[at] - (stop - n), n) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.common import partitions, scratch_path
+from firnline.llm.common import partitions, regrouped, scratch_path
 from firnline.llm.tokens import Encoder
 
 SHARD_IDS = 1 << 20
@@ -192,7 +192,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
                 [pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["part", "shard", "before", "n_ids", "data"]
             )
 
-        for b in batches:
+        for b in regrouped(batches, 1):
             for doc, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
                 n = len(ids) // 4 + 1
                 if held and held + n > shard_ids:
