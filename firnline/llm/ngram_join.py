@@ -38,6 +38,7 @@ HASHES = ROWS * BANDS
 CHUNK = 28
 TOLERANCE = 1e-4
 TILE = 384
+SALTS = 16
 NEAR = 0.45  # what still counts as alike when groups are formed; far below the threshold
 BROADCAST_IDS = 4_000_000
 _A = np.random.default_rng(20).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -406,8 +407,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_links (documents of similarity >= threshold to it, copies included) and
     n_texts (other texts of that similarity)."""
     seen = materialize(_describe(docs), "described")
-    classes = seen.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs"))
-    members = materialize(seen.select("doc_id", "hash").join(classes, "hash").select("doc_id", "rep", "docs"), "classes")
+    # A text with many copies is spread over SALTS tasks; one without needs no join.
+    classes = seen.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = seen.select("doc_id", "hash", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    members = salted.join(classes, ["hash", "salt"], "left").select(
+        "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("docs", F.lit(1).cast("long")).alias("docs")
+    )
+    members = materialize(members, "classes")
     reps = (
         seen.join(members.where("doc_id = rep").select("doc_id", "docs").dropDuplicates(["doc_id"]), "doc_id")
         .where("sig is not null")
