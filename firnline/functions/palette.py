@@ -163,3 +163,12 @@ RELEASE_RAMPS = {
     "extreme": "@ramp scale=linear lab=0 per_seg=10 floor=0.05 alpha=166\n0.05 #FFE94A\n0.295 #FFB020\n0.54 #F26419\n0.731 #D62828\n0.75 #C51B8A\n1 #4A0072",
     "frequent": "@ramp scale=linear lab=0 per_seg=10 floor=0.25 alpha=166\n0.25 #FFE94A\n0.425 #FFB020\n0.6 #F26419\n0.735 #D62828\n0.75 #C51B8A\n1 #4A0072",
 }
+#: Flux, slope and travel-angle palettes.
+FLUX_RAMP = "@ramp scale=log lab=1 per_seg=12 floor=100 alpha=166\n100 #0CF3FF\n430 #00b7d0\n1850 #0093ff\n7950 #d30098\n34200 #7a0fb8\n1.5e+05 #6e14a3"
+SLOPE_RAMP = "@ramp scale=linear lab=1 per_seg=10 floor=20 alpha=166\n20 #92F955\n30 #FFF75A\n36.5 #DE9849\n39 #EA3525\n45 #8A27DB\n52 #2E1A8A\n90 #2E1A8A"
+ANGLE = Palette(
+    (
+        (0.0, 0, 0, 0, 0), (18.0, 48, 18, 59, 200), (25.0, 70, 98, 216, 200), (28.0, 53, 171, 248, 200), (30.0, 27, 229, 181, 200), (33.0, 116, 254, 93, 200),
+        (36.0, 201, 239, 52, 200), (38.0, 251, 185, 56, 200), (42.0, 245, 105, 24, 200), (48.0, 201, 41, 3, 200), (70.0, 122, 4, 3, 200),
+    )
+)

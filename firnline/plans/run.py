@@ -119,6 +119,10 @@ def colours(tables_: dict[str, DataFrame]) -> dict[str, DataFrame]:
             elif name.startswith("pra_"):
                 ramp = P.parse(P.RELEASE_RAMPS[name[4:]])
                 out[f"{name}_rgba"] = x.withColumn("p", P.colour(F.col("pra"), ramp)).select("r", "c", "p.*")
+                out[f"slope_{name[4:]}_rgba"] = x.withColumn("p", P.colour(F.col("slope"), P.parse(P.SLOPE_RAMP))).select("r", "c", "p.*")
+            elif name.startswith("runout_"):
+                out[f"{name}_angle_rgba"] = x.withColumn("p", P.colour(F.col("fpTravelAngleMax"), P.ANGLE)).select("r", "c", "p.*")
+                out[f"{name}_flux_rgba"] = x.withColumn("p", P.colour(F.col("routFluxSum"), P.parse(P.FLUX_RAMP))).select("r", "c", "p.*")
         except Exception:
             log.exception("no colours for %s", name)
     return out
