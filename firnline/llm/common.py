@@ -3,6 +3,7 @@ folder, distributed ranks and running sums, and fast tokenising."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -155,7 +156,7 @@ def parts_of(sizes: list[int], most: int) -> list[slice]:
     return out
 
 
-def regrouped(batches, column: int, most: int = 12 << 20):
+def regrouped(batches, column: int, most: int = 8 << 20):
     """Neighbouring batches joined until their texts reach `most` bytes."""
     held, size = [], 0
     for b in batches:
@@ -166,3 +167,13 @@ def regrouped(batches, column: int, most: int = 12 << 20):
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers live on after a stage, and
+    others work beside them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

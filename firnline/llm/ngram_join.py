@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import hashed, materialize, partitions, parts_of, text_bytes, words
+from firnline.llm.common import give_back, hashed, materialize, partitions, parts_of, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -157,7 +157,7 @@ def _describe(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             texts = text_bytes(b.column(1))
-            for part in parts_of([len(t) for t in texts], 4 << 20):
+            for part in parts_of([len(t) for t in texts], 2 << 20):
                 some = texts[part]
                 sig = signatures(*shingle_hashes(some))
                 yield pa.RecordBatch.from_arrays(
@@ -168,6 +168,7 @@ def _describe(docs: DataFrame) -> DataFrame:
                     ],
                     names=["doc_id", "hash", "sig"],
                 )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, hash binary, sig binary"
@@ -364,6 +365,7 @@ def _tiles(docs: DataFrame, members: DataFrame) -> DataFrame:
                     ],
                     names=["rep", "comp", "tile", "tiles", "docs", "sig", "shingles"],
                 )
+        give_back()
 
     rows = found.mapInArrow(run, "rep long, comp long, tile long, tiles long, docs long, sig binary, shingles binary")
     return rows.withColumn("p", F.explode(_pairs_of_tiles())).select(F.col("comp").alias("key"), "p.i", "p.j", "tile", "rep", "docs", "sig", "shingles")
@@ -399,6 +401,7 @@ def _compare(batches, threshold: float):
             ],
             names=["rep", "to", "links", "texts"],
         )
+    give_back()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

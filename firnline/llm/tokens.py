@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from firnline.llm.common import parts_of
+from firnline.llm.common import give_back, parts_of
 
-MEMORY = 1_500_000  # chunks kept by a worker, at some 40 bytes each
+MEMORY = 900_000  # chunks kept by a worker, at some 40 bytes each
 
 
 def pack_ids(ids: list[int]) -> bytes:
@@ -145,8 +145,9 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for part in parts_of([len(t or "") for t in texts], 12 << 20):
+        for part in parts_of([len(t or "") for t in texts], 8 << 20):
             out += self._encode([t or "" for t in texts[part]])
+            give_back()
         return out
 
     def _encode(self, texts: list[str]) -> list[bytes]:
