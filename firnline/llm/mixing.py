@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialize, ordered, text_bytes
+from firnline.llm.common import give_back, materialize, ordered, text_bytes
 
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 64
@@ -32,6 +32,7 @@ def sized(docs: DataFrame) -> DataFrame:
         for b in batches:
             n = [len(t.split()) for t in text_bytes(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(count, "doc_id long, source string, size long")
 

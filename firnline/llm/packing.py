@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialize, ordered, regrouped
+from firnline.llm.common import give_back, materialize, ordered, regrouped
 from firnline.llm.tokens import Encoder
 
 
@@ -95,6 +95,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"

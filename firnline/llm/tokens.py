@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 
 from firnline.llm.common import give_back, parts_of
 
-MEMORY = 900_000  # chunks kept by a worker, at some 40 bytes each
+MEMORY = 600_000  # chunks kept by a worker, at some 40 bytes each
 
 
 def pack_ids(ids: list[int]) -> bytes:

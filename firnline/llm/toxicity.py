@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import materialize
+from firnline.llm.common import give_back, materialize
 
 SAMPLE = 16_000
 TERMS = 120
@@ -269,6 +269,7 @@ def scored(docs: DataFrame, model: Classifier) -> DataFrame:
         for b in batches:
             s = [model.score(t) for t in b.column(text).cast(pa.string()).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(s)], names=schema.names)
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
