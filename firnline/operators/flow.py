@@ -18,7 +18,9 @@ are combined by max, min, sum and count.
 
 from __future__ import annotations
 
+import heapq
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 from firnline.grid import GridSpec, workers_see
 
 STEPS = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
+#: Weight of going on in one direction (first) after coming in another.
+AHEAD = [[max(0.0, (dr * a + dc * b) / (math.hypot(dr, dc) * math.hypot(a, b))) for a, b in STEPS] for dr, dc in STEPS]
 
 
 @dataclass(frozen=True)
@@ -47,27 +51,55 @@ class FlowParams:
     halo: int = 64
 
 
-def run_release(z: np.ndarray, canopy: np.ndarray, start: tuple[int, int], p: FlowParams, cell: float) -> dict[tuple[int, int], list[float]]:
+class Window:
+    """Elevation and canopy of a part of the grid, flat and with a border of
+    one missing cell, and what doesn't depend on the release."""
+
+    KEPT = 100_000
+
+    def __init__(self, z: np.ndarray, canopy: np.ndarray, p: FlowParams, cell: float):
+        self.p, self.cell, self.width = p, cell, z.shape[1] + 2
+        self.z = array("d", np.pad(z, 1, constant_values=np.nan).tobytes())
+        self.canopy = array("d", np.pad(canopy, 1).tobytes())
+        self.steps = [(dr * self.width + dc, cell * math.hypot(dr, dc)) for dr, dc in STEPS]
+        self.known: dict[int, list] = {}
+
+    def place(self, r: int, c: int) -> int:
+        return (r + 1) * self.width + c + 1
+
+    def ways(self, at: int) -> list[tuple]:
+        """Neighbour, direction, length, fall and terrain's weight."""
+        if at not in self.known:
+            if len(self.known) >= self.KEPT:
+                self.known.clear()
+            z, out = self.z, []
+            for k, (by, run) in enumerate(self.steps):
+                drop = z[at] - z[at + by]
+                if drop == drop:
+                    out.append((at + by, k, run, drop, math.tan((math.atan2(drop, run) + math.pi / 2) / 2) ** self.p.exponent))
+            self.known[at] = out
+        return self.known[at]
+
+
+def run_release(w: Window, start: int) -> dict[int, tuple]:
     """Per reached cell: flux, energy height, path length, angle and straight
-    angle to the release."""
-    z0 = z[start]
+    angle to the release, deposit and whether there is forest."""
+    p, cell, z, canopy, width = w.p, w.cell, w.z, w.canopy, w.width
+    z0, r0, c0 = z[start], start // width, start % width
     tan_alpha = math.tan(math.radians(p.alpha))
-    state = {start: [1.0, 0.0, 0.0, {}]}  # flux, energy height, path length, inflow by direction
-    queue, done, out = [start], set(), {}
+    state = {start: [1.0, 0.0, 0.0, {}, ()]}  # flux, energy height, path length, inflow by direction, place in the queue
+    # A cell whose energy grows is put in again; its earlier entry comes later.
+    queue, put, done, out = [(-z0, 0, start)], 0, set(), {}
     while queue:
-        queue.sort(key=lambda k: -(z[k] + state[k][1]))
-        at = queue.pop(0)
+        at = heapq.heappop(queue)[2]
         if at in done:
             continue
         done.add(at)
-        flux, energy, length, came = state[at]
+        flux, energy, length, came, _ = state[at]
         shares = []
-        for dr, dc in STEPS:
-            to = (at[0] + dr, at[1] + dc)
-            if not (0 <= to[0] < z.shape[0] and 0 <= to[1] < z.shape[1]) or np.isnan(z[to]) or to in done:
+        for to, k, run, drop, terrain in w.ways(at):
+            if to in done:
                 continue
-            run = cell * math.hypot(dr, dc)
-            drop = z[at] - z[to]
             loss = tan_alpha * run
             if p.forest and canopy[to] > 0:
                 calm = max(0.0, 1.0 - energy / p.friction_velocity_z)
@@ -76,38 +108,45 @@ def run_release(z: np.ndarray, canopy: np.ndarray, start: tuple[int, int], p: Fl
             left = min(p.max_z, energy + drop - loss)
             if left <= 0:
                 continue
-            terrain = math.tan((math.atan2(drop, run) + math.pi / 2) / 2) ** p.exponent
             keep = 1.0
             if came:
-                keep = sum(f * max(0.0, (dr * a + dc * b) / (math.hypot(dr, dc) * math.hypot(a, b))) for (a, b), f in came.items())
+                ahead = AHEAD[k]
+                keep = sum([f * ahead[j] for j, f in came.items()])
             if terrain * keep > 0:
-                shares.append([to, terrain * keep, left, run, (dr, dc)])
-        whole = sum(s[1] for s in shares)
+                shares.append((to, terrain * keep, left, run, k))
+        whole = sum([s[1] for s in shares])
         rest = flux
         if p.forest and canopy[at] > 0:
             calm = max(0.0, 1.0 - energy / p.friction_velocity_z)
             rest = max(0.0, flux - (p.min_detrainment + (p.max_detrainment - p.min_detrainment) * calm) * canopy[at] / 100.0)
         good = [s for s in shares if whole and rest * s[1] / whole >= p.flux_threshold]
-        kept = sum(s[1] for s in good)
+        kept = sum([s[1] for s in good])
         deposit = rest if not good else 0.0
-        flat = cell * math.hypot(at[0] - start[0], at[1] - start[1])
+        flat = cell * math.hypot(at // width - r0, at % width - c0)
         angle = math.degrees(math.atan2(z0 - z[at], length)) if length else 0.0
         straight = math.degrees(math.atan2(z0 - z[at], flat)) if flat else 0.0
-        out[at] = [flux, energy, length, angle, straight, deposit, float(canopy[at] > 0)]
-        for to, w, left, run, way in good:
-            f = rest * w / kept
-            if to not in state:
-                state[to] = [0.0, 0.0, length + run, {}]
-                queue.append(to)
-            s = state[to]
+        out[at] = (flux, energy, length, angle, straight, deposit, float(canopy[at] > 0))
+        later = []
+        for to, share, left, run, k in good:
+            f = rest * share / kept
+            s = state.get(to)
+            if s is None:
+                s = state[to] = [0.0, 0.0, length + run, {}, (math.inf, 0, to)]
             s[0] += f
-            s[1] = max(s[1], left)
+            if left > s[1]:
+                s[1] = left
+                later.append((s[4], to))
             s[2] = min(s[2], length + run)
-            s[3][way] = s[3].get(way, 0.0) + f
+            s[3][k] = s[3].get(k, 0.0) + f
+        # Energy lines are often equal: the cell that was ahead stays ahead, new ones come last.
+        for (last, _, _), to in sorted(later, key=lambda x: x[0][:2]):
+            if (now := -(z[to] + state[to][1])) < last:
+                put += 1
+                state[to][4] = (now, put, to)
+                heapq.heappush(queue, state[to][4])
     return out
 
 
-
 def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None = None) -> DataFrame:
     """r, c and the aggregates over all release cells. cells: z, optional
     canopy, and a 0/1 release band."""
@@ -129,9 +168,10 @@ def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None
         z = np.full((r.max() + 1, c.max() + 1), np.nan)
         wood = np.zeros_like(z)
         z[r, c], wood[r, c] = pdf.z, pdf.canopy
+        w = Window(z, wood, p, cell)
         total: dict = {}
         for i in np.flatnonzero(pdf.release.to_numpy() == 1):
-            for at, v in run_release(z, wood, (r[i], c[i]), p, cell).items():
+            for at, v in run_release(w, w.place(int(r[i]), int(c[i]))).items():
                 t = total.get(at)
                 if t is None:
                     total[at] = [1, v[0], v[1], v[2], v[2], v[3], v[3], v[4], v[1], v[0], v[5], v[6] * 1.0]
@@ -141,7 +181,7 @@ def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None
                     t[3], t[4] = max(t[3], v[2]), min(t[4], v[2])
                     t[5], t[6], t[7] = max(t[5], v[3]), min(t[6], v[3]), max(t[7], v[4])
                     t[8], t[9], t[10], t[11] = t[8] + v[1], t[9] + v[0], t[10] + v[5], t[11] + v[6]
-        rows = [(a + r0, b + c0, *v) for (a, b), v in total.items()]
+        rows = [(at // w.width - 1 + r0, at % w.width - 1 + c0, *v) for at, v in total.items()]
         return pd.DataFrame(rows, columns=["r", "c", *COLUMNS])
 
     kinds = "n long, " + ", ".join(f"{k} double" for k in COLUMNS[1:])
