@@ -11,9 +11,11 @@ Assumptions where publications leave room: persistence weighs 1 for straight
 on, 0.707 at 45 degrees, 0 beyond; forest adds friction in proportion to canopy
 and to how slow the flow is.
 
-Release cells are independent: cells are dealt by tiles with a halo as wide as
-the longest possible path, each tile's releases run in one kernel, and cells
-are combined by max, min, sum and count.
+Release cells are independent: cells are dealt by tiles with a halo, each
+tile's releases run in one kernel, and cells are combined by max, min, sum and
+count. A release whose path comes to the rim of its window is run again in a
+further round, with twice the halo, until none does: no path is cut, whatever
+the tile and the first halo.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ import heapq
 import math
 from array import array
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.grid import GridSpec, workers_see
+from firnline.grid import GridSpec, cut_lineage, workers_see
 
 STEPS = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
 #: Weight of going on in one direction (first) after coming in another.
@@ -53,13 +56,18 @@ class FlowParams:
 
 class Window:
     """Elevation and canopy of a part of the grid, flat and with a border of
-    one missing cell, and what doesn't depend on the release."""
+    one cell, and what doesn't depend on the release. more: whether cells follow
+    above, below, to the left and right; there the border is infinite."""
 
     KEPT = 100_000
 
-    def __init__(self, z: np.ndarray, canopy: np.ndarray, p: FlowParams, cell: float):
+    def __init__(self, z: np.ndarray, canopy: np.ndarray, p: FlowParams, cell: float, more: tuple[bool, bool, bool, bool] = (False,) * 4):
         self.p, self.cell, self.width = p, cell, z.shape[1] + 2
-        self.z = array("d", np.pad(z, 1, constant_values=np.nan).tobytes())
+        edged = np.pad(np.where(np.isinf(z), np.nan, z), 1, constant_values=np.inf)
+        for side, goes_on in zip((edged[0], edged[-1], edged[:, 0], edged[:, -1]), more, strict=True):
+            if not goes_on:
+                side[:] = np.nan
+        self.z = array("d", edged.tobytes())
         self.canopy = array("d", np.pad(canopy, 1).tobytes())
         self.steps = [(dr * self.width + dc, cell * math.hypot(dr, dc)) for dr, dc in STEPS]
         self.known: dict[int, list] = {}
@@ -67,23 +75,28 @@ class Window:
     def place(self, r: int, c: int) -> int:
         return (r + 1) * self.width + c + 1
 
-    def ways(self, at: int) -> list[tuple]:
-        """Neighbour, direction, length, fall and terrain's weight."""
+    def ways(self, at: int) -> list[tuple] | None:
+        """Neighbour, direction, length, fall and terrain's weight; None at a rim
+        beyond which there are cells."""
         if at not in self.known:
             if len(self.known) >= self.KEPT:
                 self.known.clear()
             z, out = self.z, []
             for k, (by, run) in enumerate(self.steps):
                 drop = z[at] - z[at + by]
+                if drop == -math.inf:
+                    out = None
+                    break
                 if drop == drop:
                     out.append((at + by, k, run, drop, math.tan((math.atan2(drop, run) + math.pi / 2) / 2) ** self.p.exponent))
             self.known[at] = out
         return self.known[at]
 
 
-def run_release(w: Window, start: int) -> dict[int, tuple]:
+def run_release(w: Window, start: int) -> dict[int, tuple] | None:
     """Per reached cell: flux, energy height, path length, angle and straight
-    angle to the release, deposit and whether there is forest."""
+    angle to the release, deposit and whether there is forest. None if the path
+    comes to the window's rim."""
     p, cell, z, canopy, width = w.p, w.cell, w.z, w.canopy, w.width
     z0, r0, c0 = z[start], start // width, start % width
     tan_alpha = math.tan(math.radians(p.alpha))
@@ -96,8 +109,11 @@ def run_release(w: Window, start: int) -> dict[int, tuple]:
             continue
         done.add(at)
         flux, energy, length, came, _ = state[at]
+        ways = w.ways(at)
+        if ways is None:
+            return None
         shares = []
-        for to, k, run, drop, terrain in w.ways(at):
+        for to, k, run, drop, terrain in ways:
             if to in done:
                 continue
             loss = tan_alpha * run
@@ -154,7 +170,27 @@ def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None
     workers_see(cells.sparkSession)
     canopy = F.coalesce(F.col("canopy"), F.lit(0.0)) if "canopy" in cells.columns else F.lit(0.0)
     x = cells.where("z is not null").select("r", "c", F.col("z").cast("double"), canopy.cast("double").alias("canopy"), F.coalesce(F.col(release), F.lit(0)).cast("int").alias("release"))
-    tile, halo, cell = p.tile, p.halo, spec.cell
+    x = cut_lineage(x, "runout-cells")
+    edge = tuple(x.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first())
+    halo, parts = p.halo, []
+    while True:
+        got = cut_lineage(_round(x, edge, spec.cell, p, halo), "runout-paths")
+        parts.append(got.where("n > 0"))
+        again = got.where("n = 0").select("r", "c", F.lit(1).alias("again")).distinct()
+        if not again.head(1):
+            break
+        x = x.join(again, ["r", "c"], "left").withColumn("release", F.coalesce("again", F.lit(0))).drop("again")
+        x, halo = cut_lineage(x, "runout-cells"), 2 * max(halo, 1)
+    how = {"n": F.sum, "flux": F.max, "zDelta": F.max, "travelLengthMax": F.max, "travelLengthMin": F.min, "fpTravelAngleMax": F.max,
+           "fpTravelAngleMin": F.min, "slTravelAngle": F.max, "zDeltaSum": F.sum, "routFluxSum": F.sum, "depFluxSum": F.sum, "forestInteraction": F.sum}
+    return reduce(DataFrame.union, parts).groupBy("r", "c").agg(*[f(k).alias("cellCounts" if k == "n" else k) for k, f in how.items()])
+
+
+def _round(x: DataFrame, edge: tuple, cell: float, p: FlowParams, halo: int) -> DataFrame:
+    """Aggregates per tile and cell of the releases whose paths stay in their
+    tile's window; the other releases with n = 0. edge: the grid's first and
+    last row and column."""
+    tile = p.tile
     lo = lambda v: F.floor((F.col(v) - halo) / tile)
     hi = lambda v: F.floor((F.col(v) + halo) / tile)
     dealt = x.withColumn("tr", F.explode(F.sequence(lo("r"), hi("r")))).withColumn("tc", F.explode(F.sequence(lo("c"), hi("c"))))
@@ -163,15 +199,22 @@ def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None
     has = dealt.where("release = 1").select("tr", "tc").distinct()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = int(pdf.r.min()), int(pdf.c.min())
+        tr, tc = int(pdf.tr.iloc[0]) * tile, int(pdf.tc.iloc[0]) * tile
+        r0, r1 = max(edge[0], tr - halo), min(edge[1], tr + tile - 1 + halo)
+        c0, c1 = max(edge[2], tc - halo), min(edge[3], tc + tile - 1 + halo)
         r, c = pdf.r.to_numpy() - r0, pdf.c.to_numpy() - c0
-        z = np.full((r.max() + 1, c.max() + 1), np.nan)
+        z = np.full((r1 - r0 + 1, c1 - c0 + 1), np.nan)
         wood = np.zeros_like(z)
         z[r, c], wood[r, c] = pdf.z, pdf.canopy
-        w = Window(z, wood, p, cell)
+        w = Window(z, wood, p, cell, (r0 > edge[0], r1 < edge[1], c0 > edge[2], c1 < edge[3]))
         total: dict = {}
+        again = []
         for i in np.flatnonzero(pdf.release.to_numpy() == 1):
-            for at, v in run_release(w, w.place(int(r[i]), int(c[i]))).items():
+            found = run_release(w, w.place(int(r[i]), int(c[i])))
+            if found is None:
+                again.append((r[i] + r0, c[i] + c0, 0, *[0.0] * (len(COLUMNS) - 1)))
+                continue
+            for at, v in found.items():
                 t = total.get(at)
                 if t is None:
                     total[at] = [1, v[0], v[1], v[2], v[2], v[3], v[3], v[4], v[1], v[0], v[5], v[6] * 1.0]
@@ -181,14 +224,11 @@ def runout(cells: DataFrame, spec: GridSpec, release: str, p: FlowParams | None
                     t[3], t[4] = max(t[3], v[2]), min(t[4], v[2])
                     t[5], t[6], t[7] = max(t[5], v[3]), min(t[6], v[3]), max(t[7], v[4])
                     t[8], t[9], t[10], t[11] = t[8] + v[1], t[9] + v[0], t[10] + v[5], t[11] + v[6]
-        rows = [(at // w.width - 1 + r0, at % w.width - 1 + c0, *v) for at, v in total.items()]
+        rows = [(at // w.width - 1 + r0, at % w.width - 1 + c0, *v) for at, v in total.items()] + again
         return pd.DataFrame(rows, columns=["r", "c", *COLUMNS])
 
     kinds = "n long, " + ", ".join(f"{k} double" for k in COLUMNS[1:])
-    got = dealt.join(has, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(run, f"r long, c long, {kinds}")
-    how = {"n": F.sum, "flux": F.max, "zDelta": F.max, "travelLengthMax": F.max, "travelLengthMin": F.min, "fpTravelAngleMax": F.max,
-           "fpTravelAngleMin": F.min, "slTravelAngle": F.max, "zDeltaSum": F.sum, "routFluxSum": F.sum, "depFluxSum": F.sum, "forestInteraction": F.sum}
-    return got.groupBy("r", "c").agg(*[f(k).alias("cellCounts" if k == "n" else k) for k, f in how.items()])
+    return dealt.join(has, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(run, f"r long, c long, {kinds}")
 
 
 COLUMNS = ("n", "flux", "zDelta", "travelLengthMax", "travelLengthMin", "fpTravelAngleMax", "fpTravelAngleMin", "slTravelAngle", "zDeltaSum", "routFluxSum", "depFluxSum", "forestInteraction")

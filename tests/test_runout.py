@@ -22,3 +22,15 @@ def test_kernel_follows_the_energy_line():
         assert 0 < flux <= 1 + 1e-9 and 0 <= energy <= p.max_z
         assert not length or angle > math.degrees(math.atan(0.45))
     assert sum(v[0] for at, v in got.items() if at // w.width - 1 == 10) <= 1 + 1e-9
+
+
+def test_no_path_is_cut_at_a_window(spark):
+    rows = [(r, c, 3000.0 - 6.0 * r + abs(c - 3), int((r, c) in {(1, 3), (30, 2), (47, 4)})) for r in range(150) for c in range(7)]
+    x = spark.createDataFrame(rows, "r long, c long, z double, go int")
+    s = flow.GridSpec(7, 150, 10.0)
+    whole = flow.runout(x, s, "go", flow.FlowParams(alpha=25.0, tile=256, halo=256)).orderBy("r", "c").toPandas()
+    assert whole.r.max() == 149  # 31 degrees: never stops
+    for tile, halo in ((8, 4), (16, 0), (64, 64)):
+        got = flow.runout(x, s, "go", flow.FlowParams(alpha=25.0, tile=tile, halo=halo)).orderBy("r", "c").toPandas()
+        assert got[["r", "c", "cellCounts"]].equals(whole[["r", "c", "cellCounts"]])
+        assert np.allclose(got, whole)
