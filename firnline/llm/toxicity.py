@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from firnline.llm.common import give_back, materialize
 
 SAMPLE = 16_000
-TERMS = 120
+CHANCE = 0.05
 THRESHOLD = 0.7
 # Insults that name a person or a thing, matched at word starts.
 LEXICON = tuple(
@@ -81,10 +81,11 @@ class Voters:
 _WORD = re.compile(r"[^\W\d_]{4,}")
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> list[str]:
+def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[str]:
     """Word starts (4 to 8 letters) and words of labelled toxic training texts
     that are rare in the clean ones, and so beyond chance among all tried:
-    of starts in the same texts, the longest."""
+    of starts in the same texts, the longest. How many texts must hold a term
+    follows from that test alone, so a small language's terms count, too."""
     spark = docs.sparkSession
     rows = labels.where((fold() != OUT) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
     n = rows.count()
@@ -116,25 +117,41 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most:
     if total is None or not total.toxic or not total.clean:
         return []
     ratio = (F.col("toxic") + 0.5) / (total.toxic + 1) / ((F.col("clean") + 0.5) / (total.clean + 1))
+    share = total.toxic / (total.toxic + total.clean)
+    texts = F.col("toxic") + F.col("clean")
+    terms = counts.where(F.col("term") != "")
+    sizes = Counter(dict(terms.groupBy(texts.alias("n")).count().collect()))  # a row per number of texts
+    least, tried = testable(sizes, share)
     good = (
-        counts.where(F.col("term") != "")
-        .where((F.col("toxic") >= max(3, total.toxic // 50)) & (F.col("toxic") > 9 * F.col("clean")) & (ratio > 8))
+        terms.where((F.col("toxic") >= least) & (F.col("toxic") > 9 * F.col("clean")) & (ratio > 8))
         .orderBy(F.col("toxic").desc(), F.length("term").desc(), "term")
-        .limit(20 * most)
-        .collect()
+        .collect()  # terms in `least` of the sample's toxic texts
     )
-    share, tried = total.toxic / (total.toxic + total.clean), counts.count()
-    good = [r for r in good if by_chance(r.toxic, r.toxic + r.clean, share) * tried < 0.05]
-    out: list[str] = []
+    good = [r for r in good if by_chance(r.toxic, r.toxic + r.clean, share) * tried < CHANCE]
+    out: dict[str, None] = {}
+    starts: set[str] = set()  # of those in out
     for r in good:
-        if not any(r.term.startswith(t) or t.startswith(r.term) for t in out):
-            out.append(r.term)
-    return out[:most]
+        if r.term not in starts and not any(r.term[:k] in out for k in range(1, len(r.term))):
+            out[r.term] = None
+            starts.update(r.term[:k] for k in range(1, len(r.term) + 1))
+    return list(out)
+
+
+def testable(sizes: dict[int, int], share: float) -> tuple[int, int]:
+    """The fewest texts in which a term can be beyond chance, and how many terms
+    are in so many: a term in fewer can't pass however toxic its texts, so it
+    isn't among the tried (Tarone). sizes: number of terms by number of texts."""
+    least, tried = 1, sum(sizes.values())
+    while share**least * tried >= CHANCE:
+        tried -= sizes.get(least, 0)
+        least += 1
+    return least, tried
 
 
 def by_chance(hits: int, n: int, share: float) -> float:
     """P(at least `hits` of n texts are toxic) if a term tells nothing."""
-    return sum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(hits, n + 1)) if n < 400 else 0.0
+    a, b, whole = math.log(share), math.log1p(-share), math.lgamma(n + 1)
+    return math.fsum(math.exp(whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(hits, n + 1))
 
 
 def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, rounds: int = 50):
