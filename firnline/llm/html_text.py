@@ -7,7 +7,9 @@ article; the least density on its path to the body is the threshold that
 neighbours of the path must reach to be taken as well.
 
 Nodes that name themselves as page furniture (navigation, forms, scripts,
-adverts, comments, ...) are left out before densities are taken.
+adverts, comments, ...) are left out before densities are taken, unless only a
+class or id says so and the node holds the page's article, main element or most
+of its text outside links.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
 rows give a row each; very long pages are read whole; extra columns are
@@ -66,10 +68,10 @@ SIBLINGS = {
 
 
 class Node:
-    __slots__ = ("tag", "items", "skip", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "items", "skip", "named", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool):
-        self.tag, self.parent, self.skip, self.items = tag, parent, skip, []
+    def __init__(self, tag: str, parent: Node | None, skip: bool, named: bool = False):
+        self.tag, self.parent, self.skip, self.named, self.items = tag, parent, skip, named, []
 
 
 def _furniture(tag: str, attributes: str) -> bool:
@@ -81,17 +83,21 @@ def _furniture(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
-        if name == "role" and value in ROLES or name in ("class", "id") and NAMED.search(value):
+        if name == "role" and value in ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _named(attributes: str) -> bool:
+    return bool(attributes) and any(n.lower() in ("class", "id") and NAMED.search(v.strip("\"'")) for n, v in _ATTRIBUTE.findall(attributes))
+
+
 def parse(page: str) -> Node:
     """A tree of nodes; items are texts and nodes in page order."""
     root = Node("body", None, False)
-    at, last = root, 0
+    at, last, wrapped = root, 0, False
 
     def close(upto: Node) -> Node:
         return upto.parent or root
@@ -129,15 +135,51 @@ def parse(page: str) -> Node:
             at = close(x)
         if tag[0] == "h" and tag[1:].isdigit() and at.tag[0] == "h" and at.tag[1:].isdigit():
             at = close(at)
-        node = Node(tag, at, _furniture(tag, m[4]))
+        named = _named(m[4])
+        hard = _furniture(tag, m[4])
+        node = Node(tag, at, hard or named and tag not in ("main", "article"), named and not hard)
+        wrapped = wrapped or node.named
         at.items.append(node)
         if tag not in VOID and not m[4].endswith("/"):
             at = node
     if last < len(page):
         at.items.append(page[last:])
+    if wrapped:
+        _keep_wrappers(root)
     return root
 
 
+def _keep_wrappers(root: Node) -> None:
+    """Nodes that only a class or id calls furniture are kept if they hold the
+    main element, most of the articles' text or most of the page's, all outside
+    links and without the furniture in them."""
+    nodes, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        nodes.append(x)
+        stack.extend(i for i in x.items if isinstance(i, Node) and (i.named or not i.skip) and i.tag != "a")
+    plain = {id(x): sum(len(_SPACE.sub(" ", i).strip()) for i in x.items if isinstance(i, str)) for x in nodes}
+    whole = held_whole = sum(plain.values())
+    kept: list[Node] = []
+    for step in range(2):  # the articles' text of the page, then who holds it
+        own = plain.copy()
+        held, main = dict.fromkeys(plain, 0), dict.fromkeys(plain, False)
+        for x in reversed(nodes):
+            k = id(x)
+            if x.tag in ("article", "main") and not x.named:
+                held[k], main[k] = own[k], main[k] or x.tag == "main"
+            if x.skip and step and (main[k] or 2 * held[k] > held_whole or 2 * own[k] > whole):
+                kept.append(x)
+            elif x.skip and step:
+                continue
+            if x.parent is not None:
+                p = id(x.parent)
+                own[p], held[p], main[p] = own[p] + own[k], held[p] + held[k], main[p] or main[k]
+        held_whole = held[id(root)]
+    for x in kept:
+        x.skip = False
+
+
 def _order(root: Node) -> list[Node]:
     """All kept nodes, parents first."""
     out, stack = [], [root]
@@ -211,8 +253,13 @@ def content(root: Node) -> list[Node]:
                 kept.append(x)
             continue
         stack.extend(i for i in reversed(x.items) if isinstance(i, Node) and not i.skip)
-    for x in nodes:  # lists of links inside an article are menus too
-        if x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars and not any(x is k for k in kept):
+    inside, stack = set(), [core]
+    while stack:
+        x = stack.pop()
+        inside.add(id(x))
+        stack.extend(i for i in x.items if isinstance(i, Node) and not i.skip)
+    for x in nodes:  # lists of links beside the core are menus; those of the article itself stay
+        if x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars and id(x) not in inside and not any(x is k for k in kept):
             x.skip = True
     return kept
 
