@@ -3,7 +3,8 @@ at random.
 
 A shard is a run of documents in order. Re-Pair replaces frequent neighbouring
 ids by a new nonterminal, again and again; here each round replaces many pairs
-at once (those that occur most, no pair overlapping an earlier replacement).
+at once (those that occur most, no pair overlapping an earlier replacement),
+until no pair is frequent.
 A shard's bytes hold the rules, each nonterminal's expansion length, the
 sequence, and each document's first symbol and first id; documents never share
 a symbol, so any document, or any range of its ids through the expansion
@@ -35,7 +36,6 @@ from firnline.llm.common import partitions, regrouped, scratch_path
 from firnline.llm.tokens import Encoder
 
 SHARD_IDS = 1 << 20
-ROUNDS = 3
 PAIRS_PER_ROUND = 2048
 _SLOTS = 1 << 18
 _MIX = np.uint32(0x9E3779B1)
@@ -48,34 +48,44 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h & np.uint32(_SLOTS - 1)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, rounds: int = ROUNDS, least: int = 16):
-    """Re-Pair on ids, no pair crossing a document start. Returns the rules, the
-    sequence and the documents' first symbols."""
+def _frequent(seq: np.ndarray, slot: np.ndarray, top: np.ndarray, least: int):
+    """Of each slot in top the most frequent pair, if it occurs `least` times:
+    their places, which pair is at each, and the pairs."""
+    chosen = np.zeros(_SLOTS + 1, dtype=bool)
+    chosen[top] = True
+    hit = np.flatnonzero(chosen[slot])
+    key = seq[hit].astype(np.uint64) << np.uint64(32) | seq[hit + 1]
+    keys, which, n = np.unique(key, return_inverse=True, return_counts=True)
+    of = _slot((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))
+    order = np.lexsort((-n, of))
+    best = order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order
+    best = best[n[best] >= least]
+    number = np.full(len(keys), -1)
+    number[best] = np.arange(len(best))
+    nth = number[which]
+    use = nth >= 0
+    return hit[use], nth[use], np.stack([keys[best] >> np.uint64(32), keys[best] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, least: int = 16):
+    """Re-Pair on ids, no pair crossing a document start, until no pair occurs
+    `least` times. Returns the rules, the sequence and the documents' first
+    symbols."""
     seq = ids.astype(np.uint32)
     first = np.zeros(len(seq) + 1, dtype=bool)
     first[starts] = True
     first[len(seq)] = True
     rules = []
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         slot = _slot(seq[:-1], seq[1:])
         slot[np.flatnonzero(first[1 : len(seq)])] = _SLOTS  # across two documents
         counts = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
         top = np.argpartition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND:]
-        top = top[counts[top] >= least]
-        if not len(top):
-            break
-        # The pair of a slot is the one at its first place; others there stay.
-        chosen = np.zeros(_SLOTS + 1, dtype=np.int32)
-        chosen[top] = np.arange(1, len(top) + 1)
-        hit = np.flatnonzero(chosen[slot])
-        nth = chosen[slot[hit]] - 1
-        at = np.full(len(top), -1)
-        at[nth[::-1]] = hit[::-1]
-        pair = np.stack([seq[at], seq[at + 1]], axis=1)
-        same = (seq[hit] == pair[nth, 0]) & (seq[hit + 1] == pair[nth, 1])
-        hit, nth = hit[same], nth[same]
+        hit, nth, pair = _frequent(seq, slot, top[counts[top] >= least], least)
+        if not len(pair):  # the fullest slots hold rare pairs only: look into all
+            hit, nth, pair = _frequent(seq, slot, np.flatnonzero(counts >= least), least)
+            if not len(pair):
+                break
         # In a run of overlapping places, every other one, from the first.
         new_run = np.ones(len(hit), dtype=bool)
         new_run[1:] = hit[1:] != hit[:-1] + 1
