@@ -15,25 +15,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-_MADE: list[str] = []
+_RECORDED: list[list[str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, and bound their Arrow batches
-    by rows, so that very long texts don't pile up in one batch."""
+    by bytes, so that very long texts don't pile up in one batch."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a
-    temporary one is made only where that is unset (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A
+    temporary one is made only where that is unset and driver and executors are
+    one process (local runs and tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -41,20 +46,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    _MADE.append(path)
+    for made in _RECORDED:
+        made.append(path)
     return path
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far. Call it only when every result
-    that reads them has been written."""
+def recording(make) -> tuple:
+    """make()'s result and the scratch tables it made, for `release`."""
+    made: list[str] = []
+    _RECORDED.append(made)
+    try:
+        return make(), made
+    finally:
+        _RECORDED.remove(made)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these scratch tables: call it when every result that reads them
+    has been written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _MADE:
-        path = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows of the driver's. By Arrow, it needs no Python
+    workers beside those of the queries."""
+    kind = T.StructType.fromDDL(schema)
+    columns = {f.name: pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kind.fields)}
+    return spark.createDataFrame(pa.table(columns), kind)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, and
     a lost executor costs only a re-read."""
@@ -68,9 +92,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "ordered") -> DataFrame:
+def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "ordered", places: bool = False) -> DataFrame:
     """Rank all rows by keys: adds `rank` (from 0) and, for each column in
-    sums, `before_<column>`, the sum over all rows before it.
+    sums, `before_<column>`, the sum over all rows before it; with places, also
+    `_pid` and `_idx`, the row's file of the sorted table and its place there.
 
     A range sort spreads equal leading keys over tasks, each task counts its
     own rows, and only one total per partition reaches the driver. The sorted
@@ -105,10 +130,11 @@ def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "
         rows.append((r[0], *start))
         start = [a + b for a, b in zip(start, r[1:], strict=True)]
     fields = "_pid int, _n0 long" + "".join(f", _b{i} long" for i in range(len(sums)))
-    at = spark.createDataFrame(rows, fields)
+    at = small_table(spark, rows, fields)
     x = x.join(F.broadcast(at), "_pid")
     return x.select(
         *df.columns,
+        *(["_pid", "_idx"] if places else []),
         (F.col("_n0") + F.col("_idx")).alias("rank"),
         *[(F.col(f"_b{i}") + F.col(f"_sum_{c}")).alias(f"before_{c}") for i, c in enumerate(sums)],
     )
@@ -156,7 +182,7 @@ def parts_of(sizes: list[int], most: int) -> list[slice]:
     return out
 
 
-def regrouped(batches, column: int, most: int = 8 << 20):
+def regrouped(batches, column: int, most: int = 4 << 20):
     """Neighbouring batches joined until their texts reach `most` bytes."""
     held, size = [], 0
     for b in batches:

@@ -17,7 +17,7 @@ uint8[documents] 1 where the doc id is null; uint64[documents+1] first symbol;
 uint64[documents+1] first id.
 
 Defined results: null and empty texts are the end id alone; rows with equal
-doc_id are separate documents, in the order of their ids' checksum; an empty
+doc_id are separate documents, in the order of their texts' crc32; an empty
 table gives no files; extra columns are ignored.
 """
 
@@ -32,11 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm.common import partitions, regrouped, scratch_path
+from firnline.llm.common import give_back, partitions, regrouped, scratch_path, small_table
 from firnline.llm.tokens import Encoder
 
 SHARD_IDS = 1 << 20
-PAIRS_PER_ROUND = 2048
+PAIRS_PER_ROUND = 8192
 _SLOTS = 1 << 18
 _MIX = np.uint32(0x9E3779B1)
 
@@ -49,20 +49,25 @@ def _slot(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def _frequent(seq: np.ndarray, slot: np.ndarray, top: np.ndarray, least: int):
-    """Of each slot in top the most frequent pair, if it occurs `least` times:
-    their places, which pair is at each, and the pairs."""
-    chosen = np.zeros(_SLOTS + 1, dtype=bool)
-    chosen[top] = True
-    hit = np.flatnonzero(chosen[slot])
+    """Of the pairs in slots `top`, those that occur `least` times: their
+    places, which pair is at each, and the pairs. Most slots hold one pair
+    nearly alone; only the others' pairs are sorted."""
+    number = np.full(_SLOTS + 1, -1, dtype=np.int32)
+    number[top] = np.arange(len(top))
+    nth = number[slot]
+    hit = np.flatnonzero(nth >= 0)
+    nth = nth[hit].astype(np.int64)
     key = seq[hit].astype(np.uint64) << np.uint64(32) | seq[hit + 1]
-    keys, which, n = np.unique(key, return_inverse=True, return_counts=True)
-    of = _slot((keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32))
-    order = np.lexsort((-n, of))
-    best = order[np.append(True, of[order][1:] != of[order][:-1])] if len(order) else order
-    best = best[n[best] >= least]
+    one = np.zeros(len(top), dtype=np.uint64)
+    one[nth] = key
+    other = np.flatnonzero(key != one[nth])
+    more, which = np.unique(key[other], return_inverse=True)
+    nth[other] = len(top) + which
+    keys, n = np.append(one, more), np.bincount(nth, minlength=len(top) + len(more))
+    best = np.flatnonzero(n >= least)
     number = np.full(len(keys), -1)
     number[best] = np.arange(len(best))
-    nth = number[which]
+    nth = number[nth]
     use = nth >= 0
     return hit[use], nth[use], np.stack([keys[best] >> np.uint64(32), keys[best] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32)
 
@@ -75,15 +80,16 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, least: int = 1
     first = np.zeros(len(seq) + 1, dtype=bool)
     first[starts] = True
     first[len(seq)] = True
+    slot = _slot(seq[:-1], seq[1:]).astype(np.uint32)
     rules = []
     while len(seq) > 1:
-        slot = _slot(seq[:-1], seq[1:])
         slot[np.flatnonzero(first[1 : len(seq)])] = _SLOTS  # across two documents
         counts = np.bincount(slot, minlength=_SLOTS + 1)[:_SLOTS]
-        top = np.argpartition(counts, -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND:]
-        hit, nth, pair = _frequent(seq, slot, top[counts[top] >= least], least)
+        often = np.flatnonzero(counts >= least)
+        top = often if len(often) <= PAIRS_PER_ROUND else often[np.argpartition(counts[often], -PAIRS_PER_ROUND)[-PAIRS_PER_ROUND:]]
+        hit, nth, pair = _frequent(seq, slot, top, least)
         if not len(pair):  # the fullest slots hold rare pairs only: look into all
-            hit, nth, pair = _frequent(seq, slot, np.flatnonzero(counts >= least), least)
+            hit, nth, pair = _frequent(seq, slot, often, least)
             if not len(pair):
                 break
         # In a run of overlapping places, every other one, from the first.
@@ -97,6 +103,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, terminals: int, least: int = 1
         keep[hit + 1] = False
         rules += pair.tolist()
         seq, first = seq[keep], first[np.append(keep, True)]
+        # Only pairs with a new symbol have another slot now.
+        slot = np.append(slot, np.uint32(0))[keep][:-1]
+        new = hit - np.arange(len(hit))
+        changed = np.concatenate([new[new < len(slot)], new[new > 0] - 1])
+        slot[changed] = _slot(seq[changed], seq[changed + 1])
     every = np.append(starts, len(ids))
     return np.array(rules, dtype=np.uint32).reshape(-1, 2), seq, np.flatnonzero(first)[np.searchsorted(np.unique(every), every)]
 
@@ -147,23 +158,52 @@ class Shard:
         self.sequence = take("<u4", symbols)
         doc_ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else d for d, z in zip(doc_ids.tolist(), null.tolist(), strict=True)]
+        self._pool = None
         self.first_symbol = take("<u8", docs + 1)
         self.first_id = take("<u8", docs + 1)
 
+    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rules in a row, and each one's start. A rule's parts are
+        ids or earlier rules, so a pass resolves all rules of one height."""
+        start = np.append(0, np.cumsum(self.lengths.astype(np.int64)))
+        out, done = np.zeros(int(start[-1]), dtype=np.uint32), np.zeros(len(self.rules) + 1, dtype=bool)
+        size = np.append(self.lengths.astype(np.int64), 1)
+        part = np.where(self.rules >= self.terminals, self.rules.astype(np.int64) - self.terminals, len(self.rules))  # the last stands for an id
+        done[-1] = True
+        todo = np.arange(len(self.rules))
+        while len(todo):
+            ready = done[part[todo, 0]] & done[part[todo, 1]]
+            now, todo = todo[ready], todo[~ready]
+            if not len(now):
+                raise ValueError("a rule refers to itself")
+            at = start[now]
+            for side in (0, 1):
+                symbol, of = self.rules[now, side], part[now, side]
+                plain = of == len(self.rules)
+                out[at[plain]] = symbol[plain]
+                n = size[of[~plain]]
+                step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                out[np.repeat(at[~plain], n) + step] = out[np.repeat(start[of[~plain]], n) + step]
+                at = at + size[of]
+            done[now] = True
+        return out, start
+
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of a run of symbols, one grammar level at a time."""
+        """Ids of a run of symbols."""
+        if self._pool is None:
+            self._pool = self._expansions()
+        pool, start = self._pool
         symbols = symbols.astype(np.uint32)
-        while True:
-            big = symbols >= self.terminals
-            if not big.any():
-                return symbols
-            place = np.arange(len(symbols)) + np.cumsum(big) - big
-            out = np.empty(len(symbols) + int(big.sum()), dtype=np.uint32)
-            pair = self.rules[symbols[big] - self.terminals]
-            out[place[~big]] = symbols[~big]
-            out[place[big]] = pair[:, 0]
-            out[place[big] + 1] = pair[:, 1]
-            symbols = out
+        big = np.flatnonzero(symbols >= self.terminals)
+        rule = symbols[big] - self.terminals
+        n = np.ones(len(symbols), dtype=np.int64)
+        n[big] = self.lengths[rule].astype(np.int64)
+        ends = np.cumsum(n)
+        out = np.repeat(symbols, n)
+        m = n[big]
+        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        out[np.repeat(ends[big] - m, m) + step] = pool[np.repeat(start[rule], m) + step]
+        return out
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.sequence[int(self.first_symbol[i]) : int(self.first_symbol[i + 1])])
@@ -212,6 +252,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
                 held += n
         if held:
             yield flush()
+        give_back()
 
     (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -234,7 +275,7 @@ def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataF
     for part, n in sorted(files.groupBy("part").agg(F.sum("n_ids")).collect()):  # one row per partition
         rows.append((part, at))
         at += n
-    first = spark.createDataFrame(rows, "part int, _first long")
+    first = small_table(spark, rows, "part int, _first long")
     last = "ids_crc32 long" if checksum else "ids binary"
 
     def decode(batches):
@@ -249,6 +290,7 @@ def read_tokens(spark: SparkSession, path: str, checksum: bool = False) -> DataF
                     [pa.array(s.doc_ids, pa.int64()), pa.array(starts[:-1] + base + before), pa.array(np.diff(starts)), got],
                     names=["doc_id", "start", "n_tokens", last.split()[0]],
                 )
+        give_back()
 
     return files.join(F.broadcast(first), "part").select("_first", "before", "data").mapInArrow(decode, f"doc_id long, start long, n_tokens long, {last}")
 
