@@ -12,32 +12,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from firnline.llm import mixing, ngram_join, packing, toxicity
-from firnline.llm.common import prepare, read_table, release_scratch, scratch_path
+from firnline.llm.common import prepare, read_table, recording, release, scratch_path
 
+_BEFORE: list[str] = []  # scratch tables of the last stage
 
-def _begin(spark: SparkSession) -> None:
+
+def _stage(spark: SparkSession, make) -> DataFrame:
+    """make()'s result; the stage before has been written, so its scratch goes."""
     prepare(spark)
-    release_scratch(spark)  # the stage before has been written
+    release(spark, _BEFORE)
+    out, made = recording(make)
+    _BEFORE.extend(made)
+    return out
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels"))
+    return _stage(spark, lambda: toxicity.reject_toxic(docs, read_table(spark, sf_dir, "labels")))
 
 
 def dedupe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return ngram_join.keep_one(docs)
+    return _stage(spark, lambda: ngram_join.keep_one(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return mixing.mixed_documents(docs)
+    return _stage(spark, lambda: mixing.mixed_documents(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin(spark)
-    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096), 4096)
+    return _stage(spark, lambda: packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, 4096), 4096))
 
 
 STAGES = [("toxicity", clean), ("ngram_join", dedupe), ("mixing", mix), ("packing", pack)]
@@ -45,11 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, paths = read_table(spark, sf_dir, "documents"), []
+    docs, last = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         out = stage(spark, docs, sf_dir)
-        path = f"{scratch_path(spark, 'stage')}-{name}"
+        path = scratch_path(spark, name)
         out.write.parquet(path)
-        paths.append(path)
-        docs = spark.read.parquet(path)
+        release(spark, last)  # what this stage has read
+        last.append(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+    release(spark, _BEFORE)
     return docs
