@@ -8,13 +8,14 @@ those leave unexplained, which voters fire together; correlated voters share
 their weight. Its posterior labels train a linear classifier, which scores
 every text.
 
-The classifier and the learned terms are fitted on bounded samples of rows
-(SAMPLE of each, by a hash of doc_id: behaviour is alike at every size);
-scoring reads all texts whole.
+Terms, label model and classifier are fitted on labelled rows of the training
+part: all of them, or the SAMPLE with the least hashes of doc_id where there
+are more. Scoring reads all texts whole.
 
 Defined results: null and empty texts get the score of a text on which nothing
-fires; without labels only the fixed voters are used; rows with equal doc_id
-are scored each; an empty table gives no rows; extra columns are ignored.
+fires; without labels, fixed voters with fixed weights score; rows with equal
+doc_id are scored each; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, materialize
+from firnline.llm.common import give_back, materialize, small_table
 
 SAMPLE = 16_000
 CHANCE = 0.05
@@ -81,20 +82,21 @@ class Voters:
 _WORD = re.compile(r"[^\W\d_]{4,}")
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[str]:
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """text and label (_y) of the labelled rows of the training part: those of
+    the `sample` least hashes of doc_id."""
+    rows = labels.where((fold() != OUT) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
+    least = rows.distinct().orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample).collect()
+    known = small_table(docs.sparkSession, [tuple(r) for r in least], "_id long, _y int")
+    found = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("_d") == F.col("_id"))
+    return materialize(found.select("text", "_y"), "labelled")
+
+
+def learn_terms(marked: DataFrame) -> list[str]:
     """Word starts (4 to 8 letters) and words of labelled toxic training texts
     that are rare in the clean ones, and so beyond chance among all tried:
     of starts in the same texts, the longest. How many texts must hold a term
     follows from that test alone, so a small language's terms count, too."""
-    spark = docs.sparkSession
-    rows = labels.where((fold() != OUT) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_y"))
-    n = rows.count()
-    if not n:
-        return []
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1e6 * sample / n))
-    known = spark.createDataFrame([tuple(r) for r in rows.distinct().collect()], "_id long, _y int")  # about `sample` rows
-    marked = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), F.col("_d") == F.col("_id"))
 
     def mine(batches):
         seen, totals = (Counter(), Counter()), [0, 0]
@@ -110,7 +112,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
             )
 
     counts = materialize(
-        marked.select("text", "_y").mapInArrow(mine, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
+        marked.mapInArrow(mine, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")),
         "terms",
     )
     total = counts.where("term = ''").first()
@@ -168,7 +170,7 @@ def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, roun
         rates[:, 1] = (x.T @ post + 0.1) / (post.sum() + 1)
         rates[:, 0] = (x.T @ (1 - post) + 0.1) / ((1 - post).sum() + 1)
         share = np.clip(post.mean() if n else prior, 0.005, 0.5)
-        if step == 3:
+        if step % 4 == 3:  # with the posteriors of by now
             # Correlation within a class: firing together that rates leave over.
             rest = np.zeros((k, k))
             for y, p in ((1, post), (0, 1 - post)):
@@ -182,7 +184,7 @@ def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, roun
         shared = x / (1 + x @ together)
         logit = np.log(share / (1 - share)) + shared @ np.log(rates[:, 1] / rates[:, 0])
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if step > 4 and n and np.abs(new - post).max() < 1e-4:
+        if step % 4 == 3 and n and np.abs(new - post).max() < 1e-4:
             break
         post = new
     return post, rates[:-1], together[:-1, :-1]
@@ -227,36 +229,41 @@ def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
 
 
 class Classifier:
+    """The linear model over `features`, summed voter by voter."""
+
     def __init__(self, voters: Voters, weights: np.ndarray, strong: np.ndarray):
-        self.voters, self.weights, self.strong = voters, weights, strong
-        self.empty = float(1 / (1 + np.exp(-np.clip(weights[-1], -30, 30))))
+        self.voters, self.weights, self.strong = voters, weights.tolist(), strong.tolist()
+        self.empty = self._squash(self.weights[-1])
+
+    @staticmethod
+    def _squash(z: float) -> float:
+        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
 
     def score(self, text: str | None) -> float:
         counts = self.voters.count(text) if text else {}
         if not counts:
             return self.empty
-        z = features(counts, self.voters.n, self.strong) @ self.weights[:-1] + self.weights[-1]
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        w, n = self.weights, self.voters.n
+        hits = sum(c for i, c in counts.items() if self.strong[i])
+        z = w[-1] + math.fsum(w[i] * min(c, 4) ** 0.5 for i, c in counts.items())
+        return self._squash(z + (w[n] + w[n + 1] * math.log1p(hits) if hits else 0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
-    learned = learn_terms(docs, labels, sample)
+    train = labelled(docs, labels, sample)
+    learned = learn_terms(train)
     terms = learned + [t for t in (*LEXICON, *PHRASES) if not any(t.startswith(x) for x in learned)]
     voters = Voters(terms)
-    train = docs.where(fold() != OUT).select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    n = train.count()
-    if n > sample:
-        train = train.where(F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(1_000_000)) < int(1e6 * sample / n))
 
     def vote(batches):
         v = voters.open()
         for b in batches:
-            rows = [v.count(t or "") for t in b.column(1).to_pylist()]
+            rows = [v.count(t or "") for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["voter", "times"]
             )
 
-    fired = train.mapInArrow(vote, "voter array<int>, times array<int>").collect()  # about `sample` rows of few numbers
+    fired = train.select("text").mapInArrow(vote, "voter array<int>, times array<int>").collect()  # at most `sample` rows of few numbers
     counts = [dict(zip(r.voter, r.times, strict=True)) for r in fired]
     votes = np.zeros((len(counts), voters.n))
     for i, c in enumerate(counts):
@@ -270,6 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
         strong[:] = trusted
     x = np.array([features(c, voters.n, strong) for c in counts]).reshape(len(counts), voters.n + 2)
     weights = fit_linear(x, post) if len(counts) else np.append(np.zeros(voters.n + 2), -2.0)
+    if not len(counts):
+        weights[voters.n] = 4.0  # a strong voter fired
     return Classifier(voters, weights, strong)
 
 
