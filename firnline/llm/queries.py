@@ -41,10 +41,9 @@ def op6_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     # The layout before: 16 shards by a hash of the key.
     old = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 16, F.lit(0))
-    path = sharding.rewrite(docs, sharding.assign(docs, old, 24))
-    return spark.read.parquet(path).select(
+    return sharding.reshard(docs, old, 24).rows().select(
         "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
+        "size",
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"),
         F.col("shard").cast("int").alias("shard"),

@@ -5,21 +5,32 @@ Old shards are sources of flow, new shards sinks; keeping a byte is free,
 moving one costs 1. The flow has one node per shard, so its size doesn't
 depend on the data. Documents then follow the flow: each old shard's rows, in
 hash order, are cut at the flow's running totals; rounds of smallest-first
-corrections bring sizes within a small document of the capacities.
+corrections, from files that change anyway where they suffice, bring sizes
+within a small document of the capacities.
+
+The layout before is a table of files, each a run of rows in (shard, hash)
+order. A file all of whose rows stay is kept as it is; only the others are
+rewritten. Where rows went is a table of segments (file, first and last place
+in it, shard, first slot), a few per file, cut and corrected row.
 
 Defined results: a null text has 8 bytes and the checksum of an empty one;
-rows with equal doc_id are separate rows; an empty table gives no rows; extra
-columns travel with their rows on a rewrite.
+rows with equal doc_id, equal text included, are separate rows, told apart by
+their place in their file; a null old shard is shard 0; an empty table gives no
+rows; extra columns travel with their rows, but for those named like the
+layout's own (size, old_shard, shard, slot), which it replaces.
 """
 
 from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firnline.llm.common import materialize, ordered, scratch_path
+from firnline.llm.common import materialize, ordered, partitions, scratch_path, small_table
 
 
 def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -84,25 +95,23 @@ def even(total: int, shards: int) -> dict[int, int]:
     return {s: total // shards + (s < total % shards) for s in range(shards)}
 
 
-def _sizes(rows: DataFrame, key: str) -> dict[int, int]:
-    return {int(r[0]): int(r[1]) for r in rows.groupBy(key).agg(F.sum("size")).collect()}  # one row per shard
+def _starts(rows: DataFrame, key: str) -> dict[int, tuple[int, int]]:
+    """Per shard: its bytes, and the bytes before it."""
+    return {int(r[0]): (int(r[1]), int(r[2])) for r in rows.groupBy(key).agg(F.sum("size"), F.min("before_size")).collect()}  # one row per shard
 
 
-def _cut(rows: DataFrame, key: str, plan: dict[int, list[tuple[int, int]]], whole: bool) -> DataFrame:
+def _cut(rows: DataFrame, key: str, plan: dict[int, list[tuple[int, int]]], first: dict[int, int], whole: bool) -> DataFrame:
     """Give each row the new shard in whose part of its old shard its middle
-    (whole: its end) lies; rows past a plan's end keep their shard."""
-    spark = rows.sparkSession
-    parts = [(r, at, at + n, c) for r, moves in plan.items() for at, n, c in _running(moves)]
-    table = spark.createDataFrame(parts or [(-1, 0, 0, -1)], f"{key} int, _lo long, _hi long, _to int")
-    place = F.col("_within") + (F.col("size") if whole else F.col("size") / 2)
-    above = place > F.col("_lo")
-    below = place <= F.col("_hi")
+    lies (whole: the part it lies inside of, so that no part takes more than
+    its bytes); other rows keep their shard."""
+    parts = [(r, first[r] + at, first[r] + at + n, c) for r, moves in plan.items() for at, n, c in _running(moves)]
+    table = small_table(rows.sparkSession, parts, f"{key} int, _lo long, _hi long, _to int")
     cut = table.groupBy(key).agg(F.collect_list(F.struct("_lo", "_hi", "_to")).alias("_parts"))  # shards x shards
-    hit = F.filter("_parts", lambda p: (place > p["_lo"]) & (place <= p["_hi"]))
-    if whole:  # a correction never takes more than its part: a row must lie inside it
-        hit = F.filter("_parts", lambda p: (F.col("_within") >= p["_lo"]) & (place <= p["_hi"]))
-    del above, below
-    return rows.join(F.broadcast(cut), key, "left").withColumn("shard", F.coalesce(F.get(hit, F.lit(0))["_to"], F.col(key).cast("int"))).drop("_parts")
+    lo = F.col("before_size") if whole else F.col("before_size") + F.col("size") / 2
+    hi = F.col("before_size") + F.col("size") if whole else lo
+    inside = (lambda p: (lo >= p["_lo"]) & (hi <= p["_hi"])) if whole else (lambda p: (lo > p["_lo"]) & (lo <= p["_hi"]))
+    hit = F.get(F.filter("_parts", inside), F.lit(0))
+    return rows.join(F.broadcast(cut), key, "left").withColumn("shard", F.coalesce(hit["_to"], F.col(key).cast("int"))).drop("_parts")
 
 
 def _running(moves):
@@ -112,64 +121,124 @@ def _running(moves):
         at += n
 
 
-def assign(docs: DataFrame, old_shard, shards: int = 24, corrections: int = 2) -> DataFrame:
-    """doc_id, size, old_shard, shard and slot (gapless from 0 in its shard,
-    by doc_id) under the law `bytes`: shards of nearly equal bytes, and as few
+OWN = ("size", "old_shard", "shard", "slot")
+SEGMENTS = 2_000_000  # sent to every task up to here, at 32 bytes each; beyond, joined
+
+
+class Layout:
+    """Shards as files: `rows()` reads them all, in no order. kept and
+    rewritten: the numbers of files that stayed and that didn't."""
+
+    def __init__(self, stayed: DataFrame, written: DataFrame, kept: int, rewritten: int):
+        self.stayed, self.written, self.kept, self.rewritten = stayed, written, kept, rewritten
+
+    def rows(self) -> DataFrame:
+        return self.stayed.unionByName(self.written).select("_row.*", "size", "old_shard", "shard", "slot")
+
+
+def reshard(docs: DataFrame, old_shard, shards: int = 24, corrections: int = 2, segments: int = SEGMENTS) -> Layout:
+    """Rows of docs with size, old_shard, shard and slot (gapless from 0 in its
+    shard) under the law `bytes`: shards of nearly equal bytes, and as few
     bytes moved from old_shard (a column of ints) as that allows."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    before = docs.select(
+        F.struct(*[c for c in docs.columns if c not in OWN]).alias("_row"),
+        (F.octet_length(text) + 8).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("_crc"),
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
     )
-    rows = ordered(rows, ["old_shard", F.xxhash64("doc_id", "text_crc32"), "doc_id", "text_crc32"], ("size",), "reshard")
-    rows = rows.withColumnRenamed("before_size", "_before")
-    firsts = {int(r[0]): int(r[1]) for r in rows.groupBy("old_shard").agg(F.min("_before")).collect()}
-    old = _sizes(rows, "old_shard")
-    goal = even(sum(old.values()), shards)
-    plan = plan_transfers(old, goal)
-    at = docs.sparkSession.createDataFrame(list(firsts.items()) or [(-1, 0)], "old_shard int, _first long")
-    rows = rows.join(F.broadcast(at), "old_shard").withColumn("_within", F.col("_before") - F.col("_first"))
-    rows = _cut(rows, "old_shard", plan, False).select("doc_id", "size", "text_crc32", "old_shard", "shard")
+    doc = F.col("_row.doc_id").cast("long")
+    files = ordered(before, ["old_shard", F.xxhash64(doc, "_crc"), doc, "_crc"], ("size",), "layout", places=True)
+    files = files.withColumnsRenamed({"_pid": "_file", "_idx": "_place"})
+    rows = files.select(doc.alias("doc_id"), "size", "_crc", "old_shard", "_file", "_place", "before_size")
+    at = _starts(rows, "old_shard")
+    goal = even(sum(n for n, _ in at.values()), shards)
+    plan = plan_transfers({s: n for s, (n, _) in at.items()}, goal)
+    rows = _cut(rows, "old_shard", plan, {s: b for s, (_, b) in at.items()}, False).drop("before_size")
     for i in range(corrections):
-        rows = rows.withColumnRenamed("shard", "_at")
-        # Smallest first: a correction stops short by less than its next row.
-        rows = ordered(rows, ["_at", "size", "doc_id", "text_crc32"], ("size",), f"correct{i}")
-        now = {s: 0 for s in range(shards)} | _sizes(rows, "_at")
-        firsts = {int(r[0]): int(r[1]) for r in rows.groupBy("_at").agg(F.min("before_size")).collect()}
+        rows = materialize(rows, f"cut{i}")
+        changes = rows.groupBy("_file").agg(F.max((F.col("shard") != F.col("old_shard")).cast("int")).alias("_fixed"))  # a row per file
+        rows = rows.join(F.broadcast(changes), "_file").withColumnRenamed("shard", "_at")
+        # Rows of files that change anyway, smallest first: a correction stops short by less than its next row.
+        rows = ordered(rows, ["_at", F.col("_fixed").desc(), "size", "doc_id", "_crc", "_file", "_place"], ("size",), f"correct{i}").drop("_fixed", "rank")
+        at = _starts(rows, "_at")
+        now = {s: 0 for s in range(shards)} | {s: n for s, (n, _) in at.items()}
         moves = {s: [x for x in m if x[0] != s] for s, m in plan_transfers(now, goal).items()}
-        at = docs.sparkSession.createDataFrame(list(firsts.items()) or [(-1, 0)], "_at int, _first long")
-        rows = rows.join(F.broadcast(at), "_at").withColumn("_within", F.col("before_size") - F.col("_first"))
-        rows = _cut(rows, "_at", moves, True).select("doc_id", "size", "text_crc32", "old_shard", "shard")
-    rows = ordered(rows, ["shard", "doc_id", "text_crc32"], (), "slots")
-    first = rows.groupBy("shard").agg(F.min("rank").alias("_first"))
-    return rows.join(F.broadcast(first), "shard").withColumn("slot", F.col("rank") - F.col("_first")).drop("_first", "rank")
+        rows = _cut(rows, "_at", moves, {s: at[s][1] if s in at else 0 for s in now}, True).drop("before_size", "_at")
+    return _rewrite(files.drop("before_size", "rank"), segmented(rows), segments)
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str | None = None, affected: list[int] | None = None) -> str:
-    """Write the rows of the affected shards (all, if None) to path, one folder
-    per shard, in slot order within each file. Returns the path."""
-    spark = docs.sparkSession
-    path = path or scratch_path(spark, "shards")
-    if affected is not None:
-        placed = placed.where(F.col("shard").isin(affected))
-    mine = ("size", "old_shard", "shard", "slot")
-    right = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), *[F.col(c).alias(f"_{c}_of") for c in mine])
-    # Rows that are equal in doc_id and text take the slots of their kind in turn.
-    left = docs.withColumn("_crc_in", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    twice = right.groupBy("_id", "_crc").count().where("count > 1").limit(1).count()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_crc_in") == F.col("_crc"))
-    if twice:
-        from pyspark.sql import Window
-
-        left = left.withColumn("_nth_in", F.row_number().over(Window.partitionBy("doc_id", "_crc_in").orderBy(F.lit(0))))
-        right = right.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_crc").orderBy("_shard_of", "_slot_of")))
-        on = on & (F.col("_nth_in") == F.col("_nth"))
-    (
-        left.join(right, on)
-        .select(*[c for c in docs.columns if c not in mine], *[F.col(f"_{c}_of").alias(c) for c in mine])
-        .sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard")
-        .parquet(path)
-    )
-    return path
+def segmented(rows: DataFrame) -> DataFrame:
+    """Runs of rows of one shard in each file: _file, _lo, _hi (places), shard,
+    _base (the first one's slot) and whether the file changes."""
+    spark = rows.sparkSession
+
+    def runs(batches):
+        held = None  # an open run: file, first, last, shard, changes
+        for b in batches:
+            p, i, s, o = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+            if not len(p):
+                continue
+            first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1])))
+            last = np.append(first[1:], len(p)) - 1
+            now = [p[first], i[first], i[last], s[first], np.maximum.reduceat((s != o).astype(np.int64), first)]
+            if held is not None:
+                if held[0] == now[0][0] and held[3] == now[3][0]:
+                    now[1][0], now[4][0] = held[1], max(held[4], now[4][0])
+                else:
+                    now = [np.append(h, x) for h, x in zip(held, now, strict=True)]
+            held = [int(x[-1]) for x in now]
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1]) for x in now], names=["_file", "_lo", "_hi", "shard", "_moved"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], names=["_file", "_lo", "_hi", "shard", "_moved"])
+
+    x = rows.select("_file", "_place", "shard", "old_shard").repartition(partitions(spark), "_file").sortWithinPartitions("_file", "_place")
+    x = x.mapInArrow(runs, "_file long, _lo long, _hi long, shard long, _moved long").withColumn("_n", F.col("_hi") - F.col("_lo") + 1)
+    x = ordered(x, ["shard", "_file", "_lo"], ("_n",), "segments")
+    first = x.groupBy("shard").agg(F.min("before__n").alias("_first"))  # a row per shard
+    change = x.groupBy("_file").agg(F.max("_moved").alias("_changed"))  # a row per file
+    x = x.join(F.broadcast(first), "shard").join(F.broadcast(change), "_file")
+    return materialize(x.select("_file", "_lo", "_hi", "shard", (F.col("before__n") - F.col("_first")).alias("_base"), "_changed"), "segments")
+
+
+def _placed(files: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """files' rows with shard and slot, by the segments of found."""
+    spark = files.sparkSession
+    names = [c for c in files.columns if c not in ("_file", "_place", "_crc")]
+    n = found.count()
+    if n > most:
+        each = found.select(F.col("_file").alias("_p"), "_lo", "shard", "_base", F.explode(F.sequence("_lo", "_hi")).alias("_i"))
+        rows = files.join(each, (files._file == each._p) & (files._place == each._i))
+        return rows.select(*names, F.col("shard").cast("int").alias("shard"), (F.col("_base") + F.col("_i") - F.col("_lo")).alias("slot"))
+    table = np.array([tuple(r) for r in found.select("_file", "_lo", "shard", "_base").collect()], dtype=np.int64).reshape(-1, 4)
+    shared = spark.sparkContext.broadcast(table[np.lexsort((table[:, 1], table[:, 0]))])
+
+    def place(batches):
+        where = shared.value
+        key = where[:, 0] << 40 | where[:, 1]  # a file has fewer than 2**40 rows
+        for b in batches:
+            at = b.schema.names.index
+            pid, idx = (b.column(at(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_file", "_place"))
+            i = np.searchsorted(key, pid << 40 | idx, side="right") - 1
+            cols = [b.column(at(c)) for c in names] + [pa.array(where[i, 2].astype(np.int32)), pa.array(where[i, 3] + idx - where[i, 1])]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "shard", "slot"])
+
+    schema = T.StructType([*(files.schema[c] for c in names), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    return files.mapInArrow(place, schema)
+
+
+def _rewrite(files: DataFrame, found: DataFrame, most: int) -> Layout:
+    spark = files.sparkSession
+    state = dict(found.groupBy("_file").agg(F.max("_changed")).collect())  # a row per file
+    changed, same = sorted(p for p, c in state.items() if c), sorted(p for p, c in state.items() if not c)
+    stayed = _placed(files.where(F.col("_file").isin(same)), found.where("_changed = 0"), most)
+    moved = _placed(files.where(F.col("_file").isin(changed)), found.where("_changed = 1"), most)
+    path = scratch_path(spark, "shards")
+    moved.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return Layout(stayed, spark.read.schema(moved.schema).parquet(path), len(same), len(changed))
+
+
+def assign(docs: DataFrame, old_shard, shards: int = 24, corrections: int = 2) -> DataFrame:
+    """doc_id, size, old_shard, shard and slot of every row of the new layout."""
+    return reshard(docs, old_shard, shards, corrections).rows().select("doc_id", "size", "old_shard", "shard", "slot")
