@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, materialize, ordered, text_bytes
+from firnline.llm.common import give_back, materialize, ordered, small_table, text_bytes
 
 GOLDEN = 0.6180339887498949
 BLOCK_WORDS = 64
@@ -77,7 +77,7 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
     goal = targets([(s, n) for s, n, _ in found], weights, share, most)
     goal = {s: float(t) for s, t in goal.items()}
     named = sorted(found, key=lambda x: (x[0] is None, (x[0] or "").encode()))
-    info = spark.createDataFrame(
+    info = small_table(spark, 
         [(i, s, n, first, goal[s], int(goal[s] + 0.5), -(-n // block_words)) for i, (s, n, first) in enumerate(named)],
         "_s int, source string, source_size long, _first long, target double, _words long, _blocks long",
     )
@@ -105,16 +105,16 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         drawn = dict(slots.groupBy("_s").count().collect())
         short = [(total + i, s) for i, s in enumerate(s for s in range(len(named)) for _ in range(int(need[s]) - drawn.get(s, 0)))]
         if short:  # the points' discrepancy, a few slots per source
-            slots = slots.unionByName(spark.createDataFrame(short, "slot long, _s int"))
+            slots = slots.unionByName(small_table(spark, short, "slot long, _s int"))
         ranked = ordered(slots, [F.col("_s"), F.col("slot")], (), "slots")
         start, at = [], 0
         for s in range(len(named)):
             start.append((s, at))
             at += drawn.get(s, 0) + max(0, int(need[s]) - drawn.get(s, 0))
-        first = spark.createDataFrame(start, "_s int, _at long")
+        first = small_table(spark, start, "_s int, _at long")
         ranked = ranked.join(F.broadcast(first), "_s").withColumn("nth", F.col("rank") - F.col("_at"))
     else:
-        ranked = spark.createDataFrame([], "slot long, _s int, rank long, nth long")
+        ranked = small_table(spark, [], "slot long, _s int, rank long, nth long")
     blocks = F.col("_blocks")
     length = F.least(F.lit(block_words), F.col("source_size") - F.pmod(F.col("nth"), blocks) * block_words)
     # What the slots of a source before this one take: whole passes, then blocks.

@@ -1,15 +1,21 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous
-supersteps.
-
-A distributed range sort ranks all pieces by length. Lengths and gaps lie in
-1..capacity, so the sorted lists of pieces and gaps are run-length lists with
-a bound that doesn't depend on the corpus. One superstep handles one length,
-longest first: all its pieces look for their successor, the least gap that
-holds them; pieces that meet the same run of gaps are told apart by rank; the
-gaps they fill shrink and return to the list; what finds no gap opens new
-sequences. The steps' result is a table of (length, rank interval) ->
-(sequence interval, offset), through which every piece finds its place by its
-own rank.
+rounds.
+
+A round sorts the pieces still without a place and the gaps of the open
+sequences together, longest first, by a distributed range sort. A sweep down
+that order gives each piece its successor, the least gap that holds it: gaps
+wait on a stack, a piece takes its top. Where pieces want the same gap, the
+first by rank gets it, the next takes the gap below on the stack. Each task
+sweeps its own range; what pieces and gaps it leaves over meet those of other
+tasks by their counts alone, of which the driver sees two per task. Then gaps
+shrink by what they took, and rounds repeat until all pieces are placed.
+
+Longer pieces go first: a round takes those of over half the longest one's
+length, or all once none is longer than a fortieth of the capacity. A gap
+offers a place for each time the longest piece of the round that any open gap
+holds goes into it, so that many short pieces fill it in one round. Pieces longer
+than every gap open new sequences: as many as their tokens fill, or as pieces
+of over half the capacity need.
 
 Defined results: a null or empty text is its end token alone; a document over
 the capacity is cut, others never; rows with equal doc_id are separate
@@ -18,65 +24,19 @@ documents; an empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firnline.llm.common import give_back, materialize, ordered, regrouped
+from firnline.llm.common import give_back, materialize, partitions, regrouped, small_table
 from firnline.llm.tokens import Encoder
 
 
-def pack_runs(counts: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
-    """Best-fit decreasing over run-length lists. counts: pieces per length.
-    Returns rows (length, first rank, rank count, first sequence, offset) and
-    the number of sequences."""
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs (first sequence, count)
-    sizes: list[int] = []  # the gaps that exist, ascending
-    rows, made = [], 0
-
-    def put(gap: int, first: int, n: int) -> None:
-        if gap <= 0:
-            return
-        if gap not in gaps:
-            gaps[gap] = []
-            bisect.insort(sizes, gap)
-        gaps[gap].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            i = bisect.bisect_left(sizes, length)
-            if i < len(sizes):
-                gap = sizes[i]
-                first, n = gaps[gap].pop()
-                if n > left:
-                    gaps[gap].append((first + left, n - left))
-                    n = left
-                if not gaps[gap]:
-                    del gaps[gap]
-                    sizes.pop(i)
-                rows.append((length, rank, n, first, capacity - gap))
-                put(gap - length, first, n)
-                rank, left = rank + n, left - n
-            else:
-                each = capacity // length
-                n = left // each
-                for k in range(each if n else 0):
-                    rows.append((length, rank + k * n, n, made, k * length))
-                put(capacity - each * length, made, n)
-                made, rank, left = made + n, rank + each * n, left - each * n
-                if left:
-                    for k in range(left):
-                        rows.append((length, rank + k, 1, made, k * length))
-                    put(capacity - left * length, made, 1)
-                    made, left = made + 1, 0
-    return np.array(rows, dtype=np.int64).reshape(-1, 5), made
-
-
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
@@ -102,32 +62,154 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     )
 
 
-def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a `length` of 1..capacity."""
-    spark = cut.sparkSession
-    cut = materialize(cut, "cut")  # the range sort reads its input twice
-    ranked = ordered(
-        cut.withColumn("_h", F.xxhash64("doc_id", "piece", "ids_crc32")), [F.col("length").desc(), "_h", "doc_id", "piece"], (), "pieces"
+def bracketed(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a row of gaps (True) and pieces (False), longest first: for each piece
+    the place of the gap it takes, or -1; and the places of the gaps left. A
+    piece takes the last gap before it that no piece between has taken."""
+    depth = np.cumsum(np.where(gap, 1, -1))
+    least = np.minimum.accumulate(np.append(0, depth))[:-1]
+    alone = ~gap & (depth < least)  # no gap is left before it
+    use = np.flatnonzero(~alone)
+    level = depth[use] + ~gap[use]
+    order = use[np.argsort(level, kind="stable")]
+    level = np.sort(level, kind="stable")
+    # Gaps and pieces take turns within a level: each piece follows its gap.
+    follows = np.append(False, level[1:] == level[:-1]) & ~gap[order]
+    taken = np.full(len(gap), -1)
+    at = np.flatnonzero(follows)
+    taken[order[at]] = order[at - 1]
+    left = gap.copy()
+    left[order[at - 1]] = False
+    return taken, np.flatnonzero(left)
+
+
+SWEPT = "id long, length long, seq long, gap long, slot long, part int, nth long, is_gap boolean"
+
+
+def _sweep(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """Pieces with the slot they got in their own task; pieces and gaps left
+    over there, numbered by `nth` in each task (`part`)."""
+    names = [f.split()[0] for f in SWEPT.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64(), pa.bool_()]
+    rows = pieces.select(F.col("length").alias("key"), F.lit(1).alias("kind"), "id", F.lit(0).cast("long").alias("slot")).unionByName(
+        slots.select(F.col("gap").alias("key"), F.lit(0).alias("kind"), F.col("seq").alias("id"), "slot")
     )
-    counts = {int(r[0]): int(r[1]) for r in ranked.groupBy("length").count().collect()}  # at most `capacity` rows
-    table, _ = pack_runs(counts, capacity)
-    at, firsts = 0, np.zeros(capacity + 2, dtype=np.int64)
-    for length in sorted(counts, reverse=True):
-        firsts[length] = at
-        at += counts[length]
-    begin = firsts[table[:, 0]] + table[:, 1]
-    order = np.argsort(begin, kind="stable")
-    # At most a few runs per length and sequence depth: bounded by the capacity alone.
-    shared = spark.sparkContext.broadcast((begin[order], table[order]))
-    names = [*cut.columns, "sequence_id", "offset"]
-
-    def place(batches):
-        begin, table = shared.value
+    order = [F.col("key").desc(), "kind", "id", "slot"]
+
+    def run(batches):
+        part, short = TaskContext.get().partitionId(), 0
+        stack = np.zeros((0, 3), dtype=np.int64)  # gap, seq, slot
+
+        def out(n, piece=None, place=None, nth=None, is_gap=False):
+            cols = [None, None] if piece is None else [piece[:, 1], piece[:, 0]]
+            cols += [None, None, None] if place is None else [place[:, 1], place[:, 0], place[:, 2]]
+            cols += [np.full(n, part), nth, np.full(n, is_gap)]
+            return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+
+        for b in batches:
+            key, kind, id, slot = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns)
+            both = np.vstack([stack, np.stack([key, id, slot], axis=1)])
+            gap = np.append(np.ones(len(stack), dtype=bool), kind == 0)
+            taken, left = bracketed(gap)
+            got = np.flatnonzero(taken >= 0)
+            yield out(len(got), both[got], both[taken[got]])
+            none = np.flatnonzero(~gap & (taken < 0))
+            yield out(len(none), both[none], None, short + np.arange(len(none)))
+            short += len(none)
+            stack = both[left]
+        for lo in range(0, len(stack), 1 << 16):
+            some = stack[lo : lo + (1 << 16)]
+            yield out(len(some), None, some, lo + np.arange(len(some)), True)
+
+    x = rows.repartitionByRange(partitions(rows.sparkSession), *order).sortWithinPartitions(*order)
+    return materialize(x.mapInArrow(run, SWEPT), "swept")
+
+
+def reconciled(left: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """left: (task, pieces, gaps) left over, by task. Rows (task, first piece,
+    end piece, task of the gaps, gap of the first piece); later pieces take the
+    gaps below it in turn."""
+    stack, out = [], []
+    for task, pieces, gaps in sorted(left):
+        at = 0
+        while at < pieces and stack:
+            other, n = stack.pop()
+            k = min(n, pieces - at)
+            out.append((task, at, at + k, other, n - 1))
+            if n > k:
+                stack.append((other, n - k))
+            at += k
+        if gaps:
+            stack.append((task, gaps))
+    return out
+
+
+def _matched(pieces: DataFrame, slots: DataFrame) -> DataFrame:
+    """id, length of all pieces, with the seq, gap and slot each one takes in
+    this round, or nulls."""
+    spark = pieces.sparkSession
+    swept = _sweep(pieces, slots)
+    over = swept.where("nth is not null").groupBy("part").agg(F.count(F.when(~F.col("is_gap"), 1)), F.count(F.when(F.col("is_gap"), 1)))
+    meet = small_table(spark, reconciled([tuple(r) for r in over.collect()]), "_part int, _lo long, _hi long, _of int, _top long")  # two rows a task
+    waiting = swept.where("nth is not null and not is_gap")
+    here = (waiting.part == meet._part) & (waiting.nth >= meet._lo) & (waiting.nth < meet._hi)
+    wants = waiting.join(F.broadcast(meet), here, "left").select("id", "length", "_of", (F.col("_top") - (F.col("nth") - F.col("_lo"))).alias("_nth"))
+    free = swept.where("is_gap").select("seq", "gap", "slot", F.col("part").alias("_of"), F.col("nth").alias("_nth"))
+    met = wants.join(free, ["_of", "_nth"], "left").select("id", "length", "seq", "gap", "slot")
+    return swept.where("nth is null").select("id", "length", "seq", "gap", "slot").unionByName(met)
+
+
+def _numbered(cut: DataFrame) -> DataFrame:
+    """cut with a number of its own for each row, written once."""
+    schema = T.StructType([*cut.schema.fields, T.StructField("_id", T.LongType())])
+
+    def number(batches):
+        n = TaskContext.get().partitionId() << 40
         for b in batches:
-            rank = b.column(b.schema.names.index("rank")).to_numpy()
-            i = np.searchsorted(begin, rank, side="right") - 1
-            cols = [b.column(b.schema.names.index(c)) for c in names[:-2]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(table[i, 3] + rank - begin[i]), pa.array(table[i, 4])], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n + np.arange(b.num_rows))], names=schema.names)
+            n += b.num_rows
+
+    return materialize(cut.mapInArrow(number, schema), "cut")
+
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return ranked.drop("_h").mapInArrow(place, f"{fields}, sequence_id long, offset long")
+def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
+    """Adds sequence_id and offset to pieces with a `length` of 1..capacity."""
+    spark = cut.sparkSession
+    cut = _numbered(cut)
+    left = cut.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("length"))
+    gaps = small_table(spark, [], "seq long, gap long")
+    placed, made, widest, longest = [], 0, 0, left.agg(F.max("length")).first()[0]
+    while longest:
+        length, over = F.col("length"), F.col("length") > widest
+        # Of the pieces not longer than this, none goes in this round.
+        short = longest // 2 if longest > capacity // 40 else 0
+        now = length > short
+        least, longest_held, tokens, halves = left.agg(
+            F.min(F.when(now, length)),
+            F.max(F.when(now & ~over, length)),
+            F.sum(F.when(over, length)),
+            F.count(F.when(over & (length > capacity // 2), 1)),
+        ).first()
+        new = max(-(-(tokens or 0) // capacity), halves)
+        fresh = spark.range(new).select((F.col("id") + made).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
+        made += new
+        # A gap offers as many places as surely hold the longest piece it can get.
+        most = F.when(F.col("gap") > widest, F.lit(longest)).otherwise(F.lit(longest_held or 1))
+        gaps = gaps.unionByName(fresh)
+        places = gaps.where(F.col("gap") >= least).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.floor(F.col("gap") / most)))))
+        round_ = materialize(_matched(left.where(now), places), "round")
+        got = round_.where("seq is not null")
+        before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot")) - F.col("length")  # at most `capacity` rows each
+        placed.append(got.select(F.col("id").alias("_id"), F.col("seq").alias("sequence_id"), (capacity - F.col("gap") + before).alias("offset")))
+        left = left.where(~now).unionByName(round_.where("seq is null").select("id", "length"))
+        longest = left.agg(F.max("length")).first()[0]
+        used = got.groupBy("seq").agg(F.sum("length").alias("_used"))
+        gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where("gap > 0")
+        gaps = materialize(gaps, "gaps")
+        widest = gaps.agg(F.max("gap")).first()[0] or 0
+    if not placed:
+        return cut.select(*[c for c in cut.columns if c != "_id"], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    where = placed[0]
+    for p in placed[1:]:
+        where = where.unionByName(p)
+    return cut.join(where, "_id").drop("_id")

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from firnline.llm.common import small_table
+
 SEGMENT = 16
 SHARD_ROWS = 20_000
 BLOCK_QUERIES = 512
@@ -101,7 +103,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
     bits = vectors.agg(F.max(F.size(vector_column))).first()[0]
     schema = "query_id long, id long, distance int"
     if not bits or bits < 0:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_column} long, distance int")
+        return small_table(vectors.sparkSession, [], f"query_id long, rank int, {id_column} long, distance int")
     index, asked = coded(vectors, id_column, vector_column, bits), coded(queries, id_column, vector_column, bits)
     shards = max(1, -(-vectors.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
