@@ -6,14 +6,20 @@ adds its children's densities. The node of the largest sum is the core of the
 article; the least density on its path to the body is the threshold that
 neighbours of the path must reach to be taken as well.
 
-Nodes that name themselves as page furniture (navigation, forms, scripts,
-adverts, comments, ...) are left out before densities are taken, unless only a
-class or id says so and the node holds the page's article, main element or most
-of its text outside links.
+What can't be seen (scripts, styles, hidden elements, form controls) is no
+text. Nodes that name themselves as page furniture, by tag, role, class or id
+(navigation, adverts, comments, ...), are told from the text around them by
+their density as well, lowered by LOWERED: inside the core or beside its path
+they go where that is below the threshold. One that holds the core, the page's
+article or main element, or most of its text outside links isn't furniture.
+A header inside an article or main element is the article's own.
+
+Pages are read in time linear in their length, whatever is left open in them.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
-rows give a row each; very long pages are read whole; extra columns are
-ignored.
+rows give a row each; very long pages are read whole; an unclosed tag ends at
+the next ">", an unclosed comment or script at the page's end; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe|title|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[^>\"']*+")
+# Elements whose content is raw text.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,9 +47,11 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"body", "caption", "html", "legend", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
-FURNITURE = frozenset(
-    "nav header footer aside form script style noscript template textarea svg iframe title head select button menu dialog object embed canvas audio video".split()
+UNSEEN = frozenset(
+    "script style noscript template textarea svg math iframe title head select button object embed canvas audio video xmp noembed noframes".split()
 )
+FURNITURE = frozenset("nav header footer aside form menu dialog".split())
+LOWERED = 0.02
 TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table tbody thead tfoot tr td th figure figcaption center address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 # Words by which class and id name page furniture.
@@ -55,6 +63,8 @@ NAMED = re.compile(
     r"(?:$|[\s_-]|\d)",
     re.I,
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+P_SCOPE = ("td", "th", "table", "button", "caption", "object")
 # Start tags that end an open element of their own kind.
 SIBLINGS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -68,120 +78,173 @@ SIBLINGS = {
 
 
 class Node:
-    __slots__ = ("tag", "items", "skip", "named", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "items", "skip", "suspect", "named", "lowered", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool, named: bool = False):
-        self.tag, self.parent, self.skip, self.named, self.items = tag, parent, skip, named, []
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, suspect: bool = False, named: bool = False):
+        self.tag, self.parent, self.skip, self.suspect, self.named, self.items = tag, parent, skip, suspect, named, []
 
 
-def _furniture(tag: str, attributes: str) -> bool:
-    if tag in FURNITURE:
-        return True
-    if not attributes or tag in ("body", "html", "main", "article"):
-        return False
+def _hidden(attributes: str) -> tuple[bool, bool]:
+    """Whether attributes hide an element, and whether its role is furniture."""
+    role = False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, False
+        if name == "style" and _INVISIBLE.search(value):
+            return True, False
+        role = role or name == "role" and value in ROLES
+    return False, role
+
+
+_WITHOUT = re.compile(r"\b(?:no|not|has|with|without)[-_]\S*")
 
 
 def _named(attributes: str) -> bool:
-    return bool(attributes) and any(n.lower() in ("class", "id") and NAMED.search(v.strip("\"'")) for n, v in _ATTRIBUTE.findall(attributes))
+    return bool(attributes) and any(n.lower() in ("class", "id") and NAMED.search(_WITHOUT.sub("", v.strip("\"'"))) for n, v in _ATTRIBUTE.findall(attributes))
+
+
+def tokens(page: str):
+    """(text before, closing, tag name, attributes) of each tag; the last has
+    no name. Each step goes on where the last one ended, and what is known to
+    be missing from the rest of the page isn't looked for again."""
+    at, text, end = 0, 0, len(page)
+    gone: dict[str, bool] = {}  # what the rest of the page doesn't hold
+
+    def find(what: str, start: int) -> int:
+        if gone.get(what):
+            return -1
+        i = page.find(what, start)
+        gone[what] = i < 0
+        return i
+
+    while (lt := page.find("<", at)) >= 0:
+        if page.startswith("<!--", lt):
+            z = find("-->", lt + 4)
+            yield page[text:lt], "", "", ""
+            at = text = end if z < 0 else z + 3
+            continue
+        m = _TAG.match(page, lt + 1)
+        if not m:
+            if page[lt + 1 : lt + 2] in ("!", "?", "/") and (z := find(">", lt)) >= 0:
+                yield page[text:lt], "", "", ""
+                at = text = z + 1
+            else:
+                at = lt + 1
+            continue
+        z = m.end()
+        while True:  # to the > that no quotes hold
+            z = _QUOTED.match(page, z).end()
+            if z >= end or page[z] == ">":
+                break
+            close = find(page[z], z + 1)
+            if close < 0:
+                z = find(">", z)
+                break
+            z = close + 1
+        if z < 0 or z >= end:  # no > is left
+            at = end
+            break
+        yield page[text:lt], m[1], m[2].lower(), page[m.end() : z]
+        at = text = z + 1
+        if not m[1] and m[2].lower() in RAW and not page[z - 1] == "/":
+            close = _RAW_END[m[2].lower()].search(page, at)
+            at = text = end if close is None else close.start()
+    yield page[text:], "", "", ""
+
+
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 def parse(page: str) -> Node:
     """A tree of nodes; items are texts and nodes in page order."""
-    root = Node("body", None, False)
-    at, last, wrapped = root, 0, False
-
-    def close(upto: Node) -> Node:
-        return upto.parent or root
-
-    def find(kinds, stops) -> Node | None:
-        x = at
-        while x is not root:
-            if x.tag in kinds:
-                return x
-            if x.tag in stops:
-                return None
-            x = x.parent
-        return None
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > last:
-            at.items.append(page[last : m.start()])
-        last = m.end()
-        tag = (m[3] or "").lower()
+    root = Node("body", None)
+    open_: list[Node] = [root]
+    where: dict[str, list[int]] = {}  # of each tag, the places of its open nodes
+    suspects = False
+
+    def last(kinds) -> int:
+        return max((where[k][-1] for k in kinds if where.get(k)), default=0)
+
+    def close(upto: int) -> None:
+        while len(open_) > upto:
+            where[open_.pop().tag].pop()
+
+    for text, closing, tag, attributes in tokens(page):
+        if text:
+            open_[-1].items.append(text)
         if not tag or tag in ("html", "body"):
-            at = root if tag == "body" and not m[2] else at
+            if tag == "body" and not closing:
+                close(1)
             continue
-        if m[2]:
+        if closing:
             if tag == "br":
-                at.items.append(Node("br", at, False))
-                continue
-            x = find({tag}, ())
-            if x is not None:
-                at = close(x)
+                open_[-1].items.append(Node("br", open_[-1]))
+            elif where.get(tag):
+                close(where[tag][-1])
             continue
-        if tag in CLOSES_P:
-            while (x := find({"p"}, {"td", "th", "table", "button", "caption", "object"})) is not None:
-                at = close(x)
-        if tag in SIBLINGS and (x := find(*SIBLINGS[tag])) is not None:
-            at = close(x)
-        if tag[0] == "h" and tag[1:].isdigit() and at.tag[0] == "h" and at.tag[1:].isdigit():
-            at = close(at)
-        named = _named(m[4])
-        hard = _furniture(tag, m[4])
-        node = Node(tag, at, hard or named and tag not in ("main", "article"), named and not hard)
-        wrapped = wrapped or node.named
-        at.items.append(node)
-        if tag not in VOID and not m[4].endswith("/"):
-            at = node
-    if last < len(page):
-        at.items.append(page[last:])
-    if wrapped:
+        if tag in CLOSES_P and where.get("p") and where["p"][-1] > last(P_SCOPE):
+            close(next(i for i in where["p"] if i > last(P_SCOPE)))
+        if tag in SIBLINGS:
+            kinds, stops = SIBLINGS[tag]
+            if (i := last(kinds)) > last(stops):
+                close(i)
+        if tag in HEADINGS and open_[-1].tag in HEADINGS:
+            close(len(open_) - 1)
+        unseen, role = _hidden(attributes) if attributes else (False, False)
+        named = _named(attributes) and tag not in ("main", "article")
+        furniture = role or tag in FURNITURE and not (tag == "header" and last(("article", "main")))
+        node = Node(tag, open_[-1], unseen or tag in UNSEEN, furniture or named, named and not furniture)
+        suspects = suspects or node.named
+        open_[-1].items.append(node)
+        if tag not in VOID and not attributes.endswith("/"):
+            where.setdefault(tag, []).append(len(open_))
+            open_.append(node)
+    if suspects:
         _keep_wrappers(root)
     return root
 
 
 def _keep_wrappers(root: Node) -> None:
-    """Nodes that only a class or id calls furniture are kept if they hold the
-    main element, most of the articles' text or most of the page's, all outside
-    links and without the furniture in them."""
-    nodes, stack = [], [root]
+    """Nodes that only a class or id calls furniture aren't if they hold the
+    main element or most of the articles' text, or three quarters of the text of
+    the article they are in (of the page, if it has no article elsewhere), all
+    outside links and without the furniture in them."""
+    nodes, stack, around = [], [root], {id(root): None}  # around: the article a node is in
     while stack:
         x = stack.pop()
         nodes.append(x)
-        stack.extend(i for i in x.items if isinstance(i, Node) and (i.named or not i.skip) and i.tag != "a")
+        article = x if x.tag in ("article", "main") and not x.suspect else around[id(x)]
+        for i in x.items:
+            if isinstance(i, Node) and not i.skip and i.tag != "a":
+                stack.append(i)
+                around[id(i)] = article
     plain = {id(x): sum(len(_SPACE.sub(" ", i).strip()) for i in x.items if isinstance(i, str)) for x in nodes}
-    whole = held_whole = sum(plain.values())
+    articles, every = 0, plain
     kept: list[Node] = []
     for step in range(2):  # the articles' text of the page, then who holds it
         own = plain.copy()
         held, main = dict.fromkeys(plain, 0), dict.fromkeys(plain, False)
         for x in reversed(nodes):
             k = id(x)
-            if x.tag in ("article", "main") and not x.named:
+            if x.tag in ("article", "main") and not x.suspect:
                 held[k], main[k] = own[k], main[k] or x.tag == "main"
-            if x.skip and step and (main[k] or 2 * held[k] > held_whole or 2 * own[k] > whole):
-                kept.append(x)
-            elif x.skip and step:
-                continue
+            if x.suspect and step:
+                whole = every[id(around[k] or root)] if around[k] or held[k] == articles else math.inf
+                if x.named and (main[k] or 2 * held[k] > articles or 4 * own[k] > 3 * whole):
+                    kept.append(x)
+                else:
+                    continue
             if x.parent is not None:
                 p = id(x.parent)
                 own[p], held[p], main[p] = own[p] + own[k], held[p] + held[k], main[p] or main[k]
-        held_whole = held[id(root)]
+        articles, every = held[id(root)], own
     for x in kept:
-        x.skip = False
+        x.suspect = False
 
 
 def _order(root: Node) -> list[Node]:
-    """All kept nodes, parents first."""
+    """All nodes that can be seen, parents first."""
     out, stack = [], [root]
     while stack:
         x = stack.pop()
@@ -191,23 +254,25 @@ def _order(root: Node) -> list[Node]:
 
 
 def densities(root: Node) -> list[Node]:
+    """Densities and their sums, of all nodes; furniture's are lowered, and its
+    text doesn't count for what it stands in."""
     nodes = _order(root)
     for x in nodes:
         x.chars = x.tags = x.link_chars = x.link_tags = 0
         x.total = 0.0
+        x.lowered = (LOWERED if x.suspect else 1.0) * (x.parent.lowered if x.parent is not None else 1.0)
     for x in reversed(nodes):
         for i in x.items:
             if isinstance(i, str):
                 x.chars += len(_SPACE.sub(" ", i).strip())
-            elif not i.skip:
+            elif not i.skip and not i.suspect:
                 x.chars += i.chars
                 x.tags += i.tags + 1
                 x.link_chars += i.link_chars
                 x.link_tags += i.link_tags
         if x.tag == "a":
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
-    body = root
-    share = body.link_chars / body.chars if body.chars else 0.0
+    share = root.link_chars / root.chars if root.chars else 0.0
     for x in nodes:
         if not x.chars:
             x.density = 0.0
@@ -216,38 +281,50 @@ def densities(root: Node) -> list[Node]:
             tags, links = max(x.tags, 1), max(x.link_tags, 1)
             base = math.log(x.chars * x.link_chars / max(plain, 1) + share * x.chars + math.e)
             kind = max(x.chars / max(x.link_chars, 1) * tags / links, 1.0)
-            x.density = x.chars / tags * math.log(kind, base) if x.link_chars else x.chars / tags
+            x.density = (x.chars / tags * math.log(kind, base) if x.link_chars else x.chars / tags) * x.lowered
     for x in nodes:
-        if x.parent is not None:
+        if x.parent is not None and not x.suspect:
             x.parent.total += x.density
-        if not any(isinstance(i, Node) and not i.skip for i in x.items):
+        if not any(isinstance(i, Node) and not i.skip and not i.suspect for i in x.items):
             x.total += x.density
     return nodes
 
 
+def _path(x: Node | None) -> list[Node]:
+    out = []
+    while x is not None:
+        out.append(x)
+        x = x.parent
+    return out
+
+
 def content(root: Node) -> list[Node]:
-    """The roots of the kept subtrees, in page order."""
-    nodes = densities(root)
-    best = max(nodes, key=lambda x: x.total)
+    """The roots of the kept subtrees, in page order; what goes from within
+    them is marked."""
+    for again in (True, False):
+        nodes = densities(root)
+        best = max(nodes, key=lambda x: x.total)
+        path = _path(best)
+        holders = [x for x in path if x.suspect]
+        for x in holders:  # what holds the core isn't furniture
+            x.suspect = False
+        if not holders or not again:
+            break
     if not best.chars:
         return []
-    path, x = [], best
-    while x is not None:
-        path.append(x)
-        x = x.parent
     threshold = min(y.density for y in path)
-    on_path = set(map(id, path))
+    place = {id(x): i for i, x in enumerate(path)}
     core = best
     while core.parent is not None and (core.tag not in BLOCK or core.tag in TEXTUAL):
         core = core.parent  # a paragraph stands for the container it is in
     for x in path:
-        if x.tag in ("article", "main") and id(core) in on_path and path.index(x) > path.index(core):
+        if x.tag in ("article", "main") and place[id(x)] > place[id(core)]:
             core = x
             break
     kept, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x is core or id(x) not in on_path:
+        if x is core or id(x) not in place:
             links = x.link_chars / x.chars if x.chars else 0.0
             if x is core or x.density >= threshold and links < 0.5:
                 kept.append(x)
@@ -258,10 +335,14 @@ def content(root: Node) -> list[Node]:
         x = stack.pop()
         inside.add(id(x))
         stack.extend(i for i in x.items if isinstance(i, Node) and not i.skip)
-    for x in nodes:  # lists of links beside the core are menus; those of the article itself stay
-        if x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars and id(x) not in inside and not any(x is k for k in kept):
+    whole = set(map(id, kept))
+    for x in nodes:
+        if x.suspect and x.density < threshold:
+            x.skip = True
+        # Lists of links beside the core are menus; those of the article itself stay.
+        elif x.tag in BLOCK and x.link_tags >= 3 and x.link_chars > 0.6 * x.chars and id(x) not in inside and id(x) not in whole:
             x.skip = True
-    return kept
+    return [x for x in kept if not x.skip]
 
 
 def blocks(nodes: list[Node]) -> list[str]:
