@@ -156,24 +156,27 @@ def by_chance(hits: int, n: int, share: float) -> float:
     return math.fsum(math.exp(whole - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * a + (n - i) * b) for i in range(hits, n + 1))
 
 
-def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, rounds: int = 50):
-    """EM on a 0/1 matrix (texts x voters). A voter that doesn't fire abstains;
-    that no trusted voter fires is a vote of its own. trusted: voters whose
-    firing starts a text off as likely toxic. Returns posteriors, rates (voters
-    x 2) and the voters' correlations beyond their rates (voters x voters)."""
+def label_model(votes: np.ndarray, trusted: np.ndarray, prior: float = 0.1, rounds: int = 50, times: np.ndarray | None = None):
+    """EM on a 0/1 matrix (texts x voters), or one of distinct rows and how many
+    times each occurs. A voter that doesn't fire abstains; that no trusted voter
+    fires is a vote of its own. trusted: voters whose firing starts a text off
+    as likely toxic. Returns posteriors, rates (voters x 2) and the voters'
+    correlations beyond their rates (voters x voters)."""
     silent = ~votes[:, trusted].any(axis=1) if trusted.any() else np.zeros(len(votes), dtype=bool)
     x = np.hstack([votes, silent[:, None]])
     n, k = x.shape
+    many = np.ones(n) if times is None else times.astype(float)
     post = np.where(silent, 0.02, 0.95) if trusted.any() else np.full(n, prior)
     together, rates = np.zeros((k, k)), np.zeros((k, 2))
     for step in range(rounds):
-        rates[:, 1] = (x.T @ post + 0.1) / (post.sum() + 1)
-        rates[:, 0] = (x.T @ (1 - post) + 0.1) / ((1 - post).sum() + 1)
-        share = np.clip(post.mean() if n else prior, 0.005, 0.5)
+        yes, no = post * many, (1 - post) * many
+        rates[:, 1] = (x.T @ yes + 0.1) / (yes.sum() + 1)
+        rates[:, 0] = (x.T @ no + 0.1) / (no.sum() + 1)
+        share = np.clip(yes.sum() / many.sum() if n else prior, 0.005, 0.5)
         if step % 4 == 3:  # with the posteriors of by now
             # Correlation within a class: firing together that rates leave over.
             rest = np.zeros((k, k))
-            for y, p in ((1, post), (0, 1 - post)):
+            for y, p in ((1, yes), (0, no)):
                 z = (x - rates[:, y]) * np.sqrt(p)[:, None]
                 sd = np.sqrt(np.maximum((z * z).sum(axis=0), 1e-9))
                 rest = np.maximum(rest, z.T @ z / np.outer(sd, sd) - 3 / np.sqrt(max(p.sum(), 1)))
@@ -199,25 +202,26 @@ def features(counts: dict[int, int], n: int, strong: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
-    """Logistic regression on soft labels by damped Newton steps; the last
-    weight is the intercept."""
+def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60, times: np.ndarray | None = None) -> np.ndarray:
+    """Logistic regression on soft labels by damped Newton steps, of rows that
+    occur so many times; the last weight is the intercept."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.full(x.shape[1], penalty * max(len(x), 1))
+    many = np.ones(len(x)) if times is None else times.astype(float)
+    ridge = np.full(x.shape[1], penalty * max(many.sum(), 1))
     ridge[-1] *= 0.01
-    mean = np.clip(y.mean() if len(y) else 0.1, 0.001, 0.999)
+    mean = np.clip(many @ y / many.sum() if len(y) else 0.1, 0.001, 0.999)
     w = np.zeros(x.shape[1])
     w[-1] = np.log(mean / (1 - mean))
 
     def loss(w):
         z = x @ w
-        return np.logaddexp(0, z).sum() - y @ z + 0.5 * ridge @ (w * w)
+        return many @ (np.logaddexp(0, z) - y * z) + 0.5 * ridge @ (w * w)
 
     now = loss(w)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
+        grad = x.T @ (many * (p - y)) + ridge * w
+        step = np.linalg.solve((x * (many * p * (1 - p))[:, None]).T @ x + np.diag(ridge), grad)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -258,25 +262,27 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     def vote(batches):
         v = voters.open()
         for b in batches:
-            rows = [v.count(t or "") for t in b.column(0).to_pylist()]
+            seen = Counter(tuple(sorted(v.count(t or "").items())) for t in b.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([list(r) for r in rows], pa.list_(pa.int32())), pa.array([list(r.values()) for r in rows], pa.list_(pa.int32()))], names=["voter", "times"]
+                [pa.array([[x for p in r for x in p] for r in seen], pa.list_(pa.int32())), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"]
             )
 
-    fired = train.select("text").mapInArrow(vote, "voter array<int>, times array<int>").collect()  # at most `sample` rows of few numbers
-    counts = [dict(zip(r.voter, r.times, strict=True)) for r in fired]
+    # Texts on which the same voters fire as often are one row.
+    fired = train.select("text").mapInArrow(vote, "votes array<int>, n long").groupBy("votes").agg(F.sum("n").alias("n")).collect()  # at most `sample` rows
+    counts = [dict(zip(r.votes[::2], r.votes[1::2], strict=True)) for r in fired]
+    times = np.array([r.n for r in fired])
     votes = np.zeros((len(counts), voters.n))
     for i, c in enumerate(counts):
         votes[i, list(c)] = 1
     trusted = np.zeros(voters.n, dtype=bool)
     trusted[: len(learned) or len(LEXICON)] = True
-    post, rates, _ = label_model(votes, trusted)
+    post, rates, _ = label_model(votes, trusted, times=times)
     # A strong voter fires on toxic texts many times as often as on clean ones.
     strong = (rates[:, 1] > 8 * rates[:, 0]) & (votes.sum(axis=0) > 0)
     if not len(counts):
         strong[:] = trusted
     x = np.array([features(c, voters.n, strong) for c in counts]).reshape(len(counts), voters.n + 2)
-    weights = fit_linear(x, post) if len(counts) else np.append(np.zeros(voters.n + 2), -2.0)
+    weights = fit_linear(x, post, times=times) if len(counts) else np.append(np.zeros(voters.n + 2), -2.0)
     if not len(counts):
         weights[voters.n] = 4.0  # a strong voter fired
     return Classifier(voters, weights, strong)
