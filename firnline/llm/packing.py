@@ -11,7 +11,7 @@ tasks by their counts alone, of which the driver sees two per task. Then gaps
 shrink by what they took, and rounds repeat until all pieces are placed.
 
 Longer pieces go first: a round takes those of over half the longest one's
-length, or all once none is longer than a fortieth of the capacity. A gap
+length, or all once none is longer than a SANDth of the capacity. A gap
 offers a place for each time the longest piece of the round that any open gap
 holds goes into it, so that many short pieces fill it in one round. Pieces longer
 than every gap open new sequences: as many as their tokens fill, or as pieces
@@ -37,6 +37,9 @@ from firnline.llm.common import give_back, materialize, partitions, regrouped, s
 from firnline.llm.tokens import Encoder
 
 
+SAND = 20
+
+
 def pieces(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document's pieces."""
 
@@ -178,35 +181,35 @@ def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     cut = _numbered(cut)
     left = cut.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("length"))
     gaps = small_table(spark, [], "seq long, gap long")
-    placed, made, widest, longest = [], 0, 0, left.agg(F.max("length")).first()[0]
-    while longest:
-        length, over = F.col("length"), F.col("length") > widest
+    placed, made = [], 0
+    length = F.col("length")
+    while True:
+        sizes = left.select(length.alias("size"), F.lit(1).alias("n")).unionByName(gaps.select(F.col("gap").alias("size"), F.lit(0).alias("n")))
+        found = sizes.groupBy("size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("all")).collect()  # at most `capacity` rows
+        many = {r["size"]: r["n"] for r in found if r["n"]}  # pieces by length
+        if not many:
+            break
+        widest, longest = max((r["size"] for r in found if r["all"] > r["n"]), default=0), max(many)
         # Of the pieces not longer than this, none goes in this round.
-        short = longest // 2 if longest > capacity // 40 else 0
-        now = length > short
-        least, longest_held, tokens, halves = left.agg(
-            F.min(F.when(now, length)),
-            F.max(F.when(now & ~over, length)),
-            F.sum(F.when(over, length)),
-            F.count(F.when(over & (length > capacity // 2), 1)),
-        ).first()
-        new = max(-(-(tokens or 0) // capacity), halves)
+        short = longest // 2 if longest > capacity // SAND else 0
+        least = min(x for x in many if x > short)
+        longest_held = max((x for x in many if short < x <= widest), default=1)
+        over = {x: n for x, n in many.items() if x > widest}
+        new = max(-(-sum(x * n for x, n in over.items()) // capacity), sum(n for x, n in over.items() if x > capacity // 2))
         fresh = spark.range(new).select((F.col("id") + made).alias("seq"), F.lit(capacity).cast("long").alias("gap"))
         made += new
         # A gap offers as many places as surely hold the longest piece it can get.
-        most = F.when(F.col("gap") > widest, F.lit(longest)).otherwise(F.lit(longest_held or 1))
+        most = F.when(F.col("gap") > widest, F.lit(longest)).otherwise(F.lit(longest_held))
         gaps = gaps.unionByName(fresh)
         places = gaps.where(F.col("gap") >= least).withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest(F.lit(1), F.floor(F.col("gap") / most)))))
-        round_ = materialize(_matched(left.where(now), places), "round")
+        round_ = materialize(_matched(left.where(length > short), places), "round")
         got = round_.where("seq is not null")
         before = F.sum("length").over(Window.partitionBy("seq").orderBy("slot")) - F.col("length")  # at most `capacity` rows each
         placed.append(got.select(F.col("id").alias("_id"), F.col("seq").alias("sequence_id"), (capacity - F.col("gap") + before).alias("offset")))
-        left = left.where(~now).unionByName(round_.where("seq is null").select("id", "length"))
-        longest = left.agg(F.max("length")).first()[0]
+        left = left.where(length <= short).unionByName(round_.where("seq is null").select("id", "length"))
         used = got.groupBy("seq").agg(F.sum("length").alias("_used"))
         gaps = gaps.join(used, "seq", "left").select("seq", (F.col("gap") - F.coalesce("_used", F.lit(0))).alias("gap")).where("gap > 0")
         gaps = materialize(gaps, "gaps")
-        widest = gaps.agg(F.max("gap")).first()[0] or 0
     if not placed:
         return cut.select(*[c for c in cut.columns if c != "_id"], F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     where = placed[0]
