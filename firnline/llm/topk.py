@@ -7,10 +7,11 @@ that many bits and verifies them; after radius r every code within
 segments * (r + 1) - 1 bits has been seen, so the search ends when the k-th
 verified distance is no larger.
 
-Index rows are dealt by a hash of their id into shards of bounded size, queries
-into blocks; each (shard, block) searches on its own and hands on k rows per
-query, which are merged by distance and id. Nothing depends on how often a
-vector occurs.
+Index rows are dealt by a hash of their id into shards, whose tables are built
+once and written to the shared folder. Queries travel: a task reads a stream of
+queries for one shard, whose files it maps, and hands on k rows per query,
+which are merged by distance and id. Nothing depends on how often a vector
+occurs.
 
 Defined results: rows with a null vector or id are neither found nor searched
 for; null coordinates count as not above zero; vectors shorter than the
@@ -26,14 +27,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.llm.common import small_table
+from firnline.llm.common import partitions, scratch_path, small_table
+from firnline.llm.lm import Shared
 
 SEGMENT = 16
-SHARD_ROWS = 20_000
-BLOCK_QUERIES = 512
+SHARD_ROWS = 1_000_000
 
 
 @lru_cache
@@ -43,14 +45,28 @@ def _masks(radius: int) -> np.ndarray:
 
 
 class Tables:
-    """Multi-index tables over codes (rows of uint16 segments)."""
+    """Multi-index tables over codes (rows of uint16 segments): for each
+    segment, the rows by its value, and where each value's begin."""
 
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order, self.start = [], []
-        for s in range(codes.shape[1]):
-            self.order.append(np.argsort(codes[:, s], kind="stable"))
-            self.start.append(np.append(0, np.cumsum(np.bincount(codes[:, s], minlength=1 << SEGMENT))))
+    def __init__(self, codes: np.ndarray, order: list[np.ndarray], start: list[np.ndarray]):
+        self.codes, self.order, self.start = codes, order, start
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Tables:
+        order = [np.argsort(codes[:, s], kind="stable").astype("<u4") for s in range(codes.shape[1])]
+        start = [np.append(0, np.cumsum(np.bincount(codes[:, s], minlength=1 << SEGMENT))).astype("<u4") for s in range(codes.shape[1])]
+        return cls(codes, order, start)
+
+    def put(self, files: Shared, name: str) -> None:
+        files.put(f"{name}.codes", self.codes.astype("<u2"))
+        for s, (order, start) in enumerate(zip(self.order, self.start, strict=True)):
+            files.put(f"{name}.order{s}", order)
+            files.put(f"{name}.start{s}", start)
+
+    @classmethod
+    def get(cls, files: Shared, name: str, segments: int) -> Tables:
+        codes = files.get(f"{name}.codes", "<u2").reshape(-1, segments)
+        return cls(codes, *([files.get(f"{name}.{kind}{s}", "<u4") for s in range(segments)] for kind in ("order", "start")))
 
     def search(self, query: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and distances of the k nearest codes, ties by id."""
@@ -61,7 +77,8 @@ class Tables:
             fresh = []
             for s in range(m):
                 v = (query[s] ^ _masks(radius)).astype(np.int64)
-                a, size = self.start[s][v], self.start[s][v + 1] - self.start[s][v]
+                a = self.start[s][v].astype(np.int64)
+                size = self.start[s][v + 1].astype(np.int64) - a
                 a, size = a[size > 0], size[size > 0]
                 at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
                 fresh.append(self.order[s][at])
@@ -84,12 +101,12 @@ def coded(vectors: DataFrame, id_column: str, vector_column: str, bits: int) ->
 
     def run(batches):
         for b in batches:
-            out = []
-            for v in b.column(1).to_pylist():
-                x = np.zeros(wide, dtype=bool)
-                x[: len(v)] = [c is not None and c > 0 for c in v]
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "code"])
+            n = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            above = pc.fill_null(b.column(1).flatten(), 0.0).to_numpy(zero_copy_only=False) > 0
+            x = np.zeros((len(n), wide), dtype=bool)
+            x[np.repeat(np.arange(len(n)), n), np.arange(len(above)) - np.repeat(np.cumsum(n) - n, n)] = above
+            codes = pa.Array.from_buffers(pa.binary(wide // 8), len(n), [None, pa.py_buffer(np.packbits(x, axis=1).tobytes())])
+            yield pa.RecordBatch.from_arrays([b.column(0), codes.cast(pa.binary())], names=["id", "code"])
 
     return (
         vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).cast("array<double>").alias("v"))
@@ -98,32 +115,47 @@ def coded(vectors: DataFrame, id_column: str, vector_column: str, bits: int) ->
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding", shard_rows: int = SHARD_ROWS
+) -> DataFrame:
     """query_id, rank (from 1), the found row's id and its distance."""
-    bits = vectors.agg(F.max(F.size(vector_column))).first()[0]
-    schema = "query_id long, id long, distance int"
+    spark = vectors.sparkSession
+    rows, bits = vectors.agg(F.count(F.lit(1)), F.max(F.size(vector_column))).first()
     if not bits or bits < 0:
-        return small_table(vectors.sparkSession, [], f"query_id long, rank int, {id_column} long, distance int")
-    index, asked = coded(vectors, id_column, vector_column, bits), coded(queries, id_column, vector_column, bits)
-    shards = max(1, -(-vectors.count() // SHARD_ROWS))
-    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    index = index.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def codes(pdf):
-        return np.frombuffer(b"".join(pdf.code), dtype=np.uint16).reshape(len(pdf), -1)
-
-    def search(rows, wanted):
-        parts = []
-        if len(rows) and len(wanted):
-            tables, ids = Tables(codes(rows)), rows.id.to_numpy()
-            for q, c in zip(wanted.id.tolist(), codes(wanted), strict=True):
+        return small_table(spark, [], f"query_id long, rank int, {id_column} long, distance int")
+    shards, segments = -(-rows // shard_rows), -(-bits // SEGMENT)
+    path = scratch_path(spark, "tables")
+
+    def codes(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column), dtype="<u2").reshape(-1, segments)
+
+    def build(pdf):
+        files, s = Shared(path), int(pdf.s.iloc[0])
+        files.put(f"{s}.ids", pdf.id.to_numpy().astype("<i8"))
+        Tables.of(codes(pdf.code)).put(files, str(s))
+        return pd.DataFrame({"s": [s]})
+
+    index = coded(vectors, id_column, vector_column, bits).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    found = index.groupBy("s").applyInPandas(build, "s long").collect()  # one row per shard
+    held = F.array(*[F.lit(r.s).cast("long") for r in found]) if found else F.array().cast("array<long>")
+    asked = coded(queries, id_column, vector_column, bits).distinct()
+    asked = asked.withColumn("s", F.explode(held)).repartition(partitions(spark), "s", "id").sortWithinPartitions("s")
+
+    def search(batches):
+        files, now, tables, ids = Shared(path), None, None, None
+        for b in batches:
+            out = ([], [], [])
+            query, shard = b.column(0).to_pylist(), b.column(2).to_pylist()
+            for q, c, s in zip(query, codes(b.column(1).to_pylist()), shard, strict=True):
+                if s != now:
+                    now, tables, ids = s, Tables.get(files, str(s), segments), files.get(f"{s}.ids", "<i8")
                 at, far = tables.search(c, ids, k)
-                parts.append(pd.DataFrame({"query_id": q, "id": ids[at], "distance": far.astype(np.int32)}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "distance": []})
-
-    from pyspark.sql import Window
+                for o, v in zip(out, (np.full(len(at), q), ids[at], far), strict=True):
+                    o.append(v)
+            if query:
+                cols = [np.concatenate(o) for o in out]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], names=["query_id", "id", "distance"])
 
-    near = index.groupBy("s", "q").cogroup(asked.groupBy("s", "q")).applyInPandas(search, schema)
+    near = asked.mapInArrow(search, "query_id long, id long, distance int")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "distance")

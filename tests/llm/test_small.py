@@ -531,9 +531,13 @@ def test_top_k_is_exact(spark):
     v[50:90] = v[50]
     table = [(i, x.tolist(), "extra") for i, x in enumerate(v)] + [(300, None, "null"), (301, [1.0], "short")]
     d = spark.createDataFrame(table, "vec_id long, embedding array<double>, distance string")
-    got = collections.defaultdict(list)
+    got, several = collections.defaultdict(list), []
     for r in topk.nearest(d, d.where("vec_id % 50 = 0"), 10).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.distance, r.vec_id))
+        several.append(r)
+    assert topk.nearest(d, d.where("vec_id % 50 = 0"), 10, shard_rows=60).orderBy("query_id", "rank").collect() == several
+    empty = d.sparkSession.createDataFrame([(1, []), (2, None)], "vec_id long, embedding array<double>")
+    assert topk.nearest(empty, empty).count() == 0
     bits = {i: np.array([*(np.array(x) > 0), *[False] * (40 - len(x))]) for i, x, _ in table if x is not None}
     assert set(got) == {0, 50, 100, 150, 200, 250}
     for q, found in got.items():
