@@ -92,6 +92,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_hot(many: DataFrame, few: DataFrame, key: str, how: str = "inner", by: str | None = None) -> DataFrame:
+    """many joined with few, which has one row per key. Of the most frequent
+    keys, four per task, which bounds what is broadcast, those in more than 256
+    rows of many are split over tasks by a hash of column `by`. many is read
+    twice: it should be a written table."""
+    spark, n = many.sparkSession, 4 * partitions(many.sparkSession)
+    top = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.col("_n").desc(), key).limit(n)
+    top = [(bytes(r[0]) if isinstance(r[0], bytearray) else r[0], r[1]) for r in top.where("_n > 256").collect()]
+    each = max(256, sum(x for _, x in top) // n)
+    hot = F.broadcast(small_table(spark, [(k, -(-x // each)) for k, x in top], f"_hot {dict(many.dtypes)[key]}, _salts int"))
+    salts = F.when(F.col(key).isNull(), n).otherwise(F.coalesce("_salts", F.lit(1)))  # rows without a key are spread, too
+    salt = F.pmod(F.xxhash64(by or next(c for c in many.columns if c != key)), salts).cast("int")
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_salts")
+    right = few.join(hot, F.col(key) == F.col("_hot"), "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "ordered", places: bool = False) -> DataFrame:
     """Rank all rows by keys: adds `rank` (from 0) and, for each column in
     sums, `before_<column>`, the sum over all rows before it; with places, also

@@ -4,19 +4,27 @@ Documents are sets of five-word shingles. Equal texts form a class at once and
 only its least doc_id (the representative) goes on. MinHash bands put
 representatives into buckets. Each bucket's members are compared with its
 least member first, so that a bucket of copies costs as many comparisons as it
-has members; those unlike it are compared with one another, in tiles. What is
-alike makes groups that hold every similar pair. Inside a group all pairs are
-compared in tiles. A comparison reads MinHash values a chunk at a time, and a
-pair is dropped when the posterior probability that its similarity reaches the
+has members. Those alike (similarity of 0.45 not ruled out) join its group;
+those not surely close to it (0.65) are compared with one another, in tiles,
+and join where 0.8 isn't ruled out. A pair of similarity 0.8 or more can't
+consist of one that is surely close and one that isn't alike, so every similar
+pair that shares a bucket shares a group. Inside a group all pairs are compared
+in tiles. A comparison reads MinHash values a chunk at a time, and a pair is
+dropped when the posterior probability that its similarity reaches the
 threshold falls below the tolerance; within groups, what survives is verified
-on the shingle sets themselves.
-A tile reports, per document, how many documents it is linked to, and a
-spanning forest of the links, so no group emits all its pairs.
+on the shingle sets themselves. A tile reports, per document, how many
+documents it is linked to, and a spanning forest of the links, so no group
+emits all its pairs.
+
+Keys that many rows share (a text's copies, a bucket's least member, the centre
+of a group) are split over tasks wherever rows are joined on them.
 
 Defined results: words are `[^\\x20\\x09-\\x0D]+`; a text of one to four words is
 one shingle; null and empty texts form one class without links to others;
 repeated rows of one doc_id are documents of their own in counts and one row in
-the result; an empty table gives an empty result; extra columns are ignored.
+the result; rows without a doc_id are one row of the result, and count as
+copies of a text but link no others; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, hashed, materialize, partitions, parts_of, text_bytes, words
+from firnline.llm.common import give_back, hashed, join_hot, materialize, partitions, parts_of, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -37,10 +45,9 @@ ROWS, BANDS = 6, 42
 HASHES = ROWS * BANDS
 CHUNK = 28
 TOLERANCE = 1e-4
-TILE = 384
-SALTS = 16
-NEAR = 0.45  # what still counts as alike when groups are formed; far below the threshold
-BROADCAST_IDS = 4_000_000
+TILE, TILE_BYTES = 1024, 4 << 20  # a tile has no more documents, and shingles and signatures of about so many bytes
+NEAR, CLOSE = 0.45, 0.65  # alike and surely close; NEAR <= threshold + CLOSE - 1
+FILTER_BITS = 25  # a fixed 4 MB of hashes, whatever the number of documents
 _A = np.random.default_rng(20).integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(21).integers(0, 2**32, HASHES, dtype=np.uint32)
 
@@ -111,6 +118,17 @@ def needed_matches(threshold: float, tolerance: float = TOLERANCE) -> tuple[int,
     return tuple(out)
 
 
+@lru_cache
+def close_matches(threshold: float, tolerance: float = TOLERANCE) -> int:
+    """The least number of equal values, of all, at which P(similarity <
+    threshold | matches) is below the tolerance."""
+    for m in range(HASHES + 1):
+        # P(Beta(m+1, n-m+1) < t) = P(Binomial(n+1, t) > m)
+        if math.fsum(math.comb(HASHES + 1, i) * threshold**i * (1 - threshold) ** (HASHES + 1 - i) for i in range(m + 1, HASHES + 2)) < tolerance:
+            return m
+    return HASHES + 1
+
+
 def surviving(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
     """Places of the pairs (i, j) of signature rows that no chunk drops."""
     alive, hits = np.arange(len(i)), np.zeros(len(i), dtype=np.int64)
@@ -150,7 +168,7 @@ def jaccard_pairs(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def _describe(docs: DataFrame) -> DataFrame:
-    """doc_id, text hash, signature of every document."""
+    """doc_id, text hash, signature and number of shingles of every document."""
 
     def run(batches):
         import xxhash
@@ -159,19 +177,21 @@ def _describe(docs: DataFrame) -> DataFrame:
             texts = text_bytes(b.column(1))
             for part in parts_of([len(t) for t in texts], 2 << 20):
                 some = texts[part]
-                sig = signatures(*shingle_hashes(some))
+                shingles, n = shingle_hashes(some)
+                sig = signatures(shingles, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(part.start, len(some)),
                         pa.array([xxhash.xxh3_128_digest(t) for t in some], pa.binary()),
                         pa.array([r.tobytes() if t.strip() else None for r, t in zip(sig, some, strict=True)], pa.binary()),
+                        pa.array(n, pa.int64()),
                     ],
-                    names=["doc_id", "hash", "sig"],
+                    names=["doc_id", "hash", "sig", "size"],
                 )
         give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, hash binary, sig binary"
+        run, "doc_id long, hash binary, sig binary, size long"
     )
 
 
@@ -193,27 +213,29 @@ def _bands(reps: DataFrame) -> DataFrame:
 
 def _alike(edges: DataFrame, reps: DataFrame) -> DataFrame:
     """edges (a, b) with whether their signatures leave a similarity of NEAR
-    possible."""
+    possible, and whether they make one of CLOSE sure."""
 
     def run(batches):
         for b in batches:
-            ok = np.zeros(b.num_rows, dtype=bool)
+            ok, sure = np.zeros(b.num_rows, dtype=bool), np.zeros(b.num_rows, dtype=bool)
             if b.num_rows:
                 x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
                 every = np.arange(b.num_rows)
                 ok[surviving(x, y, every, every, NEAR)] = True
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], names=["a", "b", "ok"])
+                sure = (x == y).sum(axis=1) >= close_matches(CLOSE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok), pa.array(sure)], names=["a", "b", "ok", "sure"])
 
     x = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     y = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    return edges.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean")
+    both = join_hot(edges, y, "b", by="a").join(x, "a")  # a bucket's least member may have many others
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, ok boolean, sure boolean")
 
 
 def _alike_within(buckets: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that join, within each bucket, all members that signatures
     leave a chance to be similar: all pairs compared, a forest of them given."""
-    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    x = buckets.join(sizes, "bucket").withColumn("tiles", F.ceil(F.col("n") / TILE))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    x = join_hot(buckets, sizes, "bucket").withColumn("tiles", F.ceil(F.col("_n") / TILE))
     x = x.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).join(reps.select("rep", "sig"), "rep")
     x = x.withColumn("p", F.explode(_pairs_of_tiles())).select(F.col("bucket").alias("key"), "p.i", "p.j", "tile", "rep", "sig")
 
@@ -317,10 +339,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # Each node's larger neighbours go under the least of it and its neighbours.
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_hot(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialize(large, name)
         # Then its smaller neighbours, and itself, under the least of those.
         small = large.groupBy("a").agg(F.min("b").alias("m"))
-        again = large.join(small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
+        again = join_hot(large, small, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
         now = materialize(again.select("e.*").where("a <> b").distinct(), name)
         # Done when a round leaves the edges as they were.
         mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first()
@@ -329,30 +352,50 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _place(column):
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def _filter(ids: DataFrame):
+    """A bit for each hash of an id, of a fixed number of bits: keeps most other
+    rows out of a join. The join decides."""
+    spark, width = ids.sparkSession, 1 << 16
+
+    def run(batches):
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy()
+            for k in np.unique(at // width).tolist():
+                blocks.setdefault(k, np.zeros(width, dtype=bool))[at[at // width == k] % width] = True
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(list(blocks)), pa.array([np.packbits(x).tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
+
+    at = ids.select(_place("rep").alias("at")).distinct().repartition(partitions(spark), F.floor(F.col("at") / width))
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for r in at.mapInArrow(run, "block long, bits binary").collect():  # all bits, 4 MB
+        bits[r.block * width // 8 : (r.block + 1) * width // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    return spark.sparkContext.broadcast(bits)
+
+
 def _tiles(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Rows (comp, i, j) of documents with their shingle sets: one for each pair
     of tiles that the document's tile is in."""
-    spark = docs.sparkSession
-    n = members.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if n <= BROADCAST_IDS:  # 8 bytes each: at most 32 MB; beyond that, only the join
-        ids = np.array(sorted(r[0] for r in members.select("rep").collect()), dtype=np.int64)
-        wanted = spark.sparkContext.broadcast(ids)
-
-        def among(batches):
-            known = wanted.value
-            for b in batches:
-                x = b.column(0).fill_null(-(2**62)).to_numpy(zero_copy_only=False)
-                at = np.searchsorted(known, x).clip(0, max(len(known) - 1, 0))
-                yield b.filter(pa.array(known[at] == x if len(known) else np.zeros(len(x), dtype=bool)))
-
-        texts = texts.mapInArrow(among, "doc_id long, text string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    wanted = _filter(members)
+
+    def among(batches):
+        bits = wanted.value
+        for b in batches:
+            at = b.column(0).to_numpy()
+            yield b.select([1, 2]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+
+    texts = texts.select(_place("doc_id").alias("at"), "doc_id", "text").mapInArrow(among, "doc_id long, text string")
     found = texts.join(members, texts.doc_id == members.rep).select("rep", "text", "comp", "tile", "tiles", "docs")
 
     def run(batches):
         for b in batches:
             raw = text_bytes(b.column(1))
-            for part in parts_of([len(t) for t in raw], 4 << 20):
+            for part in parts_of([len(t) for t in raw], 2 << 20):
                 sh, n = shingle_hashes(raw[part])
                 sig = signatures(sh, n)
                 sets = [np.unique(x).tobytes() for x in np.split(sh, np.cumsum(n)[:-1])]
@@ -410,36 +453,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n_links (documents of similarity >= threshold to it, copies included) and
     n_texts (other texts of that similarity)."""
     seen = materialize(_describe(docs), "described")
-    # A text with many copies is spread over SALTS tasks; one without needs no join.
+    # A text with many copies is spread over tasks; one without needs no join.
     classes = seen.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
-    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = seen.select("doc_id", "hash", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-    members = salted.join(classes, ["hash", "salt"], "left").select(
+    members = join_hot(seen.select("doc_id", "hash"), classes, "hash", "left", "doc_id").select(
         "doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("docs", F.lit(1).cast("long")).alias("docs")
     )
     members = materialize(members, "classes")
     reps = (
         seen.join(members.where("doc_id = rep").select("doc_id", "docs").dropDuplicates(["doc_id"]), "doc_id")
         .where("sig is not null")
-        .select(F.col("doc_id").alias("rep"), "docs", "sig")
+        .select(F.col("doc_id").alias("rep"), "docs", "sig", "size")
         .dropDuplicates(["rep"])
     )
     reps = materialize(reps, "reps")
     # Groups that hold every similar pair.
     bands = materialize(_bands(reps), "bands")
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = materialize(bands.join(shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
-    judged = materialize(_alike(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), reps), "judged")
-    apart = left.join(judged.where("not ok").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
-    near = judged.where("ok").select("a", "b").unionByName(_alike_within(apart, reps, threshold))
+    left = materialize(join_hot(bands, shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
+    edges = materialize(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "edges")
+    judged = materialize(_alike(edges, reps), "judged")
+    apart = left.join(judged.where("not sure").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
+    near = judged.where("ok").select("a", "b").unionByName(_alike_within(materialize(apart, "apart"), reps, threshold))
     groups = components(near, "groups")
-    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    placed = (
-        groups.join(sizes, "root")
-        .withColumn("tiles", F.ceil(F.col("n") / TILE))
-        .select(F.col("node").alias("rep"), F.col("root").alias("comp"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"))
-        .join(reps.select("rep", "docs"), "rep")
+    groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(reps.select(F.col("rep").alias("node"), "docs", "size"), "node"), "grouped")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("size") * 8 + 4 * HASHES).alias("_bytes"))
+    sizes = sizes.select("root", F.greatest(F.ceil(F.col("_n") / TILE), F.ceil(F.col("_bytes") / TILE_BYTES)).alias("tiles"))
+    placed = join_hot(groups, sizes, "root", by="node").select(
+        F.col("node").alias("rep"), F.col("root").alias("comp"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "docs"
     )
     placed = materialize(placed, "placed")
     links = _by_group(_tiles(docs, placed)).mapInArrow(lambda b: _compare(b, threshold), "rep long, to long, links long, texts long")
@@ -447,7 +487,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     roots = components(links.where("to is not null").select(F.col("rep").alias("a"), F.col("to").alias("b")), "linked")
     counted = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     of_rep = counted.join(roots, counted.rep == roots.node, "left").select("rep", "links", "texts", F.coalesce("root", "rep").alias("class_id"))
-    out = members.join(of_rep, "rep", "left")
+    out = join_hot(members, of_rep, "rep", "left", "doc_id")
     return out.groupBy("doc_id").agg(
         F.min(F.coalesce("class_id", "rep")).alias("class_id"),
         F.min("rep").alias("rep_id"),
