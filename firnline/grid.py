@@ -6,6 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,26 +60,50 @@ def dense(spark: SparkSession, spec: GridSpec) -> DataFrame:
     return spark.range(spec.width * spec.height).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("c"))
 
 
-def filled(cells: DataFrame, spec: GridSpec) -> DataFrame:
-    """cells with rows for the missing ones, all bands NULL; itself if none is."""
-    if cells.count() == spec.width * spec.height:
-        return cells
-    return dense(cells.sparkSession, spec).join(cells, ["r", "c"], "left")
+_RECORDED: list[list[str]] = []
 
 
-def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df to the cluster's shared folder and read it back, between the
-    rounds of an iterative operator."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. A
+    temporary one is made only where that is unset and driver and executors are
+    one process (local runs and tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return path.rstrip("/")
+
+
+def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
+    """Write df to the cluster's shared folder and read it back, between the
+    rounds of an iterative operator."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _RECORDED:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that cut_lineage writes within are deleted at the end: every
+    result must have been written by then."""
+    made: list[str] = []
+    _RECORDED.append(made)
+    try:
+        yield
+    finally:
+        _RECORDED.remove(made)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for p in made:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def workers_see(spark: SparkSession) -> None:
     """Let Python workers import this package where it isn't installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import votes as V
 from firnline.grid import GridSpec
-from firnline.operators.focal import box_mean, box_width
+from firnline.operators.focal import box_means, box_width
 from firnline.operators.regions import gap_metrics, mmu_clean
 
 REQUIRED = ("slope", "canopy_pct", "E_pra", "F_pra", "E_zdelta", "F_zdelta", "E_travel_angle", "F_travel_angle", "E_rout_flux_area", "F_rout_flux_area")
@@ -37,8 +37,7 @@ def vote_inputs(cells: DataFrame, spec: GridSpec, context_m: float = 300.0) -> D
             "canopy_pct": F.coalesce(F.col("canopy_pct").cast("double"), F.lit(0.0)),
         }
     )
-    x = box_mean(x, spec, "slope", width, "reflect", "coarse_slope")
-    x = box_mean(x, spec, "canopy_pct", width, "reflect", "coarse_canopy")
+    x = box_means(x, spec, {"coarse_slope": ("slope", width, "reflect"), "coarse_canopy": ("canopy_pct", width, "reflect")})
     return gap_metrics(x, spec, with_width=False)
 
 
@@ -121,13 +120,25 @@ def classify_release(cells: DataFrame, pra=(0.05, 0.25, 0.6), steep: float = 45.
     return cells.withColumn(out, F.when(F.col("valid"), value).cast("tinyint"))
 
 
-def classify(cells: DataFrame, spec: GridSpec, model: str = "dev8", base_layer: str = "pra") -> DataFrame:
+def classify(cells: DataFrame, spec: GridSpec, model: str = "dev8", base_layer: str = "pra", cuts: dict | None = None) -> DataFrame:
+    """cuts, for the older model: pra, sat, trees, az, rf, near, overhead."""
     if model == "dev8":
         return classify_votes(cells, spec)
     if model != "legacy":
         raise ValueError(f"unknown model: {model}")
-    x = exposure(with_fallback(cells, ("alpha_zdelta", "flux_area", "travel_angle", "pra", "release")))
-    return classify_release(x) if base_layer == "pra" else classify_slope(x)
+    if base_layer not in ("pra", "slope"):
+        raise ValueError(f"unknown base layer: {base_layer}")
+    k = {"pra": (0.05, 0.25, 0.6), "sat": (15, 25, 32, 45), "trees": (20, 60, 85), "az": (1, 30, 75), "rf": (0, 500, 3000), "near": 25.0, "overhead": 60.0} | (cuts or {})
+    x = exposure(with_fallback(cells, ("alpha_zdelta", "flux_area", "travel_angle", "pra", "release")), k["az"], k["rf"], k["near"])
+    if base_layer == "pra":
+        return classify_release(x, k["pra"], k["sat"][3], k["overhead"], k["trees"][0])
+    return classify_slope(x, k["sat"], k["trees"], k["overhead"])
+
+
+def canopy_beyond(cells: DataFrame, most: float = 100.5) -> float | None:
+    """The largest canopy of valid cells, if it can't be percent."""
+    top = cells.where("valid").agg(F.max("canopy_pct")).first()[0]
+    return top if top is not None and top > most else None
 
 
 #: Minimum mapping units by class, in square metres.

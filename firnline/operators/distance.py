@@ -1,6 +1,7 @@
 """Exact Euclidean distances and nearest features, in two passes: the nearest
-target of each column by windows, then the least over each row in a kernel
-whose working set is one row."""
+target of each column by windows, then along the rows the lower envelope of the
+columns' parabolas, in time linear in the row's length, for a block of rows at
+once."""
 
 from __future__ import annotations
 
@@ -9,44 +10,87 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.grid import GridSpec, filled, workers_see
+from firnline.grid import GridSpec, workers_see
 
-BLOCK = 1024
+ROWS = 128
+
+
+def envelope(t: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """For each cell of some rows the column whose target is the nearest. t:
+    rows x columns, the row of the nearest target of each column, -1: none; r:
+    the rows' numbers. Ties: least target row, then column. -1 without target."""
+    n, m = t.shape
+    g = (t - r[:, None]) ** 2
+    held, start = np.zeros((n, m + 1), dtype=np.int64), np.zeros((n, m + 1), dtype=np.int64)
+    top = np.full(n, -1)
+    for q in range(m):
+        rows = np.flatnonzero(t[:, q] >= 0)
+        at = np.zeros(len(rows), dtype=np.int64)  # where q begins to be the nearest
+        open_ = np.flatnonzero(top[rows] >= 0)
+        while len(open_):
+            i = rows[open_]
+            p = held[i, top[i]]
+            num, den = g[i, q] + q * q - g[i, p] - p * p, 2 * (q - p)
+            first, rest = num // den, num % den
+            # Equally far at `first` itself: the lesser row, then the lesser column (p).
+            at[open_] = first + ~((rest == 0) & (t[i, q] < t[i, p]))
+            gone = at[open_] <= start[i, top[i]]
+            top[i[gone]] -= 1
+            open_ = open_[gone]
+            at[open_[top[rows[open_]] < 0]] = 0
+            open_ = open_[top[rows[open_]] >= 0]
+        at = np.maximum(at, 0)
+        use = at < m
+        i = rows[use]
+        top[i] += 1
+        held[i, top[i]], start[i, top[i]] = q, at[use]
+    which = np.full((n, m), -1)
+    live = np.arange(m + 1)[None, :] <= top[:, None]
+    i, k = np.nonzero(live)
+    np.maximum.at(which, (i, start[i, k]), k)
+    which = np.maximum.accumulate(which, axis=1)
+    return np.where(which >= 0, np.take_along_axis(held, np.maximum(which, 0), axis=1), -1)
 
 
 def _nearest(cells: DataFrame, spec: GridSpec, target: Column) -> DataFrame:
     """r, c, d2, tr, tc: squared cell distance to the nearest target and its
-    place (ties: least row, then column); NULL without any target."""
+    place (ties: least row, then column); NULL without any target. Cells that
+    the table lacks are given, too, where their column has any."""
     workers_see(cells.sparkSession)
     down = Window.partitionBy("c").orderBy("r")
-    t = F.when(target, F.col("r"))
-    x = filled(cells.select("r", "c", t.alias("_t")), spec)
-    up = F.last("_t", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
-    low = F.first("_t", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing))
-    x = x.select("r", "c", up.alias("_u"), low.alias("_l"))
-    nearer = F.when(F.col("_l").isNull() | (F.col("r") - F.col("_u") <= F.col("_l") - F.col("r")), F.col("_u")).otherwise(F.col("_l"))
-    x = x.select("r", "c", F.coalesce(nearer, F.col("_l")).cast("long").alias("t"))
-
-    def row(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, r = pdf.c.to_numpy(), pdf.r.to_numpy()
-        has = pdf.t.notna().to_numpy()
-        cs, ts = c[has], pdf.t.to_numpy(dtype=float)[has].astype(np.int64)
-        out = {"r": r, "c": c, "d2": np.full(len(c), np.nan), "tr": np.full(len(c), np.nan), "tc": np.full(len(c), np.nan)}
-        if len(cs):
-            g = (ts - r[0]) ** 2
-            order = np.lexsort((cs, ts, g))
-            cs, ts, g = cs[order], ts[order], g[order]
-            for lo in range(0, len(c), BLOCK):
-                d = (c[lo : lo + BLOCK, None] - cs[None, :]) ** 2 + g[None, :]
-                best = d.min(axis=1)
-                place = np.where(d == best[:, None], ts[None, :] * (1 << 31) + cs[None, :], np.int64(1) << 62).min(axis=1)
-                out["d2"][lo : lo + BLOCK] = best
-                out["tr"][lo : lo + BLOCK], out["tc"][lo : lo + BLOCK] = place >> 31, place & ((1 << 31) - 1)
-        return pd.DataFrame(out)
-
-    y = x.groupBy("r").applyInPandas(row, "r long, c long, d2 double, tr double, tc double")
-    clean = lambda n, k: F.when(~F.isnan(n), F.col(n)).cast(k).alias(n)
-    return y.select("r", "c", clean("d2", "long"), clean("tr", "long"), clean("tc", "long"))
+    x = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.when(target, F.col("r").cast("long")).alias("_t"))
+    x = x.withColumns(
+        {
+            "_u": F.last("_t", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)),
+            "_l": F.first("_t", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)),
+            "_m": F.first("_t", ignorenulls=True).over(down.rowsBetween(1, Window.unboundedFollowing)),
+            "_first": F.lag("r").over(down).isNull(),
+            "_next": F.lead("r").over(down),
+        }
+    )
+    # A row for each missing cell up to the next one of its column.
+    own = F.col("r")
+    lo, hi = F.when(F.col("_first"), 0).otherwise(own), F.coalesce(F.col("_next") - 1, F.lit(spec.height - 1).cast("long"))
+    x = x.withColumn("_r", F.explode(F.sequence(lo.cast("long"), F.greatest(hi, own))))
+    up, low = F.when(F.col("_r") >= own, F.col("_u")), F.when(F.col("_r") > own, F.col("_m")).otherwise(F.col("_l"))
+    nearer = F.when(low.isNull() | (F.col("_r") - up <= low - F.col("_r")), up).otherwise(low)
+    x = x.select(F.col("_r").alias("r"), "c", F.coalesce(nearer, low).alias("t"))
+    width = spec.width
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
+        some = np.unique(r)
+        t = np.full((len(some), width), -1, dtype=np.int64)
+        t[np.searchsorted(some, r), c] = pdf.t.fillna(-1).to_numpy(dtype=np.int64)
+        col = envelope(t, some)
+        place = np.searchsorted(some, r), c
+        tc = col[place]
+        tr = np.where(tc >= 0, t[place[0], np.maximum(tc, 0)], -1)
+        d2 = (r - tr) ** 2 + (c - tc) ** 2
+        return pd.DataFrame({"r": r, "c": c, "d2": np.where(tc >= 0, d2, -1), "tr": tr, "tc": tc})
+
+    y = x.groupBy(F.floor(F.col("r") / ROWS)).applyInPandas(block, "r long, c long, d2 long, tr long, tc long")
+    return y.select("r", "c", *[F.when(F.col("tc") >= 0, F.col(n)).alias(n) for n in ("d2", "tr", "tc")])
 
 
 def distance_to(cells: DataFrame, spec: GridSpec, target: Column, out: str = "distance") -> DataFrame:

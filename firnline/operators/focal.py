@@ -1,20 +1,21 @@
 """Neighbourhood operators over cell tables.
 
-3x3 operators read all eight neighbours with two window passes, along rows and
-along columns (two shuffles, however many bands). Box means are separable
-range-frame sums. Only wind shelter, whose neighbourhood is a disc sector,
-joins each cell with its neighbours by an equi-join on (r, c).
+3x3 operators read all eight neighbours in one window pass along columns, to
+which each cell also sends its value to the columns beside it: one shuffle.
+Wider neighbourhoods (box means, wind shelter, maxima) are read by tile
+kernels: one shuffle for any width and number of bands.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firnline.grid import GridSpec, filled
-
+from firnline.grid import GridSpec
+from firnline.operators.tiles import box_sums, quantile, tile_kernel
 
 
 def rows():
@@ -33,18 +34,22 @@ def _step(band: str, axis: str, k: int) -> Column:
     )
 
 
+#: Neighbours: steps to them down and to the right.
+STEPS = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
+
+
 def neighbours(cells: DataFrame, band: str = "z") -> DataFrame:
-    """Adds nw, n, ne, w, e, sw, s, se of a band."""
-    wide = cells.withColumns({"w": _step(band, "c", -1), "e": _step(band, "c", 1)})
-    return wide.withColumns(
-        {
-            "nw": _step("w", "r", -1), "n": _step(band, "r", -1), "ne": _step("e", "r", -1),
-            "sw": _step("w", "r", 1), "s": _step(band, "r", 1), "se": _step("e", "r", 1),
-        }
-    )
+    """Adds nw, n, ne, w, e, sw, s, se of a band; NULL where there is no cell."""
+    side = F.col("_side")  # how far to the left of this column a value's cell is
+    x = cells.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    own = [F.when(side == 0, F.col(c)).alias(c) for c in cells.columns if c not in ("r", "c", band)]
+    x = x.select("r", (F.col("c") - side).alias("c"), band, "_side", *own)
+    at = Window.partitionBy("c").orderBy("r")
+    around = {n: F.max(F.when(side == dc, F.col(band))).over(at.rangeBetween(dr, dr)) for n, (dr, dc) in STEPS.items()}
+    return x.withColumns(around).where(side == 0).select(*cells.columns, *STEPS)
 
 
-AROUND = ("nw", "n", "ne", "w", "e", "sw", "s", "se")
+AROUND = tuple(STEPS)
 
 
 def horn(cell: float) -> tuple[Column, Column]:
@@ -121,42 +126,45 @@ def box_width(metres: float, cell: float) -> int:
     return max(3, int(metres / cell + 0.5) | 1)
 
 
-def _extended(cells: DataFrame, band: str, axis: str, size: int, k: int, edge: str) -> DataFrame:
-    """Rows beyond both ends of an axis: mirrored, or the end's own value."""
-    a = F.col(axis)
-    other = "c" if axis == "r" else "r"
-    base = cells.select(other, axis, band, F.lit(False).alias("_out"))
-    if edge == "reflect":
-        before = base.where(a < k).select(other, (-1 - a).alias(axis), band, F.lit(True).alias("_out"))
-        after = base.where(a >= size - k).select(other, (2 * size - 1 - a).alias(axis), band, F.lit(True).alias("_out"))
-    else:
-        steps = F.explode(F.sequence(F.lit(1).cast("long"), F.lit(k).cast("long")))
-        before = base.where(a == 0).select(other, band, steps.alias("_k")).select(other, (-F.col("_k")).alias(axis), band, F.lit(True).alias("_out"))
-        after = base.where(a == size - 1).select(other, band, steps.alias("_k")).select(
-            other, (F.col("_k") + size - 1).alias(axis), band, F.lit(True).alias("_out")
-        )
-    return base.unionByName(before).unionByName(after)
+def box_means(cells: DataFrame, spec: GridSpec, bands: dict[str, tuple[str, int, str]]) -> DataFrame:
+    """Means over width x width cells, missing ones counted as 0, of several
+    bands in one pass. bands: name of the mean -> (band, width, edge). edge:
+    `reflect` mirrors the grid at its border, `nearest` repeats the border."""
+    halo = max(w // 2 for _, w, _ in bands.values())
+
+    def kernel(arrays, first, size):
+        out = []
+        for band, width, edge in bands.values():
+            a, k = np.nan_to_num(arrays[band]), width // 2
+            # Where the window ends short of the grid's border, what is missing isn't needed.
+            pad = [(k, k), (k, k)]
+            whole = np.pad(a, pad, mode="symmetric" if edge == "reflect" else "edge")
+            for axis in (0, 1):
+                at_start, at_end = first[axis] == 0, first[axis] + a.shape[axis] == size[axis]
+                cut = [slice(None), slice(None)]
+                for there, part in ((at_start, slice(0, k)), (at_end, slice(whole.shape[axis] - k, None))):
+                    if not there:
+                        cut[axis] = part
+                        whole[tuple(cut)] = 0.0
+            out.append(box_sums(whole, k) / float(width * width))
+        return out
+
+    return tile_kernel(cells, spec, halo, sorted({b for b, _, _ in bands.values()}), list(bands), kernel)
 
 
 def box_mean(cells: DataFrame, spec: GridSpec, band: str, width: int, edge: str = "reflect", out: str | None = None) -> DataFrame:
-    """Mean over width x width cells; missing cells count as 0. edge: `reflect`
-    mirrors the grid at its border, `nearest` repeats the border."""
-    out, k = out or f"{band}_mean", width // 2
-    x = filled(cells.select("r", "c", F.col(band).cast("double").alias("_v")), spec).withColumn("_v", F.coalesce("_v", F.lit(0.0)))
-    for axis, size, w in (("c", spec.width, rows()), ("r", spec.height, columns())):
-        x = _extended(x, "_v", axis, size, k, edge).withColumn("_v", F.sum("_v").over(w.rangeBetween(-k, k))).where(~F.col("_out")).drop("_out")
-    means = x.select("r", "c", (F.col("_v") / float(width * width)).alias(out))
-    return cells.join(means, ["r", "c"])
+    """One band's `box_means`."""
+    return box_means(cells, spec, {out or f"{band}_mean": (band, width, edge)})
 
 
 def smooth_2x2(cells: DataFrame, band: str, out: str) -> DataFrame:
     """Mean of the valid ones of a cell, its right, lower and lower right
     neighbours; NULL stays NULL."""
-    x = cells.withColumn("_e", _step(band, "c", 1)).withColumns({"_s": _step(band, "r", 1), "_se": _step("_e", "r", 1)})
-    parts = [F.col(p) for p in (band, "_e", "_s", "_se")]
+    x = neighbours(cells, band)
+    parts = [F.col(p) for p in (band, "e", "s", "se")]
     total = sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0))
     n = sum((p.isNotNull().cast("int") for p in parts), F.lit(0))
-    return x.withColumn(out, F.when(F.col(band).isNotNull(), total / n)).drop("_e", "_s", "_se")
+    return x.withColumn(out, F.when(F.col(band).isNotNull(), total / n)).drop(*AROUND)
 
 
 def _morph(cells: DataFrame, band: str, grow: bool) -> DataFrame:
@@ -192,23 +200,41 @@ def sector_offsets(radius: int, direction: float = 0.0, tolerance: float = 180.0
     return out
 
 
-def wind_shelter(cells: DataFrame, spec: GridSpec, band: str = "z", direction: float = 0.0, tolerance: float = 180.0, probability: float = 0.5, radius_m: float = 60.0, out: str = "windshelter") -> DataFrame:
+def wind_shelter(cells: DataFrame, spec: GridSpec, band: str = "z", direction: float = 0.0, tolerance: float = 180.0, probability: float = 0.5, radius_m: float = 60.0, out: str = "windshelter", radius: int = 0) -> DataFrame:
     """A quantile of atan(rise / distance) over a cell's sector. Neighbours that
     are missing or exactly 0 don't count; none left: 0; the frame as wide as
-    the radius is NULL."""
-    radius = max(2, round(radius_m / spec.cell))
-    spark = cells.sparkSession
-    near = spark.createDataFrame(sector_offsets(radius, direction, tolerance), "dr int, dc int, dist double")  # the radius bounds it
-    inside = F.col("r").between(radius, spec.height - 1 - radius) & F.col("c").between(radius, spec.width - 1 - radius)
-    probes = cells.where(inside).select("r", "c", F.col(band).alias("_z0")).crossJoin(F.broadcast(near))
-    probes = probes.select("r", "c", "_z0", (F.col("dist") * spec.cell).alias("_d"), (F.col("r") + F.col("dr")).alias("_r"), (F.col("c") + F.col("dc")).alias("_c"))
-    others = cells.where(F.col(band).isNotNull() & (F.col(band) != 0)).select(F.col("r").alias("_r"), F.col("c").alias("_c"), F.col(band).alias("_z"))
-    q = probes.join(others, ["_r", "_c"]).groupBy("r", "c").agg(F.expr(f"percentile(atan((_z - _z0) / _d), {probability})").alias(out))
-    return cells.join(q, ["r", "c"], "left").withColumn(out, F.when(inside, F.coalesce(F.col(out), F.lit(0.0))))
-
-
-def local_maxima(cells: DataFrame, band: str, distance: int, least: float = 0.0, out: str = "is_peak") -> DataFrame:
-    """Cells that equal the maximum of their (2d+1)^2 window and exceed `least`."""
-    x = cells.withColumn("_m", F.max(band).over(rows().rangeBetween(-distance, distance)))
-    x = x.withColumn("_m", F.max("_m").over(columns().rangeBetween(-distance, distance)))
-    return x.withColumn(out, (F.col(band) == F.col("_m")) & (F.col(band) > least)).drop("_m")
+    the radius is NULL. radius: in cells; 0 takes it from radius_m."""
+    radius = radius or max(2, round(radius_m / spec.cell))
+    offsets, cell = sector_offsets(radius, direction, tolerance), spec.cell
+
+    def kernel(arrays, first, size):
+        z = arrays[band]
+        n, m = (max(0, k - 2 * radius) for k in z.shape)
+        out = np.full(z.shape, np.nan)
+        if n and m:
+            seen = np.where(z == 0, np.nan, z)
+            mid = z[radius : radius + n, radius : radius + m]
+            stack = np.array([np.arctan((seen[radius + dr : radius + dr + n, radius + dc : radius + dc + m] - mid) / (d * cell)) for dr, dc, d in offsets])
+            out[radius : radius + n, radius : radius + m] = np.nan_to_num(quantile(stack, probability))
+        return [out]
+
+    return tile_kernel(cells, spec, radius, [band], [out], kernel)
+
+
+def local_maxima(cells: DataFrame, spec: GridSpec, bands: dict[str, tuple[str, int]], least: float = 0.0) -> DataFrame:
+    """Cells that equal the maximum of their (2d+1)^2 window and exceed `least`.
+    bands: name of the flag -> (band, d)."""
+    halo = max(d for _, d in bands.values())
+
+    def kernel(arrays, first, size):
+        out = []
+        for band, d in bands.values():
+            top = np.where(np.isnan(arrays[band]), -np.inf, arrays[band])
+            for axis in (0, 1):
+                wide = np.pad(top, [(d, d) if k == axis else (0, 0) for k in (0, 1)], constant_values=-np.inf)
+                top = np.lib.stride_tricks.sliding_window_view(wide, 2 * d + 1, axis=axis).max(axis=-1)
+            out.append(((arrays[band] == top) & (arrays[band] > least)).astype(float))
+        return out
+
+    x = tile_kernel(cells, spec, halo, sorted({b for b, _ in bands.values()}), list(bands), kernel)
+    return x.withColumns({o: F.col(o) > 0 for o in bands})

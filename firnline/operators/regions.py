@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firnline.grid import TILE, GridSpec, cut_lineage, workers_see
@@ -33,13 +33,10 @@ def _label_tile(pdf: pd.DataFrame, width: int, connectivity: int) -> pd.DataFram
         ok = ok[value[ok] == value[other[ok]]]
         pairs.append((ok, other[ok]))
     a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
-    label = ids.copy()
-    parent = np.arange(len(r))
     order = np.argsort(ids, kind="stable")
     rank = np.empty(len(r), dtype=np.int64)
     rank[order] = np.arange(len(r))
-    parent = rank.copy()  # roots are ranks by cell id; the least one wins
-    a, b = rank[a], rank[b]
+    a, b = rank[a], rank[b]  # roots are ranks by cell id; the least one wins
     parent = np.arange(len(r))
     while len(a):
         ra, rb = parent[a], parent[b]
@@ -54,13 +51,39 @@ def _label_tile(pdf: pd.DataFrame, width: int, connectivity: int) -> pd.DataFram
                 break
             parent = up
     label = ids[order][parent[rank]]
-    return pd.DataFrame({"r": r, "c": c, "label": label})
+    return pd.DataFrame({"r": r, "c": c, "value": pdf.value, "label": label})
+
 
+FEW = 1_000_000  # pairs that one task joins at once; more take rounds
 
-def _roots(pairs: DataFrame) -> DataFrame:
-    """node, root over pairs (a, b), a > b: neighbours gather under the least
-    one, round by round, until nothing moves."""
+
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs that aren't roots, and their roots (the least node)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(nodes))
+    while len(a):
+        ra, rb = parent[a], parent[b]
+        differ = ra != rb
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(parent, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    moved = np.flatnonzero(parent != np.arange(len(nodes)))
+    return nodes[moved], nodes[parent[moved]]
+
+
+def _roots(pairs: DataFrame, few: int = FEW) -> DataFrame:
+    """node, root over pairs (a, b), a > b: by one task if the pairs are few,
+    else neighbours gather under the least one, round by round, until nothing
+    moves."""
     pairs, seen = cut_lineage(pairs.where("a <> b").distinct(), "pairs"), None
+    if pairs.count() <= few:
+        def join(pdf: pd.DataFrame) -> pd.DataFrame:
+            node, root = _union(pdf.a.to_numpy(), pdf.b.to_numpy())
+            return pd.DataFrame({"node": node, "root": root})
+
+        return pairs.groupBy((F.col("a") * 0).alias("_one")).applyInPandas(join, "node long, root long")
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -82,16 +105,16 @@ def connected(cells: DataFrame, spec: GridSpec, value: str | None = None, connec
     v = F.col(value) if value else F.lit(1)
     x = cells.where(v.isNotNull()).select(F.col("r").cast("long"), F.col("c").cast("long"), v.alias("value"))
     x = x.withColumns({"tr": F.floor(F.col("r") / tile), "tc": F.floor(F.col("c") / tile)})
-    width = spec.width
-    local = x.groupBy("tr", "tc").applyInPandas(lambda pdf: _label_tile(pdf, width, connectivity), "r long, c long, label long")
-    local = cut_lineage(local.join(x.select("r", "c", "value"), ["r", "c"]), "tiles")
+    width, kind = spec.width, x.schema["value"].dataType.simpleString()
+    local = x.groupBy("tr", "tc").applyInPandas(lambda pdf: _label_tile(pdf, width, connectivity), f"r long, c long, value {kind}, label long")
+    local = cut_lineage(local, "tiles")
     # Pairs of labels that meet at tile borders.
-    edge = local.where((F.pmod("r", F.lit(tile)) == tile - 1) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
+    edge = local.where(F.pmod("r", F.lit(tile)).isin(0, tile - 1) | F.pmod("c", F.lit(tile)).isin(0, tile - 1))
     steps = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in SHIFTS[connectivity]]))
     probe = edge.withColumn("s", steps).select(
         F.col("value").alias("_v"), F.col("label").alias("_l"), (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c")
     )
-    meet = probe.join(local, ["r", "c"]).where((F.col("_v") == F.col("value")) & (F.col("_l") != F.col("label")))
+    meet = probe.join(edge, ["r", "c"]).where((F.col("_v") == F.col("value")) & (F.col("_l") != F.col("label")))
     roots = _roots(meet.select(F.greatest("label", "_l").alias("a"), F.least("label", "_l").alias("b")))
     return local.join(roots, local.label == roots.node, "left").select("r", "c", "value", F.coalesce("root", "label").alias("label"))
 
@@ -193,6 +216,11 @@ def polygonize(cells: DataFrame, spec: GridSpec, value: str, connectivity: int =
     return regions, parts
 
 
+def in_order(regions: DataFrame) -> DataFrame:
+    """Regions by label, so that those equal in area come in one order."""
+    return regions.orderBy("label")
+
+
 def outlines(members: DataFrame, spec: GridSpec) -> DataFrame:
     """label, wkt: each region's rings along cell sides, outer ones and holes.
     Sides between cells of one region cancel first, so a group holds a border,
@@ -237,18 +265,20 @@ def outlines(members: DataFrame, spec: GridSpec) -> DataFrame:
 
 
 def rasterize(cells: DataFrame, spec: GridSpec, shapes: list[tuple[list[tuple[float, float]], object]], out: str = "burned", kind: str = "long") -> DataFrame:
-    """Value of the last shape that holds a cell's centre; shapes are rings of
-    (x, y), few enough to be part of the plan."""
+    """Value of the last shape that holds a cell's centre; a shape is a ring of
+    (x, y), or several, of which an odd number hold a point inside. Shapes are
+    few enough to be part of the plan."""
     workers_see(cells.sparkSession)
-    rings = [(np.array(ring, dtype=float), v) for ring, v in shapes]
+    several = lambda s: [s] if np.isscalar(s[0][0]) else s
+    parts = [([np.array(ring, dtype=float) for ring in several(s)], v) for s, v in shapes]
 
     @F.pandas_udf(kind)
     def burn(x: pd.Series, y: pd.Series) -> pd.Series:
         px, py = x.to_numpy(), y.to_numpy()
         got = np.full(len(px), None, dtype=object)
-        for ring, v in rings:
+        for rings, v in parts:
             inside = np.zeros(len(px), dtype=bool)
-            for (ax, ay), (bx, by) in zip(ring, np.roll(ring, -1, axis=0), strict=True):
+            for (ax, ay), (bx, by) in ((p, q) for ring in rings for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True)):
                 crosses = (ay > py) != (by > py)
                 if ay != by:
                     inside ^= crosses & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
@@ -268,12 +298,8 @@ def clip_to(cells: DataFrame, mask: DataFrame, reindex: bool = False) -> DataFra
 
 
 def uncovered(cells: DataFrame, labels: DataFrame, spec: GridSpec) -> DataFrame:
-    """Cells without label, as new 4-connected regions numbered after the
-    largest label."""
+    """Cells without label, as new 4-connected regions: each one's label is its
+    least cell's number after the largest label."""
     rest = cells.join(labels.select("r", "c"), ["r", "c"], "left_anti")
     top = labels.agg(F.coalesce(F.max("label"), F.lit(0)).alias("_top"))
-    found = connected(rest, spec, None, 4)
-    names = found.select("label").distinct().withColumn("_k", F.dense_rank().over(Window.orderBy("label")))
-    return found.join(names, "label").crossJoin(F.broadcast(top)).select("r", "c", (F.col("_top") + F.col("_k")).alias("label"))
-
-
+    return connected(rest, spec, None, 4).crossJoin(F.broadcast(top)).select("r", "c", (F.col("_top") + F.col("label") + 1).alias("label"))  # one row
