@@ -24,7 +24,7 @@ def to_linear(v: float) -> float:
 
 def from_linear(v: float) -> int:
     v = 12.92 * v if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055
-    return int(min(255, max(0, math.floor(v * 255 + 0.5))))
+    return min(255, max(0, round(v * 255)))
 
 
 def _times(m, v):
@@ -47,7 +47,7 @@ def lab_to_rgb(lab) -> tuple[int, int, int]:
 def mix(a, b, t: float, lab: bool = False) -> tuple[int, int, int]:
     if lab:
         return lab_to_rgb([p + (q - p) * t for p, q in zip(rgb_to_lab(a), rgb_to_lab(b), strict=True)])
-    return tuple(int(math.floor(p + (q - p) * t + 0.5)) for p, q in zip(a, b, strict=True))
+    return tuple(round(p + (q - p) * t) for p, q in zip(a, b, strict=True))
 
 
 @dataclass(frozen=True)
@@ -75,41 +75,56 @@ def expand_ramp(anchors, per_seg: int = 14, scale: str = "linear", lab: bool = F
     return [*out, (v, *a)]
 
 
+ALPHA = 166  # of a ramp that names none
+
+
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
+
+
 def parse(text: str, alpha: int | None = None) -> Palette:
-    """A palette file: `@ramp key=value ...` with anchors `value #hex` or
-    `value r g b`, or stops `value r g b [a]` (blanks or commas; colons allowed
-    after the value); `nv` is the colour of missing values."""
-    stops, anchors, nothing, ramp = [], [], (0, 0, 0, 0), None
+    """A palette file: stops `value r g b [a] [label]`, or, with a line `# @ramp
+    key=value ...` (the # may be missing), anchors `value #hex` or `value r g b`
+    of a ramp; blanks or commas between; # begins a comment, but for a directive
+    or a colour. `nv` is missing values' line; they are always transparent. A
+    ramp's floor hides all below. alpha, if given, is every stop's, but a floor
+    stays hidden."""
+    stops, anchors, ramp = [], [], None
+    nothing = (0, 0, 0, 0)
     for line in text.splitlines():
         line = line.strip()
-        if not line or line.startswith("INTERPOLATION") or line.startswith("#") and not re.match(r"#[0-9a-fA-F]{6}\b", line):
+        bare = line.lstrip("# ").lower()
+        if bare.startswith("@ramp"):
+            ramp = dict(p.split("=", 1) for p in bare.split()[1:] if "=" in p)
             continue
-        if line.startswith("@ramp"):
-            ramp = dict(p.split("=", 1) for p in line.split()[1:] if "=" in p)
+        if not line or line.startswith("#") or line.upper().startswith("INTERPOLATION"):
             continue
-        parts = [p for p in re.split(r"[\s,:;]+", line) if p]
-        if len(parts) >= 2 and parts[1].startswith("#"):
+        parts = [p for p in re.split(r"[\s,]+", line) if p]
+        value = _number(parts[0].rstrip(":"))
+        if len(parts) >= 2 and parts[1].startswith("#") and value is not None:
             h = parts[1].lstrip("#")
-            anchors.append((float(parts[0]), tuple(int(h[i : i + 2], 16) for i in (0, 2, 4))))
-        elif parts[0].lower() == "nv":
-            nothing = tuple(int(float(p)) for p in (*parts[1:5], "0")[:4])
-        elif len(parts) >= 4:
+            anchors.append((value, tuple(int(h[i : i + 2], 16) for i in (0, 2, 4))))
+        elif len(parts) >= 4 and all(_number(p) is not None for p in parts[1:4]):
             rgb = tuple(int(float(p)) for p in parts[1:4])
-            if ramp is not None:
-                anchors.append((float(parts[0]), rgb))
-            else:
-                stops.append((float(parts[0]), *rgb, int(float(parts[4])) if len(parts) > 4 and parts[4].replace(".", "").isdigit() else 255))
+            if parts[0].lower() == "nv":
+                nothing = (*rgb, 0)
+            elif value is not None:
+                anchors.append((value, rgb))
+                given = _number(parts[4]) if len(parts) > 4 else None
+                stops.append((value, *rgb, 255 if given is None else int(given)))
     if ramp is not None:
-        a = int(float(ramp.get("alpha", 255)))
-        rows = expand_ramp(sorted(anchors), int(ramp.get("per_seg", 14)), ramp.get("scale", "linear"), ramp.get("lab", "0") in ("1", "true", "yes"))
+        a = int(alpha if alpha is not None else float(ramp.get("alpha", ALPHA)))
+        rows = expand_ramp(sorted(anchors), int(ramp.get("per_seg", 14)), ramp.get("scale", "linear"), ramp.get("lab", "0") not in ("0", "false"))
         stops = [(*r, a) for r in rows]
         if "floor" in ramp:
-            low = float(ramp["floor"])
-            first = stops[0][1:4]
-            stops = [(0.0, *first, 0), (0.999 * low, *first, 0), *[s for s in stops if s[0] >= low]]
-    if alpha is not None:
-        stops = [(*s[:4], alpha if s[4] else 0) for s in stops]
-    return Palette(tuple(sorted(stops)), nothing, ramp or {})
+            low, first = float(ramp["floor"]), stops[0][1:4]
+            stops = [(0.0, *first, 0), (0.999 * low, *first, 0), *stops]
+    elif alpha is not None:
+        stops = [(*s[:4], int(alpha)) for s in stops]
+    return Palette(tuple(sorted(stops, key=lambda s: s[0])), nothing, ramp or {})
 
 
 def load(name: str, folder: str | Path) -> Palette:
@@ -172,3 +187,35 @@ ANGLE = Palette(
         (36.0, 201, 239, 52, 200), (38.0, 251, 185, 56, 200), (42.0, 245, 105, 24, 200), (48.0, 201, 41, 3, 200), (70.0, 122, 4, 3, 200),
     )
 )
+#: Reversed spectral colours, low to high, of energy-line heights and travel angles.
+SPECTRAL = (
+    (43, 131, 186), (64, 146, 182), (86, 161, 179), (107, 176, 175), (128, 191, 171), (150, 206, 168), (171, 221, 164), (185, 227, 169), (199, 232, 173),
+    (213, 238, 178), (227, 244, 182), (241, 249, 187), (255, 255, 191), (255, 242, 175), (254, 228, 160), (254, 215, 144), (254, 201, 128), (253, 187, 113),
+    (253, 174, 97), (247, 149, 86), (240, 124, 74), (234, 100, 63), (228, 75, 51), (221, 50, 39), (215, 25, 28),
+)
+#: Travel angles of those colours, by scenario.
+SPECTRAL_ANGLES = {
+    "extreme": (
+        18.00017166137695313, 22.08227642607282348, 24.91113765298762672, 27.08463878306177364, 28.80935919199530559, 30.24837924913186882,
+        31.47371423581699901, 32.6177310907912883, 33.72848674961021231, 34.8128999150580114, 35.89951023611972403, 37.00512361584223697,
+        38.13186708785179491, 39.29486362749098305, 40.5219049158762914, 41.81810985810820824, 43.19460447623168875, 44.66595076968791744,
+        46.29247702187605285, 48.0744403467509045, 50.10517310991218665, 52.51222720694659785, 55.58763734253803079, 59.83429503831879259,
+        75.0,
+    ),
+    "frequent": (
+        28.00001907348632813, 29.57701827334770783, 30.79859633333810365, 31.86281471049444036, 32.87045961225810231, 33.82084332523660208,
+        34.7486410825880796, 35.67023132168630895, 36.58896212088944111, 37.51862394348898988, 38.45302736895254014, 39.41103022241098586,
+        40.40873947542526423, 41.45381046391702284, 42.54551927905207265, 43.68482510003572372, 44.90790527085708561, 46.23099344712307612,
+        47.6651835317178012, 49.24576608030846359, 51.06102177522567587, 53.21852346923144239, 55.90024374552260156, 59.47577425939959284,
+        75.0,
+    ),
+}
+
+
+def _spectral(values) -> Palette:
+    """Spectral stops with alpha 200; nothing is shown at 0."""
+    return Palette(((0.0, *SPECTRAL[0], 0), *((float(v), *rgb, 200) for v, rgb in zip(values, SPECTRAL, strict=True))))
+
+
+ZDELTA = _spectral([round(10.8 * (k + 1), 4) for k in range(25)])
+SCENARIO_ANGLE = {s: _spectral(v) for s, v in SPECTRAL_ANGLES.items()}

@@ -49,6 +49,7 @@ class FlowParams:
     friction_velocity_z: float = 270.0
     max_detrainment: float = 0.003
     min_detrainment: float = 0.00001
+    detrainment_velocity_z: float = 270.0
     forest: bool = False
     tile: int = 128
     halo: int = 64
@@ -133,7 +134,7 @@ def run_release(w: Window, start: int) -> dict[int, tuple] | None:
         whole = sum([s[1] for s in shares])
         rest = flux
         if p.forest and canopy[at] > 0:
-            calm = max(0.0, 1.0 - energy / p.friction_velocity_z)
+            calm = max(0.0, 1.0 - energy / p.detrainment_velocity_z)
             rest = max(0.0, flux - (p.min_detrainment + (p.max_detrainment - p.min_detrainment) * calm) * canopy[at] / 100.0)
         good = [s for s in shares if whole and rest * s[1] / whole >= p.flux_threshold]
         kept = sum([s[1] for s in good])

@@ -16,7 +16,7 @@ from firnline.grid import GridSpec, cut_lineage, workers_see
 from firnline.operators.distance import distance_to
 from firnline.operators.focal import closing, curvature, local_maxima, opening
 from firnline.operators.regions import connected, merge_small, uncovered
-from firnline.operators.zonal import normalised
+from firnline.operators.zonal import dips, normalised
 
 
 @dataclass(frozen=True)
@@ -34,6 +34,12 @@ class SegmentParams:
     closing: int = 1
     high: float = 0.40
     enforce_cap: bool = False
+    trigger: str = "both"  # what splits a zone: size, terrain, both or none
+    prominence: float = 1.5
+    least_m2: float = 20000.0
+    use_treeline: bool = True
+    bin_m: float = 30.0
+    ridge: float = 3.0
 
 
 def thin_peaks(r: np.ndarray, c: np.ndarray, height: np.ndarray, distance: int) -> np.ndarray:
@@ -95,8 +101,7 @@ def segment(cells: DataFrame, spec: GridSpec, p: SegmentParams | None = None, me
     x = cost_surface(x, p)
     high = (F.col("pra_norm") > p.high) & (F.col("mask") == 1)
     x = distance_to(x, spec, ~high, "_edt").withColumns({"_edt": F.when(high, F.coalesce("_edt", F.lit(1e6))).otherwise(0.0), "_bend": F.when(F.col("mask") == 1, F.abs("curvature")).otherwise(0.0)})
-    x = local_maxima(x, "_edt", p.maxima_distance, 0.0, "_peak")
-    x = local_maxima(x, "_bend", p.min_distance, 0.0, "_crest")
+    x = local_maxima(x, spec, {"_peak": ("_edt", p.maxima_distance), "_crest": ("_bend", p.min_distance)})
     x = cut_lineage(x.where("mask = 1").select("r", "c", "cost", "_edt", "_bend", "_peak", "_crest"), "segment")
     parts = connected(x, spec, None, 4).select("r", "c", F.col("label").alias("component"))
     width, peak_d, crest_d = spec.width, p.maxima_distance, p.min_distance
@@ -117,75 +122,118 @@ def segment(cells: DataFrame, spec: GridSpec, p: SegmentParams | None = None, me
 
     zones = x.join(parts, ["r", "c"]).groupBy("component").applyInPandas(run, "r long, c long, label long")
     zones = cut_lineage(zones, "zones")
-    rest = uncovered(x, zones, spec)
-    zones = zones.unionByName(rest)
+    zones = zones.unionByName(uncovered(x, zones, spec))
+    if p.trigger != "none" and "slope" in cells.columns:
+        treeline = ["treeline"] if "treeline" in cells.columns else []
+        bands = cells.select("r", "c", "z", "pra", "slope", *treeline).join(x.select("r", "c", "cost"), ["r", "c"])
+        zones = cut_lineage(subdivide(zones, bands, spec, p), "subdivided")
     if not merge:
         return zones
     merged = merge_small(zones, spec, p.merge_m2, p.max_m2 if p.enforce_cap else None)
     return zones.join(merged, "label").select("r", "c", F.col("merged").alias("label"))
 
 
-def subdivide(zones: DataFrame, cells: DataFrame, spec: GridSpec, benches: DataFrame, buffer_m: float = 39.0, least_m2: float = 20000.0) -> DataFrame:
-    """Split labels at the elevations of their benches (label, bench): cells are
-    put into strata between benches; those near a bench are flooded from the
-    strata's cores over a cost that is high on the bench."""
-    workers_see(cells.sparkSession)
-    cuts = benches.groupBy("label").agg(F.sort_array(F.collect_list("bench")).alias("cuts"))  # a few per label
-    sizes = zones.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area).alias("_area"))
-    x = zones.join(cells.select("r", "c", "z"), ["r", "c"]).join(sizes, "label").join(cuts, "label", "left")
-    width = spec.width
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "c"], ignore_index=True)
-        r, c, z = pdf.r.to_numpy(), pdf.c.to_numpy(), pdf.z.to_numpy(dtype=float)
-        out = pdf.label.to_numpy().copy()
-        edges = pdf.cuts.iloc[0]
-        if edges is not None and len(edges) and pdf._area.iloc[0] >= least_m2:
-            edges = np.asarray(edges, dtype=float)
-            layer = np.digitize(z, edges)
-            far = np.abs(z[:, None] - edges[None, :]).min(axis=1)
-            marker = np.where(far > buffer_m, layer + 1, 0)
-            if len(np.unique(marker[marker > 0])) > 1:
-                ridge = 3.0 * np.exp(-0.5 * (far / buffer_m) ** 2)
-                got = flood(r, c, ridge, marker)
-                for k in np.unique(got[got > 0]):
-                    at = np.flatnonzero(got == k)
-                    out[at] = r[at[0]] * width + c[at[0]]
-        return pd.DataFrame({"r": r, "c": c, "label": out})
-
-    return x.groupBy("label").applyInPandas(split, "r long, c long, label long")
-
-
-def grid_markers(zones: DataFrame, step: int) -> DataFrame:
-    """Every step-th row and column of each label, from its bounding box's
-    corner."""
-    ends = zones.groupBy("label").agg(F.min("r").alias("_r"), F.min("c").alias("_c"))
-    x = zones.join(ends, "label")
-    return x.where((F.pmod(F.col("r") - F.col("_r"), F.lit(step)) == 0) & (F.pmod(F.col("c") - F.col("_c"), F.lit(step)) == 0)).select("r", "c", "label")
+def split_elevations(z: np.ndarray, slope: np.ndarray, treeline: float | None, p: SegmentParams) -> np.ndarray:
+    """Where a zone's slope profile has benches, and the treeline if it runs
+    through the zone; the lowest first, none within a bin of the one before."""
+    lo, hi, found = float(z.min()), float(z.max()), []
+    if hi - lo > 3 * p.bin_m:
+        edges = np.arange(lo, hi + p.bin_m, p.bin_m)
+        k = np.clip(np.digitize(z, edges) - 1, 0, len(edges) - 2)
+        ok = np.isfinite(slope)
+        n = np.bincount(k[ok], minlength=len(edges) - 1)
+        profile = np.where(n > 0, np.bincount(k[ok], slope[ok], len(edges) - 1) / np.maximum(n, 1), np.nan)
+        mean = np.nanmean(profile) if (n > 0).any() else 0.0
+        found = [(edges[i] + edges[i + 1]) / 2 for i in dips(np.where(np.isnan(profile), mean, profile), p.prominence)]
+    if treeline is not None and np.isfinite(treeline) and lo + p.bin_m < treeline < hi - p.bin_m:
+        found.append(treeline)
+    out: list[float] = []
+    for e in sorted(found):
+        if not out or e - out[-1] > p.bin_m:
+            out.append(float(e))
+    return np.array(out)
+
+
+def zone_cost(cost: np.ndarray, z: np.ndarray, elevations: np.ndarray, p: SegmentParams) -> np.ndarray:
+    """The terrain's cost, 0 to 1 within the zone, and a ridge at each split
+    elevation: borders go there, and bend with the terrain."""
+    low = np.nanmin(cost) if np.isfinite(cost).any() else 0.0
+    span = (np.nanmax(cost) - low if np.isfinite(cost).any() else 0.0) + 1e-9
+    out = np.where(np.isfinite(cost), (cost - low) / span, 1.0)
+    for e in elevations:
+        out = out + p.ridge * np.exp(-0.5 * ((z - e) / (1.3 * p.bin_m)) ** 2)
+    return out
 
 
-def densify(zones: DataFrame, cells: DataFrame, spec: GridSpec, cap_m2: float, shrink=(1.0, 0.7, 0.5, 0.35, 0.25)) -> DataFrame:
-    """Split labels above the cap from grid markers, closer and closer until no
-    part is above it."""
+def stratified(r, c, z, cost, elevations: np.ndarray, p: SegmentParams) -> np.ndarray:
+    """Zone numbers from flooding out of the strata between split elevations;
+    all 1 if there are fewer than two strata."""
+    if not len(elevations):
+        return np.ones(len(r), dtype=np.int64)
+    near = np.abs(z[:, None] - elevations[None, :]).min(axis=1) < 1.3 * p.bin_m
+    marker = np.where(near, 0, np.digitize(z, elevations) + 1)
+    if len(np.unique(marker[marker > 0])) < 2:
+        return np.ones(len(r), dtype=np.int64)
+    return flood(r, c, cost, marker)
+
+
+def densified(r, c, pra, cost, cap_cells: float) -> np.ndarray:
+    """Zone numbers such that, if spacing allows, none has more cells than the
+    cap: flooding from release-area peaks and, away from them, grid points,
+    closer and closer."""
+    step0, best = max(2, int(np.sqrt(max(cap_cells, 1.0)))), np.ones(len(r), dtype=np.int64)
+    for shrink in (1.0, 0.7, 0.5, 0.35, 0.25):
+        step = max(2, int(step0 * shrink))
+        marker = np.zeros(len(r), dtype=np.int64)
+        peaks = thin_peaks(r, c, pra, step)
+        peaks = peaks[[pra[i] >= pra[(np.abs(r - r[i]) <= step) & (np.abs(c - c[i]) <= step)].max() for i in peaks]] if len(peaks) else peaks
+        marker[peaks] = np.arange(1, len(peaks) + 1)
+        grid = np.flatnonzero(((r - r.min()) % step == 0) & ((c - c.min()) % step == 0))
+        if len(peaks):
+            far = ((r[grid, None] - r[None, peaks]) ** 2 + (c[grid, None] - c[None, peaks]) ** 2).min(axis=1) > step * step
+            grid = grid[far]
+        marker[grid] = len(peaks) + 1 + np.arange(len(grid))
+        if marker.max() < 2:
+            grid = np.flatnonzero(((r - r.min()) % max(2, step // 2) == 0) & ((c - c.min()) % max(2, step // 2) == 0))
+            marker[grid] = marker.max() + 1 + np.arange(len(grid))
+            if marker.max() < 2:
+                return np.ones(len(r), dtype=np.int64)
+        best = flood(r, c, cost, marker)
+        if np.bincount(best)[1:].max() <= cap_cells:
+            break
+    return best
+
+
+def subdivide(zones: DataFrame, cells: DataFrame, spec: GridSpec, p: SegmentParams) -> DataFrame:
+    """Split zones: those above the size (trigger size or both), and those of
+    least_m2 or more that a bench or the treeline crosses (terrain or both), at
+    these elevations; with the cap enforced, zones above it until no part is.
+    cells: z, pra, slope, cost, perhaps treeline. A zone is one task, as its
+    flooding was."""
     workers_see(cells.sparkSession)
-    x = zones.join(cells.select("r", "c", "pra"), ["r", "c"])
-    area, width = spec.cell_area, spec.width
+    x = zones.join(cells, ["r", "c"])
+    width, area = spec.width, spec.cell_area
+    treeline = "treeline" in cells.columns and p.use_treeline
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "c"], ignore_index=True)
-        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
-        out = pdf.label.to_numpy().copy()
-        if len(pdf) * area > cap_m2:
-            for k in shrink:
-                step = max(2, int(np.sqrt(cap_m2 / area) * k))
-                at = np.flatnonzero(((r - r.min()) % step == 0) & ((c - c.min()) % step == 0))
-                marker = np.zeros(len(r), dtype=np.int64)
-                marker[at] = at + 1
-                got = flood(r, c, 1.0 - pdf.pra.fillna(0).to_numpy(), marker)
-                if np.bincount(got).max() * area <= cap_m2:
-                    break
-            ok = got > 0
-            out[ok] = r[got[ok] - 1] * width + c[got[ok] - 1]
+        r, c, z = pdf.r.to_numpy(), pdf.c.to_numpy(), pdf.z.to_numpy(dtype=float)
+        out, big = pdf.label.to_numpy().copy(), 0 < p.max_m2 < len(pdf) * area
+        lines = pdf.treeline.dropna() if treeline else []
+        at = split_elevations(z, pdf.slope.to_numpy(dtype=float), float(np.median(lines)) if len(lines) else None, p)
+        if p.trigger in ("size", "both") and big or p.trigger in ("terrain", "both") and len(pdf) * area >= p.least_m2 and len(at):
+            cost = zone_cost(pdf.cost.to_numpy(dtype=float), z, at, p)
+            if p.enforce_cap and big:
+                got = densified(r, c, pdf.pra.fillna(0).to_numpy(dtype=float), cost, p.max_m2 / area)
+            else:
+                got = stratified(r, c, z, cost, at, p)
+            parts = [k for k in np.unique(got) if k > 0]
+            for k in parts[1:]:  # the first part keeps the label
+                mine = np.flatnonzero(got == k)
+                out[mine] = -1 - (r[mine[0]] * width + c[mine[0]])
         return pd.DataFrame({"r": r, "c": c, "label": out})
 
-    return x.groupBy("label").applyInPandas(split, "r long, c long, label long")
+    new = x.groupBy("label").applyInPandas(split, "r long, c long, label long")
+    # New labels come after all others, by their first cell.
+    top = zones.agg(F.max("label").alias("_top"))  # one row
+    return new.crossJoin(F.broadcast(top)).select("r", "c", F.when(F.col("label") < 0, F.col("_top") - F.col("label")).otherwise(F.col("label")).alias("label"))

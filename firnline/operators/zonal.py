@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firnline.functions.votes import band_label, compass
-from firnline.grid import GridSpec
+from firnline.grid import GridSpec, workers_see
 
 
 def circular_mean(degrees: Column) -> Column:
@@ -72,6 +74,24 @@ def treeline_fraction(cells: DataFrame, forested: float = 30.0, fraction: float
     return good.agg(F.max(F.col("_lo") + (F.col("bin") + 0.5) * bin_m).alias("treeline"))
 
 
+def treelines(cells: DataFrame, zones: DataFrame | None = None, table: DataFrame | None = None, least_kpx: float = 150.0) -> DataFrame:
+    """cells (r, c, z, canopy) with `treeline`. zones: r, c, name; a cell in
+    several takes the last by name. With a table of treelines, a zone's own or
+    its fallback; with zones alone, each zone's percentile; else one for all."""
+    if zones is None:
+        return cells.crossJoin(F.broadcast(treeline_percentile(cells).select("treeline")))  # one row
+    at = zones.groupBy("r", "c").agg(F.max("name").alias("_zone"))
+    x = cells.join(at, ["r", "c"], "left")
+    per = treeline_percentile(x.where("_zone is not null"), "_zone") if table is None else treeline_fallback(table, least_kpx).withColumnRenamed("name", "_zone")
+    return x.join(F.broadcast(per.select("_zone", "treeline")), "_zone", "left").drop("_zone")  # a row per named zone
+
+
+def kind_counts(labels: DataFrame, spec: GridSpec, caps: dict[str, float]) -> DataFrame:
+    """How many zones there are, and how many are above each of some areas."""
+    area = labels.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area).alias("a"))
+    return area.agg(F.count(F.lit(1)).alias("zones"), F.sum("a").alias("area_m2"), *[F.count(F.when(F.col("a") > v, 1)).alias(k) for k, v in caps.items()])
+
+
 def treeline_fallback(regions: DataFrame, least: float = 150.0) -> DataFrame:
     """name, range, group, treeline, n_forest_kpx: a region's own value if it
     has forest enough, else its range's median, else its group's, of the
@@ -83,34 +103,43 @@ def treeline_fallback(regions: DataFrame, least: float = 150.0) -> DataFrame:
     return x.select("name", "range", "group", F.coalesce(F.when(own, F.col("treeline")), F.col("_r"), F.col("_g")).alias("treeline"))
 
 
+def elevation_profile(cells: DataFrame, label: str, bin_m: float = 30.0, band: str = "slope") -> DataFrame:
+    """label, bin, m: a band's mean per bin of elevation."""
+    known = cells.where(F.col(label).isNotNull() & F.col("z").isNotNull())
+    return known.groupBy(label, F.floor(F.col("z") / bin_m).alias("bin")).agg(F.avg(band).alias("m"))
+
+
+def dips(y: np.ndarray, prominence: float, sigma: float = 1.5) -> list[int]:
+    """Places of the minima of a smoothed profile that are as deep as asked: the
+    lesser of the rims on either side, up to where it goes deeper, less the
+    minimum."""
+    k = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-k, k + 1) / sigma) ** 2)
+    y = np.convolve(np.pad(y, k, mode="symmetric" if len(y) >= k else "edge"), w / w.sum(), mode="valid")
+    found = []
+    for i in range(1, len(y) - 1):
+        if y[i] < y[i - 1] and y[i] <= y[i + 1]:
+            left, right = y[: i + 1][::-1], y[i:]
+            deeper_l, deeper_r = np.flatnonzero(left < y[i]), np.flatnonzero(right < y[i])
+            rim = min(left[: deeper_l[0] if len(deeper_l) else None].max(), right[: deeper_r[0] if len(deeper_r) else None].max())
+            if rim - y[i] >= prominence:
+                found.append(i)
+    return found
+
+
 def bench_profile(cells: DataFrame, label: str, bin_m: float = 30.0, sigma: float = 1.5, prominence: float = 1.5) -> DataFrame:
     """Elevations of benches: minima of the smoothed mean slope per 30 m bin, as
     prominent as asked. A zone's profile has as many numbers as bins."""
-    import numpy as np
-    import pandas as pd
-
-    bins = cells.where(F.col(label).isNotNull() & F.col("z").isNotNull()).groupBy(label, F.floor(F.col("z") / bin_m).alias("bin")).agg(F.avg("slope").alias("m"))
+    workers_see(cells.sparkSession)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf.bin.min()), int(pdf.bin.max())
         y = pdf.set_index("bin").m.reindex(range(lo, hi + 1)).to_numpy(dtype=float)
         y = np.where(np.isnan(y), np.nanmean(y) if np.isfinite(y).any() else 0.0, y)
-        k = int(4 * sigma + 0.5)
-        w = np.exp(-0.5 * (np.arange(-k, k + 1) / sigma) ** 2)
-        y = np.convolve(np.pad(y, k, mode="symmetric" if len(y) >= k else "edge"), w / w.sum(), mode="valid")
-        found = []
-        for i in range(1, len(y) - 1):
-            if y[i] < y[i - 1] and y[i] <= y[i + 1]:
-                left = y[: i + 1][::-1]
-                right = y[i:]
-                deeper_l = np.flatnonzero(left < y[i])
-                deeper_r = np.flatnonzero(right < y[i])
-                rim = min(left[: deeper_l[0] if len(deeper_l) else None].max(), right[: deeper_r[0] if len(deeper_r) else None].max())
-                if rim - y[i] >= prominence:
-                    found.append((lo + i + 0.5) * bin_m)
+        found = [(lo + i + 0.5) * bin_m for i in dips(y, prominence, sigma)]
         return pd.DataFrame({label: pdf[label].iloc[0], "bench": np.array(found, dtype=float)})
 
-    return bins.groupBy(label).applyInPandas(find, f"{label} {dict(cells.dtypes)[label]}, bench double")
+    return elevation_profile(cells, label, bin_m).groupBy(label).applyInPandas(find, f"{label} {dict(cells.dtypes)[label]}, bench double")
 
 
 def normalised(cells: DataFrame, bands: list[str]) -> DataFrame:

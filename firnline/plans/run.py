@@ -6,6 +6,7 @@ import logging
 import sys
 import time
 import uuid
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 from firnline.functions import fuzzy
 from firnline.functions import palette as P
 from firnline.functions import votes as V
-from firnline.grid import GridSpec, cut_lineage
-from firnline.operators import classify, distance, flow, focal, regions, segment, zonal
+from firnline.grid import GridSpec, cut_lineage, scratch
+from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
 from firnline.plans import config as C
 from firnline.plans.manifest import Manifest
-from firnline.sources import tables
+from firnline.sources import tables, vectors
 
 log = logging.getLogger(__name__)
 SCENARIOS = ("frequent", "extreme")
@@ -28,11 +29,12 @@ ROLE = {"frequent": "F", "extreme": "E"}
 def release_areas(cells: DataFrame, spec: GridSpec, p: C.ReleaseConfig, scenario: str) -> DataFrame:
     """r, c and a scenario's continuous, binary and sieved release areas and the
     distance to the binary one."""
-    abc = tuple(getattr(p, f"{scenario}_slope_{k}") for k in "abc")
+    slope = p.slope(scenario)
+    abc, more = tuple(slope.pop(k) for k in "abc"), slope
     rugged = {"rugged": "ruggedness", "rugged_abc": (p.rugg_a, p.rugg_b, p.rugg_c)} if p.enable_ruggedness else {}
-    pra = fuzzy.release_area("slope", "windshelter", "canopy", abc, (p.forest_a, p.forest_b, p.forest_c), (p.wind_a, p.wind_b, p.wind_c), **rugged)
+    pra = fuzzy.release_area("slope", "windshelter", "canopy", abc, p.forest(scenario), (p.wind_a, p.wind_b, p.wind_c), **rugged, **more)
     x = cells.withColumn("pra", pra)
-    x = x.withColumn("binary", (F.col("pra") >= getattr(p, f"{scenario}_pra_threshold")).cast("int"))
+    x = x.withColumn("binary", (F.col("pra") >= p.of(scenario, "pra_threshold")).cast("int"))
     x = regions.sieve(x, spec, "binary", p.sieve_filter_m2)
     return distance.proximity(x, spec, F.col("binary") == 1, "pra_proximity")
 
@@ -41,7 +43,20 @@ def terrain(cells: DataFrame, spec: GridSpec, p: C.ReleaseConfig) -> DataFrame:
     x = focal.slope(cells, spec, edges=True)
     if p.enable_ruggedness:
         x = focal.ruggedness(focal.aspect(x, spec), out="ruggedness")
-    return focal.wind_shelter(x, spec, "z", p.wind_direction, p.wind_tolerance, p.wind_probability, p.wind_radius_m)
+    return focal.wind_shelter(x, spec, "z", p.wind_direction, p.wind_tolerance, p.wind_probability, p.wind_radius_m, radius=p.wind_radius_cells)
+
+
+def with_treeline(cells: DataFrame, spec: GridSpec, p: C.ReleaseConfig) -> DataFrame:
+    """cells with `treeline`, unless that is off: from a layer of regions and a
+    table of their treelines, from the layer alone, or one for the whole map."""
+    if not p.enable_treeline:
+        return cells
+    spark = cells.sparkSession
+    if not p.subregions_path:
+        return zonal.treelines(cells)
+    zones = vectors.burn(cells, spec, vectors.read_layer(spark, p.subregions_path))
+    table = tables.read_treelines(spark, p.treeline_table_csv) if p.treeline_table_csv else None
+    return zonal.treelines(cells, zones, table, p.treeline_min_reliable_kpx)
 
 
 def start_zones(cells: DataFrame, spec: GridSpec, params: segment.SegmentParams | None = None) -> tuple[DataFrame, DataFrame]:
@@ -51,103 +66,178 @@ def start_zones(cells: DataFrame, spec: GridSpec, params: segment.SegmentParams
     return labels, zonal.zonal_metrics(x.join(labels, ["r", "c"]), spec)
 
 
-def scenario_layers(cells: DataFrame, flow_bands: DataFrame, spec: GridSpec, role: str) -> DataFrame:
+def scenario_layers(cells: DataFrame, flow_bands: DataFrame, spec: GridSpec, role: str, cutoff: float = 25.0) -> DataFrame:
     """A scenario's columns of the wide stack; what no path reaches is 0."""
     x = flow.on_grid(cells, flow_bands, ["zDelta", "fpTravelAngleMax", "routFluxSum"])
     x = distance.proximity(x, spec, F.col("fpTravelAngleMax") > 0, "runout_prox")
     return x.select(
         "r", "c", F.col("zDelta").alias(f"{role}_zdelta"), F.col("fpTravelAngleMax").alias(f"{role}_travel_angle"),
         (F.col("routFluxSum") * spec.cell_area).alias(f"{role}_rout_flux_area"),
-        V.flux_area(F.col("routFluxSum"), spec.cell_area, F.col("fpTravelAngleMax")).alias(f"{role}_flux_area"),
+        V.flux_area(F.col("routFluxSum"), spec.cell_area, F.col("fpTravelAngleMax"), cutoff).alias(f"{role}_flux_area"),
         V.angle_score(F.col("zDelta"), F.col("fpTravelAngleMax")).alias(f"{role}_alpha_zdelta"),
         F.col("runout_prox").alias(f"{role}_runout_prox"), F.col("pra").alias(f"{role}_pra"), F.col("sieved").alias(f"{role}_release"),
         F.col("pra_proximity").alias(f"{role}_pra_proximity"),
     )
 
 
-def run_stack(cells: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Manifest | None = None) -> dict[str, DataFrame]:
-    """cells: r, c, z, canopy. Returns the tables of every step that is on."""
+def run_stack(cells: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Manifest | None = None, area: DataFrame | None = None) -> dict[str, DataFrame]:
+    """cells: r, c, z, canopy; area: r, c of the area of interest. Returns the
+    tables of every step that is on. A scenario whose runout fails is left out,
+    which the log and the manifest say."""
     out: dict[str, DataFrame] = {}
-    base = cut_lineage(terrain(cells, spec, cfg.pra), "terrain")
+    base = cut_lineage(with_treeline(terrain(cells, spec, cfg.pra), spec, cfg.pra), "terrain")
     stack = focal.whole_slope(cells, spec)
-    smooth = focal.box_mean(stack.withColumn("_s", F.greatest(F.coalesce("slope", F.lit(0)), F.lit(0))), spec, "_s", 5, "nearest", "slope_smooth")
+    steep = stack.withColumn("_s", F.greatest(F.coalesce("slope", F.lit(0)), F.lit(0)))
+    smooth = focal.box_mean(steep, spec, "_s", cfg.ates.win_size | 1, "nearest", "slope_smooth")
     stack = smooth.drop("_s").withColumn("canopy_pct", F.rint(F.coalesce("canopy", F.lit(0.0))))
     for s in SCENARIOS:
         if not cfg.run_pra or not getattr(cfg.pra, f"run_{s}"):
             continue
         began = time.time()
-        area = cut_lineage(release_areas(base, spec, cfg.pra, s), f"pra-{s}")
-        out[f"pra_{s}"] = area
-        labels, metrics = start_zones(area, spec)
+        released = cut_lineage(release_areas(base, spec, cfg.pra, s), f"pra-{s}")
+        out[f"pra_{s}"] = released
+        params = cfg.segments.params(s)
+        labels, metrics = start_zones(released, spec, params)
         out[f"zones_{s}"], out[f"zone_metrics_{s}"] = labels, metrics
+        counts = zonal.kind_counts(labels, spec, {"above_least": params.least_m2, "above_cap": params.max_m2}).first().asDict()
+        log.info("start zones of %s: %s", s, counts)
         if manifest:
-            manifest.step(f"pra_{s}", time.time() - began)
+            manifest.step(f"pra_{s}", time.time() - began, zones=counts)
         if not cfg.run_runout:
             continue
         began = time.time()
         try:
-            params = flow.FlowParams(getattr(cfg.flow, f"{s}_alpha"), cfg.flow.exponent, cfg.flow.flux_threshold, cfg.flow.max_z, forest=cfg.flow.forest_interaction)
-            got = cut_lineage(flow.runout(area, spec, "sieved", params), f"runout-{s}")
-        except Exception:
+            got = cut_lineage(flow.runout(released, spec, "sieved", cfg.flow.params(s, spec.cell)), f"runout-{s}")
+        except Exception as e:
             log.exception("runout of %s failed; the scenario is left out", s)
+            if manifest:
+                manifest.failed(f"runout_{s}", e)
             continue
-        out[f"runout_{s}"] = got
-        stack = stack.join(scenario_layers(area, got, spec, ROLE[s]), ["r", "c"], "left")
+        out[f"runout_{s}"] = got.select("r", "c", *[c for c in got.columns if c in cfg.flow.outputs() or c in NEEDED])
+        stack = stack.join(scenario_layers(released, got, spec, ROLE[s], cfg.ates.flux_cutoff), ["r", "c"], "left")
         sizes = labels.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area / 10000.0).alias(f"{ROLE[s]}_pra_size"))
         stack = stack.join(labels.join(sizes, "label").select("r", "c", f"{ROLE[s]}_pra_size"), ["r", "c"], "left")
         if manifest:
             manifest.step(f"runout_{s}", time.time() - began)
     if cfg.run_ates and any(k.startswith("runout_") for k in out):
         began = time.time()
-        classes = classify.classify(cut_lineage(stack, "stack"), spec, cfg.ates.model, cfg.ates.base_layer)
-        out["ates"] = cut_lineage(classify.postprocess(classes, spec, "ates", cfg.ates.minimum_m2()), "ates").select("r", "c", "ates")
-        out["ates_regions"] = regions.polygonize(out["ates"], spec, "ates", 8)[0]
+        stack = cut_lineage(stack, "stack")
+        if (top := classify.canopy_beyond(stack)) is not None:
+            text = f"canopy is up to {top:.1f}; it should be percent already"
+            log.warning(text)
+            if manifest:
+                manifest.warn(text)
+        classes = classify.classify(stack, spec, cfg.ates.model, cfg.ates.base_layer, cfg.ates.cuts())
+        out["ates"] = cut_lineage(classify.postprocess(classes, spec, "ates", cfg.ates.minimum_m2(), area), "ates").select("r", "c", "ates")
+        out["ates_regions"] = regions.in_order(regions.polygonize(out["ates"], spec, "ates", 8)[0])
         if manifest:
             manifest.step("ates", time.time() - began)
     if cfg.run_colorize:
-        out |= colours(out)
+        out |= colours(out, spec)
     return out
 
 
-def colours(tables_: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Colour tables of what there is; one that fails is left out."""
+NEEDED = ("zDelta", "fpTravelAngleMax", "routFluxSum")
+#: Products by the token that their name holds: band, palette, whether classes.
+PRODUCTS = {
+    "pra_extreme": [("", "pra", P.parse(P.RELEASE_RAMPS["extreme"]), False), ("binary_", "sieved", P.RELEASE_BINARY["extreme"], True)],
+    "pra_frequent": [("", "pra", P.parse(P.RELEASE_RAMPS["frequent"]), False), ("binary_", "sieved", P.RELEASE_BINARY["frequent"], True)],
+    "runout_extreme": [("angle_", "fpTravelAngleMax", P.SCENARIO_ANGLE["extreme"], False)],
+    "runout_frequent": [("angle_", "fpTravelAngleMax", P.SCENARIO_ANGLE["frequent"], False)],
+    "ates": [("", "ates", P.CLASSES, True)],
+}
+for _s in SCENARIOS:
+    PRODUCTS[f"pra_{_s}"] += [("slope_", "slope", P.parse(P.SLOPE_RAMP), False), ("canopy_", "canopy", P.CANOPY, False)]
+    PRODUCTS[f"runout_{_s}"] += [("zdelta_", "zDelta", P.ZDELTA, False), ("flux_", "routFluxSum", P.parse(P.FLUX_RAMP), False)]
+
+
+def colours(tables_: dict[str, DataFrame], spec: GridSpec, palettes: dict[str, P.Palette] | None = None) -> dict[str, DataFrame]:
+    """Colour tables of what there is, by the palettes given for a colour
+    table's name or the usual ones; a band that isn't there is passed over."""
     out = {}
     for name, x in tables_.items():
-        try:
-            if name == "ates":
-                out["ates_rgba"] = x.withColumn("p", P.colour(F.col("ates"), P.CLASSES, True)).select("r", "c", "p.*")
-            elif name.startswith("pra_"):
-                ramp = P.parse(P.RELEASE_RAMPS[name[4:]])
-                out[f"{name}_rgba"] = x.withColumn("p", P.colour(F.col("pra"), ramp)).select("r", "c", "p.*")
-                out[f"slope_{name[4:]}_rgba"] = x.withColumn("p", P.colour(F.col("slope"), P.parse(P.SLOPE_RAMP))).select("r", "c", "p.*")
-            elif name.startswith("runout_"):
-                out[f"{name}_angle_rgba"] = x.withColumn("p", P.colour(F.col("fpTravelAngleMax"), P.ANGLE)).select("r", "c", "p.*")
-                out[f"{name}_flux_rgba"] = x.withColumn("p", P.colour(F.col("routFluxSum"), P.parse(P.FLUX_RAMP))).select("r", "c", "p.*")
-        except Exception:
-            log.exception("no colours for %s", name)
+        for prefix, band, palette, classes in PRODUCTS.get(name, ()):
+            if band not in x.columns:
+                continue
+            key = f"{prefix}{name}_rgba"
+            value = F.col(band) * spec.cell_area if band == "routFluxSum" else F.col(band)  # the flux ramp is by area
+            out[key] = x.withColumn("p", P.colour(value, (palettes or {}).get(key, palette), classes)).select("r", "c", "p.*")
     return out
 
 
+def colour_run(spark: SparkSession, folder: str | Path, spec: GridSpec, palettes: dict[str, P.Palette] | None = None) -> list[str]:
+    """Colour the products of a run's folder once more, each found by its
+    token; returns the colour tables written."""
+    found = {name: path for name in PRODUCTS if (path := tables.find_by_token(folder, name))}
+    made = colours({name: spark.read.parquet(f"file://{Path(path).resolve()}") for name, path in found.items()}, spec, palettes)
+    for name, x in made.items():
+        tables.write_rgba(x, f"file://{Path(folder).resolve()}/{name}")
+    return sorted(made)
+
+
+def _write(name: str, x: DataFrame, folder: Path, cfg: C.RunConfig, out: dict[str, DataFrame], spec: GridSpec) -> None:
+    path = f"{folder}/{cfg.output_basename + '_' if cfg.output_basename else ''}{name}"
+    if name.endswith("_rgba"):
+        tables.write_rgba(x, path)
+    elif name.startswith("zone_metrics_") or name == "ates_regions":
+        if cfg.output.save_shp:
+            members = out["zones_" + name[13:]] if name != "ates_regions" else regions.polygonize(out["ates"], spec, "ates", 8)[1]
+            shapes = regions.outlines(members, spec)
+            tables.write_regions(x.join(shapes, "label", "left"), str(folder), Path(path).name)
+    elif cfg.output.save_tif:
+        tables.write_raster(x, path)
+
+
 def run(spark: SparkSession, cfg: C.RunConfig, source: str = "unknown") -> str:
     """Read, compute, write; the manifest is there from the start and says how
-    the run ended, whatever ended it."""
+    the run ended, whatever ended it; the log of the run lies beside it."""
     folder = Path(cfg.working_dir) / f"{cfg.project_name}_{uuid.uuid4().hex[:8]}"
-    manifest = Manifest(folder / "manifest.json", cfg, source)
+    inputs = (cfg.dem_path, cfg.forest_canopy_path, cfg.aoi_path, cfg.pra.subregions_path, cfg.pra.treeline_table_csv)
+    manifest = Manifest(folder / "manifest.json", cfg, source, inputs)
+    lines = logging.FileHandler(folder / "run.log")
+    lines.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+    logger = logging.getLogger("firnline")
+    logger.addHandler(lines)
+    level = logger.level
+    logger.setLevel(logging.INFO)
     try:
-        z = tables.read_raster(spark, cfg.dem_path, "z", zero_is_void=True)
-        canopy = tables.read_raster(spark, cfg.forest_canopy_path, "canopy")
-        cells = z.join(canopy, ["r", "c"], "left")
-        if cfg.aoi_path:
-            cells = regions.clip_to(cells, spark.read.parquet(cfg.aoi_path), reindex=True)
-        for name, x in run_stack(cells, GridSpec.of(cells, cfg.cell), cfg, manifest).items():
-            x.write.mode("overwrite").parquet(f"{folder}/{name}")
+        with scratch(spark):
+            z = tables.read_raster(spark, cfg.dem_path, "z", zero_is_void=True)
+            canopy = tables.read_raster(spark, cfg.forest_canopy_path, "canopy")
+            cells = z.join(canopy, ["r", "c"], "left")
+            spec = GridSpec.of(cells, cfg.cell)
+            for size in (cfg.target_resolution_x, cfg.target_resolution_y):
+                if size and size != cfg.cell:
+                    target = replace(spec, width=max(1, int(spec.width * spec.cell / size)), height=max(1, int(spec.height * spec.cell / size)), cell=size)
+                    both = [align.align(cells, spec, target, b, how) for b, how in (("z", "bilinear"), ("canopy", "nearest"))]
+                    cells, spec = both[0].join(both[1], ["r", "c"]), target
+                    break
+            area = area_of_interest(spark, cells, spec, cfg.aoi_path) if cfg.aoi_path else None
+            out = run_stack(cells, spec, cfg, manifest, area)
+            for name, x in out.items():
+                _write(name, x, folder, cfg, out, spec)
+            if cfg.output.save_reports and "ates" in out:
+                rows = out["ates"].groupBy("ates").count().collect()  # a row per class
+                manifest.step("report", 0.0, cells_by_class={str(r["ates"]): r["count"] for r in rows})
     except BaseException as e:
+        log.exception("the run failed")
         manifest.finish("failed", f"{type(e).__name__}: {e}"[:2000])
         raise
-    manifest.finish("done")
+    finally:
+        logger.setLevel(level)
+        logger.removeHandler(lines)
+        lines.close()
+    manifest.finish("done with failures" if manifest.data["failures"] else "done")
     return str(folder)
 
 
+def area_of_interest(spark: SparkSession, cells: DataFrame, spec: GridSpec, path: str) -> DataFrame:
+    """r, c of a mask table, or of a polygon layer's cells."""
+    if not path.endswith((".json", ".geojson", ".csv", ".txt")) and "wkt" not in (x := spark.read.parquet(path)).columns:
+        return x.select("r", "c").distinct()
+    return vectors.burn(cells, spec, vectors.read_layer(spark, path)).select("r", "c").distinct()
+
+
 def main(args: list[str] | None = None) -> int:
     args = sys.argv[1:] if args is None else args
     if len(args) != 1:
