@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 from firnline.functions import fuzzy
 from firnline.functions import palette as P
 from firnline.functions import votes as V
-from firnline.grid import GridSpec, dense
+from firnline.grid import GridSpec
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
-from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, bands, grid, spec
+from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, WIDTH, bands, grid, spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 AREA = CELL * CELL
+FLAT = GridSpec(WIDTH, 0, CELL)  # for operators that need no more than the cell size
 
 
 def query(sql: str | None = None):
@@ -44,8 +46,7 @@ def _rounded(sql: str, places: int = 5) -> str:
 
 @query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded('slope')} AS slope FROM sl")
 def slope_horn(spark, sf):
-    x = grid(spark, sf)
-    return keyed(focal.slope(x, spec(x)), "slope")
+    return keyed(focal.slope(grid(spark, sf), FLAT), "slope")
 
 
 @query(
@@ -53,14 +54,13 @@ def slope_horn(spark, sf):
     SELECT r, c, {_rounded("degrees(atan(sqrt(pow(((ne + 2e0 * e + se) - (nw + 2e0 * w + sw)) / (8e0 * 21.34e0), 2) + pow(((sw + 2e0 * s + se) - (nw + 2e0 * n + ne)) / (8e0 * 21.34e0), 2))))")} AS slope FROM fill"""
 )
 def slope_with_edges(spark, sf):
-    x = grid(spark, sf)
-    return keyed(focal.slope(x, spec(x), edges=True), "slope")
+    return keyed(focal.slope(grid(spark, sf), FLAT, edges=True), "slope")
 
 
 @query(f"WITH {GRID}, {SLOPE} SELECT r, c, CAST(coalesce(trunc(slope), -9999) AS SMALLINT) AS slope, slope IS NOT NULL AS valid FROM sl")
 def slope_whole_degrees(spark, sf):
     x = grid(spark, sf)
-    return keyed(focal.whole_slope(x, spec(x)).withColumn("slope", F.coalesce("slope", F.lit(-9999).cast("smallint"))), "slope", "valid")
+    return keyed(focal.whole_slope(x, FLAT).withColumn("slope", F.coalesce("slope", F.lit(-9999).cast("smallint"))), "slope", "valid")
 
 
 _ASPECT = "CASE WHEN gx <> 0 OR gy <> 0 THEN (degrees(atan2(-gx, gy)) + 360e0) % 360e0 END"
@@ -68,8 +68,7 @@ _ASPECT = "CASE WHEN gx <> 0 OR gy <> 0 THEN (degrees(atan2(-gx, gy)) + 360e0) %
 
 @query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded(_ASPECT)} AS aspect FROM sl")
 def aspect(spark, sf):
-    x = grid(spark, sf)
-    return keyed(focal.aspect(x, spec(x)), "aspect")
+    return keyed(focal.aspect(grid(spark, sf), FLAT), "aspect")
 
 
 def _step_sql(table: str, band: str, axis: str, out: str) -> str:
@@ -97,8 +96,7 @@ def curvature(spark, sf):
 )
 def ruggedness_3x3(spark, sf):
     x = grid(spark, sf)
-    s = spec(x)
-    return keyed(focal.ruggedness(focal.aspect(focal.slope(x, s), s)), "ruggedness")
+    return keyed(focal.ruggedness(focal.aspect(focal.slope(x, FLAT), FLAT)), "ruggedness")
 
 
 _OFFSETS = ", ".join(f"({dr}, {dc}, {d!r}e0)" for dr, dc, d in focal.sector_offsets(3))
@@ -169,7 +167,8 @@ def morph_open_close(spark, sf):
     SELECT r, c, z = top AND z > 0 AS is_peak FROM m"""
 )
 def local_maxima(spark, sf):
-    return keyed(focal.local_maxima(grid(spark, sf), "z", 2), "is_peak")
+    x = grid(spark, sf)
+    return keyed(focal.local_maxima(x, spec(x), {"is_peak": ("z", 2)}), "is_peak")
 
 
 # Local.
@@ -180,9 +179,9 @@ _MIN = f"least(coalesce({_SLOPE_M}, 0e0), 0.5e0, {_FOREST_M})"
 _PRA = f"((1e0 - {_MIN}) * {_MIN} + {_MIN} * ((coalesce({_SLOPE_M}, 0e0) + 0.5e0 + {_FOREST_M}) / 3e0))"
 
 
-@query(f"WITH {GRID} SELECT r, c, {_rounded('1e0 / (1e0 + pow((canopy - 20e0) / 30e0, 3e0))')} AS m FROM g WHERE canopy >= 20")
+@query(f"WITH {GRID} SELECT r, c, {_rounded('1e0 / (1e0 + pow((canopy - 20e0) / 30e0, 3e0))')} AS m FROM g")
 def membership_cauchy(spark, sf):
-    return keyed(grid(spark, sf).where("canopy >= 20").withColumn("m", fuzzy.cauchy("canopy", 30, 1.5, 20)), "m")
+    return keyed(grid(spark, sf).withColumn("m", fuzzy.cauchy("canopy", 30, 1.5, 20)), "m")
 
 
 @query(f"WITH {GRID} SELECT r, c, {_rounded('CASE WHEN canopy < 50 THEN 1e0 / (1e0 + pow((canopy - 50e0) / 10e0, 4e0)) ELSE 1e0 / (1e0 + pow((canopy - 50e0) / 25e0, 2e0)) END')} AS m FROM g")
@@ -191,8 +190,7 @@ def membership_asymmetric(spark, sf):
 
 
 def _released(spark, sf, scenario: str = "frequent"):
-    x = grid(spark, sf)
-    x = focal.slope(x, spec(x))
+    x = focal.slope(grid(spark, sf), FLAT)
     abc = (12.0, 4.0, 42.5) if scenario == "frequent" else (14.0, 4.0, 40.0)
     return x.withColumn("pra", fuzzy.release_area("slope", F.lit(0.0), "canopy", abc, (50.0, 3.0, 0.0)))
 
@@ -217,7 +215,7 @@ def pra_binary_by_zone(spark, sf):
 @query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded('CASE WHEN slope < 30 OR slope > 50 THEN 0e0 ELSE coalesce(' + _SLOPE_M + ', 0e0) END')} AS m FROM sl")
 def slope_window(spark, sf):
     x = grid(spark, sf)
-    return keyed(focal.slope(x, spec(x)).withColumn("m", fuzzy.slope_membership("slope", 12, 4, 42.5, clip_lo=30, clip_hi=50)), "m")
+    return keyed(focal.slope(x, FLAT).withColumn("m", fuzzy.slope_membership("slope", 12, 4, 42.5, clip_lo=30, clip_hi=50)), "m")
 
 
 @query(f"WITH {GRID} SELECT r, c, {_rounded('greatest(0e0, least(1e0, canopy / 100e0))')} AS f FROM g")
@@ -257,8 +255,7 @@ def flux_area(spark, sf):
     SELECT r, c, {_rounded("(greatest(0e0, least(1e0, (14e0 - s) / 14e0)) + greatest(0e0, least(1e0, (20e0 - s) / 20e0)) + greatest(0e0, least(1e0, k / 60e0)) + greatest(0e0, least(1e0, (CASE WHEN p < 0 THEN 10000e0 ELSE p END) / 200e0)) + greatest(0e0, least(1e0, (CASE WHEN q < 0 THEN 10000e0 ELSE q END) / 500e0))) / 5e0", 4)} AS score FROM t"""
 )
 def class0_score(spark, sf):
-    x = bands(spark, sf)
-    x = focal.whole_slope(x, spec(x))
+    x = focal.whole_slope(bands(spark, sf), FLAT)
     s = F.coalesce(F.col("slope").cast("double"), F.lit(0.0))
     return keyed(x.withColumn("score", V.zero_score(s, s, F.col("canopy"), F.col("E_runout_prox"), F.col("E_pra_proximity"))), "score", places=4)
 
@@ -280,9 +277,7 @@ def lut_reclass(spark, sf):
 
 
 def _zoned(spark, sf):
-    x = _released(spark, sf)
-    s = spec(x)
-    return focal.aspect(x, s), s
+    return focal.aspect(_released(spark, sf), FLAT), FLAT
 
 
 @query(
@@ -337,14 +332,26 @@ def normalised_band(spark, sf):
 @query(f"WITH {GRID}, {SLOPE}, b AS (SELECT zone, CAST(floor(z / 30e0) AS BIGINT) AS bin, slope FROM sl) SELECT zone, bin, {_rounded('avg(slope)', 4)} AS m FROM b GROUP BY zone, bin")
 def elevation_profile(spark, sf):
     x = grid(spark, sf)
-    x = focal.slope(x, spec(x))
-    return x.groupBy("zone", F.floor(F.col("z") / 30.0).alias("bin")).agg(F.round(F.avg("slope"), 4).alias("m"))
+    return zonal.elevation_profile(focal.slope(x, FLAT), "zone").withColumn("m", F.round("m", 4) + 0.0)
 
 
-@query()
+_GAUSS = [math.exp(-0.5 * (d / 1.5) ** 2) for d in range(-6, 7)]
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, b AS (SELECT zone, CAST(floor(z / 30e0) AS BIGINT) AS bin, avg(slope) AS m FROM sl GROUP BY zone, bin),
+    e AS (SELECT zone, min(bin) AS lo, max(bin) - min(bin) + 1 AS n, coalesce(avg(m), 0e0) AS mean FROM b GROUP BY zone),
+    y AS (SELECT e.zone, lo, n, t.i, coalesce(m, mean) AS v FROM e JOIN range(0, 1000) t(i) ON t.i < n LEFT JOIN b ON b.zone = e.zone AND b.bin = lo + t.i),
+    k(d, w) AS (VALUES {", ".join(f"({d}, {w / sum(_GAUSS):.20f}e0)" for d, w in zip(range(-6, 7), _GAUSS, strict=True))}),
+    q AS (SELECT zone, lo, n, i, w, CASE WHEN n < 6 THEN greatest(0, least(n - 1, i + d)) WHEN i + d < 0 THEN -1 - i - d WHEN i + d >= n THEN 2 * n - 1 - i - d ELSE i + d END AS j FROM y, k),
+    s AS (SELECT q.zone, q.lo, q.n, q.i, sum(w * y.v) AS v FROM q JOIN y ON y.zone = q.zone AND y.i = q.j GROUP BY q.zone, q.lo, q.n, q.i),
+    a AS (SELECT s.zone, s.i, max(CASE WHEN p.i < s.i THEN p.i END) AS l, min(CASE WHEN p.i > s.i THEN p.i END) AS h FROM s LEFT JOIN s p ON p.zone = s.zone AND p.v < s.v GROUP BY s.zone, s.i),
+    r AS (SELECT a.zone, a.i, max(CASE WHEN p.i <= a.i THEN p.v END) AS rl, max(CASE WHEN p.i >= a.i THEN p.v END) AS rh FROM a JOIN s p ON p.zone = a.zone AND p.i > coalesce(l, -1) AND p.i < coalesce(h, 100000) GROUP BY a.zone, a.i)
+    SELECT s.zone, (s.lo + s.i + 0.5e0) * 30e0 AS bench FROM s JOIN r ON r.zone = s.zone AND r.i = s.i JOIN s f ON f.zone = s.zone AND f.i = s.i - 1 JOIN s g ON g.zone = s.zone AND g.i = s.i + 1
+    WHERE s.v < f.v AND s.v <= g.v AND least(rl, rh) - s.v >= 0.2"""
+)
 def bench_elevations(spark, sf):
-    x = grid(spark, sf)
-    return zonal.bench_profile(focal.slope(x, spec(x)), "zone", prominence=0.2)
+    return zonal.bench_profile(focal.slope(grid(spark, sf), FLAT), "zone", prominence=0.2)
 
 
 # Regions and distances.
@@ -365,13 +372,13 @@ _FOUR = "((b.r = a.r AND abs(b.c - a.c) = 1) OR (b.c = a.c AND abs(b.r - a.r) =
 @query(_labels_sql("canopy <= 30", _EIGHT, "SELECT g.r, g.c, label FROM cc JOIN g ON g.id = cc.id"))
 def components_8(spark, sf):
     x = grid(spark, sf)
-    return regions.connected(x.where("canopy <= 30"), spec(x), None, 8, 32).select("r", "c", "label")
+    return regions.connected(x.where("canopy <= 30"), spec(x), None, 8).select("r", "c", "label")
 
 
 @query(_labels_sql("noise", _FOUR, "SELECT g.r, g.c, label FROM cc JOIN g ON g.id = cc.id"))
 def components_4(spark, sf):
     x = grid(spark, sf)
-    return regions.connected(x.where("noise"), spec(x), None, 4, 32).select("r", "c", "label")
+    return regions.connected(x.where("noise"), spec(x), None, 4).select("r", "c", "label")
 
 
 @query(
@@ -432,7 +439,19 @@ def region_adjacency(spark, sf):
     return regions.adjacency(x.select("r", "c", "label"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GRID}, m AS (SELECT id, r, c, floor(canopy / 25) AS k FROM g), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_FOUR} AND a.k = b.k),
+    cc(id, label) USING KEY (id) AS (SELECT id, id FROM m UNION (SELECT e.a, min(x.label) FROM cc x JOIN e ON e.b = x.id JOIN recurring.cc y ON y.id = e.a WHERE x.label < y.label GROUP BY e.a)),
+    l AS (SELECT r, c, label FROM cc JOIN g ON g.id = cc.id), s AS (SELECT label, count(*) * {AREA!r}e0 AS area FROM l GROUP BY label),
+    t AS (SELECT a.label AS a, b.label AS b, sum((a.r = b.r OR a.c = b.c)::INT) AS sides FROM l a JOIN l b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND a.label <> b.label GROUP BY a.label, b.label),
+    te AS (SELECT t.a, t.b FROM t JOIN s x ON x.label = t.a JOIN s y ON y.label = t.b WHERE x.area < 20000 AND y.area < 20000),
+    kk(id, root) USING KEY (id) AS (SELECT label, label FROM s UNION (SELECT te.a, min(x.root) FROM kk x JOIN te ON te.b = x.id JOIN recurring.kk y ON y.id = te.a WHERE x.root < y.root GROUP BY te.a)),
+    cl AS (SELECT root, sum(area) AS total, arg_max(id, area * 1000000 - id) AS name FROM kk JOIN s ON s.label = kk.id GROUP BY root),
+    mem AS (SELECT id AS label, name, total FROM kk JOIN cl ON cl.root = kk.root),
+    br AS (SELECT x.name AS small, y.name AS large, sum(sides) AS n FROM t JOIN mem x ON x.label = t.a JOIN mem y ON y.label = t.b WHERE x.name <> y.name AND x.total < 20000 AND y.total >= 20000 GROUP BY x.name, y.name),
+    best AS (SELECT small, arg_max(large, n * 100000000 - large) AS goes FROM br GROUP BY small)
+    SELECT label, coalesce(goes, name) AS merged FROM mem LEFT JOIN best ON best.small = mem.name"""
+)
 def merge_small_regions(spark, sf):
     x = grid(spark, sf)
     s = spec(x)
@@ -440,7 +459,16 @@ def merge_small_regions(spark, sf):
     return regions.merge_small(labels, s, 20000.0)
 
 
-@query()
+_MINIMA = " ".join(f"WHEN {k} THEN {max(1, round(v / AREA))}" for k, v in classify.MINIMUM_M2.items())
+
+
+@query(
+    f"""WITH RECURSIVE {GRID}, m AS (SELECT id, r, c, CAST(floor(z / 60e0) AS INT) % 5 AS k FROM g), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_EIGHT} AND a.k = b.k),
+    cc(id, label) USING KEY (id) AS (SELECT id, id FROM m UNION (SELECT e.a, min(x.label) FROM cc x JOIN e ON e.b = x.id JOIN recurring.cc y ON y.id = e.a WHERE x.label < y.label GROUP BY e.a)),
+    s AS (SELECT label, count(*) AS n FROM cc GROUP BY label), j AS (SELECT m.*, n >= CASE k {_MINIMA} END AS stays FROM m JOIN cc ON cc.id = m.id JOIN s ON s.label = cc.label),
+    near AS (SELECT a.id, arg_min(b.k, ((a.r - b.r) * (a.r - b.r) + (a.c - b.c) * (a.c - b.c)) * 1000000000 + b.r * 1000 + b.c) AS k FROM j a, j b WHERE NOT a.stays AND b.stays GROUP BY a.id)
+    SELECT r, c, CASE WHEN stays THEN j.k ELSE coalesce(near.k, j.k) END AS class FROM j LEFT JOIN near ON near.id = j.id"""
+)
 def mmu_clean(spark, sf):
     x = grid(spark, sf).withColumn("k", F.floor(F.col("z") / 60).cast("int") % 5)
     return regions.mmu_clean(x, spec(x), "k", classify.MINIMUM_M2).select("r", "c", F.col("cleaned").alias("class"))
@@ -482,14 +510,14 @@ def aoi_clip_semi(spark, sf):
 @query(f"WITH {GRID} SELECT r, c FROM g WHERE canopy <= 30 AND NOT EXISTS (SELECT 1 FROM g m WHERE m.id = g.id AND m.noise)")
 def uncovered_anti(spark, sf):
     x = grid(spark, sf)
-    return x.where("canopy <= 30").join(x.where("noise").select("id"), "id", "left_anti").select("r", "c")
+    return regions.uncovered(x.where("canopy <= 30"), x.where("noise").select("r", "c", F.col("id").alias("label")), spec(x)).select("r", "c")
 
 
 # Alignment.
 
 
 @query(
-    f"""WITH {GRID}, lim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g), t AS (SELECT a.i AS r, b.i AS c FROM lim, range(0, 200) a(i), range(0, 60) b(i) WHERE a.i < (h + 1) // 2 AND b.i < (w + 1) // 2),
+    f"""WITH {GRID}, t AS (SELECT DISTINCT r // 2 AS r, c // 2 AS c FROM g),
     k AS (SELECT t.r, t.c, g.z, (1e0 - abs(g.r - (t.r * 2e0 + 0.5e0))) * (1e0 - abs(g.c - (t.c * 2e0 + 0.5e0))) AS wt FROM t JOIN g ON g.r BETWEEN t.r * 2 AND t.r * 2 + 1 AND g.c BETWEEN t.c * 2 AND t.c * 2 + 1)
     SELECT r, c, round(sum(z * wt) / sum(wt), 4) AS z FROM k GROUP BY r, c"""
 )
@@ -510,12 +538,11 @@ def overview_nearest(spark, sf):
     return align.overview(grid(spark, sf), 4, "zone", "nearest")
 
 
-@query(f"WITH {GRID}, lim AS (SELECT max(r) AS h, max(c) AS w FROM g) SELECT a.i AS r, b.i AS c, coalesce(CASE WHEN g.noise THEN g.z END, -1e0) AS z FROM lim, range(0, 2000) a(i), range(0, 120) b(i) LEFT JOIN g ON g.r = a.i AND g.c = b.i WHERE a.i <= h AND b.i <= w")
+@query(f"WITH {GRID}, lim AS (SELECT max(r) AS h, max(c) AS w FROM g) SELECT a.i AS r, b.i AS c, coalesce(CASE WHEN g.noise THEN g.z END, -1e0) AS z FROM lim, range(0, h + 1) a(i), range(0, w + 1) b(i) LEFT JOIN g ON g.r = a.i AND g.c = b.i")
 def align_fill(spark, sf):
     x = grid(spark, sf)
     s = spec(x)
-    got = dense(spark, s).join(x.where("noise").select("r", "c", "z"), ["r", "c"], "left")
-    return got.select("r", "c", F.coalesce("z", F.lit(-1.0)).alias("z"))
+    return align.align(x.where("noise"), s, s, "z", "nearest", fill=-1.0)
 
 
 # Classifiers.
@@ -527,14 +554,7 @@ def _vote_cells(spark, sf):
     return focal.whole_slope(x, s), s
 
 
-@query()
-def classify_votes(spark, sf):
-    x, s = _vote_cells(spark, sf)
-    return classify.classify_votes(x, s).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
-
-
-_VOTE_SQL = f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope), 0) AS s, slope IS NOT NULL AS ok, (b.id % 400) / 10e0 AS coarse, (b.id % 130)::DOUBLE AS gap, (b.id % 70)::DOUBLE AS wood FROM b JOIN sl ON sl.id = b.id),
-    v AS (SELECT *, CASE WHEN F_pra > 0.1613 THEN 3 WHEN E_pra > 0.0087 THEN 2 WHEN E_pra > 0 THEN 1 ELSE 0 END AS v1, (E_pra > 0 OR F_pra > 0)::INT AS w1,
+_VOTES = f"""v AS (SELECT *, CASE WHEN F_pra > 0.1613 THEN 3 WHEN E_pra > 0.0087 THEN 2 WHEN E_pra > 0 THEN 1 ELSE 0 END AS v1, (E_pra > 0 OR F_pra > 0)::INT AS w1,
       CASE WHEN F_pra_size > 0.3086 THEN 3 WHEN E_pra_size > 0.0136 THEN 2 WHEN E_pra_size > 0 THEN 1 ELSE 0 END AS v2, (E_pra_size > 0 OR F_pra_size > 0)::INT AS w2,
       CASE WHEN F_travel_angle > 34.27 THEN 3 WHEN E_travel_angle > 24.005 THEN 2 WHEN E_travel_angle > 0 THEN 1 ELSE 0 END AS v3, (E_travel_angle > 0 OR F_travel_angle > 0)::INT AS w3,
       CASE WHEN F_rout_flux_area > 375.18 THEN 3 WHEN E_rout_flux_area > 10.299 THEN 2 WHEN E_rout_flux_area > 0 THEN 1 ELSE 0 END AS v4, (E_rout_flux_area > 0 OR F_rout_flux_area > 0)::INT AS w4,
@@ -544,7 +564,31 @@ _VOTE_SQL = f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope),
     SELECT r, c, CASE WHEN NOT ok THEN -1 WHEN score >= 0.6 THEN 0 ELSE greatest(base, (E_zdelta > 0)::INT, 2 * (F_zdelta > 0)::INT, 3 * (F_rout_flux_area >= 500)::INT, CASE WHEN s > 45 AND canopy <= 20 THEN 4 ELSE 0 END, CASE WHEN coarse >= 45 THEN 4 WHEN coarse >= 40 THEN 3 ELSE 0 END) END::TINYINT AS class FROM k"""
 
 
-@query(_VOTE_SQL)
+def _context(width: int = 15) -> str:
+    """Means of slope and canopy over mirrored windows, and gap areas."""
+    k = width // 2
+    at = lambda v, n: f"CASE WHEN {v} < 0 THEN -1 - ({v}) WHEN {v} >= {n} THEN 2 * {n} - 1 - ({v}) ELSE {v} END"
+    return (
+        f"lim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g), d AS (SELECT a.i AS dr, b.i AS dc FROM range(-{k}, {k + 1}) a(i), range(-{k}, {k + 1}) b(i)), "
+        f"pp AS (SELECT g.id, {at('g.r + dr', 'h')} AS pr, {at('g.c + dc', 'w')} AS pc FROM g, d, lim), st AS (SELECT id, r, c, coalesce(trunc(slope), 0e0) AS s, slope IS NOT NULL AS ok, canopy FROM sl), "
+        f"ctx AS (SELECT pp.id, sum(coalesce(n.s, 0e0)) / {width * width}e0 AS coarse, sum(coalesce(n.canopy, 0e0)) / {width * width}e0 AS wood FROM pp LEFT JOIN st n ON n.r = pr AND n.c = pc GROUP BY pp.id)"
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {BANDS}, {SLOPE}, {_context()}, m AS (SELECT id, r, c FROM st WHERE canopy <= 30 AND ok), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_EIGHT}),
+    cc(id, label) USING KEY (id) AS (SELECT id, id FROM m UNION (SELECT e.a, min(x.label) FROM cc x JOIN e ON e.b = x.id JOIN recurring.cc y ON y.id = e.a WHERE x.label < y.label GROUP BY e.a)),
+    gp AS (SELECT cc.id, least(100e0, n * {AREA!r}e0 / 10000e0) AS gap FROM cc JOIN (SELECT label, count(*) AS n FROM cc GROUP BY label) q ON q.label = cc.label),
+    t AS (SELECT b.*, st.s, st.ok, coarse, wood, coalesce(gap, 0e0) AS gap FROM b JOIN st ON st.id = b.id JOIN ctx ON ctx.id = b.id LEFT JOIN gp ON gp.id = b.id), {_VOTES}"""
+)
+def classify_votes(spark, sf):
+    x, s = _vote_cells(spark, sf)
+    return classify.classify_votes(x, s).select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
+
+
+@query(
+    f"""WITH {BANDS}, {SLOPE}, t AS (SELECT b.*, coalesce(trunc(slope), 0) AS s, slope IS NOT NULL AS ok, (b.id % 400) / 10e0 AS coarse, (b.id % 130)::DOUBLE AS gap, (b.id % 70)::DOUBLE AS wood FROM b JOIN sl ON sl.id = b.id), {_VOTES}"""
+)
 def classify_votes_prepared(spark, sf):
     """Votes, floors and ceiling over given context bands."""
     x, s = _vote_cells(spark, sf)
