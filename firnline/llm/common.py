@@ -21,13 +21,15 @@ _RECORDED: list[list[str]] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound their Arrow batches
-    by bytes, so that very long texts don't pile up in one batch."""
+    """Let Python workers import this package, bound their Arrow batches by
+    bytes, so that very long texts don't pile up in one batch, and let shuffle
+    files go when the query that wrote them ends: steps pass written tables."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,7 +60,7 @@ def recording(make) -> tuple:
     try:
         return make(), made
     finally:
-        _RECORDED.remove(made)
+        _RECORDED[:] = [x for x in _RECORDED if x is not made]  # lists of the same paths are equal
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:

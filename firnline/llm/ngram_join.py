@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, hashed, join_hot, materialize, partitions, parts_of, text_bytes, words
+from firnline.llm.common import give_back, hashed, join_hot, materialize, partitions, parts_of, recording, release, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -80,8 +80,8 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def signatures(shingles: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """MinHash values, one row of HASHES uint32 per text (texts without
-    shingles: all ones)."""
+    """MinHash values, one row of HASHES per text, of which the lower 16 bits are
+    kept: others' are equal once in 65,536 (texts without shingles: all ones)."""
     sig = np.full((len(lengths), HASHES), 0xFFFFFFFF, dtype=np.uint32)
     has = np.flatnonzero(lengths)
     ends = np.cumsum(lengths)
@@ -97,7 +97,7 @@ def signatures(shingles: np.ndarray, lengths: np.ndarray) -> np.ndarray:
             y += _B[k]
             y ^= y >> np.uint32(15)
             sig[rows, k] = np.minimum.reduceat(y, at)
-    return sig
+    return sig.astype(np.uint16)
 
 
 @lru_cache
@@ -200,7 +200,7 @@ def _bands(reps: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
             key = np.zeros(sig.shape[:2], dtype=np.uint64)
             for r in range(ROWS):
                 key = _mix(key * np.uint64(31) + sig[:, :, r])
@@ -219,7 +219,7 @@ def _alike(edges: DataFrame, reps: DataFrame) -> DataFrame:
         for b in batches:
             ok, sure = np.zeros(b.num_rows, dtype=bool), np.zeros(b.num_rows, dtype=bool)
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint32).reshape(-1, HASHES) for i in (2, 3))
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), dtype=np.uint16).reshape(-1, HASHES) for i in (2, 3))
                 every = np.arange(b.num_rows)
                 ok[surviving(x, y, every, every, NEAR)] = True
                 sure = (x == y).sum(axis=1) >= close_matches(CLOSE)
@@ -242,7 +242,7 @@ def _alike_within(buckets: DataFrame, reps: DataFrame, threshold: float) -> Data
     def run(batches):
         for columns, starts in _whole_groups(batches):
             _, ti, tj, tile, rep, sig = columns
-            sig = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, HASHES)
+            sig = np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(-1, HASHES)
             i, j = _pairs(np.array(tile), np.array(ti), np.array(tj), starts)
             alive = surviving(sig, sig, i, j, threshold)
             a, b = _forest(np.array(rep), i[alive], j[alive])
@@ -420,7 +420,7 @@ def _compare(batches, threshold: float):
     for columns, starts in _whole_groups(batches):
         _, ti, tj, tile, rep, docs, sig, shingles = columns
         rep, docs, sets = np.array(rep), np.array(docs), [np.frombuffer(x, dtype=np.uint64) for x in shingles]
-        sig = np.frombuffer(b"".join(sig), dtype=np.uint32).reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(sig), dtype=np.uint16).reshape(-1, HASHES)
         i, j = _pairs(np.array(tile), np.array(ti), np.array(tj), starts)
         alive = surviving(sig, sig, i, j, threshold)
         i, j = i[alive], j[alive]
@@ -452,7 +452,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with, directly or through others), rep_id (the least doc_id of its text),
     n_links (documents of similarity >= threshold to it, copies included) and
     n_texts (other texts of that similarity)."""
-    seen = materialize(_describe(docs), "described")
+    spark = docs.sparkSession
+    seen, described = recording(lambda: materialize(_describe(docs), "described"))
     # A text with many copies is spread over tasks; one without needs no join.
     classes = seen.groupBy("hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
     members = join_hot(seen.select("doc_id", "hash"), classes, "hash", "left", "doc_id").select(
@@ -466,17 +467,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .dropDuplicates(["rep"])
     )
     reps = materialize(reps, "reps")
+    release(spark, described)
     # Groups that hold every similar pair.
-    bands = materialize(_bands(reps), "bands")
+    bands, banded = recording(lambda: materialize(_bands(reps), "bands"))
     shared = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     left = materialize(join_hot(bands, shared.select("bucket", "hub"), "bucket").where("rep <> hub"), "buckets")
+    release(spark, banded)
     edges = materialize(left.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "edges")
     judged = materialize(_alike(edges, reps), "judged")
     apart = left.join(judged.where("not sure").select(F.col("a").alias("rep"), F.col("b").alias("hub")), ["rep", "hub"]).select("bucket", "rep")
     near = judged.where("ok").select("a", "b").unionByName(_alike_within(materialize(apart, "apart"), reps, threshold))
     groups = components(near, "groups")
     groups = materialize(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).join(reps.select(F.col("rep").alias("node"), "docs", "size"), "node"), "grouped")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("size") * 8 + 4 * HASHES).alias("_bytes"))
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("size") * 8 + 2 * HASHES).alias("_bytes"))
     sizes = sizes.select("root", F.greatest(F.ceil(F.col("_n") / TILE), F.ceil(F.col("_bytes") / TILE_BYTES)).alias("tiles"))
     placed = join_hot(groups, sizes, "root", by="node").select(
         F.col("node").alias("rep"), F.col("root").alias("comp"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "docs"
