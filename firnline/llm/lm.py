@@ -34,6 +34,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from firnline.llm.common import give_back, hashed, materialize, partitions, recording, release, scratch_path, text_bytes, words
 
@@ -200,7 +202,7 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k) for k, x in zip((1, 2, 3), d, strict=True))
 
 
-STEP = 4  # a range of contexts should hold about a STEP * partitions'th of all tokens
+STEP = 2  # places to cut at are known to a STEP * partitions'th of all tokens
 
 
 def _wide(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,17 +281,21 @@ class Grams:
         p = self._get(i, "p", "<u8")
         return np.repeat(int(p[0]) + np.arange(len(p) - 2), np.diff(p[1:].astype(np.int64)))
 
-    def find(self, ctx: np.ndarray, word: np.ndarray, counts: bool = True) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: none) and counts of n-grams given by context and word ids."""
-        ids, found = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx), dtype=np.int64)
-        ok = np.flatnonzero((ctx >= 0) & (word >= 0))
-        keys, back = np.unique(ctx[ok].astype(np.uint64) * np.uint64(self.wide) + word[ok].astype(np.uint64), return_inverse=True)
+    def find(self, ctx: np.ndarray, word: np.ndarray, counts: bool = True):
+        """Ids (-1: none) of n-grams given by context and word ids (-1: unknown);
+        with counts, also their counts and their contexts' sums."""
+        ids, found, total = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4), np.int64)
+        wide = np.uint64(self.wide)
+        ok = np.flatnonzero(ctx >= 0)
+        # No n-gram ends with the beginning's id: it stands for unknown words.
+        last = np.where(word[ok] < 0, self.wide - 1, word[ok]).astype(np.uint64)
+        keys, back = np.unique(ctx[ok].astype(np.uint64) * wide + last, return_inverse=True)
         id_, n = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        of, last = keys // wide, keys % wide
         cuts = self.ranges(keys)
         for i in np.flatnonzero(np.diff(cuts)).tolist():
             p, w = self._get(i, "p", "<u8"), self.words_of(i)
-            part = keys[cuts[i] : cuts[i + 1]]
-            c, v = (part // np.uint64(self.wide)).astype(np.int64) - int(p[0]), (part % np.uint64(self.wide)).astype(w.dtype)
+            c, v = of[cuts[i] : cuts[i + 1]].astype(np.int64) - int(p[0]), last[cuts[i] : cuts[i + 1]].astype(w.dtype)
             inside = np.flatnonzero((c >= 0) & (c < len(p) - 2))
             lo, hi = p[1 + c[inside]].astype(np.int64), p[2 + c[inside]].astype(np.int64)
             end, v = hi.copy(), v[inside]
@@ -306,25 +312,29 @@ class Grams:
             id_[at] = (self.base[i] if self.base else 0) + place
             if counts:
                 n[at] = _whole(self._get(i, "c", "u1", 1), self._get(i, "o", "<u8", 2), place)[:, 0]
-        ids[ok], found[ok] = id_[back], n[back]
-        return ids, found
-
-    def sums(self, ctx: np.ndarray) -> np.ndarray:
-        """Each context's sums; ids of -1 give zeros."""
-        some, back = np.unique(ctx, return_inverse=True)
+        ids[ok] = id_[back]
+        if not counts:
+            return ids
+        first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+        each = np.repeat(self.sums(of[first].astype(np.int64)), np.diff(np.append(first, len(of))), axis=0)
+        found[ok], total[ok] = n[back], each[back]
+        return ids, found, total
+
+    def sums(self, some: np.ndarray) -> np.ndarray:
+        """Sums of contexts, given by sorted ids."""
         out = np.zeros((len(some), 4), dtype=np.int64)
-        cuts = self.ranges(np.maximum(some, 0).astype(np.uint64) * np.uint64(self.wide) + np.uint64(self.wide - 1))
+        cuts = self.ranges(some.astype(np.uint64) * np.uint64(self.wide) + np.uint64(self.wide - 1))
         for i in np.flatnonzero(np.diff(cuts)).tolist():
             p = self._get(i, "p", "<u8")
             at = some[cuts[i] : cuts[i + 1]] - int(p[0])
-            ok = np.flatnonzero((at >= 0) & (at < len(p) - 2) & (some[cuts[i] : cuts[i + 1]] >= 0))
+            ok = np.flatnonzero((at >= 0) & (at < len(p) - 2))
             out[cuts[i] + ok] = _whole(self._get(i, "s", "u1", 4), self._get(i, "t", "<u8", 5), at[ok])
-        if self.edges:
-            known = np.array(sorted(self.edges))
+        known = np.array(sorted(self.edges), dtype=np.int64)
+        if len(known) and len(some):
             at = np.searchsorted(known, some).clip(0, len(known) - 1)
             for j in np.flatnonzero(known[at] == some).tolist():
                 out[j] = self.edges[int(some[j])]
-        return out[back]
+        return out
 
     def parts(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Contexts and last words of n-grams given by sorted ids."""
@@ -358,7 +368,7 @@ class Model:
             return self.grams[0].parts(ids)[1]
         ctx, word = self.grams[order - 2].parts(ids)
         some, back = np.unique(ctx, return_inverse=True)
-        return self.grams[order - 3].find(self.suffix(order - 1, some)[back], word, counts=False)[0]
+        return self.grams[order - 3].find(self.suffix(order - 1, some)[back], word, counts=False)
 
     def history(self, ids: np.ndarray, first: np.ndarray, order: int):
         """For each token the id of the context that an n-gram of this order
@@ -367,7 +377,7 @@ class Model:
         before = lambda x, start: np.where(first, start, np.append(-1, x[:-1]))
         out, now = [before(ids, begin)], ids
         for k in range(2, order):
-            now = self.grams[k - 2].find(out[-1], ids, counts=False)[0]
+            now = self.grams[k - 2].find(out[-1], ids, counts=False)
             out.append(before(now, -1))
         return out
 
@@ -387,8 +397,8 @@ class Model:
         first[at] = True
         ctx = np.where(first, self.size, np.append(-1, ids[:-1]))
         for g in self.grams:
-            id_, c = g.find(ctx, ids)
-            total, *many = g.sums(ctx).T
+            id_, c, sums = g.find(ctx, ids)
+            total, *many = sums.T
             d = np.array([0.0, *g.discounts])
             free = sum(x * m for x, m in zip(g.discounts, many, strict=True))
             some = np.maximum(total, 1)
@@ -416,6 +426,26 @@ def _blobs(dealt):
         yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([data], pa.binary())], names=["bucket", "data"])
 
 
+def _reduced(dealt: DataFrame, ranges: int, keep, schema: str) -> DataFrame:
+    """keep(range, its blobs) -> table, of each range in a task of its own."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches):
+        held, data = None, []
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if held is not None and i != held:
+                    yield pa.RecordBatch.from_pandas(keep(held, data), arrow, preserve_index=False)
+                    data = []
+                held = i
+                data.append(x)
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(keep(held, data), arrow, preserve_index=False)
+        give_back()
+
+    return dealt.select("bucket", "data").repartitionById(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
 def _training(batches):
     for _, texts, use in _parts(batches):
         texts = [t for t, x in zip(texts, use, strict=True) if x]
@@ -438,9 +468,8 @@ def _count_words(docs: DataFrame, path: str, n: int, order: int) -> tuple[Model,
         yield from _blobs(_dealt(keys, counts, np.searchsorted(_bucket(keys, n), np.arange(n + 1))))
         give_back()
 
-    def keep(pdf):
-        i = int(pdf.bucket.iloc[0])
-        keys, counts = merged([unpack(x) for x in pdf.data])
+    def keep(i, data):
+        keys, counts = merged([unpack(x) for x in data])
         keys, counts = keys[counts > 0], counts[counts > 0]
         files = Shared(path)
         files.put(f"word-{i}.h", keys.astype("<u8"))
@@ -449,18 +478,25 @@ def _count_words(docs: DataFrame, path: str, n: int, order: int) -> tuple[Model,
         rows = [(i, -1, len(keys), int(counts.sum(dtype=np.int64))), *((i, int(p), 0, int(counts[p])) for p in top)]
         return pd.DataFrame(rows, columns=["bucket", "place", "words", "tokens"])
 
-    found = (
-        docs.mapInArrow(count, "bucket int, data binary")
-        .groupBy("bucket")
-        .applyInPandas(keep, "bucket int, place long, words long, tokens long")
-        .collect()  # 33 rows per range
-    )
+    schema = "bucket int, place long, words long, tokens long"
+    found = _reduced(docs.mapInArrow(count, "bucket int, data binary"), n, keep, schema).collect()  # 33 rows per range
     per = {r.bucket: r for r in found if r.place < 0}
     starts = np.cumsum([0, *(per[i].words if i in per else 0 for i in range(n))]).tolist()
     model = Model(path, starts, sum(r.tokens for r in per.values()), order)
     return model, [(starts[r.bucket] + r.place, r.tokens) for r in found if r.place >= 0]
 
 
+def _even(after: list[tuple[int, int, int]], share: int) -> list[int]:
+    """Contexts to cut behind, so that about a share of the tokens is between."""
+    out, held = [], 0
+    for context, tokens, _ in after:
+        held += tokens
+        if held >= share:
+            out.append(context + 1)
+            held = 0
+    return out
+
+
 def _splits(contexts: int, wide: int, cuts: list[int], hot: list[tuple[int, int]], step: int) -> np.ndarray:
     """Keys that cut (context, word) into ranges: at the given contexts, and
     contexts with more tokens than a step into equal parts of their words."""
@@ -476,8 +512,8 @@ def _splits(contexts: int, wide: int, cuts: list[int], hot: list[tuple[int, int]
 
 def _count_grams(docs: DataFrame, model: Model, splits: np.ndarray, step: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Count the next order. Adds it to the model; returns the counts that go
-    to the order below, and contexts for the next order with the tokens that
-    follow them since the context before."""
+    to the order below, and some contexts of the next order: id, tokens that
+    follow it and those since the one before, and those that follow it."""
     wide, order, last = model.size + 1, len(model.grams) + 2, len(model.grams) + 2 == model.order
     grams = Grams(Shared(model.path), order, wide, splits)
     lower = model.grams[-1].splits if model.grams else None
@@ -503,9 +539,8 @@ def _count_grams(docs: DataFrame, model: Model, splits: np.ndarray, step: int) -
         yield from _blobs(_dealt(keys, counts, grams.ranges(keys)))
         give_back()
 
-    def keep(pdf):
-        i = int(pdf.bucket.iloc[0])
-        keys, counts = merged([unpack(x) for x in pdf.data])
+    def keep(i, data):
+        keys, counts = merged([unpack(x) for x in data])
         grams.put(i, keys, counts)
         ctx, word = keys // np.uint64(wide), keys % np.uint64(wide)
         rows = [("size", i, len(keys), b""), ("tail", i, int((ctx < (model.size if order == 2 else model.grams[-1].tail)).sum()), b"")]
@@ -515,7 +550,7 @@ def _count_grams(docs: DataFrame, model: Model, splits: np.ndarray, step: int) -
             # Where the tokens that follow an n-gram add up to a step, and n-grams with more.
             sums = np.cumsum(counts.astype(np.int64))
             at = np.unique(np.append(np.searchsorted(sums, np.arange(step, int(sums[-1]) + 1, step)), len(sums) - 1))
-            rows += [("sum", i, int(a), struct.pack("<qq", int(sums[a]), int(counts[a]))) for a in at]
+            rows += [("sum", i, a, struct.pack("<qq", int(sums[a] - before), int(counts[a]))) for a, before in zip(at.tolist(), [0, *sums[at[:-1]].tolist()], strict=True)]
         # In how many contexts each shorter n-gram occurs.
         if order == 2:
             shorter, seen = np.unique(word, return_counts=True)
@@ -529,7 +564,7 @@ def _count_grams(docs: DataFrame, model: Model, splits: np.ndarray, step: int) -
             cuts = np.append(np.append(0, np.searchsorted(shorter, lower)), len(shorter))
         return _table(rows + [("lower", j, 0, data) for j, data in _dealt(shorter, seen.astype(np.uint64), cuts)])
 
-    counted = materialize(docs.mapInArrow(count, "bucket int, data binary").groupBy("bucket").applyInPandas(keep, ROWS), f"lm-{order}")
+    counted = materialize(_reduced(docs.mapInArrow(count, "bucket int, data binary"), len(splits) + 1, keep, ROWS), f"lm-{order}")
     facts = counted.where("kind <> 'lower'").orderBy("bucket", "place").collect()  # a few rows per range
     sizes = {r.bucket: r.place for r in facts if r.kind == "size"}
     for i in range(len(splits) + 1):
@@ -542,11 +577,7 @@ def _count_grams(docs: DataFrame, model: Model, splits: np.ndarray, step: int) -
     model.grams.append(grams)
     if last:
         _finish(grams, facts)
-    after, before = [], 0
-    for r in facts:
-        if r.kind == "sum":
-            total, own = struct.unpack("<qq", r.data)
-            after.append((grams.base[r.bucket] + r.place, own))
+    after = [(grams.base[r.bucket] + r.place, *struct.unpack("<qq", r.data)) for r in facts if r.kind == "sum"]
     return counted, after
 
 
@@ -568,12 +599,11 @@ def _lower_grams(counted: DataFrame, model: Model, grams: Grams) -> None:
     or how often, where a text begins with it."""
     first = model.size if grams.order == 2 else model.grams[grams.order - 3].tail
 
-    def keep(pdf):
-        i = int(pdf.bucket.iloc[0])
+    def keep(i, data):
         model.open()
         words_, ctx = np.asarray(grams.words_of(i)).astype(np.uint64), grams.contexts_of(i).astype(np.uint64)
         mine = ctx * np.uint64(grams.wide) + words_
-        keys, seen = merged([unpack(x) for x in pdf.data if len(x)])
+        keys, seen = merged([unpack(x) for x in data if len(x)])
         counts = _whole(grams._get(i, "c", "u1", 1), grams._get(i, "o", "<u8", 2), np.arange(len(mine)))[:, 0]
         begins = ctx >= np.uint64(first)
         counts[~begins] = 0
@@ -583,26 +613,25 @@ def _lower_grams(counted: DataFrame, model: Model, grams: Grams) -> None:
 
     every = counted.sparkSession.range(len(grams.splits) + 1).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))
     rows = counted.where("kind = 'lower'").select("bucket", "data").unionByName(every)
-    _finish(grams, rows.groupBy("bucket").applyInPandas(keep, ROWS).orderBy("bucket", "place").collect())
+    _finish(grams, _reduced(rows, len(grams.splits) + 1, keep, ROWS).orderBy("bucket", "place").collect())
 
 
 def _lower_words(counted: DataFrame, model: Model) -> None:
     """In how many contexts each word occurs."""
     path, starts = model.path, model.starts
 
-    def keep(pdf):
-        i = int(pdf.bucket.iloc[0])
+    def keep(i, data):
         seen = np.zeros(starts[i + 1] - starts[i], dtype="<u8")
-        for data in pdf.data:
-            if len(data):
-                keys, values = unpack(data)
+        for x in data:
+            if len(x):
+                keys, values = unpack(x)
                 seen[keys.astype(np.int64) - starts[i]] += values
         Shared(path).put(f"cont-{i}", seen)
         return pd.DataFrame([(int(seen.sum()), *(int((seen == k).sum()) for k in (1, 2, 3, 4)), int((seen >= 3).sum()))], columns=["mass", "n1", "n2", "n3", "n4", "more"])
 
     every = counted.sparkSession.range(len(starts) - 1).select(F.col("id").cast("int").alias("bucket"), F.lit(b"").alias("data"))
     rows = counted.where("kind = 'lower'").select("bucket", "data").unionByName(every)
-    sums = rows.groupBy("bucket").applyInPandas(keep, "mass long, n1 long, n2 long, n3 long, n4 long, more long")
+    sums = _reduced(rows, len(starts) - 1, keep, "mass long, n1 long, n2 long, n3 long, n4 long, more long")
     x = sums.agg(*[F.sum(c).alias(c) for c in sums.columns]).first()
     model.mass, model.d1 = int(x.mass), _discounts([x.n1, x.n2, x.n3, x.n4])
     model.rest = (model.d1[0] * x.n1 + model.d1[1] * x.n2 + model.d1[2] * x.more) / model.mass
@@ -617,12 +646,11 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     model, hot = _count_words(docs, path, n, order)
     if not model.size:
         return model
-    wide, step = model.size + 1, -(-model.total // (STEP * n))
+    wide, share = model.size + 1, -(-model.total // n)
     cuts = [k * model.size // n for k in range(1, n)] + [model.size]
-    # As many texts as there are ends, the word with the id of END's hash, begin somehow.
-    splits = _splits(model.size, wide, cuts, [*hot, (model.size, model.total // 8)], step)
+    splits = _splits(model.size, wide, cuts, [*hot, (model.size, model.total // 8)], share)
     for k in range(2, order + 1):
-        (counted, after), made = recording(lambda s=splits: _count_grams(docs, model, s, step))
+        (counted, after), made = recording(lambda s=splits: _count_grams(docs, model, s, -(-share // STEP)))
         if k == 2:
             _lower_words(counted, model)
         else:
@@ -630,7 +658,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
         release(spark, made)
         if k < order:
             contexts = model.grams[-1].base[-1] + after[-1][0] + 1
-            splits = _splits(contexts, wide, [c for c, _ in after], after, step)
+            splits = _splits(contexts, wide, _even(after, share), [(c, own) for c, _, own in after], share)
     return model
 
 
