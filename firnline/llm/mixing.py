@@ -2,7 +2,7 @@
 
 Each source's documents are shuffled by a hash and laid end to end; that word
 stream is cut into blocks of equal length. Slot k of the mix maps the golden
-ratio point frac(k * phi) through the cumulative target weights to a source;
+ratio point frac(k * phi), in 64-bit arithmetic, through the cumulative target weights to a source;
 the r-th slot of a source takes its r-th block, starting over after the last.
 Every prefix of the mix thus holds the sources in nearly their target shares.
 
@@ -19,22 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, materialize, ordered, small_table, text_bytes
+from firnline.llm.common import materialize, ordered, small_table
 
-GOLDEN = 0.6180339887498949
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)  # the golden ratio's fraction, in 64-bit steps: exact for any number of slots
 BLOCK_WORDS = 64
 
 
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the number of words of the whole text."""
-
-    def count(batches):
-        for b in batches:
-            n = [len(t.split()) for t in text_bytes(b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["doc_id", "source", "size"])
-        give_back()
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(count, "doc_id long, source string, size long")
+    words = F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(words, F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -92,12 +86,13 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
 
     need = np.array([slots_for(int(goal[s] + 0.5), n) for s, n, _ in named], dtype=np.int64)
     total = int(need.sum())
-    edges = np.cumsum(need) / max(total, 1)
+    ends = [(int(e) << 64) // max(total, 1) for e in np.cumsum(need)]
+    edges = np.array([min(e, (1 << 64) - 1) for e in ends], dtype=np.uint64)
 
     def draw(batches):
         for b in batches:
-            k = b.column(0).to_numpy()
-            at = np.searchsorted(edges, np.mod((k + 1) * GOLDEN, 1.0), side="right").clip(0, len(edges) - 1)
+            k = b.column(0).to_numpy().astype(np.uint64)
+            at = np.searchsorted(edges, (k + np.uint64(1)) * GOLDEN, side="right").clip(0, len(edges) - 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at.astype(np.int32))], names=["slot", "_s"])
 
     if total:
@@ -162,5 +157,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     each = F.when(F.col("size") == 0, 1.0).otherwise(F.col("taken") / F.greatest("size", F.lit(1)))
     copies = counts.groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg(each)).cast("int").alias("_copies")).where("_copies > 0")
     copies = materialize(copies, "copies")
-    joined = docs.join(copies, docs.doc_id.cast("long").eqNullSafe(copies._id))
-    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))  # whatever its columns are called
+    joined = rows.join(copies, F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
