@@ -97,7 +97,7 @@ def scratch(spark: SparkSession):
     try:
         yield
     finally:
-        _RECORDED.remove(made)
+        _RECORDED[:] = [x for x in _RECORDED if x is not made]
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for p in made:
             path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
