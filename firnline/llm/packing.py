@@ -31,7 +31,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from firnline.llm.common import give_back, materialize, partitions, regrouped, small_table
 from firnline.llm.tokens import Encoder
@@ -162,23 +161,10 @@ def _matched(pieces: DataFrame, slots: DataFrame) -> DataFrame:
     return swept.where("nth is null").select("id", "length", "seq", "gap", "slot").unionByName(met)
 
 
-def _numbered(cut: DataFrame) -> DataFrame:
-    """cut with a number of its own for each row, written once."""
-    schema = T.StructType([*cut.schema.fields, T.StructField("_id", T.LongType())])
-
-    def number(batches):
-        n = TaskContext.get().partitionId() << 40
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n + np.arange(b.num_rows))], names=schema.names)
-            n += b.num_rows
-
-    return materialize(cut.mapInArrow(number, schema), "cut")
-
-
 def pack(cut: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` of 1..capacity."""
     spark = cut.sparkSession
-    cut = _numbered(cut)
+    cut = materialize(cut.withColumn("_id", F.monotonically_increasing_id()), "cut")  # numbers are written once
     left = cut.select(F.col("_id").alias("id"), F.col("length").cast("long").alias("length"))
     gaps = small_table(spark, [], "seq long, gap long")
     placed, made = [], 0
