@@ -143,20 +143,23 @@ def colour(x: Column, palette: Palette, categorical: bool = False) -> Column:
     def fixed(rgba) -> list[Column]:
         return [F.lit(int(v)) for v in rgba]
 
+    values = [float(s[0]) for s in palette.stops]
+    # How many stops are below: constant arrays keep the code small, whatever the number of stops.
+    below = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v < x)) if len(values) > 24 else sum((F.when(x > v, 1).otherwise(0) for v in values), F.lit(0))
+    at = lambda items, k: F.get(F.array(*[F.lit(float(v)) for v in items]), k)
     channels = []
     for i, name in enumerate(names):
         none = fixed(palette.nothing)[i]
+        shades = [s[i + 1] for s in palette.stops]
         out = F.when(x.isNull() | F.isnan(x.cast("double")), none)
         if categorical:
             for s in palette.stops:
                 out = out.when(x == F.lit(s[0]), F.lit(int(s[i + 1])))
             out = out.otherwise(none)
         else:
-            out = out.when(x <= palette.stops[0][0], F.lit(int(palette.stops[0][i + 1])))
-            for lo, hi, a, b in palette.segments():
-                t = (x - F.lit(float(lo))) / F.lit(float(hi - lo) or 1.0)
-                out = out.when(x <= F.lit(float(hi)), F.floor(F.lit(float(a[i])) + t * F.lit(float(b[i] - a[i])) + 0.5).cast("int"))
-            out = out.otherwise(F.lit(int(palette.stops[-1][i + 1])))
+            lo, hi, a, b = at(values, below - 1), at(values, below), at(shades, below - 1), at(shades, below)
+            out = out.when(x <= values[0], F.lit(int(shades[0]))).when(x > values[-1], F.lit(int(shades[-1])))
+            out = out.otherwise(F.floor(a + (x - lo) / (hi - lo) * (b - a) + 0.5))
         channels.append(out.cast("int").alias(name))
     return F.struct(*channels)
 

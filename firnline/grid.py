@@ -77,13 +77,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    for made in _RECORDED:
+        made.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df to the cluster's shared folder and read it back, between the
     rounds of an iterative operator."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    for made in _RECORDED:
-        made.append(path)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from firnline.functions import fuzzy
 from firnline.functions import palette as P
 from firnline.functions import votes as V
-from firnline.grid import GridSpec
+from firnline.grid import GridSpec, scratch_path
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
 from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, WIDTH, bands, grid, spec
+from firnline.sources import tables, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,6 +80,13 @@ def _step_sql(table: str, band: str, axis: str, out: str) -> str:
     )
 
 
+def _step_sql_all() -> str:
+    """The curvature query's steps, up to both bands."""
+    return f"""a1 AS ({_step_sql("g", "z", "r", "dy")}), a2 AS ({_step_sql("a1", "z", "c", "dx")}), a3 AS ({_step_sql("a2", "dx", "c", "dxx")}),
+    a4 AS ({_step_sql("a3", "dy", "r", "dyy")}), a5 AS ({_step_sql("a4", "dx", "r", "dxy")}), k5 AS (SELECT r, c, z, (degrees(atan2(-dy, dx)) + 360e0) % 360e0 AS math_aspect,
+    greatest(-5e0, least(5e0, -(dxx * dy * dy - 2e0 * dxy * dx * dy + dyy * dx * dx) / pow(dx * dx + dy * dy + 1e-8, 1.5e0))) AS curvature FROM a5)"""
+
+
 @query(
     f"""WITH {GRID}, a1 AS ({_step_sql("g", "z", "r", "dy")}), a2 AS ({_step_sql("a1", "z", "c", "dx")}), a3 AS ({_step_sql("a2", "dx", "c", "dxx")}),
     a4 AS ({_step_sql("a3", "dy", "r", "dyy")}), a5 AS ({_step_sql("a4", "dx", "r", "dxy")})
@@ -664,6 +672,163 @@ def palette_categorical(spark, sf):
     return x.select("r", "c", "p.*")
 
 
+# Memberships, zones and products of the workflow that stand for themselves.
+
+
+_RUGGED = f"""u AS (SELECT r, c, sin(radians(slope)) * sin(radians(coalesce({_ASPECT}, 0e0))) AS x, sin(radians(slope)) * cos(radians(coalesce({_ASPECT}, 0e0))) AS y, cos(radians(slope)) AS w FROM sl),
+    m AS (SELECT t.r, t.c, sum(n.x) AS x, sum(n.y) AS y, sum(n.w) AS w, count(n.x) AS k FROM u t JOIN u n ON n.r BETWEEN t.r - 1 AND t.r + 1 AND n.c BETWEEN t.c - 1 AND t.c + 1 GROUP BY t.r, t.c),
+    q AS (SELECT r, c, CASE WHEN k = 9 THEN 1e0 - sqrt(x * x + y * y + w * w) / 9e0 ELSE 0e0 END AS v FROM m)"""
+
+
+@query(f"WITH {GRID}, {SLOPE}, {_RUGGED} SELECT r, c, {_rounded('CASE WHEN v > 0.01 THEN 0e0 ELSE 1e0 / (1e0 + pow((v + 0.007e0) / 0.01e0, 10e0)) END')} AS m FROM q")
+def membership_ruggedness(spark, sf):
+    x = focal.ruggedness(focal.aspect(focal.slope(grid(spark, sf), FLAT), FLAT))
+    return keyed(x.withColumn("m", fuzzy.ruggedness_membership("ruggedness")), "m")
+
+
+@query(f"WITH {GRID}, {SLOPE} SELECT r, c, {_rounded('coalesce(CASE WHEN slope < 40 THEN 1e0 / (1e0 + pow((slope - 40e0) / 9e0, 6e0)) ELSE 1e0 / (1e0 + pow((slope - 40e0) / 14e0, 4e0)) END, 0e0)')} AS m FROM sl")
+def slope_one_sided(spark, sf):
+    return keyed(focal.slope(grid(spark, sf), FLAT).withColumn("m", fuzzy.slope_membership("slope", 14, 3, 40, a_low=9, b_high=2)), "m")
+
+
+@query(f"WITH {GRID} SELECT r, c, CASE WHEN f IS NULL THEN 'unknown' WHEN f >= 0.7 THEN 'alpine' WHEN f <= 0.3 THEN 'below_treeline' ELSE 'treeline' END AS band FROM (SELECT r, c, CASE WHEN noise THEN canopy / 100e0 END AS f FROM g)")
+def band_labels(spark, sf):
+    return grid(spark, sf).select("r", "c", V.band_label(F.when(F.col("noise"), F.col("canopy") / 100.0)).alias("band"))
+
+
+@query(f"WITH {GRID} SELECT CAST(zone AS BIGINT) AS zone, count(*) AS n, round(avg(canopy), 4) AS mean FROM g GROUP BY zone")
+def region_means(spark, sf):
+    return zonal.region_means(grid(spark, sf), "zone", "canopy").select(F.col("zone").cast("long").alias("zone"), "n", F.round("mean", 4).alias("mean"))
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, {_RUGGED}, t AS (SELECT sl.zone, sl.z, v, (1500 + sl.zone * 20)::DOUBLE AS tl FROM sl JOIN q ON q.r = sl.r AND q.c = sl.c),
+    a AS (SELECT zone, avg(v) AS rm, median(tl) AS tl, avg((z > tl)::INT) AS f FROM t GROUP BY zone)
+    SELECT zone, round(rm, 4) AS rugg_mean, round(tl, 0) AS treeline_m, round(f, 2) AS above_tl_frac, CASE WHEN f >= 0.7 THEN 'alpine' WHEN f <= 0.3 THEN 'below_treeline' ELSE 'treeline' END AS band FROM a"""
+)
+def zonal_treeline_bands(spark, sf):
+    x, s = _zoned(spark, sf)
+    x = focal.ruggedness(x).withColumn("treeline", 1500.0 + F.col("zone") * 20.0)
+    return zonal.zonal_metrics(x, s, "zone").select("zone", "rugg_mean", "treeline_m", "above_tl_frac", "band")
+
+
+@query(
+    f"""WITH {GRID}, p AS (SELECT zone, quantile_cont(z, 0.95) AS q, count(z) AS n FROM g WHERE canopy >= 30 AND zone < 20 GROUP BY zone)
+    SELECT r, c, {_rounded('CASE WHEN n >= 500 THEN q END', 4)} AS treeline FROM g LEFT JOIN p ON p.zone = g.zone"""
+)
+def treeline_per_region(spark, sf):
+    x = grid(spark, sf)
+    zones = x.where("zone < 20").select("r", "c", F.lpad(F.col("zone").cast("string"), 2, "0").alias("name"))
+    return keyed(zonal.treelines(x, zones), "treeline", places=4)
+
+
+@query(
+    f"""WITH {GRID}, t(name, range, grp, tl, n) AS (SELECT 'z' || zone, 'r' || zone % 4, 'g' || zone % 2, zone * 10e0, zone * 12e0 FROM (SELECT DISTINCT zone FROM g)),
+    a AS (SELECT range, median(tl) AS v FROM t WHERE n >= 150 GROUP BY range), b AS (SELECT grp, median(tl) AS v FROM t WHERE n >= 150 GROUP BY grp)
+    SELECT r, c, {_rounded('coalesce(CASE WHEN n >= 150 THEN tl END, a.v, b.v)', 4)} AS treeline FROM g LEFT JOIN t ON t.name = 'z' || zone LEFT JOIN a ON a.range = t.range LEFT JOIN b ON b.grp = t.grp"""
+)
+def treeline_from_table(spark, sf):
+    x = grid(spark, sf)
+    k = F.col("zone")
+    text = lambda p, v: F.concat(F.lit(p), v.cast("string"))
+    table = x.select("zone").distinct().select(
+        text("z", k).alias("name"), text("r", k % 4).alias("range"), text("g", k % 2).alias("group"), (k * 10.0).alias("treeline"), (k * 12.0).alias("n_forest_kpx")
+    )
+    return keyed(zonal.treelines(x, x.select("r", "c", text("z", k).alias("name")), table), "treeline", places=4)
+
+
+@query(f"WITH {GRID}, a AS (SELECT zone, count(*) * {AREA!r}e0 AS a FROM g GROUP BY zone) SELECT count(*) AS zones, round(sum(a), 1) AS area_m2, count(CASE WHEN a > 30000 THEN 1 END) AS above_least, count(CASE WHEN a > 250000 THEN 1 END) AS above_cap FROM a")
+def zone_counts(spark, sf):
+    x = grid(spark, sf)
+    got = zonal.kind_counts(x.withColumnRenamed("zone", "label"), GridSpec(WIDTH, 0, CELL), {"above_least": 30000.0, "above_cap": 250000.0})
+    return got.withColumn("area_m2", F.round("area_m2", 1))
+
+
+@query(f"WITH {GRID}, e AS (SELECT zone, min(r) AS r0, min(c) AS c0 FROM g GROUP BY zone) SELECT r, c, CAST(g.zone AS BIGINT) AS label FROM g JOIN e ON e.zone = g.zone WHERE (r - r0) % 4 = 0 AND (c - c0) % 4 = 0")
+def marker_grid(spark, sf):
+    return segment.grid_markers(grid(spark, sf).select("r", "c", F.col("zone").cast("long").alias("label")), 4)
+
+
+@query(
+    f"""WITH {GRID}, {SLOPE}, {_step_sql_all()}, p AS (SELECT r, c, {_PRA} AS pra FROM sl), e AS (SELECT min(curvature) AS cl, max(curvature) AS ch, min(z) AS zl, max(z) AS zh FROM k5), t AS (SELECT max(pra) AS top FROM p)
+    SELECT k5.r, k5.c, round((1e0 - least(1e0, greatest(0e0, pra / greatest(top, 1e-12)))) * 5e0 + abs((curvature - cl) / (ch - cl + 1e-8)) * 2.5e0 + abs(sin(radians(math_aspect))) + (z - zl) / (zh - zl + 1e-8), 3) + 0e0 AS cost
+    FROM k5 JOIN p ON p.r = k5.r AND p.c = k5.c CROSS JOIN e CROSS JOIN t"""
+)
+def cost_surface(spark, sf):
+    return keyed(segment.cost_surface(_released(spark, sf), segment.SegmentParams()), "cost", places=3)
+
+
+@query(
+    f"""WITH {GRID}, f AS (SELECT r, c FROM g WHERE canopy > 30), d AS (SELECT g.r, g.c, min((g.r - f.r) * (g.r - f.r) + (g.c - f.c) * (g.c - f.c)) AS d2 FROM g, f WHERE canopy <= 30 GROUP BY g.r, g.c)
+    SELECT g.r, g.c, {_rounded('CASE WHEN d2 IS NULL THEN 0e0 ELSE least(500e0, 2e0 * 21.34e0 * sqrt(d2)) END', 4)} AS gap_width FROM g LEFT JOIN d ON d.r = g.r AND d.c = g.c"""
+)
+def gap_width(spark, sf):
+    x = grid(spark, sf).withColumnRenamed("canopy", "canopy_pct").withColumn("valid", F.lit(True))
+    return keyed(regions.gap_metrics(x, spec(x)), "gap_width", places=4)
+
+
+@query(
+    _labels_sql(
+        "canopy <= 30 AND NOT noise", _FOUR,
+        "SELECT g.r, g.c, (SELECT max(id) FROM g WHERE noise) + label + 1 AS label FROM cc JOIN g ON g.id = cc.id",
+    )
+)
+def uncovered_labels(spark, sf):
+    x = grid(spark, sf)
+    return regions.uncovered(x.where("canopy <= 30"), x.where("noise").select("r", "c", F.col("id").alias("label")), spec(x))
+
+
+@query(
+    f"""WITH {GRID}, k AS (SELECT r, c, CASE WHEN noise THEN z END AS z, CASE WHEN zone > 3 THEN canopy END AS canopy FROM g)
+    SELECT r, c, {_rounded('z', 4)} AS z, {_rounded('canopy', 4)} AS canopy FROM k WHERE r % 3 > 0"""
+)
+def align_and_clip(spark, sf):
+    x = grid(spark, sf)
+    s = spec(x)
+    dem = x.select("r", "c", F.when(F.col("noise"), F.col("z")).otherwise(F.when(F.col("zone") > 9, 0.0).otherwise(-9999.0)).alias("z"))
+    trees = x.select("r", "c", F.when(F.col("zone") > 3, F.col("canopy")).otherwise(-9999.0).alias("canopy"))
+    return keyed(align.align_and_clip(dem, s, trees, s, x.where("r % 3 > 0")), "z", "canopy", places=4)
+
+
+@query(f"WITH {GRID} SELECT r, c, {_rounded('z', 4)} AS z FROM g WHERE r BETWEEN 3 AND 40 AND c BETWEEN 20 AND 99")
+def raster_window(spark, sf):
+    """A tiled raster, written and read by window."""
+    path = scratch_path(spark, "raster")
+    tables.write_raster(grid(spark, sf).select("r", "c", "z"), path, 32)
+    return keyed(tables.read_window(spark, path, 3, 41, 20, 100, 32), "z", places=4)
+
+
+@query(f"WITH {GRID} SELECT r, c, (c >= 10 AND c < 60 AND r >= 5 AND r < 12) AND NOT (c >= 20 AND c < 30 AND r >= 6 AND r < 9) AS inside, CASE WHEN (c >= 10 AND c < 60 AND r >= 5 AND r < 12) AND NOT (c >= 20 AND c < 30 AND r >= 6 AND r < 9) THEN 'ring' END AS name FROM g")
+def polygon_layer(spark, sf):
+    """Cells of a polygon with a hole, given as text."""
+    ring = lambda r0, r1, c0, c1: "(" + ", ".join(f"{c * CELL} {-r * CELL}" for r, c in ((r0, c0), (r0, c1), (r1, c1), (r1, c0), (r0, c0))) + ")"
+    path = scratch_path(spark, "layer")
+    spark.createDataFrame([("ring", f"POLYGON ({ring(5, 12, 10, 60)}, {ring(6, 9, 20, 30)})"), ("none", None)], "name string, wkt string").write.parquet(path)
+    x = grid(spark, sf)
+    got = vectors.burn(x, spec(x), vectors.read_layer(spark, path))
+    return x.select("r", "c").join(got, ["r", "c"], "left").select("r", "c", F.col("name").isNotNull().alias("inside"), "name")
+
+
+_FLUX = P.parse(P.FLUX_RAMP)
+
+
+@query(f"WITH {BANDS} SELECT r, c, {', '.join(_palette_sql(_FLUX, 'round(F_rout_flux_area * 100, 2)', i) + ' AS ' + n for i, n in enumerate(('red', 'green', 'blue', 'alpha')))} FROM b")
+def palette_log_ramp(spark, sf):
+    """Colours by a ramp that is even in the logarithm and in perceived colour."""
+    return bands(spark, sf).withColumn("p", P.colour(F.round(F.col("F_rout_flux_area") * 100, 2), _FLUX)).select("r", "c", "p.*")
+
+
+@query(
+    f"""{_LEGACY}, w AS (SELECT *, zone % 5 AS wind FROM x), k AS (SELECT *, greatest(CASE WHEN smooth > 45 THEN 4 WHEN s > 30 THEN 3 WHEN s > 22 THEN 2 WHEN s > 15 THEN 1 ELSE 0 END, az, rf, prox, wind) + CASE WHEN canopy <= 10 THEN 10 WHEN canopy <= 50 THEN 20 WHEN canopy <= 80 THEN 30 ELSE 40 END + CASE WHEN E_pra >= 0.3 THEN 100 ELSE 0 END AS key FROM w)
+    SELECT r, c, CASE WHEN ok THEN CASE WHEN F_travel_angle >= 55 THEN 4 WHEN canopy > 80 AND v = 4 THEN 3 ELSE v END ELSE -1 END::TINYINT AS class FROM k LEFT JOIN {_LUT} ON l.k = key"""
+)
+def classify_dispatch(spark, sf):
+    """The older model through the dispatch, with other cuts and wind deposits."""
+    x = _legacy(spark, sf).withColumn("wind_class", F.col("zone") % 5)
+    got = classify.classify(x, FLAT, "legacy", "slope", {"sat": (15, 22, 30, 45), "trees": (10, 50, 80), "overhead": 55.0})
+    return got.select("r", "c", F.coalesce("ates", F.lit(-1).cast("tinyint")).alias("class"))
+
+
 # Kernels without SQL.
 
 
