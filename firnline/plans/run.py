@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from firnline.functions import fuzzy
 from firnline.functions import palette as P
 from firnline.functions import votes as V
-from firnline.grid import GridSpec, cut_lineage, scratch
+from firnline.grid import GridSpec, cut_lineage, scratch, to_null
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
 from firnline.plans import config as C
 from firnline.plans.manifest import Manifest
-from firnline.sources import tables, vectors
+from firnline.sources import geotiff, tables, vectors
 
 log = logging.getLogger(__name__)
 SCENARIOS = ("frequent", "extreme")
@@ -186,6 +186,9 @@ def _write(name: str, x: DataFrame, folder: Path, cfg: C.RunConfig, out: dict[st
             tables.write_regions(x.join(shapes, "label", "left"), str(folder), Path(path).name)
     elif cfg.output.save_tif:
         tables.write_raster(x, path)
+        if cfg.dem_path.lower().endswith((".tif", ".tiff")):
+            for band in (b for b in ("ates", "pra", "sieved", "label", *cfg.flow.outputs()) if b in x.columns):
+                geotiff.write_geotiff(x, spec, band, f"{path}_tif")
 
 
 def run(spark: SparkSession, cfg: C.RunConfig, source: str = "unknown") -> str:
@@ -202,10 +205,7 @@ def run(spark: SparkSession, cfg: C.RunConfig, source: str = "unknown") -> str:
     logger.setLevel(logging.INFO)
     try:
         with scratch(spark):
-            z = tables.read_raster(spark, cfg.dem_path, "z", zero_is_void=True)
-            canopy = tables.read_raster(spark, cfg.forest_canopy_path, "canopy")
-            cells = z.join(canopy, ["r", "c"], "left")
-            spec = GridSpec.of(cells, cfg.cell)
+            cells, spec = read_cells(spark, cfg)
             for size in (cfg.target_resolution_x, cfg.target_resolution_y):
                 if size and size != cfg.cell:
                     target = replace(spec, width=max(1, int(spec.width * spec.cell / size)), height=max(1, int(spec.height * spec.cell / size)), cell=size)
@@ -231,6 +231,23 @@ def run(spark: SparkSession, cfg: C.RunConfig, source: str = "unknown") -> str:
     return str(folder)
 
 
+def read_cells(spark: SparkSession, cfg: C.RunConfig) -> tuple[DataFrame, GridSpec]:
+    """r, c, z, canopy on the elevation model's grid. Two tables share theirs;
+    a file has its own, and canopy is brought onto the elevation model's."""
+    got = {}
+    for band, path in (("z", cfg.dem_path), ("canopy", cfg.forest_canopy_path)):
+        if path.lower().endswith((".tif", ".tiff")):
+            got[band] = geotiff.read_geotiff(spark, path, band)
+        else:
+            x = tables.read_raster(spark, path, band)
+            got[band] = x, GridSpec.of(x, cfg.cell)
+    (z, spec), (canopy, other) = got["z"], got["canopy"]
+    if replace(other, width=spec.width, height=spec.height) != spec:
+        return align.align_and_clip(z, spec, canopy, other), spec
+    void = to_null("z", zero_too=True)
+    return z.select("r", "c", void.alias("z")).join(canopy, ["r", "c"], "left"), spec
+
+
 def area_of_interest(spark: SparkSession, cells: DataFrame, spec: GridSpec, path: str) -> DataFrame:
     """r, c of a mask table, or of a polygon layer's cells."""
     if not path.endswith((".json", ".geojson", ".csv", ".txt")) and "wkt" not in (x := spark.read.parquet(path)).columns:
