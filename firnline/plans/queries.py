@@ -779,15 +779,15 @@ def uncovered_labels(spark, sf):
 
 
 @query(
-    f"""WITH {GRID}, k AS (SELECT r, c, CASE WHEN noise THEN z END AS z, CASE WHEN zone > 3 THEN canopy END AS canopy FROM g)
-    SELECT r, c, {_rounded('z', 4)} AS z, {_rounded('canopy', 4)} AS canopy FROM k WHERE r % 3 > 0"""
+    f"""WITH {GRID}, k AS (SELECT r, c, CASE WHEN noise THEN z END AS z, CASE WHEN zone > 3 THEN canopy END AS canopy, zone FROM g)
+    SELECT r, c, {_rounded('z', 4)} AS z, {_rounded('canopy', 4)} AS canopy FROM k WHERE zone <> 4"""
 )
 def align_and_clip(spark, sf):
     x = grid(spark, sf)
     s = spec(x)
     dem = x.select("r", "c", F.when(F.col("noise"), F.col("z")).otherwise(F.when(F.col("zone") > 9, 0.0).otherwise(-9999.0)).alias("z"))
     trees = x.select("r", "c", F.when(F.col("zone") > 3, F.col("canopy")).otherwise(-9999.0).alias("canopy"))
-    return keyed(align.align_and_clip(dem, s, trees, s, x.where("r % 3 > 0")), "z", "canopy", places=4)
+    return keyed(align.align_and_clip(dem, s, trees, s, x.where("zone <> 4")), "z", "canopy", places=4)
 
 
 @query(f"WITH {GRID} SELECT r, c, {_rounded('z', 4)} AS z FROM g WHERE r BETWEEN 3 AND 40 AND c BETWEEN 20 AND 99")
