@@ -18,7 +18,8 @@ Pages are read in time linear in their length, whatever is left open in them.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
 rows give a row each; very long pages are read whole; an unclosed tag ends at
-the next ">", an unclosed comment or script at the page's end; extra columns
+the next ">", an unclosed comment, script or style at the page's end, other
+elements of raw text hold nothing then; extra columns
 are ignored.
 """
 
@@ -145,11 +146,18 @@ def tokens(page: str):
         if z < 0 or z >= end:  # no > is left
             at = end
             break
-        yield page[text:lt], m[1], m[2].lower(), page[m.end() : z]
-        at = text = z + 1
-        if not m[1] and m[2].lower() in RAW and not page[z - 1] == "/":
-            close = _RAW_END[m[2].lower()].search(page, at)
-            at = text = end if close is None else close.start()
+        tag, attributes, after = m[2].lower(), page[m.end() : z], z + 1
+        if not m[1] and tag in RAW and not attributes.endswith("/"):
+            found = None if gone.get(tag) else _RAW_END[tag].search(page, after)
+            gone[tag] = found is None
+            if found is not None:
+                after = found.start()
+            elif tag in ("script", "style"):
+                after = end
+            else:
+                attributes += "/"  # holds nothing
+        yield page[text:lt], m[1], tag, attributes
+        at = text = after
     yield page[text:], "", "", ""
 
 

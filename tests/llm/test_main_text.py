@@ -23,6 +23,11 @@ def test_linked_blocks_of_the_article_stay():
     assert html_text.extract(page) == "\n".join([WANT, *(f"Reference number {i}" for i in range(4)), WANT])
 
 
+def test_unclosed_raw_text():
+    assert html_text.extract(f"<title><textarea><article><p>{TEXT}</p></article>") == WANT
+    assert html_text.extract(f"<p>{TEXT}</p><script>var x = 1;") == WANT
+
+
 def test_named_furniture_still_goes():
     teasers = "<article class='comment'><p>a reader says so</p></article>" * 3
     assert html_text.extract(f"<article><p>{TEXT}</p></article><div id='comments'>{teasers}</div>") == WANT
@@ -48,8 +53,8 @@ def test_furniture_longer_than_the_article_goes():
 
 @pytest.mark.parametrize(
     "page",
-    ["<a \"" + "<b " * 40_000, "x</i>" * 30_000, "<div>" * 30_000 + "x", '<a ">' * 30_001, "<p>" * 40_000, "<" * 99_000, "<div class=ad><p>t" * 9_000, "<!--" * 30_000, "<svg>" * 30_000, "<li><ul>" * 20_000],
-    ids=["open quote", "stray end tags", "nested", "odd quotes", "p", "lt", "named", "comments", "unseen", "lists"],
+    ["<a \"" + "<b " * 40_000, "x</i>" * 30_000, "<div>" * 30_000 + "x", '<a ">' * 30_001, "<p>" * 40_000, "<" * 99_000, "<div class=ad><p>t" * 9_000, "<!--" * 30_000, "<svg>" * 30_000, "<li><ul>" * 20_000, "<title>" * 30_000],
+    ids=["open quote", "stray end tags", "nested", "odd quotes", "p", "lt", "named", "comments", "unseen", "lists", "raw text"],
 )
 def test_bad_markup_takes_linear_time(page):
     began = time.process_time()
