@@ -168,20 +168,44 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Tokens `[^\\x20\\x09-\\x0D]+` of many texts: for each token its place in
     a dictionary, the dictionary, and for each text its number of tokens."""
-    parts = [t.split() for t in texts]  # bytes.split cuts at exactly these characters
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    flat: list[bytes] = []
-    for p in parts:
-        flat += p
-    coded = pa.array(flat, type=pa.binary()).dictionary_encode()
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary, lengths
+    column = pa.array(texts, pa.large_binary())
+    column = pa.Array.from_buffers(pa.large_string(), len(column), column.buffers())  # cut at bytes; they needn't be valid
+    parts = pc.ascii_split_whitespace(column)
+    flat, ends = parts.values, parts.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(flat), 0)  # blanks at a text's ends cut off empty parts
+    lengths = np.diff(np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))[ends])
+    coded = flat.filter(some).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False), _binary(coded.dictionary), lengths
 
 
-def hashed(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
-    import xxhash
+def _binary(strings: pa.Array) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(strings), strings.buffers(), offset=strings.offset)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers spread over all numbers of 64 bits, one to one."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-    one = xxhash.xxh3_64_intdigest
-    return np.fromiter((one(x, seed) for x in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+
+def hashed(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte strings: the sum of what each byte at its place is
+    spread to, and the length."""
+    column = dictionary.cast(pa.large_binary())
+    n = len(column)
+    if not n:
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    start, size = ends[:-1] - ends[0], np.diff(ends)
+    place = (np.arange(len(data)) - np.repeat(start, size)).astype(np.uint64)
+    each = mixed((place << np.uint64(8) | data) + np.uint64((0x9E3779B97F4A7C15 * (2 * seed + 1)) & (2**64 - 1)))
+    out, some = np.zeros(n, np.uint64), np.flatnonzero(size)
+    out[some] = np.add.reduceat(each, start[some]) if len(some) else 0
+    return mixed(out + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:

@@ -116,7 +116,7 @@ class Shared:
             return self.held[name]
         if local := self._local():
             path = f"{local}/{name}"
-            out = np.memmap(path, dtype=kind, mode="r") if os.path.getsize(path) else np.zeros(0, dtype=kind)
+            out = np.asarray(np.memmap(path, dtype=kind, mode="r")) if os.path.getsize(path) else np.zeros(0, dtype=kind)
         else:
             from pyarrow import fs
 
@@ -153,7 +153,7 @@ def _tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Each text's words and its end, as places in a dictionary whose last entry
     is the end; and the number of tokens per text."""
     code, dictionary, n = words(texts)
-    dictionary = pa.concat_arrays([dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    dictionary = pa.concat_arrays([dictionary, pa.array([END], pa.large_binary())])
     out = np.full(len(code) + len(n), len(dictionary) - 1, dtype=np.int64)
     keep = np.ones(len(out), dtype=bool)
     keep[np.cumsum(n + 1) - 1] = False

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from firnline.llm.common import give_back, hashed, join_hot, materialize, partitions, parts_of, recording, release, text_bytes, words
+from firnline.llm.common import give_back, hashed, join_hot, materialize, mixed, partitions, parts_of, recording, release, text_bytes, words
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -52,14 +52,6 @@ _A = np.random.default_rng(20).integers(0, 2**31, HASHES, dtype=np.uint32) * np.
 _B = np.random.default_rng(21).integers(0, 2**32, HASHES, dtype=np.uint32)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
 def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of every text's shingles in a row (repeats included), and
     the number of them per text."""
@@ -74,7 +66,7 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
     for k in range(size):
         at = place + k
         inside = at < ends
-        acc = _mix(acc * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at, max(len(h) - 1, 0))] if len(h) else 0, np.uint64(k + 1)))
+        acc = mixed(acc * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, h[np.minimum(at, max(len(h) - 1, 0))] if len(h) else 0, np.uint64(k + 1)))
     out[:] = acc
     return out, lengths
 
@@ -203,8 +195,8 @@ def _bands(reps: DataFrame) -> DataFrame:
             sig = np.frombuffer(b"".join(b.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
             key = np.zeros(sig.shape[:2], dtype=np.uint64)
             for r in range(ROWS):
-                key = _mix(key * np.uint64(31) + sig[:, :, r])
-            key = _mix(key + np.arange(BANDS, dtype=np.uint64))
+                key = mixed(key * np.uint64(31) + sig[:, :, r])
+            key = mixed(key + np.arange(BANDS, dtype=np.uint64))
             ids = np.repeat(b.column(0).to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["bucket", "rep"])
 
