@@ -12,7 +12,12 @@ text. Nodes that name themselves as page furniture, by tag, role, class or id
 their density as well, lowered by LOWERED: inside the core or beside its path
 they go where that is below the threshold. One that holds the core, the page's
 article or main element, or most of its text outside links isn't furniture.
-A header inside an article or main element is the article's own.
+A header inside an article or main element is the article's own. Inside these
+a name that prose may bear as well (notice, legal, search, ...) lowers nothing
+unless form controls or links speak for it, too.
+
+A core that doesn't begin with a heading takes those before it: from the
+nearest ancestor that has any there, outside furniture and lists of links.
 
 Pages are read in time linear in their length, whatever is left open in them.
 
@@ -28,6 +33,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -64,6 +70,14 @@ NAMED = re.compile(
     r"(?:$|[\s_-]|\d)",
     re.I,
 )
+# Those of them that prose doesn't bear.
+SURELY = re.compile(
+    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|promotion|breadcrumb|breadcrumbs|"
+    r"sidebar|widget|widgets|comment|comments|commentlist|disqus|cookie|cookies|consent|gdpr|popup|modal|newsletter|subscribe|subscription|signup|"
+    r"share|sharing|related|recommended|recommendations|toolbar|pagination|pager)(?:$|[\s_-]|\d)",
+    re.I,
+)
+CONTROLS = frozenset("form input button select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 P_SCOPE = ("td", "th", "table", "button", "caption", "object")
 # Start tags that end an open element of their own kind.
@@ -79,10 +93,10 @@ SIBLINGS = {
 
 
 class Node:
-    __slots__ = ("tag", "items", "skip", "suspect", "named", "lowered", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "items", "skip", "suspect", "named", "lowered", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "surely")
 
-    def __init__(self, tag: str, parent: Node | None, skip: bool = False, suspect: bool = False, named: bool = False):
-        self.tag, self.parent, self.skip, self.suspect, self.named, self.items = tag, parent, skip, suspect, named, []
+    def __init__(self, tag: str, parent: Node | None, skip: bool = False, suspect: bool = False, named: bool = False, surely: bool = True):
+        self.tag, self.parent, self.skip, self.suspect, self.named, self.surely, self.items = tag, parent, skip, suspect, named, surely, []
 
 
 def _hidden(attributes: str) -> tuple[bool, bool]:
@@ -101,8 +115,8 @@ def _hidden(attributes: str) -> tuple[bool, bool]:
 _WITHOUT = re.compile(r"\b(?:no|not|has|with|without)[-_]\S*")
 
 
-def _named(attributes: str) -> bool:
-    return bool(attributes) and any(n.lower() in ("class", "id") and NAMED.search(_WITHOUT.sub("", v.strip("\"'"))) for n, v in _ATTRIBUTE.findall(attributes))
+def _named(attributes: str, words: re.Pattern = NAMED) -> bool:
+    return bool(attributes) and any(n.lower() in ("class", "id") and words.search(_WITHOUT.sub("", v.strip("\"'"))) for n, v in _ATTRIBUTE.findall(attributes))
 
 
 def tokens(page: str):
@@ -191,8 +205,8 @@ def parse(page: str) -> Node:
             elif where.get(tag):
                 close(where[tag][-1])
             continue
-        if tag in CLOSES_P and where.get("p") and where["p"][-1] > last(P_SCOPE):
-            close(next(i for i in where["p"] if i > last(P_SCOPE)))
+        if tag in CLOSES_P and where.get("p") and where["p"][-1] > (scope := last(P_SCOPE)):
+            close(where["p"][bisect_right(where["p"], scope)])
         if tag in SIBLINGS:
             kinds, stops = SIBLINGS[tag]
             if (i := last(kinds)) > last(stops):
@@ -202,7 +216,7 @@ def parse(page: str) -> Node:
         unseen, role = _hidden(attributes) if attributes else (False, False)
         named = _named(attributes) and tag not in ("main", "article")
         furniture = role or tag in FURNITURE and not (tag == "header" and last(("article", "main")))
-        node = Node(tag, open_[-1], unseen or tag in UNSEEN, furniture or named, named and not furniture)
+        node = Node(tag, open_[-1], unseen or tag in UNSEEN, furniture or named, named and not furniture, not named or _named(attributes, SURELY))
         suspects = suspects or node.named
         open_[-1].items.append(node)
         if tag not in VOID and not attributes.endswith("/"):
@@ -247,10 +261,33 @@ def _keep_wrappers(root: Node) -> None:
                 p = id(x.parent)
                 own[p], held[p], main[p] = own[p] + own[k], held[p] + held[k], main[p] or main[k]
         articles, every = held[id(root)], own
-    for x in kept:
+    for x in [*kept, *_unsupported([x for x in nodes if x.suspect and x.named and not x.surely and around[id(x)]], root)]:
         x.suspect = False
 
 
+def _unsupported(doubtful: list[Node], root: Node) -> list[Node]:
+    """Those in which neither form controls nor links (a third of the text)
+    speak for the name."""
+    if not doubtful:
+        return []
+    nodes, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        nodes.append(x)
+        stack.extend(i for i in x.items if isinstance(i, Node))
+    found = {id(x): [0, 0, 0] for x in nodes}  # characters, those in links, controls
+    for x in reversed(nodes):
+        mine = found[id(x)]
+        mine[0] += 0 if x.skip else sum(len(_SPACE.sub(" ", i).strip()) for i in x.items if isinstance(i, str))
+        mine[1] = mine[0] if x.tag == "a" else mine[1]
+        mine[2] += x.tag in CONTROLS
+        if x.parent is not None:
+            up = found[id(x.parent)]
+            for k in range(3):
+                up[k] += mine[k]
+    return [x for x in doubtful if not found[id(x)][2] and 3 * found[id(x)][1] < found[id(x)][0]]
+
+
 def _order(root: Node) -> list[Node]:
     """All nodes that can be seen, parents first."""
     out, stack = [], [root]
@@ -306,6 +343,63 @@ def _path(x: Node | None) -> list[Node]:
     return out
 
 
+def _begins_with_heading(core: Node) -> bool:
+    stack = [core]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            if x.strip():
+                return False
+        elif not (x.skip or x.suspect):
+            if x.tag in HEADINGS and x.chars:
+                return True
+            stack.extend(reversed(x.items))
+    return False
+
+
+def _headings(x: Node) -> list[Node]:
+    """Headings in x, in page order, but not in furniture and lists of links:
+    x itself if it is one, else the first-level ones."""
+    out, stack = [], [x]
+    while stack:
+        y = stack.pop()
+        if y.skip or y.suspect or 2 * y.link_chars >= max(y.chars, 1):
+            continue
+        if y.tag == "h1" or y is x and y.tag in HEADINGS:
+            out.append(y)
+        else:
+            stack.extend(i for i in reversed(y.items) if isinstance(i, Node))
+    return out
+
+
+def _headlines(core: Node, kept: list[Node], root: Node) -> list[Node]:
+    """kept and, if the core has no heading at its head, those before it in the
+    nearest ancestor that has any there; in page order."""
+    have, at = set(map(id, kept)), core
+    if _begins_with_heading(core):
+        return kept
+    while at.parent is not None:
+        found, there = [], False
+        for x in at.parent.items:
+            if x is at:
+                break
+            if isinstance(x, Node):
+                got = _headings(x)
+                there = there or bool(got) and id(x) in have
+                found += [y for y in got if id(x) not in have]
+        if found:
+            place, stack = {}, [root]
+            while stack:
+                y = stack.pop()
+                place[id(y)] = len(place)
+                stack.extend(i for i in reversed(y.items) if isinstance(i, Node))
+            return sorted([*kept, *found], key=lambda y: place[id(y)])
+        if there:
+            break
+        at = at.parent
+    return kept
+
+
 def content(root: Node) -> list[Node]:
     """The roots of the kept subtrees, in page order; what goes from within
     them is marked."""
@@ -338,6 +432,7 @@ def content(root: Node) -> list[Node]:
                 kept.append(x)
             continue
         stack.extend(i for i in reversed(x.items) if isinstance(i, Node) and not i.skip)
+    kept = _headlines(core, kept, root)
     inside, stack = set(), [core]
     while stack:
         x = stack.pop()

@@ -1,3 +1,4 @@
+import re
 import time
 from html.parser import HTMLParser
 
@@ -53,8 +54,8 @@ def test_furniture_longer_than_the_article_goes():
 
 @pytest.mark.parametrize(
     "page",
-    ["<a \"" + "<b " * 40_000, "x</i>" * 30_000, "<div>" * 30_000 + "x", '<a ">' * 30_001, "<p>" * 40_000, "<" * 99_000, "<div class=ad><p>t" * 9_000, "<!--" * 30_000, "<svg>" * 30_000, "<li><ul>" * 20_000, "<title>" * 30_000],
-    ids=["open quote", "stray end tags", "nested", "odd quotes", "p", "lt", "named", "comments", "unseen", "lists", "raw text"],
+    ["<a \"" + "<b " * 40_000, "x</i>" * 30_000, "<div>" * 30_000 + "x", '<a ">' * 30_001, "<p>" * 40_000, "<" * 99_000, "<div class=ad><p>t" * 9_000, "<!--" * 30_000, "<svg>" * 30_000, "<li><ul>" * 20_000, "<title>" * 30_000, "<p><button>" * 8_000 + "<p>a" * 8_000],
+    ids=["open quote", "stray end tags", "nested", "odd quotes", "p", "lt", "named", "comments", "unseen", "lists", "raw text", "buttons"],
 )
 def test_bad_markup_takes_linear_time(page):
     began = time.process_time()
@@ -62,6 +63,32 @@ def test_bad_markup_takes_linear_time(page):
     assert time.process_time() - began < 2.5
 
 
+@pytest.mark.parametrize("page", [
+    f"<h1>How it went</h1><div class='content'><p>{TEXT}</p><p>{TEXT}</p></div>",
+    f"<div><h1>How it went</h1></div><div class='content'><p>{TEXT}</p><p>{TEXT}</p></div>",
+    f"<div class=page><div class=top><h1>How it went</h1><span>by x</span></div><div class=row><div class='content'><p>{TEXT}</p><p>{TEXT}</p></div><div class=sidebar><h1>More</h1>s</div></div></div>",
+    f"<nav><h1>Site</h1></nav><h2>How it went</h2><div><p>{TEXT}</p><p>{TEXT}</p></div><div class=footer><h1>End</h1></div>",
+    f"<div class=banner><h1>Site</h1></div><h1>How it went</h1><article><p>{TEXT}</p><p>{TEXT}</p></article>",
+    f"<h1><a href=/>Site</a></h1><div><h2>How it went</h2><p>{TEXT}</p><p>{TEXT}</p></div>",
+])
+def test_headlines_without_an_article_around_them(page):
+    assert html_text.extract(page) == f"How it went\n{WANT}\n{WANT}"
+
+
+@pytest.mark.parametrize("outer", ["article", "main"])
+@pytest.mark.parametrize("inner", ["section class='login'", "section class='search'", "ol class='legal'", "div class='notice'", "div id='menu'"])
+def test_named_sections_of_the_article_stay(outer, inner):
+    tag = inner.split()[0]
+    assert html_text.extract(f"<{outer}><p>{TEXT}</p><{inner}><p>{TEXT}</p></{tag}><p>{TEXT}</p></{outer}>") == "\n".join([WANT] * 3)
+    for sign in ("<input name=q>", "<a href=x>all of these here</a>", "<button>go</button>"):  # forms or links speak for the name
+        assert html_text.extract(f"<{outer}><p>{TEXT}</p><{inner}><p>go on</p>{sign}</{tag}><p>{TEXT}</p></{outer}>") == "\n".join([WANT] * 2)
+
+
+def test_comments_and_adverts_within_the_article_go():
+    for name in ("comments", "ad", "newsletter", "related"):
+        assert html_text.extract(f"<main><p>{TEXT}</p><div class='{name}'><p>not of the text</p></div><p>{TEXT}</p></main>") == "\n".join([WANT] * 2)
+
+
 class Brute(HTMLParser):
     """Blocks of the article element, for pages whose furniture is outside it
     or in an element of class ad."""
@@ -99,6 +126,8 @@ def test_whole_table_by_brute_force(spark, sf):
     for r in queries.op8_main_text(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect():
         assert r.text == "\n".join(Brute(r.html).out), r.page_id
         assert r.n_chars == len(r.text)
+        plain = re.sub(r"<(/?)(article|main)\b", r"<\1div", r.html)  # no element says where the article is
+        assert html_text.extract(plain) == r.text
 
 
 def test_very_long_pages_are_read_whole(spark):
