@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.grid import TILE, GridSpec, cut_lineage, workers_see
@@ -183,8 +183,11 @@ def adjacency(labels: DataFrame, connectivity: int = 8) -> DataFrame:
 def merge_small(labels: DataFrame, spec: GridSpec, threshold_m2: float, cap_m2: float | None = None) -> DataFrame:
     """label -> merged. Touching regions below the threshold merge (named after
     the largest, ties by label); a cluster still below it joins the touching
-    large region with the longest shared border, unless that passes the cap;
-    islands stay."""
+    large region with the longest shared border (ties by label); islands stay.
+
+    Under a cap clusters come in order of their least label, and each takes, of
+    the large regions that still have room for it, the one with the longest
+    border: regions grow as they take, so none passes the cap by it."""
     area = labels.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area).alias("area"))
     touching = cut_lineage(adjacency(labels), "touching")
     small = area.where(F.col("area") < threshold_m2)
@@ -199,13 +202,44 @@ def merge_small(labels: DataFrame, spec: GridSpec, threshold_m2: float, cap_m2:
     sides = sides.join(member.select(F.col("label").alias("a"), F.col("name").alias("small"), F.col("total").alias("ta")), "a")
     sides = sides.join(member.select(F.col("label").alias("b"), F.col("name").alias("large"), F.col("total").alias("tb")), "b")
     sides = sides.where((F.col("small") != F.col("large")) & (F.col("ta") < threshold_m2) & (F.col("tb") >= threshold_m2))
-    if cap_m2 is not None:
-        sides = sides.where(F.col("ta") + F.col("tb") <= cap_m2)
-    border = sides.groupBy("small", "large").agg(F.sum("sides").alias("s"))
-    best = border.groupBy("small").agg(F.max_by("large", F.struct("s", -F.col("large"))).alias("into"))
+    border = sides.groupBy("small", "large").agg(F.sum("sides").alias("s"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    if cap_m2 is None:
+        best = border.groupBy("small").agg(F.max_by("large", F.struct("s", -F.col("large"))).alias("into"))
+    else:
+        order = clusters.select(F.col("name").alias("small"), F.col("root").alias("place"))
+        best = _admitted(border.join(order, "small"), spec, cap_m2)
     return member.join(best, F.col("name") == F.col("small"), "left").select("label", F.coalesce("into", "name").alias("merged"))
 
 
+def _admitted(claims: DataFrame, spec: GridSpec, cap_m2: float) -> DataFrame:
+    """small -> into, as if clusters chose one after another by `place`. claims:
+    small, large, s (border), ta and tb (areas), place.
+
+    In a round every region looks at the clusters that may still come to it, in
+    order: as long as it is the best choice of each, it admits them while they
+    fit. A cluster that prefers another region, where it may yet be refused,
+    ends the round for those behind it. The first cluster of all is always
+    decided, so rounds end. A round reads no more claims of a region than cells
+    fit into it, so no group grows with the map."""
+    spark, most = claims.sparkSession, int(cap_m2 / spec.cell_area) + 1
+    kind = dict(claims.dtypes)["small"]
+    done = spark.createDataFrame([], f"small {kind}, into {kind}")
+    claims = cut_lineage(claims, "claims")
+    while True:
+        claims = claims.where(F.col("ta") + F.col("tb") <= cap_m2)
+        best = claims.groupBy("small").agg(F.max_by("large", F.struct("s", -F.col("large"))).alias("best"))
+        line = Window.partitionBy("large").orderBy("place")
+        x = claims.join(best, "small").withColumn("_k", F.row_number().over(line)).where(F.col("_k") <= most)
+        x = x.withColumns({"_other": F.max((F.col("best") != F.col("large")).cast("int")).over(line), "_sum": F.sum("ta").over(line)})
+        now = cut_lineage(x.where((F.col("_other") == 0) & (F.col("tb") + F.col("_sum") <= cap_m2)).select("small", F.col("large").alias("into"), "ta"), "admitted")
+        if not now.limit(1).count():
+            return done
+        done = done.unionByName(now.select("small", "into"))
+        grown = now.groupBy(F.col("into").alias("large")).agg(F.sum("ta").alias("_more"))
+        claims = claims.join(now.select("small"), "small", "left_anti").join(grown, "large", "left")
+        claims = cut_lineage(claims.withColumn("tb", F.col("tb") + F.coalesce("_more", F.lit(0.0))).drop("_more"), "claims")
+
+
 def polygonize(cells: DataFrame, spec: GridSpec, value: str, connectivity: int = 4) -> tuple[DataFrame, DataFrame]:
     """Regions (label, value, cells, area_m2, bounding box) and memberships."""
     parts = connected(cells, spec, value, connectivity)

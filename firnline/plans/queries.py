@@ -447,17 +447,20 @@ def region_adjacency(spark, sf):
     return regions.adjacency(x.select("r", "c", "label"))
 
 
-@query(
-    f"""WITH RECURSIVE {GRID}, m AS (SELECT id, r, c, floor(canopy / 25) AS k FROM g), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_FOUR} AND a.k = b.k),
+_MERGE = f"""WITH RECURSIVE {GRID}, m AS (SELECT id, r, c, KIND AS k FROM g), e AS (SELECT a.id AS a, b.id AS b FROM m a JOIN m b ON {_FOUR} AND a.k = b.k),
     cc(id, label) USING KEY (id) AS (SELECT id, id FROM m UNION (SELECT e.a, min(x.label) FROM cc x JOIN e ON e.b = x.id JOIN recurring.cc y ON y.id = e.a WHERE x.label < y.label GROUP BY e.a)),
     l AS (SELECT r, c, label FROM cc JOIN g ON g.id = cc.id), s AS (SELECT label, count(*) * {AREA!r}e0 AS area FROM l GROUP BY label),
     t AS (SELECT a.label AS a, b.label AS b, sum((a.r = b.r OR a.c = b.c)::INT) AS sides FROM l a JOIN l b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND a.label <> b.label GROUP BY a.label, b.label),
-    te AS (SELECT t.a, t.b FROM t JOIN s x ON x.label = t.a JOIN s y ON y.label = t.b WHERE x.area < 20000 AND y.area < 20000),
+    te AS (SELECT t.a, t.b FROM t JOIN s x ON x.label = t.a JOIN s y ON y.label = t.b WHERE x.area < LEAST AND y.area < LEAST),
     kk(id, root) USING KEY (id) AS (SELECT label, label FROM s UNION (SELECT te.a, min(x.root) FROM kk x JOIN te ON te.b = x.id JOIN recurring.kk y ON y.id = te.a WHERE x.root < y.root GROUP BY te.a)),
     cl AS (SELECT root, sum(area) AS total, arg_max(id, area * 1000000 - id) AS name FROM kk JOIN s ON s.label = kk.id GROUP BY root),
     mem AS (SELECT id AS label, name, total FROM kk JOIN cl ON cl.root = kk.root),
-    br AS (SELECT x.name AS small, y.name AS large, sum(sides) AS n FROM t JOIN mem x ON x.label = t.a JOIN mem y ON y.label = t.b WHERE x.name <> y.name AND x.total < 20000 AND y.total >= 20000 GROUP BY x.name, y.name),
-    best AS (SELECT small, arg_max(large, n * 100000000 - large) AS goes FROM br GROUP BY small)
+    br AS (SELECT x.name AS small, y.name AS large, sum(sides) AS n FROM t JOIN mem x ON x.label = t.a JOIN mem y ON y.label = t.b WHERE x.name <> y.name AND x.total < LEAST AND y.total >= LEAST GROUP BY x.name, y.name)"""
+
+
+@query(
+    _MERGE.replace("KIND", "floor(canopy / 25)").replace("LEAST", "20000")
+    + """, best AS (SELECT small, arg_max(large, n * 100000000 - large) AS goes FROM br GROUP BY small)
     SELECT label, coalesce(goes, name) AS merged FROM mem LEFT JOIN best ON best.small = mem.name"""
 )
 def merge_small_regions(spark, sf):
@@ -467,6 +470,25 @@ def merge_small_regions(spark, sf):
     return regions.merge_small(labels, s, 20000.0)
 
 
+@query(
+    _MERGE.replace("KIND", "floor(canopy / 25) * 2 + noise::INT").replace("LEAST", "1500")
+    + f""", lg AS (SELECT name AS large, total, row_number() OVER (ORDER BY name) AS k FROM (SELECT DISTINCT name, total FROM mem WHERE total >= 1500)),
+    cl2 AS (SELECT br.small, any_value(cl.total) AS total, list(struct_pack(n := n, large := -large, k := lg.k)) AS may, row_number() OVER (ORDER BY any_value(cl.root)) AS i
+        FROM br JOIN cl ON cl.name = br.small JOIN lg USING (large) GROUP BY br.small),
+    step(i, areas, small, goes) AS (
+        SELECT 0, (SELECT list(total ORDER BY k) FROM lg), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT)
+        UNION ALL SELECT cl2.i, CASE WHEN pick IS NULL THEN areas ELSE list_transform(areas, lambda v, j: CASE WHEN j = pick.k THEN v + cl2.total ELSE v END) END, cl2.small, -pick.large
+        FROM step JOIN (SELECT * FROM cl2) cl2 ON cl2.i = step.i + 1, LATERAL (SELECT list_max(list_filter(cl2.may, lambda x: step.areas[x.k] + cl2.total <= {12 * AREA!r}e0)) AS pick))
+    SELECT label, coalesce(goes, name) AS merged FROM mem LEFT JOIN step ON step.small = mem.name"""
+)
+def merge_small_capped(spark, sf):
+    """Regions grow as they take small ones, up to a cap of twelve cells."""
+    x = grid(spark, sf)
+    s = spec(x)
+    labels = regions.connected(x.withColumn("k", F.floor(F.col("canopy") / 25) * 2 + F.col("noise").cast("int")), s, "k", 4).select("r", "c", "label")
+    return regions.merge_small(labels, s, 1500.0, 12 * AREA)
+
+
 _MINIMA = " ".join(f"WHEN {k} THEN {max(1, round(v / AREA))}" for k, v in classify.MINIMUM_M2.items())
 
 

@@ -534,3 +534,47 @@ def test_ascii_grids_of_many_splits(spark, tmp_path):
         assert got.where("c = 0 and r = z").count() == 4000 and got.where("c = 2 and z is null").count() == 4000
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_merging_under_a_cap_counts_what_has_been_taken(spark):
+    row = [1, 1, 1] + [2] * 10 + [3, 3, 3]
+    x = spark.createDataFrame([(0, c, v) for c, v in enumerate(row)], "r long, c long, label long")
+    merged = {r.label: r.merged for r in regions.merge_small(x, GridSpec(16, 1, 1.0), 5.0, 14.0).collect()}
+    assert merged == {1: 2, 2: 2, 3: 3}  # the second cluster no longer fits
+
+
+def test_capped_merging_as_one_after_another(spark):
+    rng = np.random.default_rng(3)
+    blocks = rng.integers(0, 6, (12, 12)).repeat(3, axis=0).repeat(3, axis=1)
+    noisy = np.where(rng.random(blocks.shape) < 0.25, 9, blocks)
+    s = GridSpec(36, 36, 1.0)
+    cells = spark.createDataFrame([(r, c, int(v)) for (r, c), v in np.ndenumerate(noisy)], "r long, c long, v long")
+    labels = regions.connected(cells, s, "v", 4).select("r", "c", "label").cache()
+    at = {(r.r, r.c): r.label for r in labels.collect()}
+    area, border, touch = {}, {}, {}
+    for (r, c), v in at.items():
+        area[v] = area.get(v, 0) + 1
+        for dr, dc in ((a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b):
+            w = at.get((r + dr, c + dc))
+            if w is not None and w != v:
+                touch.setdefault(v, set()).add(w)
+                border[v, w] = border.get((v, w), 0) + (dr == 0 or dc == 0)
+    least, cap = 4, 12
+    cluster, want, total = {}, {v: v for v in area}, dict(area)
+    for v in sorted(area):
+        if area[v] < least and v not in cluster:
+            todo = [v]
+            while todo:
+                w = todo.pop()
+                if area[w] < least and w not in cluster:
+                    cluster[w] = v
+                    todo += touch.get(w, ())
+    for root in sorted(set(cluster.values())):
+        mine = [v for v in cluster if cluster[v] == root]
+        name, size = max(mine, key=lambda v: (area[v], -v)), sum(area[v] for v in mine)
+        near = {w for v in mine for w in touch.get(v, ()) if area[w] >= least and total[w] + size <= cap} if size < least else set()
+        into = max(near, key=lambda w: (sum(border.get((v, w), 0) for v in mine), -w), default=name)
+        total[into] = total.get(into, 0) + size * (into != name)
+        want |= dict.fromkeys(mine, into)
+    got = {r.label: r.merged for r in regions.merge_small(labels, s, float(least), float(cap)).collect()}
+    assert got == want and any(want[v] != v for v in want)
