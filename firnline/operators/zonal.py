@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from firnline.functions.votes import band_label, compass
-from firnline.grid import GridSpec, workers_see
+from firnline.grid import GridSpec, cut_lineage, workers_see
 
 
 def circular_mean(degrees: Column) -> Column:
@@ -17,6 +17,45 @@ def circular_mean(degrees: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(F.avg(F.sin(r)), F.avg(F.cos(r)))), F.lit(360.0))
 
 
+BINS = 4096  # counters of a group in a pass
+
+
+def group_quantile(rows: DataFrame, by: list[str], band: str, p: float, out: str = "quantile", bins: int = BINS) -> DataFrame:
+    """by, out, n: the exact p-quantile of a band per group (in all without
+    `by`), linear between neighbours, and how many values there are. NULL and
+    NaN are no values; a group without any has no row, nor have rows without key.
+
+    A group's range is cut into equal bins; the one that holds the rank becomes
+    the range, from its least to its largest value, until they are one or the
+    rank falls between two bins. Elevations take two or three passes. A group
+    needs `bins` counters in a task, however many rows it has."""
+    v = F.col(band).cast("double")
+    there = v.isNotNull() & ~F.isnan(v)
+    for k in by:
+        there = there & F.col(k).isNotNull()
+    x = cut_lineage(rows.where(there).select(*by, v.alias("_v")), "values")
+    ends = x.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("_v").alias("n")).where("n > 0")
+    at = F.col("_at")
+    ends = ends.withColumn("_at", (F.col("n") - 1) * p).select(*by, "n", "_lo", "_hi", F.floor(at).alias("_k"), (at - F.floor(at)).alias("_part"))
+    ends, done = cut_lineage(ends, "ends"), None
+    line = Window.partitionBy(*by, "n").orderBy("_bin")  # a group's bins
+    while True:
+        flat = ends.where("_lo = _hi").select(*by, "n", F.col("_lo").alias(out))
+        done = flat if done is None else done.unionByName(flat)
+        ends = ends.where("_lo < _hi")
+        if not ends.limit(1).count():
+            return done.select(*by, out, "n")
+        y = (x.join(ends, by) if by else x.crossJoin(F.broadcast(ends))).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))  # one row of ends
+        share = F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * bins)  # halves: no overflow
+        y = y.groupBy(*by, "n", "_k", "_part", F.least(share, F.lit(bins - 1)).alias("_bin")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        y = y.withColumns({"_to": F.sum("_c").over(line), "_next": F.lead("_lo").over(line)})
+        y = cut_lineage(y.where((F.col("_to") > F.col("_k")) & (F.col("_to") - F.col("_c") <= F.col("_k"))), "bins")
+        last = F.col("_k") == F.col("_to") - 1  # the rank's next value is in another bin
+        value = F.col("_hi") + F.when(F.col("_part") > 0, (F.col("_next") - F.col("_hi")) * F.col("_part")).otherwise(0.0)
+        done = done.unionByName(y.where(last).select(*by, "n", value.alias(out)))
+        ends = y.where(~last).select(*by, "n", "_lo", "_hi", (F.col("_k") - F.col("_to") + F.col("_c")).alias("_k"), "_part")
+
+
 def zonal_metrics(cells: DataFrame, spec: GridSpec, label: str = "label") -> DataFrame:
     """Per label: areas, release-area, elevation, slope and aspect statistics;
     wind, ruggedness and treeline ones where those bands exist. Cells without
@@ -30,8 +69,11 @@ def zonal_metrics(cells: DataFrame, spec: GridSpec, label: str = "label") -> Dat
     ]
     aggs += [F.avg(b).alias(f"_{b}") for b in ("windshelter", "ruggedness") if b in have]
     if "treeline" in have:
-        aggs += [F.median("treeline").alias("_tl"), F.avg((F.col("z") > F.col("treeline")).cast("double")).alias("_above")]
+        aggs += [F.avg((F.col("z") > F.col("treeline")).cast("double")).alias("_above")]
     g = cells.where(F.col(label).isNotNull()).groupBy(label).agg(*aggs)
+    if "treeline" in have:
+        middle = group_quantile(cells.where(F.col(label).isNotNull()), [label], "treeline", 0.5, "_tl").drop("n")
+        g = g.join(middle, label, "left")
     area = F.round(F.col("_n") * spec.cell_area, 1)
     ha, mean = F.round(area / 10000.0, 3), F.round(F.coalesce("_pm", F.lit(0.0)), 4)
     out = {
@@ -56,10 +98,15 @@ def region_means(cells: DataFrame, label: str, band: str) -> DataFrame:
 def treeline_percentile(cells: DataFrame, by: str | None = None, forested: float = 30.0, p: float = 0.95, least: int = 500) -> DataFrame:
     """A high percentile of the elevations of forested cells, per zone or in
     all; NULL with fewer than `least` forested cells."""
-    rows = cells.where(F.col("canopy") >= forested)
-    g = rows.groupBy(by) if by else rows.groupBy()
-    got = g.agg(F.expr(f"percentile(z, {p})").alias("_q"), F.count("z").alias("n_forest"))
-    return got.select(*([by] if by else []), F.when(F.col("n_forest") >= least, F.col("_q")).alias("treeline"), "n_forest")
+    keys = [by] if by else []
+    rows = cells.where(F.col("canopy") >= forested).select(*keys, "z")
+    rows = rows.where(F.col(by).isNotNull()) if by else rows
+    got = group_quantile(rows, keys, "z", p, "_q")
+    if by:  # groups whose forest has no elevation, and the map without forest
+        got = rows.groupBy(by).agg(F.count("z").alias("_n")).join(got, by, "left")
+    else:
+        got = rows.agg(F.count("z").alias("_n")).join(got, F.col("n") == F.col("_n"), "left")
+    return got.select(*keys, F.when(F.col("_n") >= least, F.col("_q")).alias("treeline"), F.col("_n").alias("n_forest"))
 
 
 def treeline_fraction(cells: DataFrame, forested: float = 30.0, fraction: float = 0.3, bin_m: float = 50.0, least: int = 50) -> DataFrame:
