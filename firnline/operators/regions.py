@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -255,71 +256,137 @@ def in_order(regions: DataFrame) -> DataFrame:
     return regions.orderBy("label")
 
 
-def outlines(members: DataFrame, spec: GridSpec) -> DataFrame:
-    """label, wkt: each region's rings along cell sides, outer ones and holes.
-    Sides between cells of one region cancel first, so a group holds a border,
-    not an area."""
-    corner = {"n": ((0, 0), (0, 1)), "e": ((0, 1), (1, 1)), "s": ((1, 1), (1, 0)), "w": ((1, 0), (0, 0))}
-    sides = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("ar", "ac", "br", "bc"), (*a, *b), strict=True)]) for a, b in corner.values()])
-    x = members.withColumn("s", F.explode(sides)).select(
-        "label", *[(F.col(k) + F.col(f"s.{o}")).alias(o) for o, k in (("ar", "r"), ("ac", "c"), ("br", "r"), ("bc", "c"))]
-    )
-    p, q = (F.struct(F.col(f"{k}r").alias("r"), F.col(f"{k}c").alias("c")) for k in "ab")
-    key = [F.least(p, q).alias("lo"), F.greatest(p, q).alias("hi")]
-    border = x.groupBy("label", *key).agg(F.count(F.lit(1)).alias("n"), *[F.first(o).alias(o) for o in ("ar", "ac", "br", "bc")]).where("n = 1")
-    cell, x0, y0 = spec.cell, spec.x0, spec.y0
-
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict = {}
-        for a, b, p, q in zip(pdf.ar, pdf.ac, pdf.br, pdf.bc, strict=True):
-            after.setdefault((a, b), []).append((p, q))
-        rings = []
-        while after:
-            start = at = min(after)
-            ring, came = [start], None
-            while True:
-                ways = after[at]
-                if len(ways) > 1 and came is not None:  # at a corner that touches itself, keep to the right
-                    d = (at[0] - came[0], at[1] - came[1])
-                    ways.sort(key=lambda w: (w[0] - at[0], w[1] - at[1]) != (d[1], -d[0]))
-                step = ways.pop(0)
-                if not ways:
-                    del after[at]
-                came, at = at, step
-                if at == start:
-                    break
-                ring.append(at)
-            n = len(ring)
-            keep = [p for i, p in enumerate(ring) if not (ring[i - 1][0] == p[0] == ring[(i + 1) % n][0] or ring[i - 1][1] == p[1] == ring[(i + 1) % n][1])]
-            rings.append(keep)
-        text = ", ".join("(" + ", ".join(f"{x0 + c * cell:.12g} {y0 - r * cell:.12g}" for r, c in [*ring, ring[0]]) + ")" for ring in rings)
-        return pd.DataFrame({"label": [pdf.label.iloc[0]], "wkt": [f"POLYGON ({text})"]})
-
-    return border.select("label", "ar", "ac", "br", "bc").groupBy("label").applyInPandas(trace, "label long, wkt string")
-
-
-def rasterize(cells: DataFrame, spec: GridSpec, shapes: list[tuple[list[tuple[float, float]], object]], out: str = "burned", kind: str = "long") -> DataFrame:
-    """Value of the last shape that holds a cell's centre; a shape is a ring of
-    (x, y), or several, of which an odd number hold a point inside. Shapes are
-    few enough to be part of the plan."""
-    workers_see(cells.sparkSession)
-    several = lambda s: [s] if np.isscalar(s[0][0]) else s
-    parts = [([np.array(ring, dtype=float) for ring in several(s)], v) for s, v in shapes]
-
-    @F.pandas_udf(kind)
-    def burn(x: pd.Series, y: pd.Series) -> pd.Series:
-        px, py = x.to_numpy(), y.to_numpy()
-        got = np.full(len(px), None, dtype=object)
-        for rings, v in parts:
-            inside = np.zeros(len(px), dtype=bool)
-            for (ax, ay), (bx, by) in ((p, q) for ring in rings for p, q in zip(ring, np.roll(ring, -1, axis=0), strict=True)):
-                crosses = (ay > py) != (by > py)
-                if ay != by:
-                    inside ^= crosses & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-            got[inside] = v
-        return pd.Series(got)
-
-    return cells.withColumn(out, burn(spec.x(), spec.y()))
+# Sides of a cell, clockwise from the upper one: the way it goes, and where it ends.
+HEADING = ((0, 1), (1, 0), (0, -1), (-1, 0))
+ENDS = ((0, 1), (1, 1), (1, 0), (0, 0))
+
+
+def _chains(label: np.ndarray, own: np.ndarray, first: tuple[int, int], width: int, text) -> list[tuple]:
+    """(label, entry, exit, points) of borders within a tile: label is an array
+    of a tile and a cell around it, -1 where there is no region; own marks the
+    tile's cells. Regions lie to the right. Where a border leaves the tile, exit
+    is the number of the side it goes on with; a ring that stays has none."""
+    rows, cols = label.shape
+    flat, mine = label.ravel(), own.ravel()
+    at = np.flatnonzero(mine & (flat >= 0))
+    there, after = np.zeros(flat.size * 4, dtype=bool), np.zeros(flat.size * 4, dtype=np.int64)
+    for s, (dr, dc) in enumerate(HEADING):
+        ahead, left = dr * cols + dc, -dc * cols + dr
+        side = at * 4 + s
+        there[side] = flat[at + left] != flat[at]
+        on, turn_left = flat[at + ahead] == flat[at], flat[at + ahead + left] == flat[at]
+        # To the right at a corner where regions touch themselves.
+        after[side] = np.where(~on, at * 4 + (s + 1) % 4, np.where(turn_left, (at + ahead + left) * 4 + (s + 3) % 4, (at + ahead) * 4 + s))
+    sides = np.flatnonzero(there)
+    inner = mine[after[sides] // 4]
+    entered = np.zeros(there.size, dtype=bool)
+    entered[after[sides[inner]]] = True
+    todo, nxt, stays = there.tolist(), after.tolist(), mine.tolist()
+    number = lambda i: ((first[0] + i // 4 // cols) * width + first[1] + i // 4 % cols) * 4 + i % 4
+    out = []
+    for start in [*sides[~entered[sides]].tolist(), *sides.tolist()]:
+        if not todo[start]:
+            continue
+        i, points, leaves = start, [], None
+        while True:
+            todo[i] = False
+            j = nxt[i]
+            if j % 4 != i % 4:
+                dr, dc = ENDS[i % 4]
+                points.append(text(first[0] + i // 4 // cols + dr, first[1] + i // 4 % cols + dc))
+            if not stays[j // 4]:
+                leaves = number(j)
+                break
+            if j == start:
+                break
+            i = j
+        out.append((int(flat[start // 4]), number(start), leaves, points))
+    return out
+
+
+def _rings(chains: DataFrame) -> DataFrame:
+    """label, ring, place, points: chains (entry, exit) that go on into each
+    other, in order. Pointers that double their reach find each ring's least
+    entry, then each chain's distance from the ring's end: as many rounds as
+    the logarithm of the longest ring's number of chains."""
+    alone = chains.where("exit is null").select("label", F.col("entry").alias("ring"), F.lit(0).cast("long").alias("place"), "points")
+    links = chains.where("exit is not null")
+    t = cut_lineage(links.select("entry", F.col("exit").alias("next"), F.col("entry").alias("ring")), "links")
+    while True:
+        q = t.select(F.col("entry").alias("next"), F.col("next").alias("_n"), F.col("ring").alias("_r"))
+        t = cut_lineage(t.join(q, "next").select("entry", F.col("_n").alias("next"), F.least("ring", "_r").alias("ring"), (F.col("_r") < F.col("ring")).alias("_less")), "links")
+        if not t.where("_less").limit(1).count():
+            break
+        t = t.drop("_less")
+    links = cut_lineage(links.join(t.select("entry", "ring"), "entry"), "rings")
+    t = cut_lineage(links.select("entry", F.when(F.col("exit") != F.col("ring"), F.col("exit")).alias("next"), F.lit(1).cast("long").alias("left")), "places")
+    while t.where("next is not null").limit(1).count():
+        q = t.select(F.col("entry").alias("next"), F.col("next").alias("_n"), F.col("left").alias("_l"))
+        t = cut_lineage(t.join(q, "next", "left").select("entry", F.col("_n").alias("next"), (F.col("left") + F.coalesce("_l", F.lit(0))).alias("left")), "places")
+    return links.join(t.select("entry", (-F.col("left")).alias("place")), "entry").select("label", "ring", "place", "points").unionByName(alone)
+
+
+def outlines(members: DataFrame, spec: GridSpec, tile: int = TILE) -> DataFrame:
+    """label, wkt: each region's rings along cell sides, outer ones and holes,
+    the region to the right. Tiles trace what of a border is in them, pieces
+    are put in order by list ranking; only a region's text is one value."""
+    workers_see(members.sparkSession)
+    width, cell, x0, y0 = spec.width, spec.cell, spec.x0, spec.y0
+    near = lambda a: F.array_distinct(F.array(*[F.floor((F.col(a) + d) / tile) for d in (-1, 0, 1)]))
+    x = members.select(*[F.col(k).cast("long").alias(k) for k in ("r", "c", "label")]).withColumn("tr", F.explode(near("r"))).withColumn("tc", F.explode(near("c")))
+
+    def run(key, table):
+        tr, tc = (k.as_py() for k in key)
+        r, c, v = (table.column(n).to_numpy() for n in ("r", "c", "label"))
+        first = tr * tile - 1, tc * tile - 1
+        label = np.full((tile + 2, tile + 2), -1, dtype=np.int64)
+        label[r - first[0], c - first[1]] = v
+        own = np.zeros(label.shape, dtype=bool)
+        own[1:-1, 1:-1] = True
+        rows = _chains(label, own, first, width, lambda a, b: f"{x0 + b * cell:.12g} {y0 - a * cell:.12g}")
+        names = ("label", "entry", "exit", "points")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+        return pa.table({n: pa.array([q[k] for q in rows], kind) for k, (n, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    chains = cut_lineage(x.groupBy("tr", "tc").applyInArrow(run, "label long, entry long, exit long, points array<string>"), "chains")
+    rings = _rings(chains).groupBy("label", "ring").agg(F.sort_array(F.collect_list(F.struct("place", "points"))).alias("_p"))
+    rings = rings.withColumn("_p", F.flatten(F.transform("_p", lambda q: q.points)))
+    text = F.concat(F.lit("("), F.array_join(F.concat("_p", F.slice("_p", 1, 1)), ", "), F.lit(")"))
+    whole = rings.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("ring", text.alias("text")))).alias("_t"))
+    return whole.select("label", F.concat(F.lit("POLYGON ("), F.array_join(F.transform("_t", lambda q: q.text), ", "), F.lit(")")).alias("wkt"))
+
+
+def spans(layer: DataFrame, spec: GridSpec) -> DataFrame:
+    """id, r, c0, c1: runs of cells whose centres are inside a shape, from
+    layer (id, rings of (x, y)); a point is inside where it is inside an odd
+    number of rings. Each edge goes to the rows whose middle it crosses; along a
+    row, what lies between the first and second crossing is inside, and so on:
+    no cell is tested against an edge, whatever the number of shapes."""
+    edges = layer.select("id", F.explode("rings").alias("ring")).select("id", F.posexplode("ring").alias("k", "a"), "ring")
+    after = F.element_at("ring", F.when(F.col("k") + 1 < F.size("ring"), F.col("k") + 2).otherwise(1))
+    x = edges.select("id", *[p[i].alias(n) for p, n2 in ((F.col("a"), ("ax", "ay")), (after, ("bx", "by"))) for i, n in enumerate(n2)]).where("ay <> by")
+    row = lambda y: F.floor((F.lit(spec.y0) - y) / spec.cell - 0.5)
+    r0, r1 = F.greatest(row(F.greatest("ay", "by")) + 1, F.lit(0)), F.least(row(F.least("ay", "by")), F.lit(spec.height - 1))
+    x = x.withColumns({"_r0": r0, "_r1": r1}).where("_r0 <= _r1").withColumn("r", F.explode(F.sequence("_r0", "_r1")))
+    x = x.withColumn("x", (F.col("bx") - F.col("ax")) * (spec.y() - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax"))
+    line = Window.partitionBy("id", "r").orderBy("x")
+    x = x.select("id", "r", "x", F.row_number().over(line).alias("_k"), F.lead("x").over(line).alias("_to")).where("_k % 2 = 1")
+    column = lambda v: F.ceil((v - spec.x0) / spec.cell - 0.5)
+    c0, c1 = F.greatest(column(F.col("x")), F.lit(0)), F.least(column(F.col("_to")) - 1, F.lit(spec.width - 1))
+    return x.select("id", "r", c0.alias("c0"), c1.alias("c1")).where("c0 <= c1")
+
+
+def rasterize(cells: DataFrame, spec: GridSpec, shapes: list[tuple[list[tuple[float, float]], object]] | DataFrame, out: str = "burned", kind: str = "long") -> DataFrame:
+    """Value of the last shape that holds a cell's centre. shapes: a table of
+    id (their order), rings and value, or a list of (ring, value); there a shape
+    is a ring of (x, y), or several."""
+    if not isinstance(shapes, DataFrame):
+        several = lambda s: [s] if np.isscalar(s[0][0]) else s
+        rows = [(k, [[[float(v) for v in p[:2]] for p in ring] for ring in several(s)], v) for k, (s, v) in enumerate(shapes)]
+        shapes = cells.sparkSession.createDataFrame(rows, f"id long, rings array<array<array<double>>>, value {kind}")
+    at = spans(shapes.select("id", "rings"), spec).join(shapes.select("id", F.col("value").alias("_v")), "id")
+    at = at.withColumn("c", F.explode(F.sequence("c0", "c1"))).groupBy("r", "c").agg(F.max_by("_v", "id").alias(out))
+    return cells.join(at, ["r", "c"], "left")
 
 
 def clip_to(cells: DataFrame, mask: DataFrame, reindex: bool = False) -> DataFrame:

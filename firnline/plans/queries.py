@@ -524,6 +524,33 @@ def region_outlines(spark, sf):
     return regions.outlines(members, s)
 
 
+@query(
+    _labels_sql(
+        "canopy <= 30", _FOUR,
+        f""", l AS (SELECT r, c, label FROM cc JOIN g ON g.id = cc.id),
+        n4 AS (SELECT a.label, count(*) AS n FROM l a JOIN l b ON a.label = b.label AND (b.r = a.r AND b.c = a.c + 1 OR b.r = a.r + 1 AND b.c = a.c) GROUP BY a.label),
+        corner AS (SELECT label, r + dr AS r, c + dc AS c, count(*) AS n, sum(CASE WHEN dr = dc THEN 1 ELSE -1 END) AS d FROM l, range(2) x(dr), range(2) y(dc) GROUP BY ALL),
+        k AS (SELECT label, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND abs(d) = 2 THEN 2 ELSE 0 END) AS vertices, count(*) FILTER (n = 4) AS full_blocks FROM corner GROUP BY label),
+        s AS (SELECT label, count(*) AS n FROM l GROUP BY label)
+        SELECT s.label, CAST(2 - (s.n - coalesce(n4.n, 0) + full_blocks) AS BIGINT) AS rings, CAST(vertices AS BIGINT) AS vertices,
+        round(s.n * {AREA!r}e0, 2) AS area_m2, round((4 * s.n - 2 * coalesce(n4.n, 0)) * {CELL!r}e0, 2) AS border_m FROM s LEFT JOIN n4 USING (label) JOIN k USING (label)""",
+    )
+)
+def outline_rings(spark, sf):
+    """What the outlines enclose, by their own points: rings (outer and holes),
+    corners, area by the shoelace formula, length."""
+    x = grid(spark, sf)
+    s = spec(x)
+    _, members = regions.polygonize(x.withColumn("v", F.when(F.col("canopy") <= 30, 1)), s, "v")
+    rings = regions.outlines(members, s, 64).select("label", F.explode(F.expr("regexp_extract_all(wkt, '\\\\(([^()]+)\\\\)', 1)")).alias("ring"))
+    points = F.transform(F.split("ring", ", "), lambda p: F.split(p, " ").cast("array<double>"))
+    pairs = F.arrays_zip(F.slice("p", 1, F.size("p") - 1).alias("a"), F.slice("p", 2, F.size("p") - 1).alias("b"))
+    x = rings.withColumn("p", points).select("label", pairs.alias("q"))
+    total = lambda f: F.aggregate("q", F.lit(0.0), lambda v, q: v + f(q["a"], q["b"]))
+    x = x.select("label", F.size("q").alias("n"), total(lambda a, b: (b[0] * a[1] - a[0] * b[1]) / 2).alias("area"), total(lambda a, b: F.abs(b[0] - a[0]) + F.abs(b[1] - a[1])).alias("len"))
+    return x.groupBy("label").agg(F.count(F.lit(1)).alias("rings"), F.sum("n").alias("vertices"), F.round(F.sum("area"), 2).alias("area_m2"), F.round(F.sum("len"), 2).alias("border_m"))
+
+
 @query(f"WITH {GRID} SELECT r, c, CASE WHEN (c + 0.5e0) * 21.34e0 > 400 AND (c + 0.5e0) * 21.34e0 < 1500 AND (r + 0.5e0) * 21.34e0 > 100 AND (r + 0.5e0) * 21.34e0 < 900 THEN 2 WHEN (c + 0.5e0) * 21.34e0 < 700 AND (r + 0.5e0) * 21.34e0 < 400 THEN 1 ELSE 0 END AS burned FROM g")
 def rasterize(spark, sf):
     x = grid(spark, sf)
@@ -531,6 +558,23 @@ def rasterize(spark, sf):
     return regions.rasterize(x, spec(x), shapes, kind="int").select("r", "c", F.coalesce("burned", F.lit(0)).alias("burned"))
 
 
+@query(
+    f"""WITH {GRID}, b AS (SELECT g.r, g.c, max(o.id) AS last, count(*) AS n FROM g JOIN g o ON g.r BETWEEN o.r AND o.r + 4 AND g.c BETWEEN o.c AND o.c + 6
+        AND (g.c - o.c + 0.5e0) / (1.3e0 * (o.id % 4 + 1) + 0.4e0) + (g.r - o.r + 0.5e0) / (0.9e0 * (o.id % 4 + 1) + 0.3e0) < 1 GROUP BY g.r, g.c)
+    SELECT g.r, g.c, last, coalesce(n, 0) AS shapes FROM g LEFT JOIN b ON b.r = g.r AND b.c = g.c"""
+)
+def polygons_last_wins(spark, sf):
+    """A triangle per order, of four sizes: the last one over each cell, and how
+    many there are."""
+    x = grid(spark, sf)
+    s, k = spec(x), F.col("id") % 4 + 1
+    corner = lambda right, down: F.array((F.col("c") + right) * CELL, -(F.col("r") + down) * CELL)
+    ring = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(k * 1.3 + 0.4, F.lit(0.0)), corner(F.lit(0.0), k * 0.9 + 0.3))
+    shapes = x.select("id", F.array(ring).alias("rings"), F.col("id").alias("value"), F.col("id").cast("string").alias("name"))
+    n = vectors.burn(x, s, shapes).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
+    return regions.rasterize(x, s, shapes, "last").join(n, ["r", "c"], "left").select("r", "c", "last", F.coalesce("n", F.lit(0)).alias("shapes"))
+
+
 @query(f"WITH {GRID} SELECT id, r, c FROM g WHERE EXISTS (SELECT 1 FROM g m WHERE m.r = g.r AND m.c = g.c AND m.zone < 5)")
 def aoi_clip_semi(spark, sf):
     x = grid(spark, sf)

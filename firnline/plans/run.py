@@ -48,15 +48,21 @@ def terrain(cells: DataFrame, spec: GridSpec, p: C.ReleaseConfig) -> DataFrame:
 
 def with_treeline(cells: DataFrame, spec: GridSpec, p: C.ReleaseConfig) -> DataFrame:
     """cells with `treeline`, unless that is off: from a layer of regions and a
-    table of their treelines, from the layer alone, or one for the whole map."""
+    table of their treelines, from the layer alone, or one for the whole map. A
+    layer or table that can't be read or used means no treeline: the log says
+    so, and the run goes on."""
     if not p.enable_treeline:
         return cells
     spark = cells.sparkSession
-    if not p.subregions_path:
-        return zonal.treelines(cells)
-    zones = vectors.burn(cells, spec, vectors.read_layer(spark, p.subregions_path))
-    table = tables.read_treelines(spark, p.treeline_table_csv) if p.treeline_table_csv else None
-    return zonal.treelines(cells, zones, table, p.treeline_min_reliable_kpx)
+    try:
+        if not p.subregions_path:
+            return cut_lineage(zonal.treelines(cells), "treeline")
+        zones = vectors.burn(cells, spec, vectors.read_layer(spark, p.subregions_path))
+        table = tables.read_treelines(spark, p.treeline_table_csv) if p.treeline_table_csv else None
+        return cut_lineage(zonal.treelines(cells, zones, table, p.treeline_min_reliable_kpx), "treeline")  # read here, so that it fails here
+    except Exception:
+        log.exception("no treeline: it can't be had from layer %r and table %r", p.subregions_path, p.treeline_table_csv)
+        return cells
 
 
 def start_zones(cells: DataFrame, spec: GridSpec, params: segment.SegmentParams | None = None) -> tuple[DataFrame, DataFrame]:

@@ -9,11 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.grid import GridSpec, workers_see
-from firnline.operators.regions import rasterize
+from firnline.grid import GridSpec, cut_lineage, workers_see
+from firnline.operators.regions import spans
 
 LAYER = "name string, rings array<array<array<double>>>"
-VERTICES = 2_000_000  # of a layer whose polygons are sent to every task
 _RING = re.compile(r"\(([^()]+)\)")
 
 
@@ -31,16 +30,17 @@ def rings_of_geojson(geometry: dict | None) -> list[list[list[float]]]:
 
 
 def read_layer(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
-    """A GeoJSON collection, or a table (Parquet, or CSV with header) with a
-    `wkt` column; `name` is the attribute that names a polygon (else its
+    """A GeoJSON collection (one string, so read by one task), GeoJSON with a
+    feature per line, or a table (Parquet, or CSV with header) with a `wkt`
+    column; `name` is the attribute that names a polygon (else its
     number). Rows without a polygon are left out."""
     workers_see(spark)
-    if path.endswith((".json", ".geojson")):
-        whole = spark.read.text(path, wholetext=True).select("value")
+    if path.endswith((".json", ".geojson", ".geojsonl", ".ndjson")):
+        whole = spark.read.text(path, wholetext=path.endswith("json") and not path.endswith(".ndjson")).select("value")
 
         def features(batches):
             for b in batches:
-                for text in b.value:
+                for text in filter(None, b.value):
                     found = json.loads(text)
                     found = found["features"] if found.get("type") == "FeatureCollection" else [found]
                     rows = [(str((f.get("properties") or {}).get(name, i)), rings_of_geojson(f.get("geometry", f))) for i, f in enumerate(found)]
@@ -59,14 +59,8 @@ def read_layer(spark: SparkSession, path: str, name: str = "name") -> DataFrame:
 
 def burn(cells: DataFrame, spec: GridSpec, layer: DataFrame) -> DataFrame:
     """r, c, name: cells whose centre is in a polygon, a row for each of a
-    cell's polygons."""
-    points = layer.agg(F.sum(F.aggregate("rings", F.lit(0), lambda n, r: n + F.size(r)))).first()[0] or 0
-    if points > VERTICES:
-        raise ValueError(f"{points} vertices; simplify the layer, or burn it part by part")
-    out = None
-    for row in layer.orderBy("name").collect():  # at most VERTICES points
-        box = [f(p[k] for ring in row.rings for p in ring) for k in (0, 1) for f in (min, max)]
-        near = cells.select("r", "c").where(spec.x().between(box[0], box[1]) & spec.y().between(box[2], box[3]))
-        got = rasterize(near, spec, [(row.rings, row.name)], "name", "string").where("name is not null")
-        out = got if out is None else out.unionByName(got)
-    return cells.select("r", "c", F.lit(None).cast("string").alias("name")).limit(0) if out is None else out
+    cell's polygons. The layer stays a table, however many polygons it has."""
+    x = cut_lineage(layer.select("name", "rings"), "layer").withColumn("id", F.monotonically_increasing_id())  # of a written table: always the same
+    runs = spans(x.select("id", "rings"), spec).join(x.select("id", "name"), "id")
+    at = runs.select("r", F.explode(F.sequence("c0", "c1")).alias("c"), "name")
+    return at.join(cells.select("r", "c"), ["r", "c"], "left_semi").select("r", "c", "name")
