@@ -8,6 +8,7 @@ import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -143,25 +144,28 @@ def colour(x: Column, palette: Palette, categorical: bool = False) -> Column:
     def fixed(rgba) -> list[Column]:
         return [F.lit(int(v)) for v in rgba]
 
-    values = [float(s[0]) for s in palette.stops]
-    # How many stops are below: constant arrays keep the code small, whatever the number of stops.
-    below = F.size(F.filter(F.array(*[F.lit(v) for v in values]), lambda v: v < x)) if len(values) > 24 else sum((F.when(x > v, 1).otherwise(0) for v in values), F.lit(0))
-    at = lambda items, k: F.get(F.array(*[F.lit(float(v)) for v in items]), k)
-    channels = []
-    for i, name in enumerate(names):
-        none = fixed(palette.nothing)[i]
-        shades = [s[i + 1] for s in palette.stops]
-        out = F.when(x.isNull() | F.isnan(x.cast("double")), none)
-        if categorical:
+    if categorical:
+        none = fixed(palette.nothing)
+        channels = []
+        for i, name in enumerate(names):
+            out = F.when(x.isNull() | F.isnan(x.cast("double")), none[i])
             for s in palette.stops:
                 out = out.when(x == F.lit(s[0]), F.lit(int(s[i + 1])))
-            out = out.otherwise(none)
-        else:
-            lo, hi, a, b = at(values, below - 1), at(values, below), at(shades, below - 1), at(shades, below)
-            out = out.when(x <= values[0], F.lit(int(shades[0]))).when(x > values[-1], F.lit(int(shades[-1])))
-            out = out.otherwise(F.floor(a + (x - lo) / (hi - lo) * (b - a) + 0.5))
-        channels.append(out.cast("int").alias(name))
-    return F.struct(*channels)
+            channels.append(out.otherwise(none[i]).cast("int").alias(name))
+        return F.struct(*channels)
+    # The stretch between two stops in which a value lies is looked up once, in
+    # one constant array, for all channels; beyond the ends a stretch is flat.
+    x = F.when(~F.isnan(x.cast("double")), x.cast("double"))
+    values, shades = [float(s[0]) for s in palette.stops], [tuple(float(v) for v in s[1:5]) for s in palette.stops]
+    ends = [(0.0, 1.0, shades[0], shades[0]), *zip(values, values[1:], shades, shades[1:], strict=False), (0.0, 1.0, shades[-1], shades[-1])]
+    column = lambda items: F.lit(np.array(items, dtype=float))  # noqa: E731  one literal
+    below = sum((F.when(x > v, 1).otherwise(0) for v in values), F.lit(0)) if len(values) <= 24 else F.size(F.filter(column(values), lambda v: v < x))
+    below = F.coalesce(below, F.lit(0))
+    lo, hi = (F.get(column([e[k] for e in ends]), below) for k in (0, 1))
+    share = (F.when(x > 1e300, 1e300).when(x < -1e300, -1e300).otherwise(x) - lo) / (hi - lo)  # endless values are on flat stretches
+    shade = lambda k, i: F.get(column([e[k][i] for e in ends]), below)
+    mixed = lambda i: F.floor(shade(2, i) + share * (shade(3, i) - shade(2, i)) + 0.5)
+    return F.struct(*[F.coalesce(mixed(i).cast("int"), none).alias(n) for i, (n, none) in enumerate(zip(names, fixed(palette.nothing), strict=True))])
 
 
 #: Class colours and the canopy ramp (value, r, g, b, a).

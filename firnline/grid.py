@@ -54,12 +54,6 @@ def to_null(band: str | Column, nodata: float = NODATA, zero_too: bool = False)
     return F.when(~(bad | (x == 0)) if zero_too else ~bad, x)
 
 
-def dense(spark: SparkSession, spec: GridSpec) -> DataFrame:
-    """Every (r, c) of the grid."""
-    n = F.lit(spec.width)
-    return spark.range(spec.width * spec.height).select(F.floor(F.col("id") / n).alias("r"), (F.col("id") % n).alias("c"))
-
-
 _RECORDED: list[list[str]] = []
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -590,6 +591,42 @@ def uncovered_anti(spark, sf):
 # Alignment.
 
 
+_UTM = "EPSG:32611", 552000.0, 5660000.0  # where the grid is taken to lie
+_DEGREES = 130, 0.0003, -116.257, 51.092
+
+
+def _utm_sql() -> str:
+    """Northing and easting of lon, lat by the same series, written out."""
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 0.9996 * 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    k = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    e = math.sqrt(f * (2 - f))
+    width, cell, x0, y0 = _DEGREES
+    num = lambda v: repr(v) if "e" in repr(v) else f"{v!r}e0"
+    series = lambda a, b, first: " + ".join([first, *(f"{num(v)} * {a}({2 * j} * xi) * {b}({2 * j} * eta)" for j, v in enumerate(k, 1))])
+    return f"""t0 AS (SELECT r, c, {x0}e0 + (c + 0.5e0) * {cell}e0 AS lon, {y0}e0 - (r + 0.5e0) * {cell}e0 AS lat
+        FROM (SELECT max(r) + 1 AS h FROM g), range(CAST(ceil((h * 21.34e0 + 200) / 33.0e0) AS BIGINT)) a(r), range({width}) b(c)),
+    t1 AS (SELECT r, c, radians(lon + 117e0) AS lam, sinh(atanh(sin(radians(lat))) - {e!r}e0 * atanh({e!r}e0 * sin(radians(lat)))) AS t FROM t0),
+    t2 AS (SELECT r, c, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t1),
+    t3 AS (SELECT r, c, ({_UTM[2]}e0 - {radius!r}e0 * ({series("sin", "cosh", "xi")})) / 21.34e0 - 0.5e0 AS fr,
+        (500000e0 + {radius!r}e0 * ({series("cos", "sinh", "eta")}) - {_UTM[1]}e0) / 21.34e0 - 0.5e0 AS fc FROM t2)"""
+
+
+@query(
+    f"""WITH {GRID}, {_utm_sql()}, w AS (SELECT t3.r, t3.c, g.z, CASE WHEN i = 1 THEN fr - floor(fr) ELSE 1 - fr + floor(fr) END * CASE WHEN j = 1 THEN fc - floor(fc) ELSE 1 - fc + floor(fc) END AS w
+        FROM t3, range(2) a(i), range(2) b(j), g WHERE g.r = floor(fr) + i AND g.c = floor(fc) + j)
+    SELECT r, c, round(sum(w * z) / sum(w), 3) + 0e0 AS z FROM w WHERE w > 0 GROUP BY r, c"""
+)
+def reproject_bilinear(spark, sf):
+    """The grid, taken to lie in a UTM zone, on a grid of degrees."""
+    x = grid(spark, sf)
+    s = replace(spec(x), crs=_UTM[0], x0=_UTM[1], y0=_UTM[2])
+    width, cell, x0, y0 = _DEGREES
+    target = GridSpec(width, math.ceil((s.height * CELL + 200) / 33.0), cell, x0, y0, "EPSG:4326")
+    return keyed(align.align(x, s, target, "z", error=0.0).where("z is not null"), "z", places=3)
+
+
 @query(
     f"""WITH {GRID}, t AS (SELECT DISTINCT r // 2 AS r, c // 2 AS c FROM g),
     k AS (SELECT t.r, t.c, g.z, (1e0 - abs(g.r - (t.r * 2e0 + 0.5e0))) * (1e0 - abs(g.c - (t.c * 2e0 + 0.5e0))) AS wt FROM t JOIN g ON g.r BETWEEN t.r * 2 AND t.r * 2 + 1 AND g.c BETWEEN t.c * 2 AND t.c * 2 + 1)
