@@ -43,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", path)
+    if "://" not in path:  # of the default file system: workers that open it themselves must know which
+        found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()
     return path.rstrip("/")
 
 
@@ -112,8 +115,8 @@ def join_hot(many: DataFrame, few: DataFrame, key: str, how: str = "inner", by:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
-def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "ordered", places: bool = False) -> DataFrame:
-    """Rank all rows by keys: adds `rank` (from 0) and, for each column in
+def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "ordered", places: bool = False, files: int = 0) -> DataFrame:
+    """Rank all rows by keys, in at least `files` files: adds `rank` (from 0) and, for each column in
     sums, `before_<column>`, the sum over all rows before it; with places, also
     `_pid` and `_idx`, the row's file of the sorted table and its place there.
 
@@ -140,7 +143,7 @@ def ordered(df: DataFrame, keys: list, sums: tuple[str, ...] = (), name: str = "
                     base[c] = int(run[-1])
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    x = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys).mapInArrow(number, schema)
+    x = df.repartitionByRange(max(partitions(spark), files), *keys).sortWithinPartitions(*keys).mapInArrow(number, schema)
     x = materialize(x, name)
     totals = x.groupBy("_pid").agg(
         (F.max("_idx") + 1).alias("n"), *[F.max(F.col(f"_sum_{c}") + F.coalesce(F.col(c), F.lit(0))).alias(c) for c in sums]

@@ -1,8 +1,9 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
 
-Leaves are clauses: up to CLAUSE words, ending at a sentence end or line end;
-in a text's first HEAD bytes, single words; longer runs without blanks are cut
-where their own bytes say so, so no leaf exceeds LEAF bytes in any script. A
+Leaves are clauses: words up to one whose hash ends a clause (one in CLAUSE), or
+to a sentence's or line's end; in a text's first HEAD bytes, single words;
+longer leaves are cut where their own bytes say so, so none exceeds LEAF bytes
+in any script. A
 paragraph ends with its line, or after a sentence end whose leaf hash says so,
 and hashes its leaves; a section, which ends after a paragraph whose hash says
 so, hashes its paragraphs; the root hashes the sections and the text. Borders
@@ -24,6 +25,7 @@ import base64
 import bisect
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -37,8 +39,8 @@ CLAUSE, LEAF, HEAD = 6, 128, 64
 HASH = 5  # bytes of a leaf's, paragraph's or section's hash
 # A sentence ends after . ! ? or their wide forms, with blanks behind, or with the line.
 _SENTENCE = re.compile(rb"(?:[^.!?\n\xe3\xef]++|\xe3(?!\x80\x82)|\xef(?!\xbc[\x81\x9f]))*+(?:(?:[.!?]|\xe3\x80\x82|\xef\xbc[\x81\x9f])++[ \t]*+\n?|\n|$)")
-_WORDS = re.compile(rb"\s*+\S++(?:\s++\S++){0,%d}+\s*+|\s++" % (CLAUSE - 1))
 _ONE_WORD = re.compile(rb"\s*+\S++|\s++")
+_WORD = re.compile(rb"\S++\s*+|\s++")
 
 
 def _hash(data: bytes, size: int = HASH) -> bytes:
@@ -76,9 +78,16 @@ def _clauses(text: bytes):
             if s:
                 pieces.append((s, True))
         else:
-            parts = _WORDS.findall(s)
-            pieces += [(w, False) for w in parts[:-1]]
-            pieces.append((parts[-1], True))
+            held: list[bytes] = []
+            for w in _WORD.findall(s):
+                held.append(w)
+                if zlib.crc32(w) % CLAUSE == 0:  # a word ends a clause wherever it stands
+                    pieces.append((b"".join(held), False))
+                    held = []
+            if held:
+                pieces.append((b"".join(held), True))
+            else:
+                pieces[-1] = (pieces[-1][0], True)
     for piece, ends in pieces:
         if len(piece) <= LEAF:
             yield piece, ends, piece.endswith(b"\n")

@@ -122,6 +122,7 @@ def _running(moves):
 
 
 OWN = ("size", "old_shard", "shard", "slot")
+FILES = 16  # of an old shard
 SEGMENTS = 2_000_000  # sent to every task up to here, at 32 bytes each; beyond, joined
 
 
@@ -149,7 +150,9 @@ def reshard(docs: DataFrame, old_shard, shards: int = 24, corrections: int = 2,
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
     )
     doc = F.col("_row.doc_id").cast("long")
-    files = ordered(before, ["old_shard", F.xxhash64(doc, "_crc"), doc, "_crc"], ("size",), "layout", places=True)
+    count = before.agg(F.countDistinct("old_shard")).first()[0]
+    # Files so small that most hold rows of one old shard and lie on one side of a cut: those stay.
+    files = ordered(before, ["old_shard", F.xxhash64(doc, "_crc"), doc, "_crc"], ("size",), "layout", places=True, files=FILES * count)
     files = files.withColumnsRenamed({"_pid": "_file", "_idx": "_place"})
     rows = files.select(doc.alias("doc_id"), "size", "_crc", "old_shard", "_file", "_place", "before_size")
     at = _starts(rows, "old_shard")

@@ -135,27 +135,30 @@ def nearest(
         Tables.of(codes(pdf.code)).put(files, str(s))
         return pd.DataFrame({"s": [s]})
 
-    index = coded(vectors, id_column, vector_column, bits).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    found = index.groupBy("s").applyInPandas(build, "s long").collect()  # one row per shard
-    held = F.array(*[F.lit(r.s).cast("long") for r in found]) if found else F.array().cast("array<long>")
+    # Rows are dealt out in turn: equal ids, however many, go to all shards.
+    index = coded(vectors, id_column, vector_column, bits).withColumn("s", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    held = {r.s for r in index.groupBy("s").applyInPandas(build, "s long").collect()}  # one row per shard
     asked = coded(queries, id_column, vector_column, bits).distinct()
-    asked = asked.withColumn("s", F.explode(held)).repartition(partitions(spark), "s", "id").sortWithinPartitions("s")
+    asked = asked.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))).repartition(partitions(spark), "s", "id").sortWithinPartitions("s")
 
     def search(batches):
         files, now, tables, ids = Shared(path), None, None, None
         for b in batches:
-            out = ([], [], [])
-            query, shard = b.column(0).to_pylist(), b.column(2).to_pylist()
-            for q, c, s in zip(query, codes(b.column(1).to_pylist()), shard, strict=True):
+            out, asking = ([], [], []), []
+            query, code, shard = (b.column(i).to_pylist() for i in range(3))
+            for q, c, bits_of, s in zip(query, codes(code), code, shard, strict=True):
+                if s not in held:
+                    continue
                 if s != now:
                     now, tables, ids = s, Tables.get(files, str(s), segments), files.get(f"{s}.ids", "<i8")
                 at, far = tables.search(c, ids, k)
                 for o, v in zip(out, (np.full(len(at), q), ids[at], far), strict=True):
                     o.append(v)
-            if query:
+                asking += [bits_of] * len(at)
+            if asking:
                 cols = [np.concatenate(o) for o in out]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], names=["query_id", "id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(asking, pa.binary()), pa.array(cols[1]), pa.array(cols[2].astype(np.int32))], names=["query_id", "code", "id", "distance"])
 
-    near = asked.mapInArrow(search, "query_id long, id long, distance int")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    near = asked.mapInArrow(search, "query_id long, code binary, id long, distance int")
+    rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_column), "distance")
