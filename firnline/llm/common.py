@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 _RECORDED: list[list[str]] = []
+_OWN: dict[str, str] = {}  # by application: the folder of runs without a setting
 
 
 def prepare(spark: SparkSession) -> None:
@@ -41,8 +42,9 @@ def shared_dir(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId  # the setting can't be changed while an application runs
+        path = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="shared-")
+        _OWN[app] = path
     if "://" not in path:  # of the default file system: workers that open it themselves must know which
         found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         path = found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(found).toString()

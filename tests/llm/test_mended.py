@@ -52,19 +52,29 @@ def test_files_without_moving_rows_stay(spark, sf):
     assert len(stayed) and (stayed.old_shard == stayed.shard).all()
 
 
+class Session:
+    """A session whose checkpoint folder is set to `path`."""
+
+    def __init__(self, spark, path):
+        self.sparkContext, self.conf, self.path = spark.sparkContext, self, path
+
+    def get(self, key, default=None):
+        return self.path if key == "spark.checkpoint.dir" else default
+
+
 def test_a_path_without_scheme_is_of_the_default_file_system(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.shared_dir(Session(spark, str(tmp_path))) == f"file:{tmp_path}"
+    assert common.shared_dir(Session(spark, "hdfs://a/b/")) == "hdfs://a/b"
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.other.link./x", f"file://{tmp_path}")
+    fs = hadoop.get("fs.defaultFS")
+    hadoop.set("fs.defaultFS", "viewfs://other/")
     try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        assert common.shared_dir(spark) == f"file:{tmp_path}"
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        hadoop.set("fs.viewfs.mounttable.other.link./x", f"file://{tmp_path}")
-        fs = hadoop.get("fs.defaultFS")
-        hadoop.set("fs.defaultFS", "viewfs://other/")
-        try:
-            spark.conf.set("spark.checkpoint.dir", "/x")
-            assert common.shared_dir(spark) == "viewfs://other/x"  # not a folder of each machine
-        finally:
-            hadoop.set("fs.defaultFS", fs)
+        assert common.shared_dir(Session(spark, "/x")) == "viewfs://other/x"  # not a folder of each machine
     finally:
-        spark.conf.set("spark.checkpoint.dir", before or f"file://{tmp_path}")
+        hadoop.set("fs.defaultFS", fs)
+
+
+def test_without_a_setting_local_runs_have_one_folder_of_their_own(spark):
+    bare = Session(spark, None)
+    assert common.shared_dir(bare) == common.shared_dir(bare) and common.shared_dir(bare).startswith("file://")
