@@ -135,36 +135,59 @@ def spec_of(tags: dict[int, tuple]) -> GridSpec:
     return GridSpec(tags[WIDTH][0], tags[HEIGHT][0], float(sx), tie[3] - tie[0] * sx, tie[4] + tie[1] * sy, crs)
 
 
+class Blocks:
+    """Where the blocks of a file's first band are, and how to read them."""
+
+    def __init__(self, path: str):
+        tags = header(path)
+        self.path, self.spec = path, spec_of(tags)
+        if TILES in tags:
+            self.wide, self.high, places, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILES], tags[TILE_BYTES]
+        else:
+            self.wide, self.high, places, sizes = self.spec.width, tags.get(ROWS, (self.spec.height,))[0], tags[STRIPS], tags[STRIP_BYTES]
+        self.across = -(-self.spec.width // self.wide)
+        self.count = self.across * -(-self.spec.height // self.high)  # of the first band, if bands are apart
+        self.places, self.sizes = places[: self.count], sizes[: self.count]
+        self.tags = {k: tags[k] for k in (0, BITS, FORMAT, SAMPLES, COMPRESSION, PREDICTOR, PLANAR) if k in tags}
+        missing = tags.get(MISSING)
+        self.nodata = float(missing[0].split(b"\0")[0]) if missing and missing[0].split(b"\0")[0].strip() else None
+
+    def within(self, window: tuple[int, int, int, int]) -> list[tuple[int, int, int]]:
+        """(block, place, bytes) of the blocks that meet rows window[0] to
+        window[1] and columns window[2] to window[3], ends included."""
+        r0, r1, c0, c1 = max(window[0], 0), min(window[1], self.spec.height - 1), max(window[2], 0), min(window[3], self.spec.width - 1)
+        if r0 > r1 or c0 > c1:
+            return []
+        rows, cols = range(r0 // self.high, r1 // self.high + 1), range(c0 // self.wide, c1 // self.wide + 1)
+        return [(k, self.places[k], self.sizes[k]) for k in (i * self.across + j for i in rows for j in cols)]
+
+    def read(self, blocks, band: str):
+        """A batch of r, c, band for each block."""
+        decode = _decoder(self.tags)
+        with _open(self.path) as f:
+            for k, at, n in blocks:
+                r0, c0 = k // self.across * self.high, k % self.across * self.wide
+                x = decode(f.read_at(n, at), self.wide) if n else np.full((self.high, self.wide), np.nan)
+                x = x[: self.spec.height - r0, : self.spec.width - c0].astype(float)
+                x = np.where(~np.isfinite(x) | (x == self.nodata if self.nodata is not None else False), np.nan, x)
+                r, c = np.meshgrid(np.arange(x.shape[0]) + r0, np.arange(x.shape[1]) + c0, indexing="ij")
+                yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(x.ravel(), from_pandas=True)], names=["r", "c", band])
+
+
 def read_geotiff(spark: SparkSession, path: str, band: str = "z") -> tuple[DataFrame, GridSpec]:
     """r, c, band of every cell (NULL where the file says so), and the grid."""
     workers_see(spark)
-    tags = header(path)
-    spec = spec_of(tags)
-    if TILES in tags:
-        wide, high, places, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILES], tags[TILE_BYTES]
-    else:
-        wide, high, places, sizes = spec.width, tags.get(ROWS, (spec.height,))[0], tags[STRIPS], tags[STRIP_BYTES]
-    across = -(-spec.width // wide)
-    first = across * -(-spec.height // high)  # blocks of the first band, if bands are apart
-    blocks = pa.table({"block": pa.array(range(first), pa.int64()), "at": pa.array(places[:first], pa.int64()), "bytes": pa.array(sizes[:first], pa.int64())})
-    small = {k: tags[k] for k in (0, BITS, FORMAT, SAMPLES, COMPRESSION, PREDICTOR, PLANAR) if k in tags}
-    missing = tags.get(MISSING)
-    nodata = float(missing[0].split(b"\0")[0]) if missing and missing[0].split(b"\0")[0].strip() else None
+    found = Blocks(path)
+    names = ("block", "at", "bytes")
+    blocks = pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, (range(found.count), found.places, found.sizes), strict=True)})
+    found.places = found.sizes = ()  # tasks get theirs by the table
 
     def read(batches):
-        decode = _decoder(small)
-        with _open(path) as f:
-            for b in batches:
-                for k, at, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    r0, c0 = k // across * high, k % across * wide
-                    x = decode(f.read_at(n, at), wide) if n else np.full((high, wide), np.nan)
-                    x = x[: spec.height - r0, : spec.width - c0].astype(float)
-                    x = np.where(~np.isfinite(x) | (x == nodata if nodata is not None else False), np.nan, x)
-                    r, c = np.meshgrid(np.arange(x.shape[0]) + r0, np.arange(x.shape[1]) + c0, indexing="ij")
-                    yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(x.ravel(), from_pandas=True)], names=["r", "c", band])
-
-    tasks = min(first, 4 * spark.sparkContext.defaultParallelism + first // 64)
-    return spark.createDataFrame(blocks).repartitionByRange(max(1, tasks), "block").mapInArrow(read, f"r long, c long, `{band}` double"), spec
+        for b in batches:
+            yield from found.read(zip(*(c.to_pylist() for c in b.columns), strict=True), band)
+
+    tasks = min(found.count, 4 * spark.sparkContext.defaultParallelism + found.count // 64)
+    return spark.createDataFrame(blocks).repartitionByRange(max(1, tasks), "block").mapInArrow(read, f"r long, c long, `{band}` double"), found.spec
 
 
 def file_of(x: np.ndarray, spec: GridSpec, r0: int, c0: int, nodata: float = NODATA) -> bytes:
