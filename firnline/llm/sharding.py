@@ -122,7 +122,7 @@ def _running(moves):
 
 
 OWN = ("size", "old_shard", "shard", "slot")
-FILES = 16  # of an old shard
+FILES = 8  # of an old shard
 SEGMENTS = 2_000_000  # sent to every task up to here, at 32 bytes each; beyond, joined
 
 

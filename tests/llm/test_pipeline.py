@@ -146,7 +146,7 @@ def test_pipeline_by_brute_force(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_says_the_same(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, sf).toPandas()[list(want.columns)]
