@@ -12,6 +12,8 @@ import numpy as np
 
 #: Half-axis and flattening.
 WGS84, GRS80 = (6378137.0, 1 / 298.257223563), (6378137.0, 1 / 298.257222101)
+#: EPSG numbers of geographic systems.
+GEOGRAPHIC = (4326, 4258, 4269, 4617)
 
 
 @dataclass(frozen=True)
@@ -110,7 +112,7 @@ def projection(crs: str):
     """By its EPSG number; ValueError for one that isn't known."""
     number = int(crs[5:]) if crs.upper().startswith("EPSG:") and crs[5:].isdigit() else 0
     zone = number % 100
-    if number in (4326, 4258, 4269, 4617):
+    if number in GEOGRAPHIC:
         return Geographic()
     if number // 100 in (326, 327) and 1 <= zone <= 60:
         return TransverseMercator(zone * 6 - 183.0, fn=10_000_000.0 * (number // 100 == 327))

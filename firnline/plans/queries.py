@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from firnline.functions import votes as V
 from firnline.grid import GridSpec, scratch_path
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
 from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, WIDTH, bands, grid, spec
-from firnline.sources import tables, vectors
+from firnline.sources import imagery, tables, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -775,6 +776,21 @@ def palette_categorical(spark, sf):
     return x.select("r", "c", "p.*")
 
 
+@query(
+    f"""WITH {GRID}, p(v, red, green, blue, alpha) AS (VALUES {', '.join(f'({int(s[0])}, {s[1]}, {s[2]}, {s[3]}, {s[4]})' for s in P.CLASSES.stops)}), lim AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM g),
+    px AS (SELECT f, a.i AS r, b.i AS c FROM lim, (VALUES (1), (2), (4), (8), (16)) l(f), range(0, h) a(i), range(0, w) b(i) WHERE a.i * f < h AND b.i * f < w)
+    SELECT f AS factor, px.r, px.c, coalesce(red, 0) AS red, coalesce(green, 0) AS green, coalesce(blue, 0) AS blue, coalesce(alpha, 0) AS alpha
+    FROM px LEFT JOIN g ON g.r = px.r * f + f // 2 AND g.c = px.c * f + f // 2 LEFT JOIN p ON v = zone % 6"""
+)
+def image_overviews(spark, sf):
+    """Class colours written as an image for map viewers; every pixel of it and
+    of its overviews, read back from the file."""
+    x = grid(spark, sf)
+    got = imagery.write_image(palette_categorical(spark, sf), spec(x), f"{scratch_path(spark, 'image')}.tif")
+    levels = [imagery.read_image(spark, got, k).withColumn("factor", F.lit(f)) for k, f in enumerate((1, *imagery.FACTORS))]
+    return reduce(DataFrame.unionByName, levels)
+
+
 # Memberships, zones and products of the workflow that stand for themselves.
 
 

@@ -19,7 +19,7 @@ from firnline.grid import GridSpec, cut_lineage, scratch, to_null
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
 from firnline.plans import config as C
 from firnline.plans.manifest import Manifest
-from firnline.sources import geotiff, tables, vectors
+from firnline.sources import geotiff, imagery, tables, vectors
 
 log = logging.getLogger(__name__)
 SCENARIOS = ("frequent", "extreme")
@@ -171,20 +171,25 @@ def colours(tables_: dict[str, DataFrame], spec: GridSpec, palettes: dict[str, P
     return out
 
 
-def colour_run(spark: SparkSession, folder: str | Path, spec: GridSpec, palettes: dict[str, P.Palette] | None = None) -> list[str]:
+def colour_run(spark: SparkSession, folder: str | Path, spec: GridSpec, palettes: dict[str, P.Palette] | None = None, images: bool = False) -> list[str]:
     """Colour the products of a run's folder once more, each found by its
-    token; returns the colour tables written."""
+    token, as images, too, if asked for; returns the colour tables written."""
     found = {name: path for name in PRODUCTS if (path := tables.find_by_token(folder, name))}
     made = colours({name: spark.read.parquet(f"file://{Path(path).resolve()}") for name, path in found.items()}, spec, palettes)
     for name, x in made.items():
         tables.write_rgba(x, f"file://{Path(folder).resolve()}/{name}")
+        if images:
+            imagery.write_image(x, spec, f"{folder}/{name}.tif")
     return sorted(made)
 
 
 def _write(name: str, x: DataFrame, folder: Path, cfg: C.RunConfig, out: dict[str, DataFrame], spec: GridSpec) -> None:
     path = f"{folder}/{cfg.output_basename + '_' if cfg.output_basename else ''}{name}"
+    files = cfg.output.save_tif and cfg.dem_path.lower().endswith((".tif", ".tiff"))
     if name.endswith("_rgba"):
         tables.write_rgba(x, path)
+        if files:
+            imagery.write_image(x, spec, f"{path}.tif")
     elif name.startswith("zone_metrics_") or name == "ates_regions":
         if cfg.output.save_shp:
             members = out["zones_" + name[13:]] if name != "ates_regions" else regions.polygonize(out["ates"], spec, "ates", 8)[1]
@@ -192,7 +197,7 @@ def _write(name: str, x: DataFrame, folder: Path, cfg: C.RunConfig, out: dict[st
             tables.write_regions(x.join(shapes, "label", "left"), str(folder), Path(path).name)
     elif cfg.output.save_tif:
         tables.write_raster(x, path)
-        if cfg.dem_path.lower().endswith((".tif", ".tiff")):
+        if files:
             for band in (b for b in ("ates", "pra", "sieved", "label", *cfg.flow.outputs()) if b in x.columns):
                 geotiff.write_geotiff(x, spec, band, f"{path}_tif")
 

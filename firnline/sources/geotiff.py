@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.grid import NODATA, TILE, GridSpec, workers_see
+from firnline.operators.project import GEOGRAPHIC
 
 #: Bytes and codes of the file format's field types.
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 7: "B", 8: "h", 9: "i", 10: "ii", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -34,8 +35,9 @@ def _open(path: str):
     return store.open_input_file(at)
 
 
-def header(path: str) -> dict[int, tuple]:
-    """Tags of the first image, and its byte order under 0."""
+def header(path: str, page: int = 0) -> dict[int, tuple]:
+    """Tags of an image of the file, the first one's if not told otherwise, and
+    its byte order under 0."""
     with _open(path) as f:
         start = f.read_at(16, 0)
         order = {b"II": "<", b"MM": ">"}.get(start[:2])
@@ -44,8 +46,14 @@ def header(path: str) -> dict[int, tuple]:
             raise ValueError(f"not a TIFF file: {path}")
         wide = kind == 43
         at = struct.unpack(order + ("Q" if wide else "I"), start[8:16] if wide else start[4:8])[0]
-        n = struct.unpack(order + ("Q" if wide else "H"), f.read_at(8 if wide else 2, at))[0]
-        at, size, room = at + (8 if wide else 2), 20 if wide else 12, 8 if wide else 4
+        head, size, room = (8, 20, 8) if wide else (2, 12, 4)
+        for k in range(page + 1):
+            if not at:
+                raise ValueError(f"{k} images, none with number {page}: {path}")
+            n = struct.unpack(order + ("Q" if wide else "H"), f.read_at(head, at))[0]
+            if k < page:
+                at = struct.unpack(order + ("Q" if wide else "I"), f.read_at(room, at + head + n * size))[0]
+        at += head
         entries, out = f.read_at(n * size, at), {0: (order,)}
         for i in range(0, n * size, size):
             tag, code = struct.unpack_from(order + "HH", entries, i)
@@ -89,7 +97,7 @@ def unpacked(data: bytes) -> bytes:
 
 
 def _decoder(tags: dict[int, tuple]):
-    """bytes of a block, its columns -> rows x columns of numbers."""
+    """bytes of a block, its columns -> rows x columns x samples of numbers."""
     order, bits, form = tags[0][0], tags.get(BITS, (8,))[0], tags.get(FORMAT, (1,))[0]
     samples, compression, predictor = tags.get(SAMPLES, (1,))[0], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0]
     if tags.get(PLANAR, (1,))[0] == 2:
@@ -114,11 +122,11 @@ def _decoder(tags: dict[int, tuple]):
         raw = np.frombuffer(data, np.uint8, rows * wide * kind.itemsize).reshape(rows, -1)
         if predictor == 3:  # bytes by weight, the first bytes of all numbers first
             summed = raw.reshape(rows, -1, samples).cumsum(axis=1, dtype=np.uint8).reshape(rows, kind.itemsize, wide)
-            return np.ascontiguousarray(summed.transpose(0, 2, 1)).view(f">f{kind.itemsize}").reshape(rows, columns, samples)[:, :, 0]
+            return np.ascontiguousarray(summed.transpose(0, 2, 1)).view(f">f{kind.itemsize}").reshape(rows, columns, samples)
         x = raw.copy().view(kind).reshape(rows, columns, samples)
         if predictor == 2:
             x = x.astype(kind.newbyteorder("=")).cumsum(axis=1, dtype=kind.newbyteorder("="))
-        return x[:, :, 0]
+        return x
 
     return decode
 
@@ -136,10 +144,11 @@ def spec_of(tags: dict[int, tuple]) -> GridSpec:
 
 
 class Blocks:
-    """Where the blocks of a file's first band are, and how to read them."""
+    """Where the blocks of a file's first band are (of all its bands, if those
+    are in the same blocks), and how to read them."""
 
-    def __init__(self, path: str):
-        tags = header(path)
+    def __init__(self, path: str, page: int = 0):
+        tags = header(path, page)
         self.path, self.spec = path, spec_of(tags)
         if TILES in tags:
             self.wide, self.high, places, sizes = tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0], tags[TILES], tags[TILE_BYTES]
@@ -161,44 +170,59 @@ class Blocks:
         rows, cols = range(r0 // self.high, r1 // self.high + 1), range(c0 // self.wide, c1 // self.wide + 1)
         return [(k, self.places[k], self.sizes[k]) for k in (i * self.across + j for i in rows for j in cols)]
 
-    def read(self, blocks, band: str):
-        """A batch of r, c, band for each block."""
+    def read(self, blocks, *bands: str):
+        """A batch of r, c and the bands for each block."""
         decode = _decoder(self.tags)
         with _open(self.path) as f:
             for k, at, n in blocks:
                 r0, c0 = k // self.across * self.high, k % self.across * self.wide
-                x = decode(f.read_at(n, at), self.wide) if n else np.full((self.high, self.wide), np.nan)
+                x = decode(f.read_at(n, at), self.wide) if n else np.full((self.high, self.wide, len(bands)), np.nan)
                 x = x[: self.spec.height - r0, : self.spec.width - c0].astype(float)
                 x = np.where(~np.isfinite(x) | (x == self.nodata if self.nodata is not None else False), np.nan, x)
                 r, c = np.meshgrid(np.arange(x.shape[0]) + r0, np.arange(x.shape[1]) + c0, indexing="ij")
-                yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), pa.array(x.ravel(), from_pandas=True)], names=["r", "c", band])
+                values = [pa.array(x[:, :, i].ravel(), from_pandas=True) for i in range(len(bands))]
+                yield pa.RecordBatch.from_arrays([pa.array(r.ravel()), pa.array(c.ravel()), *values], names=["r", "c", *bands])
 
 
 def read_geotiff(spark: SparkSession, path: str, band: str = "z") -> tuple[DataFrame, GridSpec]:
     """r, c, band of every cell (NULL where the file says so), and the grid."""
+    return read_bands(spark, path, (band,))
+
+
+def read_bands(spark: SparkSession, path: str, bands: tuple[str, ...], page: int = 0) -> tuple[DataFrame, GridSpec]:
+    """The first bands of an image of the file, and its grid."""
     workers_see(spark)
-    found = Blocks(path)
+    found = Blocks(path, page)
+    if len(bands) > 1 and (found.tags.get(PLANAR, (1,))[0] == 2 or found.tags.get(SAMPLES, (1,))[0] < len(bands)):
+        raise ValueError(f"no {len(bands)} bands in one block: {path}")
     names = ("block", "at", "bytes")
     blocks = pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, (range(found.count), found.places, found.sizes), strict=True)})
     found.places = found.sizes = ()  # tasks get theirs by the table
 
     def read(batches):
         for b in batches:
-            yield from found.read(zip(*(c.to_pylist() for c in b.columns), strict=True), band)
+            yield from found.read(zip(*(c.to_pylist() for c in b.columns), strict=True), *bands)
 
     tasks = min(found.count, 4 * spark.sparkContext.defaultParallelism + found.count // 64)
-    return spark.createDataFrame(blocks).repartitionByRange(max(1, tasks), "block").mapInArrow(read, f"r long, c long, `{band}` double"), found.spec
+    return spark.createDataFrame(blocks).repartitionByRange(max(1, tasks), "block").mapInArrow(read, ", ".join(("r long", "c long", *(f"`{b}` double" for b in bands)))), found.spec
+
+
+def geo_keys(crs: str) -> tuple[int, ...]:
+    """The key directory's numbers for EPSG:<code>; pixels are areas."""
+    if not crs.startswith("EPSG:"):
+        return 1, 1, 0, 1, 1025, 0, 1, 1
+    geographic = int(crs[5:]) in GEOGRAPHIC
+    return 1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, int(crs[5:])
 
 
 def file_of(x: np.ndarray, spec: GridSpec, r0: int, c0: int, nodata: float = NODATA) -> bytes:
     """A file of one strip: 32-bit floating point, deflate."""
     data = zlib.compress(np.where(np.isnan(x), nodata, x).astype("<f4").tobytes(), 6)
     text = f"{nodata:g}\0".encode()
-    keys = (1, 1, 0, 1, 3072, 0, 1, int(spec.crs[5:])) if spec.crs.startswith("EPSG:") else (1, 1, 0, 0)
     fields = [
         (WIDTH, "I", (x.shape[1],)), (HEIGHT, "I", (x.shape[0],)), (BITS, "H", (32,)), (COMPRESSION, "H", (8,)), (262, "H", (1,)), (STRIPS, "I", (0,)), (SAMPLES, "H", (1,)),
         (ROWS, "I", (x.shape[0],)), (STRIP_BYTES, "I", (len(data),)), (FORMAT, "H", (3,)), (SCALE, "d", (spec.cell, spec.cell, 0.0)),
-        (TIE, "d", (0.0, 0.0, 0.0, spec.x0 + c0 * spec.cell, spec.y0 - r0 * spec.cell, 0.0)), (KEYS, "H", keys), (MISSING, "s", (text,)),
+        (TIE, "d", (0.0, 0.0, 0.0, spec.x0 + c0 * spec.cell, spec.y0 - r0 * spec.cell, 0.0)), (KEYS, "H", geo_keys(spec.crs)), (MISSING, "s", (text,)),
     ]
     code = {"s": 2, "H": 3, "I": 4, "d": 12}
     at = 8 + 2 + 12 * len(fields) + 4
