@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from firnline.grid import GridSpec, workers_see
@@ -93,6 +93,14 @@ def _nearest(cells: DataFrame, spec: GridSpec, target: Column) -> DataFrame:
     return y.select("r", "c", *[F.when(F.col("tc") >= 0, F.col(n)).alias(n) for n in ("d2", "tr", "tc")])
 
 
+def distances(spark: SparkSession, places: DataFrame, spec: GridSpec, out: str = "distance") -> DataFrame:
+    """r, c and the distance in cells to the nearest of the places (r, c; within
+    the grid), for every cell of the grid; NULL if there is none."""
+    ends = spark.range(spec.width).select(F.lit(0).cast("long").alias("r"), F.col("id").alias("c"), F.lit(False).alias("_at"))
+    x = ends.unionByName(places.select(F.col("r").cast("long"), F.col("c").cast("long"), F.lit(True).alias("_at"))).groupBy("r", "c").agg(F.max("_at").alias("_at"))
+    return _nearest(x, spec, F.col("_at")).select("r", "c", F.sqrt(F.col("d2").cast("double")).alias(out))
+
+
 def distance_to(cells: DataFrame, spec: GridSpec, target: Column, out: str = "distance") -> DataFrame:
     """Distance in cells to the nearest target; NULL if there is none."""
     d = _nearest(cells, spec, target).select("r", "c", F.sqrt(F.col("d2").cast("double")).alias(out))

@@ -233,9 +233,3 @@ def _round(x: DataFrame, edge: tuple, cell: float, p: FlowParams, halo: int) ->
 
 
 COLUMNS = ("n", "flux", "zDelta", "travelLengthMax", "travelLengthMin", "fpTravelAngleMax", "fpTravelAngleMin", "slTravelAngle", "zDeltaSum", "routFluxSum", "depFluxSum", "forestInteraction")
-
-
-def on_grid(cells: DataFrame, flow: DataFrame, columns) -> DataFrame:
-    """Runout bands on the elevation model's cells; not reached is 0."""
-    x = cells.join(flow.select("r", "c", *columns), ["r", "c"], "left")
-    return x.withColumns({b: F.coalesce(b, F.lit(0.0)) for b in columns})

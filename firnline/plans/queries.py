@@ -15,6 +15,7 @@ from firnline.functions import palette as P
 from firnline.functions import votes as V
 from firnline.grid import GridSpec, scratch_path
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
+from firnline.operators.stack import Stack
 from firnline.plans.derived import AROUND, BANDS, CELL, GRID, SLOPE, WIDTH, bands, grid, spec
 from firnline.sources import imagery, tables, vectors
 
@@ -791,6 +792,17 @@ def image_overviews(spark, sf):
     return reduce(DataFrame.unionByName, levels)
 
 
+@query(f"WITH {GRID}, {SLOPE}, b AS (SELECT r, c, z, zone, noise FROM g) SELECT r, c, {_rounded('z')} AS z, {_rounded('slope')} AS slope, CASE WHEN noise THEN zone END AS noisy_zone FROM b LEFT JOIN (SELECT r, c, slope FROM sl) s USING (r, c)")
+def band_stack(spark, sf):
+    """Bands stored by tile and joined without a shuffle between them, one of
+    them with holes."""
+    x = grid(spark, sf)
+    with Stack(x.select("r", "c", "z"), spec(x)) as bands:
+        bands.add(focal.slope(x, FLAT).select("r", "c", "slope"))
+        bands.add(x.where("noise").select("r", "c", F.col("zone").alias("noisy_zone")))
+        return keyed(bands.joined(), "z", "slope", "noisy_zone")
+
+
 # Memberships, zones and products of the workflow that stand for themselves.
 
 

@@ -17,6 +17,7 @@ from firnline.functions import palette as P
 from firnline.functions import votes as V
 from firnline.grid import GridSpec, cut_lineage, scratch, to_null
 from firnline.operators import align, classify, distance, flow, focal, regions, segment, zonal
+from firnline.operators.stack import Stack
 from firnline.plans import config as C
 from firnline.plans.manifest import Manifest
 from firnline.sources import geotiff, imagery, tables, vectors
@@ -72,18 +73,26 @@ def start_zones(cells: DataFrame, spec: GridSpec, params: segment.SegmentParams
     return labels, zonal.zonal_metrics(x.join(labels, ["r", "c"]), spec)
 
 
-def scenario_layers(cells: DataFrame, flow_bands: DataFrame, spec: GridSpec, role: str, cutoff: float = 25.0) -> DataFrame:
-    """A scenario's columns of the wide stack; what no path reaches is 0."""
-    x = flow.on_grid(cells, flow_bands, ["zDelta", "fpTravelAngleMax", "routFluxSum"])
-    x = distance.proximity(x, spec, F.col("fpTravelAngleMax") > 0, "runout_prox")
-    return x.select(
-        "r", "c", F.col("zDelta").alias(f"{role}_zdelta"), F.col("fpTravelAngleMax").alias(f"{role}_travel_angle"),
-        (F.col("routFluxSum") * spec.cell_area).alias(f"{role}_rout_flux_area"),
-        V.flux_area(F.col("routFluxSum"), spec.cell_area, F.col("fpTravelAngleMax"), cutoff).alias(f"{role}_flux_area"),
-        V.angle_score(F.col("zDelta"), F.col("fpTravelAngleMax")).alias(f"{role}_alpha_zdelta"),
-        F.col("runout_prox").alias(f"{role}_runout_prox"), F.col("pra").alias(f"{role}_pra"), F.col("sieved").alias(f"{role}_release"),
-        F.col("pra_proximity").alias(f"{role}_pra_proximity"),
-    )
+def add_scenario(bands: Stack, released: DataFrame, flow_bands: DataFrame, labels: DataFrame, spec: GridSpec, role: str) -> None:
+    """Store a scenario's release areas, runout, distances to it and zone sizes
+    as bands of the wide stack."""
+    bands.add(released.select("r", "c", *[F.col(a).alias(f"{role}_{b}") for a, b in (("pra", "pra"), ("sieved", "release"), ("pra_proximity", "pra_proximity"))]))
+    bands.add(flow_bands.select("r", "c", *[F.col(b).alias(f"{role}__{b}") for b in NEEDED]))
+    near = distance.distances(released.sparkSession, flow_bands.where("fpTravelAngleMax > 0"), spec, f"{role}_runout_prox")
+    bands.add(near.withColumn(f"{role}_runout_prox", F.col(f"{role}_runout_prox") * spec.cell))
+    sizes = labels.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area / 10000.0).alias(f"{role}_pra_size"))
+    bands.add(labels.join(sizes, "label").select("r", "c", f"{role}_pra_size"))
+
+
+def scenario_columns(stack: DataFrame, spec: GridSpec, role: str, cutoff: float = 25.0) -> DataFrame:
+    """A scenario's columns of the wide stack from its bands; what no path
+    reaches is 0."""
+    drop, angle, flux = (F.coalesce(f"{role}__{b}", F.lit(0.0)) for b in NEEDED)
+    columns = {
+        "zdelta": drop, "travel_angle": angle, "rout_flux_area": flux * spec.cell_area,
+        "flux_area": V.flux_area(flux, spec.cell_area, angle, cutoff), "alpha_zdelta": V.angle_score(drop, angle),
+    }
+    return stack.withColumns({f"{role}_{k}": v for k, v in columns.items()}).drop(*[f"{role}__{b}" for b in NEEDED])
 
 
 def run_stack(cells: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Manifest | None = None, area: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -96,6 +105,16 @@ def run_stack(cells: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Mani
     steep = stack.withColumn("_s", F.greatest(F.coalesce("slope", F.lit(0)), F.lit(0)))
     smooth = focal.box_mean(steep, spec, "_s", cfg.ates.win_size | 1, "nearest", "slope_smooth")
     stack = smooth.drop("_s").withColumn("canopy_pct", F.rint(F.coalesce("canopy", F.lit(0.0))))
+    with Stack(stack, spec) as bands:
+        _scenarios(out, bands, base, spec, cfg, manifest)
+        if cfg.run_ates and any(k.startswith("runout_") for k in out):
+            _classes(out, bands, spec, cfg, manifest, area)
+    if cfg.run_colorize:
+        out |= colours(out, spec)
+    return out
+
+
+def _scenarios(out: dict[str, DataFrame], bands: Stack, base: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Manifest | None) -> None:
     for s in SCENARIOS:
         if not cfg.run_pra or not getattr(cfg.pra, f"run_{s}"):
             continue
@@ -120,27 +139,27 @@ def run_stack(cells: DataFrame, spec: GridSpec, cfg: C.RunConfig, manifest: Mani
                 manifest.failed(f"runout_{s}", e)
             continue
         out[f"runout_{s}"] = got.select("r", "c", *[c for c in got.columns if c in cfg.flow.outputs() or c in NEEDED])
-        stack = stack.join(scenario_layers(released, got, spec, ROLE[s], cfg.ates.flux_cutoff), ["r", "c"], "left")
-        sizes = labels.groupBy("label").agg((F.count(F.lit(1)) * spec.cell_area / 10000.0).alias(f"{ROLE[s]}_pra_size"))
-        stack = stack.join(labels.join(sizes, "label").select("r", "c", f"{ROLE[s]}_pra_size"), ["r", "c"], "left")
+        add_scenario(bands, released, got, labels, spec, ROLE[s])
         if manifest:
             manifest.step(f"runout_{s}", time.time() - began)
-    if cfg.run_ates and any(k.startswith("runout_") for k in out):
-        began = time.time()
-        stack = cut_lineage(stack, "stack")
-        if (top := classify.canopy_beyond(stack)) is not None:
-            text = f"canopy is up to {top:.1f}; it should be percent already"
-            log.warning(text)
-            if manifest:
-                manifest.warn(text)
-        classes = classify.classify(stack, spec, cfg.ates.model, cfg.ates.base_layer, cfg.ates.cuts())
-        out["ates"] = cut_lineage(classify.postprocess(classes, spec, "ates", cfg.ates.minimum_m2(), area), "ates").select("r", "c", "ates")
-        out["ates_regions"] = regions.in_order(regions.polygonize(out["ates"], spec, "ates", 8)[0])
+
+
+def _classes(out: dict[str, DataFrame], bands: Stack, spec: GridSpec, cfg: C.RunConfig, manifest: Manifest | None, area: DataFrame | None) -> None:
+    began = time.time()
+    stack = bands.joined()
+    for s in SCENARIOS:
+        if f"runout_{s}" in out:
+            stack = scenario_columns(stack, spec, ROLE[s], cfg.ates.flux_cutoff)
+    if (top := classify.canopy_beyond(stack)) is not None:
+        text = f"canopy is up to {top:.1f}; it should be percent already"
+        log.warning(text)
         if manifest:
-            manifest.step("ates", time.time() - began)
-    if cfg.run_colorize:
-        out |= colours(out, spec)
-    return out
+            manifest.warn(text)
+    classes = classify.classify(stack, spec, cfg.ates.model, cfg.ates.base_layer, cfg.ates.cuts())
+    out["ates"] = cut_lineage(classify.postprocess(classes, spec, "ates", cfg.ates.minimum_m2(), area), "ates").select("r", "c", "ates")
+    out["ates_regions"] = regions.in_order(regions.polygonize(out["ates"], spec, "ates", 8)[0])
+    if manifest:
+        manifest.step("ates", time.time() - began)
 
 
 NEEDED = ("zDelta", "fpTravelAngleMax", "routFluxSum")

@@ -14,7 +14,7 @@ from firnline.grid import GridSpec
 from firnline.operators import align, distance, flow, focal, regions, segment, zonal
 from firnline.plans import config, manifest
 from firnline.plans.run import colour_run, release_areas, run, run_stack, terrain
-from firnline.sources import tables
+from firnline.sources import imagery, tables
 
 
 def cells(spark, grid, band="z", **more):
@@ -522,8 +522,10 @@ def test_a_run_from_files(spark, tmp_path):
     assert spark.read.parquet(f"file://{folder}/ates_rgba").where("factor = 16").count() <= 4
     shapes = spark.read.parquet(f"file://{folder}/zone_metrics_frequent_v1.parquet")
     assert shapes.where("wkt like 'POLYGON%' and treeline_m is null").count() == shapes.count() > 0
-    assert "ates_rgba" in colour_run(spark, folder, GridSpec(20, 26, 21.34), {"ates_rgba": palette.parse("0 9 9 9\n1 9 9 9\n2 9 9 9\n3 9 9 9\n4 9 9 9")})
+    assert "ates_rgba" in colour_run(spark, folder, GridSpec(20, 26, 21.34), {"ates_rgba": palette.parse("0 9 9 9\n1 9 9 9\n2 9 9 9\n3 9 9 9\n4 9 9 9")}, images=True)
     assert {q.red for q in spark.read.parquet(f"file://{folder}/ates_rgba").where("alpha > 0").select("red").distinct().collect()} == {9}
+    pixels = imagery.read_image(spark, f"{folder}/ates_rgba.tif")
+    assert pixels.count() == 520 and {q.red for q in pixels.where("alpha > 0").select("red").distinct().collect()} == {9}
 
 
 def test_ascii_grids_of_many_splits(spark, tmp_path):
