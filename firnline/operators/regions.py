@@ -55,7 +55,7 @@ def _label_tile(pdf: pd.DataFrame, width: int, connectivity: int) -> pd.DataFram
     return pd.DataFrame({"r": r, "c": c, "value": pdf.value, "label": label})
 
 
-FEW = 1_000_000  # pairs that one task joins at once; more take rounds
+CHUNK = 1_000_000  # pairs that a task joins at once
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,28 +74,57 @@ def _union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[parent[moved]]
 
 
-def _roots(pairs: DataFrame, few: int = FEW) -> DataFrame:
-    """node, root over pairs (a, b), a > b: by one task if the pairs are few,
-    else neighbours gather under the least one, round by round, until nothing
-    moves."""
-    pairs, seen = cut_lineage(pairs.where("a <> b").distinct(), "pairs"), None
-    if pairs.count() <= few:
-        def join(pdf: pd.DataFrame) -> pd.DataFrame:
-            node, root = _union(pdf.a.to_numpy(), pdf.b.to_numpy())
-            return pd.DataFrame({"node": node, "root": root})
+def _stars(pairs: DataFrame, most: int) -> DataFrame:
+    """a, b that join the same nodes: each task joins its pairs in memory, `most`
+    at a time, and gives every node but the least of a group with that one."""
 
-        return pairs.groupBy((F.col("a") * 0).alias("_one")).applyInPandas(join, "node long, root long")
+    def join(batches):
+        held: list[pd.DataFrame] = []
+
+        def joined() -> pd.DataFrame:
+            x = pd.concat(held)
+            held.clear()
+            node, root = _union(x.a.to_numpy(), x.b.to_numpy())
+            return pd.DataFrame({"a": node, "b": root})
+
+        for x in batches:
+            for at in range(0, len(x), max(1, most)):
+                held.append(x[at : at + max(1, most)])
+                if sum(map(len, held)) >= most:
+                    yield joined()
+        if held:
+            yield joined()
+
+    workers_see(pairs.sparkSession)
+    return pairs.mapInPandas(join, "a long, b long")
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node has one root and no root is another's node."""
+    none = F.lit(None).cast("long")
+    ends = stars.select("a", "b", F.lit(0).alias("_root")).unionByName(stars.select(F.col("b").alias("a"), none.alias("b"), F.lit(1).alias("_root")))
+    seen = ends.groupBy("a").agg(F.min("b").alias("lo"), F.max("b").alias("hi"), F.max("_root").alias("_root"))
+    return not seen.where("lo < hi or lo is not null and _root = 1").limit(1).count()
+
+
+def _roots(pairs: DataFrame, most: int = CHUNK) -> DataFrame:
+    """node, root (the least node it is joined with) over pairs (a, b), a > b.
+
+    In a round tasks join what they hold; where a node is in several tasks' pairs
+    its neighbours gather under the least one, by joins, for the next round. Few
+    pairs are one task's, so one round settles them; no task holds more than
+    `most` pairs, however many there are."""
+    pairs = pairs.where("a <> b").distinct()
     while True:
+        pairs = cut_lineage(_stars(pairs, most), "pairs")
+        if _settled(pairs):
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).distinct()
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         up = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = up.groupBy("a").agg(F.min("b").alias("m"))
         down = up.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
-        pairs = cut_lineage(down.where("a <> b").distinct(), "pairs")
-        mark = pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if mark == seen:
-            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
+        pairs = down.where("a <> b").distinct()
 
 
 def connected(cells: DataFrame, spec: GridSpec, value: str | None = None, connectivity: int = 8, tile: int = TILE) -> DataFrame:

@@ -329,7 +329,19 @@ def test_wide_neighbourhoods_do_not_depend_on_tiles(spark):
 def test_labels_by_rounds_equal_those_of_one_task(spark):
     pairs = spark.createDataFrame([(int(b), int(a)) for a, b in np.sort(np.random.default_rng(3).integers(0, 400, (300, 2)), axis=1)], "a long, b long")
     roots = lambda few: sorted(tuple(q) for q in regions._roots(pairs, few).collect())
-    assert roots(10**6) == roots(0)
+    assert roots(10**6) == roots(0) == roots(7)
+
+
+@pytest.mark.parametrize("most", [1, 5, 1000])
+def test_roots_of_long_and_hot_components(spark, most):
+    """A path, a star that holds a third of all nodes, repeated pairs and loops,
+    dealt out so that no task has a component's pairs."""
+    path = [(k + 1, k) for k in range(60)]
+    star = [(k, 1000) for k in range(1001, 1060)] + [(1030, 1029)] * 20 + [(7, 7), (5000, 5000)]
+    pairs = spark.createDataFrame(path + star, "a long, b long").repartition(7)
+    want = [(k, 0) for k in range(1, 61)] + [(k, 1000) for k in range(1001, 1060)]
+    assert sorted(tuple(q) for q in regions._roots(pairs, most).collect()) == want
+    assert regions._roots(pairs.limit(0), most).count() == 0
 
 
 def fill(wkt, height, width):
