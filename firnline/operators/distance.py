@@ -6,7 +6,7 @@ once."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,13 +52,18 @@ def envelope(t: np.ndarray, r: np.ndarray) -> np.ndarray:
     return np.where(which >= 0, np.take_along_axis(held, np.maximum(which, 0), axis=1), -1)
 
 
-def _nearest(cells: DataFrame, spec: GridSpec, target: Column) -> DataFrame:
+def _nearest(cells: DataFrame, spec: GridSpec, target: Column, band: str | None = None) -> DataFrame:
     """r, c, d2, tr, tc: squared cell distance to the nearest target and its
-    place (ties: least row, then column); NULL without any target. Cells that
-    the table lacks are given, too, where their column has any."""
+    place (ties: least row, then column); NULL without any target. With a band,
+    its value there, too, as v: it comes along with the target's row, so that
+    nothing is looked up by place. Cells that the table lacks are given, too,
+    where their column has any."""
     workers_see(cells.sparkSession)
     down = Window.partitionBy("c").orderBy("r")
-    x = cells.select(F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.when(target, F.col("r").cast("long")).alias("_t"))
+    row = F.col("r").cast("long")
+    carried = row if band is None else F.struct(row.alias("r"), F.col(band).alias("v"))
+    at = (lambda t: t) if band is None else lambda t: t["r"]
+    x = cells.select(row.alias("r"), F.col("c").cast("long").alias("c"), F.when(target, carried).alias("_t"))
     x = x.withColumns(
         {
             "_u": F.last("_t", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)),
@@ -73,24 +78,30 @@ def _nearest(cells: DataFrame, spec: GridSpec, target: Column) -> DataFrame:
     lo, hi = F.when(F.col("_first"), 0).otherwise(own), F.coalesce(F.col("_next") - 1, F.lit(spec.height - 1).cast("long"))
     x = x.withColumn("_r", F.explode(F.sequence(lo.cast("long"), F.greatest(hi, own))))
     up, low = F.when(F.col("_r") >= own, F.col("_u")), F.when(F.col("_r") > own, F.col("_m")).otherwise(F.col("_l"))
-    nearer = F.when(low.isNull() | (F.col("_r") - up <= low - F.col("_r")), up).otherwise(low)
+    nearer = F.when(low.isNull() | (F.col("_r") - at(up) <= at(low) - F.col("_r")), up).otherwise(low)
     x = x.select(F.col("_r").alias("r"), "c", F.coalesce(nearer, low).alias("t"))
-    width = spec.width
+    x = x.select("r", "c", F.coalesce(at(F.col("t")), F.lit(-1)).alias("_row"), *([F.col("t.v").alias("v")] if band else []))
+    kind, width = f", v {cells.schema[band].dataType.simpleString()}" if band else "", spec.width
 
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf.r.to_numpy(), pdf.c.to_numpy()
+    def block(table: pa.Table) -> pa.Table:
+        r, c, row = (table[n].to_numpy() for n in ("r", "c", "_row"))
         some = np.unique(r)
+        place = np.searchsorted(some, r), c
         t = np.full((len(some), width), -1, dtype=np.int64)
-        t[np.searchsorted(some, r), c] = pdf.t.fillna(-1).to_numpy(dtype=np.int64)
+        t[place] = row
         col = envelope(t, some)
-        place = np.searchsorted(some, r), c
         tc = col[place]
-        tr = np.where(tc >= 0, t[place[0], np.maximum(tc, 0)], -1)
-        d2 = (r - tr) ** 2 + (c - tc) ** 2
-        return pd.DataFrame({"r": r, "c": c, "d2": np.where(tc >= 0, d2, -1), "tr": tr, "tc": tc})
+        at = place[0], np.maximum(tc, 0)
+        tr = np.where(tc >= 0, t[at], -1)
+        out = {"r": r, "c": c, "d2": np.where(tc >= 0, (r - tr) ** 2 + (c - tc) ** 2, -1), "tr": tr, "tc": tc}
+        if band:
+            held = np.zeros(t.shape, dtype=np.int64)  # by row and column, the place in this table
+            held[place] = np.arange(len(r))
+            out["v"] = table["v"].combine_chunks().take(pa.array(held[at]))
+        return pa.table(out)
 
-    y = x.groupBy(F.floor(F.col("r") / ROWS)).applyInPandas(block, "r long, c long, d2 long, tr long, tc long")
-    return y.select("r", "c", *[F.when(F.col("tc") >= 0, F.col(n)).alias(n) for n in ("d2", "tr", "tc")])
+    y = x.groupBy(F.floor(F.col("r") / ROWS)).applyInArrow(block, "r long, c long, d2 long, tr long, tc long" + kind)
+    return y.select("r", "c", *[F.when(F.col("tc") >= 0, F.col(n)).alias(n) for n in ("d2", "tr", "tc", *(["v"] if band else []))])
 
 
 def distances(spark: SparkSession, places: DataFrame, spec: GridSpec, out: str = "distance") -> DataFrame:
@@ -116,6 +127,5 @@ def proximity(cells: DataFrame, spec: GridSpec, target: Column, out: str = "prox
 
 def nearest_feature(cells: DataFrame, spec: GridSpec, target: Column, band: str, out: str) -> DataFrame:
     """The band's value at the nearest target."""
-    near = _nearest(cells, spec, target).select("r", "c", "tr", "tc")
-    values = cells.select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.col(band).alias(out))
-    return cells.join(near.join(values, ["tr", "tc"], "left").select("r", "c", out), ["r", "c"], "left")
+    near = _nearest(cells, spec, target, band).select("r", "c", F.col("v").alias(out))
+    return cells.join(near, ["r", "c"], "left")

@@ -332,6 +332,19 @@ def test_labels_by_rounds_equal_those_of_one_task(spark):
     assert roots(10**6) == roots(0) == roots(7)
 
 
+def test_values_come_along_with_their_targets(spark):
+    """Of any type, NULL too, and whole numbers that no double holds."""
+    rows = [(r, c, (1 << 60) + r * 50 + c if (r, c) != (7, 9) else None, f"{r}-{c}", (r * c) % 7 == 3 or (r, c) == (7, 9)) for r in range(20) for c in range(30) if (r + c) % 5]
+    x, s = spark.createDataFrame(rows, "r int, c int, n long, s string, t boolean"), GridSpec(30, 20)
+    for band in "ns":
+        got = {(q.r, q.c): q.near for q in distance.nearest_feature(x, s, F.col("t"), band, "near").collect()}
+        want = {(r, c): (n if band == "n" else k) for r, c, n, k, t in rows if t}
+        assert len(got) == len(rows)
+        for (r, c), v in got.items():
+            assert v == want[min(want, key=lambda p: ((p[0] - r) ** 2 + (p[1] - c) ** 2, p))]
+    assert distance.nearest_feature(x, s, F.lit(False), "s", "near").where("near is not null").count() == 0
+
+
 @pytest.mark.parametrize("most", [1, 5, 1000])
 def test_roots_of_long_and_hot_components(spark, most):
     """A path, a star that holds a third of all nodes, repeated pairs and loops,
