@@ -59,7 +59,7 @@ def _nearest(cells: DataFrame, spec: GridSpec, target: Column, band: str | None
     nothing is looked up by place. Cells that the table lacks are given, too,
     where their column has any."""
     workers_see(cells.sparkSession)
-    down = Window.partitionBy("c").orderBy("r")
+    down, up = (Window.partitionBy("c").orderBy(o) for o in (F.col("r"), F.col("r").desc()))  # frames that grow: linear both ways
     row = F.col("r").cast("long")
     carried = row if band is None else F.struct(row.alias("r"), F.col(band).alias("v"))
     at = (lambda t: t) if band is None else lambda t: t["r"]
@@ -67,8 +67,8 @@ def _nearest(cells: DataFrame, spec: GridSpec, target: Column, band: str | None
     x = x.withColumns(
         {
             "_u": F.last("_t", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)),
-            "_l": F.first("_t", ignorenulls=True).over(down.rowsBetween(0, Window.unboundedFollowing)),
-            "_m": F.first("_t", ignorenulls=True).over(down.rowsBetween(1, Window.unboundedFollowing)),
+            "_l": F.last("_t", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0)),
+            "_m": F.last("_t", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, -1)),
             "_first": F.lag("r").over(down).isNull(),
             "_next": F.lead("r").over(down),
         }
@@ -77,8 +77,8 @@ def _nearest(cells: DataFrame, spec: GridSpec, target: Column, band: str | None
     own = F.col("r")
     lo, hi = F.when(F.col("_first"), 0).otherwise(own), F.coalesce(F.col("_next") - 1, F.lit(spec.height - 1).cast("long"))
     x = x.withColumn("_r", F.explode(F.sequence(lo.cast("long"), F.greatest(hi, own))))
-    up, low = F.when(F.col("_r") >= own, F.col("_u")), F.when(F.col("_r") > own, F.col("_m")).otherwise(F.col("_l"))
-    nearer = F.when(low.isNull() | (F.col("_r") - at(up) <= at(low) - F.col("_r")), up).otherwise(low)
+    above, low = F.when(F.col("_r") >= own, F.col("_u")), F.when(F.col("_r") > own, F.col("_m")).otherwise(F.col("_l"))
+    nearer = F.when(low.isNull() | (F.col("_r") - at(above) <= at(low) - F.col("_r")), above).otherwise(low)
     x = x.select(F.col("_r").alias("r"), "c", F.coalesce(nearer, low).alias("t"))
     x = x.select("r", "c", F.coalesce(at(F.col("t")), F.lit(-1)).alias("_row"), *([F.col("t.v").alias("v")] if band else []))
     kind, width = f", v {cells.schema[band].dataType.simpleString()}" if band else "", spec.width
