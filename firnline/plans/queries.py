@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from firnline.functions import fuzzy
@@ -35,10 +35,16 @@ def query(sql: str | None = None):
     return put
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double as the SQL's round gives it, from the scaled binary number.
+    Spark's own goes by the shortest decimal, and the two part at halves."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def keyed(x: DataFrame, *columns, places: int = 5) -> DataFrame:
     """r, c and the columns; doubles rounded for comparison."""
     kinds = dict(x.dtypes)
-    return x.select("r", "c", *[(F.round(F.col(b), places) + 0.0).alias(b) if kinds[b] == "double" else F.col(b) for b in columns])
+    return x.select("r", "c", *[(rounded(F.col(b), places) + 0.0).alias(b) if kinds[b] == "double" else F.col(b) for b in columns])
 
 
 def _rounded(sql: str, places: int = 5) -> str:
@@ -946,7 +952,7 @@ _FLUX = P.parse(P.FLUX_RAMP)
 @query(f"WITH {BANDS} SELECT r, c, {', '.join(_palette_sql(_FLUX, 'round(F_rout_flux_area * 100, 2)', i) + ' AS ' + n for i, n in enumerate(('red', 'green', 'blue', 'alpha')))} FROM b")
 def palette_log_ramp(spark, sf):
     """Colours by a ramp that is even in the logarithm and in perceived colour."""
-    return bands(spark, sf).withColumn("p", P.colour(F.round(F.col("F_rout_flux_area") * 100, 2), _FLUX)).select("r", "c", "p.*")
+    return bands(spark, sf).withColumn("p", P.colour(rounded(F.col("F_rout_flux_area") * 100, 2), _FLUX)).select("r", "c", "p.*")
 
 
 @query(

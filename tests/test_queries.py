@@ -48,6 +48,23 @@ def whole(df):
     return df
 
 
+def test_ramp_rounds_as_its_sql(spark, tmp_path):
+    """Prices whose quarter lies at half a cent, beside a change of colour."""
+    prices = [446.54, 543.06, 551.3, 569.42, 585.3, 1045.62, 1209.86, 1252.34, 1271.62, 1803.38, 2130.74]
+    made = {
+        "customer": pd.DataFrame({"c_custkey": [0], "c_nationkey": [0]}),
+        "orders": pd.DataFrame({"o_orderkey": range(len(prices)), "o_custkey": 0, "o_totalprice": prices}),
+        "lineitem": pd.DataFrame({"l_orderkey": range(len(prices)), "l_quantity": 1.0, "l_extendedprice": prices, "l_discount": 0.0}),
+    }
+    c = duckdb.connect()
+    for name, df in made.items():
+        df.to_parquet(tmp_path / f"{name}.parquet")
+        c.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    got = [tuple(r) for r in QUERIES["palette_log_ramp"](spark, str(tmp_path)).collect()]
+    want = c.execute(ORACLES["palette_log_ramp"]).fetchall()
+    assert sorted(got) == sorted(want)
+
+
 def test_only_kernels_have_no_sql():
     assert set(QUERIES) - set(ORACLES) == {"region_outlines", "start_zones", "runout"}
 
