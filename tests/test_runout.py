@@ -113,3 +113,35 @@ def test_forest_against_a_naive_version():
         assert {(at // w.width - 1, at % w.width - 1) for at in got} == set(want)
         for at, v in got.items():
             assert np.allclose(v[:3], want[at // w.width - 1, at % w.width - 1])
+
+
+def test_releases_beside_each_other_give_the_paths_of_single_ones(monkeypatch):
+    """All kinds of ends: a path that stops, one that comes to the rim, one with
+    more cells than fit beside others; with and without forest."""
+    r, c = np.mgrid[0:90, 0:40]
+    z = 1500.0 - 6.0 * r + 25.0 * np.sin(r / 5.0) * np.cos(c / 4.0) + 7.0 * np.sin(c * r)
+    canopy = np.maximum(0.0, 60.0 * np.sin(c / 3.0))
+    monkeypatch.setattr(flow, "LARGEST", 64)
+    seen = set()
+    for forest in (False, True):
+        p = flow.FlowParams(alpha=20.0, forest=forest)
+        w = flow.Window(z, canopy, p, 10.0, (False, True, False, False))
+        starts = np.array([w.place(a, b) for a in range(0, 90, 2) for b in range(1, 40, 3)])
+        counts, flux, energy = {}, {}, {}
+        for kind, x in flow.Beside(w, starts).paths():
+            seen.add(kind)
+            if kind != "done":
+                for j in x.tolist():
+                    alone = flow.run_release(w, int(starts[j]))
+                    assert alone is None if kind == "rim" else alone is None or len(alone) > 40
+                    starts[j] = -1
+                continue
+            for at, f, e in zip(x[0].tolist(), x[1], x[2], strict=True):
+                counts[at], flux[at], energy[at] = counts.get(at, 0) + 1, flux.get(at, 0.0) + f, energy.get(at, 0.0) + e
+        assert (starts > 0).any()
+        for start in starts[starts > 0].tolist():
+            for at, v in flow.run_release(w, start).items():
+                counts[at], flux[at], energy[at] = counts[at] - 1, flux[at] - v[0], energy[at] - v[1]
+        assert not any(counts.values())
+        assert max(map(abs, flux.values())) < 1e-9 and max(map(abs, energy.values())) < 1e-6
+    assert seen == {"done", "rim", "long"}
