@@ -186,6 +186,23 @@ def closing(cells: DataFrame, band: str, iterations: int = 1) -> DataFrame:
     return cells
 
 
+def opened_and_closed(cells: DataFrame, spec: GridSpec, band: str, opening: int = 1, closing: int = 1) -> DataFrame:
+    """The same as opening, then closing, of a whole 0/1 band without NULL, in
+    one tile kernel: one shuffle instead of two for each step."""
+    steps = [False] * opening + [True] * (opening + closing) + [False] * closing
+
+    def kernel(arrays, first, size):
+        there = ~np.isnan(arrays[band])
+        m = np.where(there, arrays[band], 0.0)
+        for grow in steps:
+            w = np.pad(m, 1)
+            m = (np.maximum if grow else np.minimum).reduce([m, w[:-2, 1:-1], w[2:, 1:-1], w[1:-1, :-2], w[1:-1, 2:]]) * there
+        return [m]
+
+    x = tile_kernel(cells, spec, len(steps), [band], ["_morphed"], kernel)
+    return x.withColumn(band, F.col("_morphed").cast(cells.schema[band].dataType)).drop("_morphed")
+
+
 def sector_offsets(radius: int, direction: float = 0.0, tolerance: float = 180.0) -> list[tuple[int, int, float]]:
     """(dr, dc, distance in cells) of a disc's cells within an angular sector."""
     lo, hi = math.radians(direction - tolerance + 270.0), math.radians(direction + tolerance + 270.0)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from firnline.grid import GridSpec, cut_lineage, workers_see
 from firnline.operators.distance import distance_to
-from firnline.operators.focal import closing, curvature, local_maxima, opening
+from firnline.operators.focal import curvature, local_maxima, opened_and_closed
 from firnline.operators.regions import merge_small, uncovered
 from firnline.operators.tiles import tile_kernel
 from firnline.operators.watershed import spaced_peaks, watershed
@@ -98,10 +98,12 @@ def cost_surface(cells: DataFrame, p: SegmentParams) -> DataFrame:
 def segment(cells: DataFrame, spec: GridSpec, p: SegmentParams | None = None, merge: bool = True) -> DataFrame:
     """r, c, label of start zones. cells: z, pra, mask (0/1)."""
     p = p or SegmentParams()
-    x = cells.withColumn("mask", F.coalesce(F.col("mask"), F.lit(0)))
+    kept = [b for b in ("z", "pra", "slope", "treeline") if b in cells.columns]
+    x = cells.select("r", "c", *kept, F.coalesce(F.col("mask"), F.lit(0)).alias("mask"))
     if p.opening or p.closing:
-        x = closing(opening(x, "mask", p.opening), "mask", p.closing)
-    x = cost_surface(x, p)
+        x = opened_and_closed(x, spec, "mask", p.opening, p.closing)
+    cells = cut_lineage(x, "masked")  # read again where zones are split
+    x = cost_surface(cells.select("r", "c", "z", "pra", "mask"), p)
     high = (F.col("pra_norm") > p.high) & (F.col("mask") == 1)
     x = distance_to(x, spec, ~high, "_edt").withColumns({"_edt": F.when(high, F.coalesce("_edt", F.lit(1e6))).otherwise(0.0), "_bend": F.when(F.col("mask") == 1, F.abs("curvature")).otherwise(0.0)})
     x = local_maxima(x, spec, {"_peak": ("_edt", p.maxima_distance), "_crest": ("_bend", p.min_distance)})
@@ -168,7 +170,9 @@ def _split_elevations_of(x: DataFrame, p: SegmentParams, treeline: bool) -> Data
         at = split_elevations(z, pdf.m.to_numpy(dtype=float), None if pd.isna(line) else float(line), p, (lo, hi))
         return pd.DataFrame({"label": [pdf.label.iloc[0]], "at": [at]})
 
-    at = rows.where("lo is not null").groupBy("label").applyInPandas(find, "label long, at array<double>")
+    # A zone is little to read, but long to run: as many tasks as the setting says.
+    rows = rows.where("lo is not null").repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label")
+    at = rows.groupBy("label").applyInPandas(find, "label long, at array<double>")
     return stats.join(at, "label", "left").withColumn("at", F.coalesce("at", F.array().cast("array<double>")))
 
 

@@ -123,3 +123,19 @@ def test_exact_quantiles(spark, p, bins):
     whole = zonal.group_quantile(df.where("g < 3"), [], "v", p, bins=bins).collect()
     assert [q.n for q in whole] == [452] and whole[0].quantile == pytest.approx(np.quantile(np.concatenate([groups[k] for k in range(3)]), p))
     assert zonal.group_quantile(df.limit(0), [], "v", p).collect() == []
+
+
+def test_mask_is_opened_and_closed_in_one_shuffle(spark):
+    """As by the steps one after another, across tiles and beside missing cells."""
+    from firnline.operators import focal
+
+    x = spark.range(70 * 300).select(F.floor(F.col("id") / 300).alias("r"), (F.col("id") % 300).alias("c")).where("(r * 7 + c * 3) % 41 > 0")
+    x = x.withColumn("mask", ((F.floor(F.col("r") / 3) * 5 + F.floor(F.col("c") / 4) * 3 + F.hash("r", "c") % 2) % 3 > 0).cast("int"))
+    s = GridSpec.of(x)
+    for a, b in ((1, 1), (2, 0), (1, 2)):
+        got = focal.opened_and_closed(x, s, "mask", a, b)
+        want = focal.closing(focal.opening(x, "mask", a), "mask", b)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    plan = focal.opened_and_closed(x, s, "mask")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan
