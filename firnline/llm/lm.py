@@ -283,8 +283,9 @@ class Grams:
 
     def find(self, ctx: np.ndarray, word: np.ndarray, counts: bool = True):
         """Ids (-1: none) of n-grams given by context and word ids (-1: unknown);
-        with counts, also their counts and their contexts' sums."""
-        ids, found, total = np.full(len(ctx), -1, dtype=np.int64), np.zeros(len(ctx), np.int64), np.zeros((len(ctx), 4), np.int64)
+        with counts, also their discounted shares of their contexts, and what
+        the contexts leave to the order below (0 and 1 where a context has none)."""
+        ids = np.full(len(ctx), -1, dtype=np.int64)
         wide = np.uint64(self.wide)
         ok = np.flatnonzero(ctx >= 0)
         # No n-gram ends with the beginning's id: it stands for unknown words.
@@ -316,9 +317,16 @@ class Grams:
         if not counts:
             return ids
         first = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
-        each = np.repeat(self.sums(of[first].astype(np.int64)), np.diff(np.append(first, len(of))), axis=0)
-        found[ok], total[ok] = n[back], each[back]
-        return ids, found, total
+        # Once for each n-gram and each context, not for each token.
+        total, *many = self.sums(of[first].astype(np.int64)).T
+        free = sum(x * m for x, m in zip(self.discounts, many, strict=True))
+        some, times = np.maximum(total, 1), np.diff(np.append(first, len(of)))
+        left = np.repeat(np.where(total > 0, free / some, 1.0), times)
+        d = np.array([0.0, *self.discounts])
+        own = np.where(np.repeat(total > 0, times), np.maximum(n - d[np.minimum(n, 3)], 0) / np.repeat(some, times), 0.0)
+        share, rest = np.zeros(len(ctx)), np.ones(len(ctx))
+        share[ok], rest[ok] = own[back], left[back]
+        return ids, share, rest
 
     def sums(self, some: np.ndarray) -> np.ndarray:
         """Sums of contexts, given by sorted ids."""
@@ -397,12 +405,8 @@ class Model:
         first[at] = True
         ctx = np.where(first, self.size, np.append(-1, ids[:-1]))
         for g in self.grams:
-            id_, c, sums = g.find(ctx, ids)
-            total, *many = sums.T
-            d = np.array([0.0, *g.discounts])
-            free = sum(x * m for x, m in zip(g.discounts, many, strict=True))
-            some = np.maximum(total, 1)
-            p = np.where(total > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / some + free / some * p, p)
+            id_, share, rest = g.find(ctx, ids)
+            p = share + rest * p
             ctx = np.where(first, -1, np.append(-1, id_[:-1]))
         known = np.add.reduceat((count[code] > 0).astype(np.int64), at)
         return n, known, np.add.reduceat(base[code], at), np.add.reduceat(np.log10(p), at)
